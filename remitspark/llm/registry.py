@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from remitspark.llm.piece_bpe import op6_sentencepiece
 from remitspark.llm.simhash import op3_simhash_neardup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_simhash_neardup": op3_simhash_neardup}
+    return {f.__name__: f for f in (op3_simhash_neardup, op6_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
