@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from remitspark.llm.mixing import op1_pareto_mixing
 from remitspark.llm.piece_bpe import op6_sentencepiece
 from remitspark.llm.simhash import op3_simhash_neardup
+from remitspark.llm.toxicity import op7_toxicity_mil
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_simhash_neardup, op6_sentencepiece)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op3_simhash_neardup, op6_sentencepiece, op7_toxicity_mil)}
 
 
 def oracle_sql() -> dict[str, str]:
