@@ -10,13 +10,14 @@ from remitspark.llm.mixing import op1_pareto_mixing
 from remitspark.llm.piece_bpe import op6_sentencepiece
 from remitspark.llm.simhash import op3_simhash_neardup
 from remitspark.llm.substring import op2_substring_dedup
+from remitspark.llm.suffix_array import op10_suffix_dedup
 from remitspark.llm.toxicity import op7_toxicity_mil
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pareto_mixing, op2_substring_dedup, op3_simhash_neardup, op6_sentencepiece, op7_toxicity_mil)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_substring_dedup, op3_simhash_neardup, op6_sentencepiece, op7_toxicity_mil, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
