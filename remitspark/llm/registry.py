@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from remitspark.llm.additive_ann import op5_additive_ann
+from remitspark.llm.epsgrid import op4_embedding_neardup
 from remitspark.llm.mixing import op1_pareto_mixing
 from remitspark.llm.piece_bpe import op6_sentencepiece
 from remitspark.llm.simhash import op3_simhash_neardup
@@ -17,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pareto_mixing, op2_substring_dedup, op3_simhash_neardup, op6_sentencepiece, op7_toxicity_mil, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_substring_dedup, op3_simhash_neardup, op4_embedding_neardup, op5_additive_ann, op6_sentencepiece, op7_toxicity_mil, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
