@@ -21,6 +21,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows of an Arrow batch for operators that read whole texts: bounds what a Python worker holds at once.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS, if it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: what is written survives lost executors.
 
@@ -29,6 +40,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        bounded_batches(spark)
         self.spark = spark
         self.base = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0

@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from remitspark.llm.common import bounded_batches
+
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Words kept per Python worker between batches, and characters handled at once.
@@ -258,4 +260,5 @@ def default_path() -> str:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_path())

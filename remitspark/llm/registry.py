@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from remitspark.llm.additive_ann import op5_additive_ann
 from remitspark.llm.epsgrid import op4_embedding_neardup
+from remitspark.llm.license_scan import op8_license_scan
 from remitspark.llm.mixing import op1_pareto_mixing
 from remitspark.llm.piece_bpe import op6_sentencepiece
+from remitspark.llm.sharding import op9_tiered_sharding
 from remitspark.llm.simhash import op3_simhash_neardup
 from remitspark.llm.substring import op2_substring_dedup
 from remitspark.llm.suffix_array import op10_suffix_dedup
@@ -19,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pareto_mixing, op2_substring_dedup, op3_simhash_neardup, op4_embedding_neardup, op5_additive_ann, op6_sentencepiece, op7_toxicity_mil, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_substring_dedup, op3_simhash_neardup, op4_embedding_neardup, op5_additive_ann, op6_sentencepiece, op7_toxicity_mil, op8_license_scan, op9_tiered_sharding, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
