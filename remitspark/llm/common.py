@@ -62,6 +62,12 @@ class Scratch:
             p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             p.getFileSystem(conf).delete(p, True)
 
+    def clear(self) -> None:
+        """Remove all tables of this scratch, and the shuffles behind them."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self.forget()
+
     def forget(self) -> None:
         """Ask the driver's JVM to collect: shuffle files of finished, unreferenced plans are then removed."""
         import gc

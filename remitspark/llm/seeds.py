@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remitspark.llm.common import text_key
+from remitspark.llm.common import Scratch, text_key
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
@@ -123,6 +123,21 @@ def slices(values: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         yield a, len(values)
 
 
+def gathered(parts: Iterator[dict[str, np.ndarray]], most: int = 100_000) -> Iterator[pd.DataFrame]:
+    """Frames of about ``most`` rows from columns that come text by text."""
+    held, n = [], 0
+    for p in parts:
+        size = len(next(iter(p.values())))
+        if size:
+            held.append(p)
+            n += size
+        if n >= most:
+            yield pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+            held, n = [], 0
+    if held:
+        yield pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+
+
 def anchor_rows(docs: DataFrame, kind: str, k: int, w: int) -> DataFrame:
     """(tk, tn, pos, seed) for every anchor of every text of docs(text)."""
 
@@ -143,21 +158,29 @@ def anchor_rows(docs: DataFrame, kind: str, k: int, w: int) -> DataFrame:
     return keyed.mapInPandas(run, "tk long, tn int, pos int, seed long")
 
 
-def repeated(rows: DataFrame, key: list[str], place: list[str]) -> DataFrame:
-    """Rows whose key occurs at two or more places. Both uses of the rows read one shuffle."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, *key)
-    at = F.xxhash64(*place)
-    found = dealt.groupBy(*key).agg(F.min(at).alias("lo_"), F.max(at).alias("hi_")).where("lo_ <> hi_").select(*key)
-    return dealt.join(found, key, "left_semi")
-
-
-def texts_with_seeds(docs: DataFrame, kind: str, k: int, w: int) -> DataFrame:
+def repeated(rows: DataFrame, key: list[str], place: list[str], scratch: Scratch) -> DataFrame:
+    """Rows whose key occurs at two or more places (without place columns: twice). The rows are made once and saved;
+    the keys' smallest and largest places are combined before their shuffle, and the join back has one row a key on its right, so that
+    Spark may split a frequent key on its left."""
+    rows = scratch.save(rows)
+    scratch.forget()
+    if place:
+        at = F.xxhash64(*place)
+        found = rows.groupBy(*key).agg(F.min(at).alias("lo_"), F.max(at).alias("hi_")).where("lo_ <> hi_").select(*key)
+    else:
+        found = rows.groupBy(*key).count().where("count > 1").select(*key)
+    out = scratch.save(rows.join(found, key, "left_semi"))
+    scratch.drop(rows)
+    scratch.forget()
+    return out
+
+
+def texts_with_seeds(docs: DataFrame, kind: str, k: int, w: int, scratch: Scratch) -> DataFrame:
     """(tk, tn, t, text, seeds): each different text that shares an anchor's k-gram, with their positions; once.
 
     Only anchors are shuffled in full; texts are combined before their shuffle, so that copies travel once a task.
     """
-    seeds = repeated(anchor_rows(docs, kind, k, w), ["seed"], ["tk", "tn", "pos"])
+    seeds = repeated(anchor_rows(docs, kind, k, w), ["seed"], ["tk", "tn", "pos"], scratch)
     per_text = seeds.groupBy("tk", "tn").agg(F.collect_set("pos").alias("seeds"))
     texts = docs.select(*text_key(), "text").where(F.col("tn") >= k + w - 1).groupBy("tk", "tn").agg(F.first("text").alias("text"))
     return texts.join(per_text, ["tk", "tn"]).withColumn("t", F.monotonically_increasing_id())

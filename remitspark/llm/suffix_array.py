@@ -36,10 +36,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from remitspark.llm.common import Scratch, text_key
-from remitspark.llm.seeds import BASES, TABLES, Rolling, anchors, copies, repeated, texts_with_seeds
+from remitspark.llm.seeds import BASES, TABLES, Rolling, anchors, copies, gathered, repeated, texts_with_seeds
 from remitspark.llm.substring import runs_to_mask
 
 LENGTH, GRAM = 400, 300
+#: Share of places whose order may stay open beyond what names cover. The result does not hinge on the order (a
+#: window not proven repeated by a neighbour is settled by its hash), only the number of windows to settle does.
+OPEN_SHARE = 0.15
 
 
 def ordered(df: DataFrame, keys: list, scratch: Scratch) -> DataFrame:
@@ -57,11 +60,13 @@ def running_max(t: DataFrame, value: str, out: str) -> DataFrame:
     return t.withColumn(out, inside).join(F.broadcast(tops), "pid").withColumn(out, F.greatest(out, "top_")).drop("top_")
 
 
-def suffix_ranks(rows: DataFrame, need: int, scratch: Scratch) -> DataFrame:
+def suffix_ranks(rows: DataFrame, need: int, scratch: Scratch, open_share: float = 0.0) -> DataFrame:
     """(sid, run, i, rank): an order of all suffixes of the strings (sid, run) in rows(sid, run, i, x, g).
 
     x > 0 is the symbol, g the units of text it moves on by. Suffixes that agree on ``need`` units are together
-    in the order, whatever follows; beyond that the order is not defined.
+    in the order, whatever follows; beyond that the order is not defined. With ``open_share`` above 0 the recursion
+    also ends when no larger share of the sampled places has a name that is neither unique nor long enough; those
+    places may then be apart in the order.
     """
     by = W.partitionBy("sid", "run").orderBy("i")
     place = ["sid", "run", "i"]
@@ -72,11 +77,13 @@ def suffix_ranks(rows: DataFrame, need: int, scratch: Scratch) -> DataFrame:
     distinct = sample.groupBy("x", "x1", "x2").agg(F.count("*").alias("n"), F.max(F.col("g") + F.col("g1") + F.col("g2")).alias("span"))
     triples = ordered(distinct, ["x", "x1", "x2"], scratch).withColumn("name", F.col("seq") + 1)
     named = sample.join(triples.select("x", "x1", "x2", "name", "span"), ["x", "x1", "x2"]).select(*place, "name", "span")
-    if triples.where((F.col("n") > 1) & (F.col("x2") > 0) & (F.col("span") < need)).isEmpty():
+    is_open = (F.col("n") > 1) & (F.col("x2") > 0) & (F.col("span") < need)
+    share = triples.agg(F.coalesce(F.sum(F.when(is_open, F.col("n"))), F.lit(0)).alias("open"), F.sum("n").alias("all")).first()
+    if share.open <= open_share * (share.all or 0):
         ranks = named.select(*place, F.col("name").alias("r"))
     else:
         down = named.select("sid", (F.col("run") * 2 + F.col("i") % 3 - 1).alias("run"), F.floor(F.col("i") / 3).cast("int").alias("i"), F.col("name").alias("x"), F.col("span").alias("g"))
-        low = suffix_ranks(down, need, scratch)
+        low = suffix_ranks(down, need, scratch, open_share)
         ranks = low.select("sid", F.shiftright("run", 1).alias("run"), (F.col("i") * 3 + 1 + F.col("run") % 2).cast("int").alias("i"), F.col("rank").alias("r"))
     u = t.select(*place, "x", "x1").join(ranks, place, "left")
     u = u.select("*", F.coalesce(F.lead("r", 1).over(by), zero).alias("r1"), F.coalesce(F.lead("r", 2).over(by), zero).alias("r2"))
@@ -103,7 +110,7 @@ def symbol_rows(found: DataFrame, length: int, gram: int) -> DataFrame:
     anchor (h1, h2; null if that anchor's k-gram is not repeated) and the hash of all text its windows can see."""
     w = length - gram + 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for b in batches:
             for t, text, seeds in zip(b["t"].tolist(), b["text"], b["seeds"]):
                 v1, v2 = byte_values(text)
@@ -120,12 +127,12 @@ def symbol_rows(found: DataFrame, length: int, gram: int) -> DataFrame:
                 ctx = r1.hash(lo, hi) + (a[j] - lo).astype(np.uint64)
                 h1, h2 = r1.hash(a[j], end), r2.hash(a[j], end)
                 h2 = h2 + last.astype(np.uint64)  # the end of a text is a symbol of its own
-                yield pd.DataFrame({
+                yield {
                     "t": np.full(len(j), t), "j": j.astype(np.int32), "seed": h[j].view(np.int64), "ctx": ctx.view(np.int64),
                     "h1": h1.view(np.int64), "h2": h2.view(np.int64), "g": np.where(last, n - a[j], a[nxt] - a[j]).astype(np.int64), "whole": whole, "last": last,
-                })
+                }
 
-    return found.select("t", "text", "seeds").mapInPandas(run, "t long, j int, seed long, ctx long, h1 long, h2 long, g long, whole boolean, last boolean")
+    return found.select("t", "text", "seeds").mapInPandas(lambda b: gathered(each(b)), "t long, j int, seed long, ctx long, h1 long, h2 long, g long, whole boolean, last boolean")
 
 
 def adjacent_matches(symbols: DataFrame, reach: int, gram: int, scratch: Scratch) -> DataFrame:
@@ -140,39 +147,48 @@ def adjacent_matches(symbols: DataFrame, reach: int, gram: int, scratch: Scratch
     runs = named.select("t", "j", "x", "g", "last", cut.alias("new")).withColumn("run", F.sum("new").over(by))
     runs = runs.withColumn("start", F.min("j").over(W.partitionBy("t", "run")))
     rows = scratch.save(runs.select(F.col("t").alias("sid"), F.col("start").cast("long").alias("run"), (F.col("j") - F.col("start")).cast("int").alias("i"), "x", "g", "last", "t", "j"))
-    ranks = suffix_ranks(rows.select("sid", "run", "i", "x", "g"), reach, scratch)
-    ahead = F.collect_list(F.struct("x", "g", "last")).over(W.partitionBy("sid", "run").orderBy("i").rowsBetween(0, reach))
-    # of the following symbols only those that start within reach count
-    upto = F.aggregate(
-        "ahead_", F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<x:bigint,g:bigint,last:boolean>>").alias("xs")),
-        lambda acc, e: F.when(acc["sum"] < reach, F.struct((acc["sum"] + e["g"]).alias("sum"), F.concat(acc["xs"], F.array(e)).alias("xs"))).otherwise(acc),
-        lambda acc: acc["xs"],
-    )
-    rows = rows.withColumn("ahead_", ahead).select("sid", "run", "i", "t", "j", upto.alias("xs"))
-    t = ordered(rows.join(ranks, ["sid", "run", "i"]).select("rank", "t", "j", "xs"), ["rank"], scratch)
+    ranks = suffix_ranks(rows.select("sid", "run", "i", "x", "g"), reach, scratch, OPEN_SHARE)
+    placed = rows.join(ranks, ["sid", "run", "i"]).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("j", "run", "x", "g", "last", "rank"))).alias("s"))
+    t = ordered(placed.mapInPandas(lambda batches: following(batches, reach, gram), "rank long, t long, j int, xs array<bigint>, gs array<int>"), ["rank"], scratch)
     inside = W.partitionBy("pid").orderBy("seq")
+    # xs, gs: the symbols that start within reach, and the bytes they share with whoever has them in common
     ends = t.groupBy("pid").agg(F.min_by("xs", "seq").alias("first_"), F.max_by("xs", "seq").alias("last_"))
     row = W.orderBy("pid")  # one row a partition
     ends = ends.select("pid", F.lag("last_").over(row).alias("up_"), F.lead("first_").over(row).alias("down_"))
     t = t.withColumn("up", F.lag("xs").over(inside)).withColumn("down", F.lead("xs").over(inside)).join(F.broadcast(ends), "pid")
 
-    @F.pandas_udf("int")
-    def shared(xs: pd.Series, other: pd.Series) -> pd.Series:
-        out = np.zeros(len(xs), np.int32)
-        for k, (a, b) in enumerate(zip(xs, other)):
-            if b is None:
-                continue
-            n = 0
-            for p, q in zip(a, b):
-                if p["x"] != q["x"]:
-                    break
-                n += p["g"]
-                tail = p["last"]
-            if n:
-                out[k] = n if tail else n + gram
-        return pd.Series(out)
-
-    return t.select("t", "j", shared("xs", F.coalesce("up", "up_")).alias("before"), shared("xs", F.coalesce("down", "down_")).alias("after"))
+    def common(other):
+        same = F.coalesce(F.array_position(F.zip_with("xs", other, lambda p, q: p.eqNullSafe(q)), False), F.lit(0))
+        n = F.when(other.isNull(), 0).when(same > 0, same - 1).otherwise(F.least(F.size("xs"), F.size(other)))
+        return F.when(n > 0, F.element_at("gs", F.greatest(n, F.lit(1)).cast("int"))).otherwise(0)
+
+    return t.select("t", "j", common(F.coalesce("up", "up_")).alias("before"), common(F.coalesce("down", "down_")).alias("after"))
+
+
+def following(batches: Iterator[pd.DataFrame], reach: int, gram: int) -> Iterator[pd.DataFrame]:
+    """For each suffix of a text: the symbols that start within ``reach`` bytes, and how many bytes agree when
+    the first n of them do."""
+    for b in batches:
+        out: dict[str, list] = {c: [] for c in ("rank", "t", "j", "xs", "gs")}
+        for t, s in zip(b["t"].tolist(), b["s"]):
+            j, run, x, g, last, rank = ([e[k] for e in s] for k in ("j", "run", "x", "g", "last", "rank"))
+            end = len(j)
+            for i in range(end):
+                n, k, mine, sums = 0, i, [], []
+                while k < end and run[k] == run[i] and n < reach:
+                    n += g[k]
+                    mine.append(x[k])
+                    sums.append(n if last[k] else n + gram)
+                    k += 1
+                out["xs"].append(mine)
+                out["gs"].append(sums)
+            out["rank"] += rank
+            out["t"] += [t] * end
+            out["j"] += j
+            if len(out["j"]) >= 50_000:
+                yield pd.DataFrame(out)
+                out = {c: [] for c in out}
+        yield pd.DataFrame(out)
 
 
 class Windows:
@@ -201,31 +217,34 @@ class Windows:
 
 
 def boundary_windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for batch in batches:
             for t, text, marks in zip(batch["t"].tolist(), batch["text"], batch["marks"]):
                 w = Windows(text, marks, length, gram)
                 s = w.ask
                 a, b = w.r1.hash(s, s + length), Rolling(w.v2, BASES[1]).hash(s, s + length)
-                yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64), "t": np.full(len(s), t), "s": s.astype(np.int32)})
+                yield {"a": a.view(np.int64), "b": b.view(np.int64), "t": np.full(len(s), t), "s": s.astype(np.int32)}
 
-    return texts.mapInPandas(run, "a long, b long, t long, s int")
+    return texts.mapInPandas(lambda b: gathered(each(b)), "a long, b long, t long, s int")
 
 
 def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(tk, tn, text, marks, starts): different texts that may hold a repeat, what suffix order proves of their
     windows, and the other windows that were found repeated."""
-    found = scratch.save(texts_with_seeds(docs, "bytes", gram, length - gram + 1))
+    found = scratch.save(texts_with_seeds(docs, "bytes", gram, length - gram + 1, scratch))
     scratch.forget()
     symbols = scratch.save(symbol_rows(found, length, gram))
-    matches = adjacent_matches(symbols, 2 * (length - gram), gram, scratch)
+    order = Scratch(docs.sparkSession, "order")
+    matches = scratch.save(adjacent_matches(symbols, 2 * (length - gram), gram, order))
+    order.clear()
     # if all of a k-gram's places look alike as far as windows see, every window there is repeated
     seen = symbols.groupBy("seed").agg(F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).select("seed", (F.col("lo") != F.col("hi")).cast("int").alias("mixed"))
     marks = symbols.select("t", "j", "seed").join(seen, "seed").join(matches, ["t", "j"], "left")
     per_text = marks.groupBy("t").agg(F.collect_list(F.struct("j", "before", "after", "mixed")).alias("marks"))
     texts = scratch.save(found.select("t", "tk", "tn", "text").join(per_text, "t"))
+    scratch.drop(found, symbols, matches)
     scratch.forget()
-    again = repeated(boundary_windows(texts.select("t", "text", "marks"), length, gram), ["a", "b"], ["t", "s"])
+    again = repeated(boundary_windows(texts.select("t", "text", "marks"), length, gram), ["a", "b"], [], scratch)
     starts = again.groupBy("t").agg(F.collect_list("s").alias("starts"))
     return texts.join(starts, "t", "left").select("tk", "tn", "text", "marks", "starts")
 
@@ -264,5 +283,31 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     )
 
 
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs with every repeated string of ``length`` bytes cut from text (n_chars follows); rows and columns stay."""
+    scratch = Scratch(docs.sparkSession, "suffix")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for tk, tn, text, marks, starts in zip(b["tk"], b["tn"], b["text"], b["marks"], b["starts"]):
+                gone = removed_bytes(text, marks, starts, length, gram)
+                if gone.any():
+                    out.append((tk, tn, np.frombuffer(text.encode(), np.uint8)[~gone].tobytes().decode("utf-8", "ignore")))
+            yield pd.DataFrame(out, columns=["tk", "tn", "kept_"])
+
+    changed = scratch.save(repeats(docs.select("text"), scratch, length, gram).mapInPandas(cut, "tk long, tn int, kept_ string"))
+    keys = docs.select(*text_key())
+    whole = copies(keys).where(F.col("tn") >= length).select("tk", "tn", F.lit("").alias("kept_"))
+    new = scratch.save(whole.unionByName(changed.join(whole.select("tk", "tn"), ["tk", "tn"], "left_anti")))
+    tk, tn = text_key()
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), tk, tn)
+    out = d.join(new, ["tk", "tn"], "left")
+    text = F.when(F.col("kept_").isNotNull(), F.col("kept_")).otherwise(F.col("d.text"))
+    chars = F.when(F.col("kept_").isNotNull(), F.char_length("kept_")).otherwise(F.col("d.n_chars")) if "n_chars" in docs.columns else None
+    new_cols = {"text": text, "n_chars": chars.cast("long") if chars is not None else None}
+    return out.select(*[(new_cols[c] if c in new_cols else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
