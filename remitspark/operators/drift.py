@@ -19,15 +19,15 @@ def ks_statistic(samples: DataFrame, feature: str = "feature", value: str = "val
     w = W.partitionBy(feature).orderBy(value)
     whole = W.partitionBy(feature)
     t = ties.select(feature, F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"), F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"))
-    gap = F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))
+    gap = F.coalesce(F.abs(F.try_divide("ca", "na") - F.try_divide("cb", "nb")), F.lit(0.0))
     g = t.groupBy(feature).agg(F.max("na").alias("n_current"), F.max("nb").alias("n_baseline"), F.max(gap).alias("d"))
     return g.withColumn("d", F.when((F.col("n_current") == 0) | (F.col("n_baseline") == 0), 0.0).otherwise(F.col("d")))
 
 
 def ks_p_value(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     """Asymptotic probability of a gap this large: 2 sum (-1)^(k-1) exp(-2 k^2 lambda^2), kept within 0 and 1."""
-    root = F.sqrt(n * m / (n + m))
-    lam = (root + 0.12 + F.lit(0.11) / root) * d
+    root = F.sqrt(F.try_divide(n * m, n + m))
+    lam = F.coalesce((root + 0.12 + F.try_divide(F.lit(0.11), root)) * d, F.lit(0.0))
     term = lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * lam * lam)
     total = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(terms)), term), F.lit(0.0), lambda a, x: a + x)
     return F.when(d <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * total)))
