@@ -203,7 +203,8 @@ def links(fps: DataFrame, bits: int = 4, clean: int = 1) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """Per document: doc_id, fp (signed fingerprint), component_id (smallest doc_id reachable over links)."""
+    """Per document: doc_id, fp (signed fingerprint), component_id (smallest doc_id reachable over links), root (the
+    component's smallest fingerprint)."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fp = scratch.save(with_fingerprint(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"))
     reps = scratch.save(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -214,17 +215,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFra
     comp = components(links(reps.select("fp"), bits, clean), scratch)
     named = reps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = scratch.save(named.join(least, "root").select("fp", "component_id"))
-    return fp.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = scratch.save(named.join(least, "root").select("fp", "component_id", "root"))
+    return fp.join(ids, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 4) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id (one of its rows, if repeated)."""
+    """One document of each component stays: the one with the smallest doc_id (one of its rows, if repeated; where
+    no document of a component has an id, one with its smallest fingerprint)."""
     found = near_duplicates(docs, shingle, bits)
-    keep = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    key = docs.columns
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*key)
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    no_id = found.where("doc_id is null and component_id is null and fp = root").select(F.col("fp").alias("fp_")).distinct()
+    nameless = docs.where("doc_id is null")
+    rows = with_fingerprint(nameless.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d_"), "text"), shingle, "fp_")
+    rows = rows.join(no_id, "fp_", "left_semi").dropDuplicates(["fp_"]).select("d_.*")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(rows)
 
 
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
