@@ -132,8 +132,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 out.append((tk, tn, int(gone.sum()), word_digest([w for w, g in zip(words, gone.tolist()) if not g])))
             yield pd.DataFrame(out, columns=["tk", "tn", "cut", "cut_sha"])
 
-    changed = scratch.save(removals(docs, scratch, length, gram).mapInPandas(cut, "tk long, tn int, cut long, cut_sha string"))
-    scratch.forget()
+    work = Scratch(docs.sparkSession, "repeats")
+    changed = scratch.save(removals(docs, work, length, gram).mapInPandas(cut, "tk long, tn int, cut long, cut_sha string"))
+    work.clear()
     rows = docs.select("doc_id", *text_key(), "text").mapInPandas(plain, "doc_id long, tk long, tn int, n_words long, sha string")
     rows = scratch.save(rows)
     out = rows.join(copies(rows), ["tk", "tn"], "left").join(changed, ["tk", "tn"], "left")

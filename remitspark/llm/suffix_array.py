@@ -42,11 +42,15 @@ from remitspark.llm.substring import runs_to_mask
 LENGTH, GRAM = 400, 300
 #: Share of places whose order may stay open beyond what names cover. The result does not hinge on the order (a
 #: window not proven repeated by a neighbour is settled by its hash), only the number of windows to settle does.
-OPEN_SHARE = 0.15
+OPEN_SHARE = 0.5
 
 
-def ordered(df: DataFrame, keys: list, scratch: Scratch) -> DataFrame:
-    """df sorted over all partitions and saved, with ``seq`` (ascending in that order) and ``pid`` (its partition)."""
+def ordered(df: DataFrame, keys: list, scratch: Scratch, costly: bool = False) -> DataFrame:
+    """df sorted over all partitions and saved, with ``seq`` (ascending in that order) and ``pid`` (its partition).
+
+    Range partitioning reads its input twice, for a sample and for the rows; a costly one is saved before."""
+    if costly:
+        df = scratch.save(df)
     t = scratch.save(df.orderBy(*keys).withColumn("seq", F.monotonically_increasing_id()))
     return t.withColumn("pid", F.shiftright("seq", 33))
 
@@ -97,7 +101,7 @@ def suffix_ranks(rows: DataFrame, need: int, scratch: Scratch, open_share: float
     rest = u.where(kind == 0).join(p1, place).join(p2, place)
     rest = rest.select(*place, F.coalesce(F.greatest("p1", "p2"), zero).alias("k"), F.lit(1).alias("late"), "x", "r1")
     merged = u.where(kind != 0).select(*place, F.col("r").alias("k"), F.lit(0).alias("late"), "x", "r1").unionByName(rest)
-    return ordered(merged, ["k", "late", "x", "r1"], scratch).select(*place, (F.col("seq") + 1).alias("rank"))
+    return ordered(merged, ["k", "late", "x", "r1"], scratch, costly=True).select(*place, (F.col("seq") + 1).alias("rank"))
 
 
 def byte_values(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +153,7 @@ def adjacent_matches(symbols: DataFrame, reach: int, gram: int, scratch: Scratch
     rows = scratch.save(runs.select(F.col("t").alias("sid"), F.col("start").cast("long").alias("run"), (F.col("j") - F.col("start")).cast("int").alias("i"), "x", "g", "last", "t", "j"))
     ranks = suffix_ranks(rows.select("sid", "run", "i", "x", "g"), reach, scratch, OPEN_SHARE)
     placed = rows.join(ranks, ["sid", "run", "i"]).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("j", "run", "x", "g", "last", "rank"))).alias("s"))
-    t = ordered(placed.mapInPandas(lambda batches: following(batches, reach, gram), "rank long, t long, j int, xs array<bigint>, gs array<int>"), ["rank"], scratch)
+    t = ordered(placed.mapInPandas(lambda batches: following(batches, reach, gram), "rank long, t long, j int, xs array<bigint>, gs array<int>"), ["rank"], scratch, costly=True)
     inside = W.partitionBy("pid").orderBy("seq")
     # xs, gs: the symbols that start within reach, and the bytes they share with whoever has them in common
     ends = t.groupBy("pid").agg(F.min_by("xs", "seq").alias("first_"), F.max_by("xs", "seq").alias("last_"))
@@ -269,8 +273,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 out.append((tk, tn, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["tk", "tn", "cut", "spans", "cut_sha"])
 
-    changed = scratch.save(repeats(docs, scratch, length, gram).mapInPandas(cut, "tk long, tn int, cut long, spans long, cut_sha string"))
-    scratch.forget()
+    work = Scratch(docs.sparkSession, "repeats")
+    changed = scratch.save(repeats(docs, work, length, gram).mapInPandas(cut, "tk long, tn int, cut long, spans long, cut_sha string"))
+    work.clear()
     rows = scratch.save(docs.select("doc_id", *text_key(), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")))
     out = rows.join(copies(rows), ["tk", "tn"], "left").join(changed, ["tk", "tn"], "left")
     whole = F.coalesce("copied", F.lit(False)) & (F.col("tn") >= length)
@@ -296,10 +301,14 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
                     out.append((tk, tn, np.frombuffer(text.encode(), np.uint8)[~gone].tobytes().decode("utf-8", "ignore")))
             yield pd.DataFrame(out, columns=["tk", "tn", "kept_"])
 
-    changed = scratch.save(repeats(docs.select("text"), scratch, length, gram).mapInPandas(cut, "tk long, tn int, kept_ string"))
+    work = Scratch(docs.sparkSession, "repeats")
+    changed = scratch.save(repeats(docs.select("text"), work, length, gram).mapInPandas(cut, "tk long, tn int, kept_ string"))
+    work.clear()
     keys = docs.select(*text_key())
     whole = copies(keys).where(F.col("tn") >= length).select("tk", "tn", F.lit("").alias("kept_"))
     new = scratch.save(whole.unionByName(changed.join(whole.select("tk", "tn"), ["tk", "tn"], "left_anti")))
+    scratch.drop(changed)
+    scratch.forget()
     tk, tn = text_key()
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), tk, tn)
     out = d.join(new, ["tk", "tn"], "left")
