@@ -18,6 +18,7 @@ table gives an empty result; extra columns are ignored (``reject_toxic`` keeps t
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most documents of each label in the training sample.
-SAMPLE = 4000
+SAMPLE = 3000
 #: Hashed features, and the lengths of the beginnings.
 DIM, PREFIXES = 1 << 20, (3, 4, 5, 6)
 THRESHOLD = 0.3
@@ -58,7 +59,7 @@ class Model:
     def word(self, w: str) -> float:
         got = self.cache.get(w)
         if got is None:
-            if len(self.cache) > 1_000_000:
+            if len(self.cache) > 200_000:
                 self.cache.clear()
             get = self.weights.get
             got = self.cache[w] = float("nan") if w[0] in ENDS else sum(get(f, 0.0) for f in features(w))
@@ -88,7 +89,7 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, steps: int = 2
     if not len(y) or share in (0.0, 1.0):
         return Model({}, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     ids: dict[str, int] = {}
-    word, sent, doc_of = [], [], []
+    word, sent, doc_of = array("i"), array("i"), array("i")  # compact: millions of words pass here
     s = -1
     for d, t in enumerate(texts):
         s += 1
@@ -107,14 +108,20 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, steps: int = 2
         if not open_ and len(doc_of) > 1 and doc_of[-2] == d:
             doc_of.pop()
             s -= 1
-    word, sent, doc_of = np.array(word, np.int64), np.array(sent, np.int64), np.array(doc_of)
-    feats = [features(w) for w in ids]
-    size = np.array([len(f) for f in feats])
-    flat = np.fromiter((x for f in feats for x in f), np.int64, int(size.sum()))
-    owner = np.repeat(np.arange(len(feats)), size)
+    word, sent, doc_of = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (word, sent, doc_of))
+    flat_, size_ = array("i"), array("i")
+    for w in ids:
+        f = features(w)
+        flat_.extend(f)
+        size_.append(len(f))
+    n_words = len(ids)
+    ids = None
+    flat, size = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (flat_, size_))
+    owner = np.repeat(np.arange(n_words, dtype=np.int32), size)
     # features seen in fewer than three documents say nothing
-    pair = np.unique(doc_of[sent] * np.int64(len(ids)) + word) if len(word) else np.zeros(0, np.int64)
-    n_docs = np.bincount(flat, np.bincount(pair % max(len(ids), 1), minlength=len(ids))[owner], DIM)
+    pair = np.unique(doc_of[sent] * np.int64(n_words) + word) if len(word) else np.zeros(0, np.int64)
+    n_docs = np.bincount(flat, np.bincount(pair % max(n_words, 1), minlength=n_words)[owner], DIM)
+    pair = None
     ok = n_docs[flat] >= 3
     flat, owner = flat[ok], owner[ok]
     used, flat = np.unique(flat, return_inverse=True)
@@ -122,14 +129,14 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, steps: int = 2
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     total = weight.sum()
     for k in range(1, steps + 1):
-        per_word = np.bincount(owner, w[flat], len(ids))
+        per_word = np.bincount(owner, w[flat], n_words)
         z = np.bincount(sent, per_word[word], len(doc_of)) + b
         soft = np.logaddexp(0, z)  # -log(1 - p)
         clean = np.bincount(doc_of, soft, len(texts))  # -log P(label 0)
         pos = np.exp(-clean) / np.maximum(-np.expm1(-clean), 1e-12)
         g_doc = weight * np.where(y > 0, -pos, 1.0) / total
         g_sent = g_doc[doc_of] * sigmoid(z)
-        g_word = np.bincount(word, g_sent[sent], len(ids))
+        g_word = np.bincount(word, g_sent[sent], n_words)
         g = np.bincount(flat, g_word[owner], len(used)) + l2 * w
         gb = g_sent.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -151,7 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
     y = rows["toxic"].to_numpy(float)
     weight = np.array([shares[int(v)] / max((y == v).sum(), 1) for v in y])
-    return fit([t or "" for t in rows["text"]], y, weight)
+    texts = [t or "" for t in rows["text"]]
+    rows = None
+    return fit(texts, y, weight)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
