@@ -162,11 +162,11 @@ def ops_02(v):
     return samples(v).select(stamp("at", "recorded_at"), "n", "tps", "p99", "mode")
 
 
-@query("ops_03_burst_status", f"WITH {SAMPLES}, b AS (SELECT *, max(n) OVER () AS peak FROM samples WHERE mode = 'burst') SELECT max(peak) AS peak, CAST(sum(n) AS DOUBLE) / count(*) AS mean, max(p99) AS p99_max, count(*) FILTER (WHERE n * 10 >= peak * 9) / count(*)::DOUBLE AS near_peak, count(*) FILTER (WHERE p99 > 200) AS breaches FROM b")
+@query("ops_03_burst_status", f"WITH {SAMPLES}, b AS (SELECT *, max(n) OVER () AS peak FROM samples WHERE mode = 'burst') SELECT max(peak) AS peak, CAST(sum(n) AS DOUBLE) / nullif(count(*), 0) AS mean, max(p99) AS p99_max, count(*) FILTER (WHERE n * 10 >= peak * 9) / nullif(count(*), 0)::DOUBLE AS near_peak, count(*) FILTER (WHERE p99 > 200) AS breaches FROM b")
 def ops_03(v):
     b = samples(v).where("mode = 'burst'")
     b = b.crossJoin(F.broadcast(b.agg(F.max("n").alias("peak"))))  # one row
-    return b.agg(F.max("peak").alias("peak"), (F.sum("n").cast("double") / F.count("*")).alias("mean"), F.max("p99").alias("p99_max"), (F.count_if(F.col("n") * 10 >= F.col("peak") * 9) / F.count("*").cast("double")).alias("near_peak"), F.count_if(F.col("p99") > 200).alias("breaches"))
+    return b.agg(F.max("peak").alias("peak"), F.try_divide(F.sum("n").cast("double"), F.count("*")).alias("mean"), F.max("p99").alias("p99_max"), F.try_divide(F.count_if(F.col("n") * 10 >= F.col("peak") * 9), F.count("*").cast("double")).alias("near_peak"), F.count_if(F.col("p99") > 200).alias("breaches"))
 
 
 @query("ops_04_recent_samples", f"WITH {SAMPLES}, r AS (SELECT * FROM samples WHERE seen >= TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL 2 DAY) SELECT count(*) AS n, list_aggregate(list_sort(list(DISTINCT mode)), 'string_agg', ',') AS modes, arg_max(mode, seen) AS current_mode FROM r")

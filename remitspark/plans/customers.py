@@ -317,7 +317,7 @@ def drf_11(v):
 @query("drf_12_mean_shift", f"WITH {DRIFT}, m AS (SELECT feature, avg(value) FILTER (WHERE cur) AS a, avg(value) FILTER (WHERE NOT cur) AS b FROM smp GROUP BY 1) SELECT feature, CASE WHEN b = 0 THEN 'became active' WHEN abs(a - b) / b < 0.05 THEN 'flat' WHEN abs(a - b) / b < 0.2 THEN 'moderate' ELSE 'ratio' END AS shift FROM m")
 def drf_12(v):
     m = samples(v).groupBy("feature").agg(F.avg(F.when(F.col("is_current"), F.col("value"))).alias("a"), F.avg(F.when(~F.col("is_current"), F.col("value"))).alias("b"))
-    r = F.abs(F.col("a") - F.col("b")) / F.col("b")
+    r = F.try_divide(F.abs(F.col("a") - F.col("b")), F.col("b"))
     return m.select("feature", F.when(F.col("b") == 0, "became active").when(r < 0.05, "flat").when(r < 0.2, "moderate").otherwise("ratio").alias("shift"))
 
 
