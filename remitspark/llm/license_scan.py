@@ -170,6 +170,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("license", "line", "lines", "saved", "wording", "differs")
         for b in batches:
+            if not len(b):
+                continue
             got = [scan(t or "") for t in b["text"]]
             yield pd.DataFrame({
                 "doc_id": b["doc_id"], "n_candidates": [n for n, _ in got], "licenses": [sorted({m[0] for m in f}) for _, f in got],

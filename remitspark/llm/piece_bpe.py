@@ -28,7 +28,7 @@ from remitspark.llm.common import bounded_batches
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Words kept per Python worker between batches, and characters handled at once.
-MEMORY, SLICE = 200_000, 2_000_000
+MEMORY, SLICE = 200_000, 1_000_000
 
 
 def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:

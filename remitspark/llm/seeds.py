@@ -24,7 +24,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _rng = np.random.default_rng(7)
 TABLES = tuple(_rng.integers(0, 1 << 64, 256, dtype=np.uint64) for _ in BASES)
 #: Units (bytes or words) handled at once in a task.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def fmix(x: np.ndarray) -> np.ndarray:

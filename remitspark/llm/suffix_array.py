@@ -192,7 +192,8 @@ def following(batches: Iterator[pd.DataFrame], reach: int, gram: int) -> Iterato
             if len(out["j"]) >= 50_000:
                 yield pd.DataFrame(out)
                 out = {c: [] for c in out}
-        yield pd.DataFrame(out)
+        if out["j"]:
+            yield pd.DataFrame(out)
 
 
 class Windows:
