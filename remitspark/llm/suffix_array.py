@@ -42,7 +42,7 @@ from remitspark.llm.substring import runs_to_mask
 LENGTH, GRAM = 400, 300
 #: Share of places whose order may stay open beyond what names cover. The result does not hinge on the order (a
 #: window not proven repeated by a neighbour is settled by its hash), only the number of windows to settle does.
-OPEN_SHARE = 0.5
+OPEN_SHARE = 0.8
 
 
 def ordered(df: DataFrame, keys: list, scratch: Scratch, costly: bool = False) -> DataFrame:
