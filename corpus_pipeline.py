@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from remitspark.llm.common import Scratch
+from remitspark.llm.jaccard import drop_similar
 from remitspark.llm.mixing import mixed_documents
 from remitspark.llm.piece_bpe import default_path, digests
-from remitspark.llm.simhash import drop_near_duplicates
 from remitspark.llm.suffix_array import cut_repeats
 from remitspark.llm.toxicity import reject_toxic
 
@@ -23,8 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five-word shingles)."""
-    return drop_near_duplicates(docs, shingle=5, bits=4)
+    """One document of each group of near-duplicates stays (sets of five-word shingles, Jaccard similarity 0.8 or more)."""
+    return drop_similar(docs, shingle=5, least=0.8)
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -220,16 +220,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFra
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 4) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id (one of its rows, if repeated; where
-    no document of a component has an id, one with its smallest fingerprint)."""
-    found = near_duplicates(docs, shingle, bits)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    no_id = found.where("doc_id is null and component_id is null and fp = root").select(F.col("fp").alias("fp_")).distinct()
-    nameless = docs.where("doc_id is null")
-    rows = with_fingerprint(nameless.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d_"), "text"), shingle, "fp_")
-    rows = rows.join(no_id, "fp_", "left_semi").dropDuplicates(["fp_"]).select("d_.*")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(rows)
+    """One document of each component stays: the one with the smallest doc_id, then the smallest fingerprint (one of
+    its rows, if repeated; where no document of a component has an id, one with its smallest fingerprint)."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))
+    keep = near_duplicates(docs, shingle, bits).groupBy("root").agg(best.alias("k")).select(F.col("k.doc_id").alias("i_"), F.col("k.fp").alias("f_"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d_"), F.col("doc_id").alias("id_"), "text")
+    rows = with_fingerprint(whole, shingle, "fp_").join(keep, F.col("id_").eqNullSafe(F.col("i_")) & (F.col("fp_") == F.col("f_")), "left_semi")
+    return rows.dropDuplicates(["id_", "fp_"]).select("d_.*")
 
 
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
