@@ -41,18 +41,19 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> list[list[float]]:
     return nodes
 
 
-def fit(df: DataFrame, features: list[str], trees: int = 200, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
-    """(tree, nodes): one row a tree. Rows are dealt to trees by a hash, so that no tree sees more than its sample
-    by much, and the smallest hashes of a tree are its sample."""
+def fit(df: DataFrame, features: list[str], trees: int = 200, sample: int = SAMPLE, seed: int = 7, row_id: str | None = None) -> DataFrame:
+    """(tree, nodes): one row a tree. Rows are dealt to trees by a hash of their ``row_id`` (unique in df;
+    without one, of their place in df), equal features or not, so that no tree sees more than its sample by much, and
+    the smallest hashes of a tree are its sample."""
     n = max(df.count(), 1)
     share = min(1.0, 2.0 * sample / n)  # enough candidates a tree, not the table for each tree
-    key = F.xxhash64(*features, F.col("tree"), F.lit(seed))
-    t = df.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    key = F.xxhash64(F.col("_id"), F.col("tree"), F.lit(seed))
+    t = df.select((F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("_id"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     t = t.withColumn("h", key).where((F.shiftrightunsigned("h", 11) / float(1 << 53)) < share)
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         tree = int(p["tree"].iloc[0])
-        x = p.sort_values(["h", *features])[features].to_numpy(float)[:sample]
+        x = p.sort_values(["h", "_id"])[features].to_numpy(float)[:sample]
         return pd.DataFrame({"tree": [tree], "nodes": [grow(x, np.random.default_rng(seed + tree))]})
 
     return t.groupBy("tree").applyInPandas(one, "tree int, nodes array<array<double>>")

@@ -14,20 +14,20 @@ FEATURES = ["n", "minutes_silent", "discount_rate", "quarantines", "spend_7d"]
 
 @query("ml_02_isolation_forest")
 def ml_02(v):
-    model = forest.fit(features(v), FEATURES, 50)
+    model = forest.fit(features(v), FEATURES, row_id="customer_id")
     return model.select("tree", F.size("nodes").cast("long").alias("n_nodes"))
 
 
 @query("ml_03_batch_score")
 def ml_03(v):
     t = features(v)
-    return forest.score(t, forest.fit(t, FEATURES, 50), FEATURES).select("customer_id", F.round("model_score", 6).alias("model_score"), F.lit("forest-1").alias("model_version"))
+    return forest.score(t, forest.fit(t, FEATURES, row_id="customer_id"), FEATURES).select("customer_id", F.round("model_score", 6).alias("model_score"), F.lit("forest-1").alias("model_version"))
 
 
 @query("udf_02_model_score")
 def udf_02(v):
     t = v.event.select("event_id", F.col("amount").cast("double").alias("amount"), F.col("discount").cast("double").alias("discount"))
-    return forest.score(t, forest.fit(t, ["amount", "discount"], 30), ["amount", "discount"]).select("event_id", F.round("model_score", 6).alias("model_score"))
+    return forest.score(t, forest.fit(t, ["amount", "discount"], row_id="event_id"), ["amount", "discount"]).select("event_id", F.round("model_score", 6).alias("model_score"))
 
 
 @query("udf_03_two_sample_ks", f"WITH {DRIFT} SELECT feature, d FROM ks")
