@@ -160,8 +160,8 @@ def anchor_rows(docs: DataFrame, kind: str, k: int, w: int) -> DataFrame:
 
 def repeated(rows: DataFrame, key: list[str], place: list[str], scratch: Scratch) -> DataFrame:
     """Rows whose key occurs at two or more places (without place columns: twice). The rows are made once and saved;
-    the keys' smallest and largest places are combined before their shuffle, and the join back has one row a key on its right, so that
-    Spark may split a frequent key on its left."""
+    the keys' smallest and largest places are combined before their shuffle. The join back is one of two saved tables with
+    one row a key on its right, so that Spark splits a frequent key on its left by size."""
     rows = scratch.save(rows)
     scratch.forget()
     if place:
@@ -169,8 +169,9 @@ def repeated(rows: DataFrame, key: list[str], place: list[str], scratch: Scratch
         found = rows.groupBy(*key).agg(F.min(at).alias("lo_"), F.max(at).alias("hi_")).where("lo_ <> hi_").select(*key)
     else:
         found = rows.groupBy(*key).count().where("count > 1").select(*key)
+    found = scratch.save(found)
     out = scratch.save(rows.join(found, key, "left_semi"))
-    scratch.drop(rows)
+    scratch.drop(rows, found)
     scratch.forget()
     return out
 

@@ -1,27 +1,28 @@
-"""Substring dedup over bytes with a distributed difference-cover suffix array.
-
-Texts are cut at winnowed anchors (see ``seeds``): a symbol is the text from one anchor to the end of the next
-anchor's k-gram. Symbols that occur once cannot lie in a match and end a string; strings of repeated symbols are
-suffix-sorted by the difference-cover algorithm, every sort a range-partitioned Spark sort:
-
-1. sampled triples: of suffixes at places i with i mod 3 in {1, 2}, the triples of symbols are sorted and named;
-2. recurse on the names, while a name stands for several places and for less text than a window can need;
-3. merge: suffixes with i mod 3 = 0 are sorted by (symbol, rank at i + 1) among those of class 1 and by (symbol,
-   symbol, rank at i + 2) among those of class 2; the larger of the two sampled predecessors is their place;
-4. compare adjacent prefixes: the common symbols of neighbours in suffix order, as bytes.
-
-A match found this way spans whole symbols; a window inside it is repeated. Windows that reach beyond whole
-symbols, at the ends of matches, are settled exactly by their 128-bit hashes. Of windows known to be equal only
-the first in suffix order takes part.
-
-Why not every byte as a suffix: one level of sampled triples of 8-byte characters is 0.7 rows of 32 bytes for
-each byte of text, above the disk budget before the first recursion. Anchors are about one in 50 bytes.
+"""Substring dedup over bytes with a distributed, sampled suffix array.
+
+The difference-cover plan, with a cover that follows the text: the sampled suffixes are those at winnowed anchors
+(see ``seeds``). Two equal windows have their anchor at the same place, as two suffixes of a difference cover meet a
+sampled suffix at the same distance, so the order of the sampled suffixes decides all others.
+
+1. sample: anchors whose k-gram occurs twice; the k-gram is the first name of a sampled suffix;
+2. sort sampled triples: the text that follows, as far as any window can see, is a triple of long characters; the
+   different suffixes (equal ones count once) are range-sorted by name and triple over all partitions;
+3. compare adjacent prefixes: bytes shared with the suffix before and after; suffixes that share at least D bytes
+   form an interval of the order, named by its first suffix, for each depth D that a window can ask for;
+4. merge the remaining suffixes: a suffix d bytes before an anchor is known by those d bytes and the interval of
+   its anchor at depth ``length`` - d; it is repeated if another has both. Not merged are those that their own anchor
+   refutes, those of k-grams that have the same bytes before them everywhere (their interval alone decides), and of
+   those that the anchor at or before them proves equal all but the first in the order.
+
+A triple spans all that a window can see, so there are no names left to recurse on: that step of the algorithm for
+whole suffixes is not needed here. Equality of k-grams, of whole triples and of leading bytes is that of 64-, 128- and
+64-bit hashes; places in the order and depths are compared by byte.
 
 Cases: null and empty texts have no bytes; texts shorter than ``length`` bytes lose nothing, copies or not; copies
 of a longer text lose everything, each copy; repeated rows are copies; a null doc_id is a row like any other; an
 empty table gives an empty result; extra columns are ignored by ``deduplicated`` and kept by ``cut_repeats``.
 Removed runs may cut a UTF-8 character; ``cut_repeats`` then drops the bytes left of it. One text is one task's
-work, at most; no group of equal keys is gathered anywhere.
+work, at most; no group of equal keys is gathered anywhere, and a range of the order may end inside a k-gram.
 """
 
 from __future__ import annotations
@@ -31,77 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from remitspark.llm.common import Scratch, text_key
-from remitspark.llm.seeds import BASES, TABLES, Rolling, anchors, copies, gathered, repeated, texts_with_seeds
-from remitspark.llm.substring import runs_to_mask
-
-LENGTH, GRAM = 400, 300
-#: Share of places whose order may stay open beyond what names cover. The result does not hinge on the order (a
-#: window not proven repeated by a neighbour is settled by its hash), only the number of windows to settle does.
-OPEN_SHARE = 0.8
-
-
-def ordered(df: DataFrame, keys: list, scratch: Scratch, costly: bool = False) -> DataFrame:
-    """df sorted over all partitions and saved, with ``seq`` (ascending in that order) and ``pid`` (its partition).
-
-    Range partitioning reads its input twice, for a sample and for the rows; a costly one is saved before."""
-    if costly:
-        df = scratch.save(df)
-    t = scratch.save(df.orderBy(*keys).withColumn("seq", F.monotonically_increasing_id()))
-    return t.withColumn("pid", F.shiftright("seq", 33))
-
-
-def running_max(t: DataFrame, value: str, out: str) -> DataFrame:
-    """Largest value at or before each row in the order of seq: inside a range partition by a window, across
-    them by one row a partition."""
-    inside = F.max(value).over(W.partitionBy("pid").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    tops = t.groupBy("pid").agg(F.max(value).alias("top_"))
-    tops = tops.select("pid", F.max("top_").over(W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)).alias("top_"))
-    return t.withColumn(out, inside).join(F.broadcast(tops), "pid").withColumn(out, F.greatest(out, "top_")).drop("top_")
-
-
-def suffix_ranks(rows: DataFrame, need: int, scratch: Scratch, open_share: float = 0.0) -> DataFrame:
-    """(sid, run, i, rank): an order of all suffixes of the strings (sid, run) in rows(sid, run, i, x, g).
-
-    x > 0 is the symbol, g the units of text it moves on by. Suffixes that agree on ``need`` units are together
-    in the order, whatever follows; beyond that the order is not defined. With ``open_share`` above 0 the recursion
-    also ends when no larger share of the sampled places has a name that is neither unique nor long enough; those
-    places may then be apart in the order.
-    """
-    by = W.partitionBy("sid", "run").orderBy("i")
-    place = ["sid", "run", "i"]
-    zero = F.lit(0).cast("long")
-    t = rows.select(*place, "x", "g", *[F.lead(c, n, 0).over(by).alias(f"{c}{n}") for c in ("x", "g") for n in (1, 2)])
-    t = scratch.save(t)
-    sample = t.where("i % 3 <> 0")
-    distinct = sample.groupBy("x", "x1", "x2").agg(F.count("*").alias("n"), F.max(F.col("g") + F.col("g1") + F.col("g2")).alias("span"))
-    triples = ordered(distinct, ["x", "x1", "x2"], scratch).withColumn("name", F.col("seq") + 1)
-    named = sample.join(triples.select("x", "x1", "x2", "name", "span"), ["x", "x1", "x2"]).select(*place, "name", "span")
-    is_open = (F.col("n") > 1) & (F.col("x2") > 0) & (F.col("span") < need)
-    share = triples.agg(F.coalesce(F.sum(F.when(is_open, F.col("n"))), F.lit(0)).alias("open"), F.sum("n").alias("all")).first()
-    if share.open <= open_share * (share.all or 0):
-        ranks = named.select(*place, F.col("name").alias("r"))
-    else:
-        down = named.select("sid", (F.col("run") * 2 + F.col("i") % 3 - 1).alias("run"), F.floor(F.col("i") / 3).cast("int").alias("i"), F.col("name").alias("x"), F.col("span").alias("g"))
-        low = suffix_ranks(down, need, scratch, open_share)
-        ranks = low.select("sid", F.shiftright("run", 1).alias("run"), (F.col("i") * 3 + 1 + F.col("run") % 2).cast("int").alias("i"), F.col("rank").alias("r"))
-    u = t.select(*place, "x", "x1").join(ranks, place, "left")
-    u = u.select("*", F.coalesce(F.lead("r", 1).over(by), zero).alias("r1"), F.coalesce(F.lead("r", 2).over(by), zero).alias("r2"))
-    u = scratch.save(u)
-    kind = F.col("i") % 3
-    first = (kind == 0).cast("int").alias("late")
-    with1 = ordered(u.where(kind < 2).select(*place, "x", "r1", "r", first), ["x", "r1", "late"], scratch)
-    with2 = ordered(u.where(kind != 1).select(*place, "x", "x1", "r2", "r", first), ["x", "x1", "r2", "late"], scratch)
-    p1 = running_max(with1, "r", "p1").where("late = 1").select(*place, "p1")
-    p2 = running_max(with2, "r", "p2").where("late = 1").select(*place, "p2")
-    rest = u.where(kind == 0).join(p1, place).join(p2, place)
-    rest = rest.select(*place, F.coalesce(F.greatest("p1", "p2"), zero).alias("k"), F.lit(1).alias("late"), "x", "r1")
-    merged = u.where(kind != 0).select(*place, F.col("r").alias("k"), F.lit(0).alias("late"), "x", "r1").unionByName(rest)
-    return ordered(merged, ["k", "late", "x", "r1"], scratch, costly=True).select(*place, (F.col("seq") + 1).alias("rank"))
+from remitspark.llm.seeds import BASES, TABLES, Rolling, anchors, copies, fmix, gathered, repeated, texts_with_seeds
+
+#: The contract's length. PASSAGE: about the fewest bytes of a passage of 50 words, reported beside it.
+LENGTH, PASSAGE = 400, 240
+#: k-grams among which a window's anchor is the smallest; anchors are at most this far apart.
+STEP = 101
+OPEN = -1
 
 
 def byte_values(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -109,201 +51,297 @@ def byte_values(text: str) -> tuple[np.ndarray, np.ndarray]:
     return TABLES[0][raw], TABLES[1][raw]
 
 
-def symbol_rows(found: DataFrame, length: int, gram: int) -> DataFrame:
-    """(t, j, seed, ctx, h1, h2, g, tail): for the j-th anchor with a repeated k-gram, its symbol to the next
-    anchor (h1, h2; null if that anchor's k-gram is not repeated) and the hash of all text its windows can see."""
-    w = length - gram + 1
+class Shape:
+    """Sizes that follow from the lengths asked for: k-gram, bytes of a sampled suffix that matter, its characters."""
+
+    def __init__(self, lengths: tuple[int, ...]) -> None:
+        self.lengths, self.shortest = lengths, min(lengths)
+        self.gram = self.shortest - STEP + 1
+        self.need = max(lengths) + STEP
+        self.char = -(-(self.need - self.gram) // 3)
+        #: depths at which intervals are asked for
+        self.depths = np.arange(self.gram, max(lengths))
+
+
+def sampled(found: DataFrame, shape: Shape) -> DataFrame:
+    """(t, pos, seed, c1, c2, left): sampled suffixes with a repeated k-gram, the hash of all that windows can see of
+    them, and that of the bytes before them that windows can see."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for b in batches:
             for t, text, seeds in zip(b["t"].tolist(), b["text"], b["seeds"]):
                 v1, v2 = byte_values(text)
-                n = len(v1)
-                r1, r2 = Rolling(v1), Rolling(v2, BASES[1])
-                _, _, a, h = anchors(r1, np.array([n]), gram, w)
-                again = np.isin(a, np.asarray(seeds, np.int64))
-                j = np.flatnonzero(again)
-                nxt = np.minimum(j + 1, len(a) - 1)
-                last = j == len(a) - 1
-                end = np.where(last, n, a[nxt] + gram)
-                whole = last | again[nxt]
-                lo, hi = np.maximum(a[j] - (w - 1), 0), np.minimum(a[j] + gram + w - 1, n)
-                ctx = r1.hash(lo, hi) + (a[j] - lo).astype(np.uint64)
-                h1, h2 = r1.hash(a[j], end), r2.hash(a[j], end)
-                h2 = h2 + last.astype(np.uint64)  # the end of a text is a symbol of its own
-                yield {
-                    "t": np.full(len(j), t), "j": j.astype(np.int32), "seed": h[j].view(np.int64), "ctx": ctx.view(np.int64),
-                    "h1": h1.view(np.int64), "h2": h2.view(np.int64), "g": np.where(last, n - a[j], a[nxt] - a[j]).astype(np.int64), "whole": whole, "last": last,
-                }
-
-    return found.select("t", "text", "seeds").mapInPandas(lambda b: gathered(each(b)), "t long, j int, seed long, ctx long, h1 long, h2 long, g long, whole boolean, last boolean")
-
-
-def adjacent_matches(symbols: DataFrame, reach: int, gram: int, scratch: Scratch) -> DataFrame:
-    """(t, j, before, after): bytes that the suffix at anchor j shares, in whole symbols, with its neighbours in
-    suffix order (at most about reach + gram are looked at)."""
-    whole = symbols.where("whole")
-    kinds = ordered(whole.groupBy("h1", "h2").agg(F.count("*").alias("n")), ["h1", "h2"], scratch)
-    named = whole.join(kinds.select("h1", "h2", "n", (F.col("seq") + 1).alias("x")), ["h1", "h2"]).where("n > 1")
-    # strings: runs of neighbouring anchors with repeated symbols
-    by = W.partitionBy("t").orderBy("j")
-    cut = F.when(F.col("j") - F.lag("j").over(by) == 1, 0).otherwise(1)
-    runs = named.select("t", "j", "x", "g", "last", cut.alias("new")).withColumn("run", F.sum("new").over(by))
-    runs = runs.withColumn("start", F.min("j").over(W.partitionBy("t", "run")))
-    rows = scratch.save(runs.select(F.col("t").alias("sid"), F.col("start").cast("long").alias("run"), (F.col("j") - F.col("start")).cast("int").alias("i"), "x", "g", "last", "t", "j"))
-    ranks = suffix_ranks(rows.select("sid", "run", "i", "x", "g"), reach, scratch, OPEN_SHARE)
-    placed = rows.join(ranks, ["sid", "run", "i"]).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("j", "run", "x", "g", "last", "rank"))).alias("s"))
-    t = ordered(placed.mapInPandas(lambda batches: following(batches, reach, gram), "rank long, t long, j int, xs array<bigint>, gs array<int>"), ["rank"], scratch, costly=True)
-    inside = W.partitionBy("pid").orderBy("seq")
-    # xs, gs: the symbols that start within reach, and the bytes they share with whoever has them in common
-    ends = t.groupBy("pid").agg(F.min_by("xs", "seq").alias("first_"), F.max_by("xs", "seq").alias("last_"))
-    row = W.orderBy("pid")  # one row a partition
-    ends = ends.select("pid", F.lag("last_").over(row).alias("up_"), F.lead("first_").over(row).alias("down_"))
-    t = t.withColumn("up", F.lag("xs").over(inside)).withColumn("down", F.lead("xs").over(inside)).join(F.broadcast(ends), "pid")
-
-    def common(other):
-        same = F.coalesce(F.array_position(F.zip_with("xs", other, lambda p, q: p.eqNullSafe(q)), False), F.lit(0))
-        n = F.when(other.isNull(), 0).when(same > 0, same - 1).otherwise(F.least(F.size("xs"), F.size(other)))
-        return F.when(n > 0, F.element_at("gs", F.greatest(n, F.lit(1)).cast("int"))).otherwise(0)
-
-    return t.select("t", "j", common(F.coalesce("up", "up_")).alias("before"), common(F.coalesce("down", "down_")).alias("after"))
-
-
-def following(batches: Iterator[pd.DataFrame], reach: int, gram: int) -> Iterator[pd.DataFrame]:
-    """For each suffix of a text: the symbols that start within ``reach`` bytes, and how many bytes agree when
-    the first n of them do."""
+                a = np.sort(np.asarray(seeds, np.int64))
+                end = np.minimum(a + shape.need, len(v1))
+                r1 = Rolling(v1)
+                c1, c2, seed = r1.hash(a, end), Rolling(v2, BASES[1]).hash(a, end), r1.hash(a, a + shape.gram)
+                low = np.maximum(a - (STEP - 1), 0)
+                left = r1.hash(low, a) + (a - low).astype(np.uint64)
+                yield {"t": np.full(len(a), t), "pos": a.astype(np.int32), "seed": seed.view(np.int64), "c1": c1.view(np.int64), "c2": c2.view(np.int64), "left": left.view(np.int64)}
+
+    return found.select("t", "text", "seeds").mapInPandas(lambda b: gathered(each(b)), "t long, pos int, seed long, c1 long, c2 long, left long")
+
+
+def triples(found: DataFrame, rows: DataFrame, shape: Shape, scratch: Scratch) -> DataFrame:
+    """(seed, x0, x1, x2, c1, c2, shared, alike, t, pos): each different sampled suffix once, its name and triple of
+    characters; whether several places have it; whether all places of its k-gram have the same bytes before them; one
+    of its places."""
+    one = rows.groupBy("c1", "c2", "seed").agg(F.min(F.struct("t", "pos")).alias("m"), (F.count("*") > 1).alias("shared"), F.min("left").alias("lo"), F.max("left").alias("hi"))
+    one = scratch.save(one)
+    seeds = scratch.save(one.groupBy("seed").agg((F.min("lo") == F.max("hi")).alias("alike")))
+    per_text = one.join(seeds, "seed").groupBy("m.t").agg(F.collect_list(F.struct("m.pos", "seed", "c1", "c2", "shared", "alike")).alias("at"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k = shape.char
+        for b in batches:
+            out = []
+            for t, text, at in zip(b["t"].tolist(), b["text"], b["at"]):
+                raw = text.encode()
+                for m in at:
+                    s = raw[m["pos"] + shape.gram : m["pos"] + shape.need]
+                    out.append((m["seed"], s[:k], s[k : 2 * k], s[2 * k :], m["c1"], m["c2"], m["shared"], m["alike"], t, m["pos"]))
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
+
+    names = ["seed", "x0", "x1", "x2", "c1", "c2", "shared", "alike", "t", "pos"]
+    return found.select("t", "text").join(per_text, "t").mapInPandas(run, "seed long, x0 binary, x1 binary, x2 binary, c1 long, c2 long, shared boolean, alike boolean, t long, pos int")
+
+
+def in_order(suffixes: DataFrame) -> DataFrame:
+    """Sampled suffixes sorted by name and triple over all partitions."""
+    return suffixes.orderBy("seed", "x0", "x1", "x2")
+
+
+def shared_prefixes(seed: np.ndarray, text: np.ndarray, size: np.ndarray, gram: int) -> np.ndarray:
+    """Bytes that each row (but the first) shares with the row before it."""
+    differ = text[1:] != text[:-1]
+    first = np.where(differ.any(axis=1), differ.argmax(axis=1), text.shape[1])
+    return np.where(seed[1:] == seed[:-1], gram + np.minimum(first, np.minimum(size[1:], size[:-1])), 0)
+
+
+ORDERED = "c1 long, c2 long, shared boolean, alike boolean, rt long, rpos int, pid int, up int, down int, depths binary, starts binary, edge binary"
+
+
+def adjacent(batches: Iterator[pd.DataFrame], shape: Shape) -> Iterator[pd.DataFrame]:
+    """Rows of one range of the order: bytes shared with both neighbours (-1 beyond the range), and for each depth the
+    first row of the interval (``OPEN`` if it may begin in an earlier range), as steps. The last row given has no
+    suffix but the edges of the range, for ``joined_edges``."""
+    pid, width = TaskContext.get().partitionId(), shape.need - shape.gram
+    state = np.full(len(shape.depths), OPEN, np.int64)
+    base, last, held, first = 0, None, None, None
     for b in batches:
-        out: dict[str, list] = {c: [] for c in ("rank", "t", "j", "xs", "gs")}
-        for t, s in zip(b["t"].tolist(), b["s"]):
-            j, run, x, g, last, rank = ([e[k] for e in s] for k in ("j", "run", "x", "g", "last", "rank"))
-            end = len(j)
-            for i in range(end):
-                n, k, mine, sums = 0, i, [], []
-                while k < end and run[k] == run[i] and n < reach:
-                    n += g[k]
-                    mine.append(x[k])
-                    sums.append(n if last[k] else n + gram)
-                    k += 1
-                out["xs"].append(mine)
-                out["gs"].append(sums)
-            out["rank"] += rank
-            out["t"] += [t] * end
-            out["j"] += j
-            if len(out["j"]) >= 50_000:
-                yield pd.DataFrame(out)
-                out = {c: [] for c in out}
-        if out["j"]:
-            yield pd.DataFrame(out)
-
-
-class Windows:
-    """The windows of one text and what suffix order says of them."""
-
-    def __init__(self, text: str, marks: list, length: int, gram: int) -> None:
-        self.v1, self.v2 = byte_values(text)
-        self.r1 = Rolling(self.v1)
-        n, w = len(self.v1), length - gram + 1
-        p, of, a, _ = anchors(self.r1, np.array([n]), gram, w)
-        before, after, mixed = (np.zeros(len(a), np.int64) for _ in range(3))
-        j = np.array([m["j"] for m in marks], np.int64)
-        before[j] = [m["before"] or 0 for m in marks]
-        after[j] = [m["after"] or 0 for m in marks]
-        mixed[j] = [m["mixed"] for m in marks]
-        seeded = np.zeros(len(a), bool)
-        seeded[j] = True
-        at = np.searchsorted(a, of)  # the window's anchor
-        s = np.searchsorted(a, p, "right") - 1  # the last anchor at or before the window's start
-        reach = np.where(s >= 0, p + length - a[np.maximum(s, 0)], 1 << 40)
-        up, down = before[np.maximum(s, 0)] >= reach, after[np.maximum(s, 0)] >= reach
-        alike = seeded[at] & (mixed[at] == 0)  # all places of the anchor's k-gram agree on all this window sees
-        self.start, self.proven = p, p[up | down | alike]
-        #: windows whose hashes are compared: those not proven, and the first of equal ones
-        self.ask = p[seeded[at] & ~alike & ~up]
-
-
-def boundary_windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
+        if not len(b):
+            continue
+        raw = [x + y + z for x, y, z in zip(b["x0"], b["x1"], b["x2"])]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        text = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in raw), np.uint8).reshape(-1, width)
+        seed = b["seed"].to_numpy()
+        if last is None:
+            first, up = (int(seed[0]), raw[0]), np.concatenate([[-1], shared_prefixes(seed, text, size, shape.gram)])
+        else:
+            up = shared_prefixes(np.concatenate([[last[0]], seed]), np.vstack([last[1], text]), np.concatenate([[last[2]], size]), shape.gram)
+        last = (seed[-1], text[-1], size[-1], raw[-1])
+        for i in range(0, len(raw), 2048):
+            part = up[i : i + 2048]
+            index = np.arange(base + i, base + i + len(part))
+            begins = (part[None, :] < shape.depths[:, None]) & (part[None, :] >= 0)
+            starts = np.maximum.accumulate(np.concatenate([state[:, None], np.where(begins, index[None, :], OPEN)], axis=1), axis=1)[:, 1:]
+            state = starts[:, -1].copy()
+            turn = np.concatenate([np.ones((1, len(part)), bool), starts[1:] != starts[:-1]]).T
+            row, depth = np.nonzero(turn)
+            cut = np.searchsorted(row, np.arange(1, len(part)))
+            at, of = np.split(shape.depths[depth].astype(np.int16), cut), np.split(starts.T[row, depth], cut)
+            c = b.iloc[i : i + len(part)]
+            out = pd.DataFrame({"c1": c["c1"], "c2": c["c2"], "shared": c["shared"], "alike": c["alike"], "rt": c["t"], "rpos": c["pos"], "pid": pid, "up": part, "down": -1, "depths": [x.tobytes() for x in at], "starts": [x.tobytes() for x in of], "edge": None})
+            if held is not None:
+                out = pd.concat([held, out], ignore_index=True)
+            out["down"] = np.concatenate([out["up"].to_numpy()[1:], [-1]])
+            held = out.iloc[-1:]
+            yield out.iloc[:-1]
+        base += len(raw)
+    if held is not None:
+        yield held
+        head = np.array([first[0], last[0], len(first[1]), len(last[3])], np.int64).tobytes()
+        yield pd.DataFrame({"c1": 0, "c2": 0, "shared": False, "alike": False, "rt": 0, "rpos": 0, "pid": pid, "up": 0, "down": 0, "depths": None, "starts": None, "edge": [head + state.tobytes() + first[1] + last[3]]})
+
+
+def joined_edges(ordered: DataFrame, shape: Shape) -> dict[int, tuple[int, int, np.ndarray | None]]:
+    """For each range of the order: bytes its first and last suffix share with the ranges beside it, and the intervals
+    that its open ones belong to. One row of a few kilobytes a range; texts, names and suffixes stay where they are."""
+    n = len(shape.depths)
+    ranges = []
+    for r in ordered.where("edge is not null").select("pid", "edge").orderBy("pid").collect():
+        e = bytes(r.edge)
+        s0, s1, n0, n1 = np.frombuffer(e[:32], np.int64).tolist()
+        rest = e[32 + 8 * n :]
+        ranges.append((r.pid, s0, rest[:n0], s1, rest[n0 : n0 + n1], np.frombuffer(e[32 : 32 + 8 * n], np.int64)))
+    out: dict[int, tuple[int, int, np.ndarray | None]] = {}
+    before = None
+    for pid, s0, x0, s1, x1, state in ranges:
+        shared, mine = 0, None
+        if before is not None and before[1] == s0:
+            common = min(len(before[2]), len(x0))
+            a, b = np.frombuffer(before[2][:common], np.uint8), np.frombuffer(x0[:common], np.uint8)
+            differ = np.flatnonzero(a != b)
+            shared = shape.gram + (int(differ[0]) if len(differ) else common)
+            mine = np.where(shape.depths <= shared, before[3], np.int64(pid) << 33)
+        if before is not None:
+            out[before[0]] = (out[before[0]][0], shared, out[before[0]][2])
+        out[pid] = (shared, 0, mine)
+        whole = np.where(state == OPEN, (np.int64(pid) << 33) if mine is None else mine, (np.int64(pid) << 33) + state)
+        before = (pid, s1, x1, whole)
+    return {k: v for k, v in out.items() if v[0] or v[1]}
+
+
+def suffix_order(found: DataFrame, rows: DataFrame, shape: Shape, scratch: Scratch) -> tuple[DataFrame, dict]:
+    ordered = scratch.save(in_order(scratch.save(triples(found, rows, shape, scratch))).mapInPandas(lambda b: adjacent(b, shape), ORDERED))
+    return ordered, joined_edges(ordered, shape)
+
+
+def decided(text: str, marks: list, shape: Shape, edges: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: (length, starts of windows proven by the order, starts of those to merge, their leading bytes'
+    hash, the interval of their anchor)."""
+    v1, _ = byte_values(text)
+    n, r1 = len(v1), Rolling(v1)
+    p, of, a, _ = anchors(r1, np.array([n]), shape.gram, STEP)
+    j = np.searchsorted(a, np.array([m["pos"] for m in marks], np.int64))
+    above, best = np.zeros(len(a) + 1, np.int64), np.zeros(len(a) + 1, np.int64)  # the last: no anchor
+    later, alike = np.zeros(len(a) + 1, bool), np.zeros(len(a) + 1, bool)
+    depth, start = [], []
+    for k, m in zip(j.tolist(), marks):
+        up, down, mine = edges.get(m["pid"], (0, 0, None))
+        above[k] = up if m["up"] < 0 else m["up"]
+        best[k] = shape.need if m["shared"] else max(above[k], down if m["down"] < 0 else m["down"])
+        later[k], alike[k] = m["shared"] and not m["first"], m["alike"]
+        d, base = np.frombuffer(m["depths"], np.int16).astype(np.int64), np.int64(m["pid"]) << 33
+        s = np.frombuffer(m["starts"], np.int64)
+        if s[0] == OPEN:  # shallow intervals begin where the ranges before say
+            n_open = (d[1] if len(d) > 1 else shape.depths[-1] + 1) - shape.depths[0]
+            shallow = np.full(n_open, base) if mine is None else mine[:n_open]
+            d, s = np.concatenate([shape.depths[:n_open], d[1:]]), np.concatenate([shallow, s[1:] + base])
+        else:
+            s = s + base
+        depth.append(d + (np.int64(k) << 12))
+        start.append(s)
+    order = np.argsort(j)
+    depth, start = np.concatenate([depth[i] for i in order]), np.concatenate([start[i] for i in order])
+    z, own, d = np.searchsorted(a, p, "right") - 1, np.searchsorted(a, of), of - p
+    for length in shape.lengths:
+        fits = p + length <= n
+        reach = p - a[z] + length
+        can = fits & (d > 0) & (best[own] >= length - d)
+        proven = (fits & (z >= 0) & (best[z] >= reach)) | (can & alike[own])
+        ask = can & ~alike[own] & ~((z >= 0) & ((above[z] >= reach) | later[z]))
+        s, deep = p[ask], length - d[ask]
+        place = start[np.searchsorted(depth, (own[ask] << 12) + deep, "right") - 1]
+        yield length, p[proven], s, fmix(r1.hash(s, of[ask]) + deep.astype(np.uint64)), place
+
+
+def as_runs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending starts as runs [from, to)."""
+    if not len(s):
+        return s, s
+    new = np.flatnonzero(np.diff(s) > 1)
+    return s[np.concatenate([[0], new + 1])], s[np.concatenate([new, [len(s) - 1]])] + 1
+
+
+def merged_windows(texts: DataFrame, shape: Shape, edges: dict) -> DataFrame:
+    """(a, b, t, length, s, e): windows to merge by leading bytes (a) and interval (b), and runs of windows proven
+    by the order (b is null)."""
+    held = texts.sparkSession.sparkContext.broadcast(edges)
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for batch in batches:
             for t, text, marks in zip(batch["t"].tolist(), batch["text"], batch["marks"]):
-                w = Windows(text, marks, length, gram)
-                s = w.ask
-                a, b = w.r1.hash(s, s + length), Rolling(w.v2, BASES[1]).hash(s, s + length)
-                yield {"a": a.view(np.int64), "b": b.view(np.int64), "t": np.full(len(s), t), "s": s.astype(np.int32)}
+                for length, known, s, a, b in decided(text, marks, shape, held.value):
+                    x, y = as_runs(known)
+                    k = len(x)
+                    yield {
+                        "a": np.concatenate([np.zeros(k, np.int64), a.view(np.int64)]), "b": np.concatenate([np.full(k, -1), b]), "t": np.full(k + len(s), t),
+                        "length": np.full(k + len(s), length, np.int32), "s": np.concatenate([x, s]).astype(np.int32), "e": np.concatenate([y, s + 1]).astype(np.int32),
+                    }
 
-    return texts.mapInPandas(lambda b: gathered(each(b)), "a long, b long, t long, s int")
+    return texts.mapInPandas(lambda b: gathered(each(b)), "a long, b long, t long, length int, s int, e int")
 
 
-def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(tk, tn, text, marks, starts): different texts that may hold a repeat, what suffix order proves of their
-    windows, and the other windows that were found repeated."""
-    found = scratch.save(texts_with_seeds(docs, "bytes", gram, length - gram + 1, scratch))
+def repeats(docs: DataFrame, scratch: Scratch, *lengths: int) -> DataFrame:
+    """(tk, tn, text, runs): different texts with repeated windows, and runs (length, s, e) of the windows' starts."""
+    shape = Shape(lengths)
+    found = scratch.save(texts_with_seeds(docs, "bytes", shape.gram, STEP, scratch))
     scratch.forget()
-    symbols = scratch.save(symbol_rows(found, length, gram))
-    order = Scratch(docs.sparkSession, "order")
-    matches = scratch.save(adjacent_matches(symbols, 2 * (length - gram), gram, order))
-    order.clear()
-    # if all of a k-gram's places look alike as far as windows see, every window there is repeated
-    seen = symbols.groupBy("seed").agg(F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).select("seed", (F.col("lo") != F.col("hi")).cast("int").alias("mixed"))
-    marks = symbols.select("t", "j", "seed").join(seen, "seed").join(matches, ["t", "j"], "left")
-    per_text = marks.groupBy("t").agg(F.collect_list(F.struct("j", "before", "after", "mixed")).alias("marks"))
-    texts = scratch.save(found.select("t", "tk", "tn", "text").join(per_text, "t"))
-    scratch.drop(found, symbols, matches)
+    rows = scratch.save(sampled(found, shape))
+    ordered, edges = suffix_order(found, rows, shape, scratch)
+    first = (F.col("t") == F.col("rt")) & (F.col("pos") == F.col("rpos"))
+    marks = rows.drop("seed", "left").join(ordered.where("edge is null").drop("edge"), ["c1", "c2"]).groupBy("t").agg(F.collect_list(F.struct("pos", "pid", "up", "down", "shared", "alike", first.alias("first"), "depths", "starts")).alias("marks"))
+    windows = scratch.save(merged_windows(found.select("t", "text").join(marks, "t"), shape, edges))
+    scratch.drop(rows, ordered)
     scratch.forget()
-    again = repeated(boundary_windows(texts.select("t", "text", "marks"), length, gram), ["a", "b"], [], scratch)
-    starts = again.groupBy("t").agg(F.collect_list("s").alias("starts"))
-    return texts.join(starts, "t", "left").select("tk", "tn", "text", "marks", "starts")
+    # a window's bytes before its anchor, the depth and the interval: two such windows are equal
+    again = repeated(windows.where("b >= 0"), ["a", "b"], [], scratch)
+    runs = windows.where("b < 0").unionByName(again).groupBy("t").agg(F.collect_list(F.struct("length", "s", "e")).alias("runs"))
+    return found.select("t", "tk", "tn", "text").join(runs, "t").drop("t")
 
 
-def removed_bytes(text: str, marks: list, starts: list | None, length: int, gram: int) -> np.ndarray:
-    w = Windows(text, marks, length, gram)
-    s = w.proven if starts is None else np.union1d(w.proven, np.asarray(starts, np.int64))
-    return runs_to_mask(s, length, len(w.v1))
+def covered(runs: list, length: int, n: int) -> np.ndarray:
+    """Bytes that the windows of one length cover."""
+    d = np.zeros(n + 1, np.int64)
+    s, e = (np.array([r[c] for r in runs if r["length"] == length], np.int64) for c in "se")
+    np.add.at(d, s, 1)
+    np.add.at(d, e + length - 1, -1)
+    return np.cumsum(d)[:n] > 0
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def deduplicated(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 for ``length``; n_passage: bytes covered by repeats of
+    ``passage`` bytes, which are reported and stay."""
     scratch = Scratch(docs.sparkSession, "suffix")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for tk, tn, text, marks, starts in zip(b["tk"], b["tn"], b["text"], b["marks"], b["starts"]):
-                gone = removed_bytes(text, marks, starts, length, gram)
-                kept = np.frombuffer(text.encode(), np.uint8)[~gone].tobytes()
+            for tk, tn, text, runs in zip(b["tk"], b["tn"], b["text"], b["runs"]):
+                raw = np.frombuffer(text.encode(), np.uint8)
+                gone = covered(runs, length, len(raw))
                 spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
-                out.append((tk, tn, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(out, columns=["tk", "tn", "cut", "spans", "cut_sha"])
+                out.append((tk, tn, int(gone.sum()), spans, int(covered(runs, passage, len(raw)).sum()), hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
+            yield pd.DataFrame(out, columns=["tk", "tn", "cut", "spans", "seen", "cut_sha"])
 
     work = Scratch(docs.sparkSession, "repeats")
-    changed = scratch.save(repeats(docs, work, length, gram).mapInPandas(cut, "tk long, tn int, cut long, spans long, cut_sha string"))
+    changed = scratch.save(repeats(docs, work, length, passage).mapInPandas(cut, "tk long, tn int, cut long, spans long, seen long, cut_sha string"))
     work.clear()
     rows = scratch.save(docs.select("doc_id", *text_key(), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")))
-    out = rows.join(copies(rows), ["tk", "tn"], "left").join(changed, ["tk", "tn"], "left")
-    whole = F.coalesce("copied", F.lit(False)) & (F.col("tn") >= length)
+    out = rows.join(scratch.save(copies(rows)), ["tk", "tn"], "left").join(changed, ["tk", "tn"], "left")
+    again, size = F.coalesce("copied", F.lit(False)), F.col("tn").cast("long")
+    whole = again & (size >= length)
     none = hashlib.sha256(b"").hexdigest()
     return out.select(
-        "doc_id", F.col("tn").cast("long").alias("n_bytes"),
-        F.when(whole, F.col("tn").cast("long")).otherwise(F.coalesce("cut", F.lit(0))).alias("n_removed"),
+        "doc_id", size.alias("n_bytes"),
+        F.when(whole, size).otherwise(F.coalesce("cut", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(none)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
+        F.when(again & (size >= passage), size).otherwise(F.coalesce("seen", F.lit(0))).alias("n_passage"),
     )
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with every repeated string of ``length`` bytes cut from text (n_chars follows); rows and columns stay."""
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with every repeated string of ``length`` bytes cut from text, in all its places (n_chars follows); rows and
+    columns stay."""
     scratch = Scratch(docs.sparkSession, "suffix")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for tk, tn, text, marks, starts in zip(b["tk"], b["tn"], b["text"], b["marks"], b["starts"]):
-                gone = removed_bytes(text, marks, starts, length, gram)
+            for tk, tn, text, runs in zip(b["tk"], b["tn"], b["text"], b["runs"]):
+                raw = np.frombuffer(text.encode(), np.uint8)
+                gone = covered(runs, length, len(raw))
                 if gone.any():
-                    out.append((tk, tn, np.frombuffer(text.encode(), np.uint8)[~gone].tobytes().decode("utf-8", "ignore")))
+                    out.append((tk, tn, raw[~gone].tobytes().decode("utf-8", "ignore")))
             yield pd.DataFrame(out, columns=["tk", "tn", "kept_"])
 
     work = Scratch(docs.sparkSession, "repeats")
-    changed = scratch.save(repeats(docs.select("text"), work, length, gram).mapInPandas(cut, "tk long, tn int, kept_ string"))
+    changed = scratch.save(repeats(docs.select("text"), work, length).mapInPandas(cut, "tk long, tn int, kept_ string"))
     work.clear()
     keys = docs.select(*text_key())
     whole = copies(keys).where(F.col("tn") >= length).select("tk", "tn", F.lit("").alias("kept_"))
@@ -320,4 +358,5 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At 400 bytes; n_passage beside it says what repeats of about 50 words, which may be shorter, would cover."""
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,4 +1,4 @@
-"""The suffix order against sorting, and the dedup against a count of all byte windows."""
+"""The dedup against a count of all byte windows, and what becomes of it where the suffix order is broken."""
 
 import hashlib
 import os
@@ -7,30 +7,15 @@ from collections import Counter
 
 import pytest
 
-from remitspark.llm.common import Scratch
-from remitspark.llm.suffix_array import deduplicated, suffix_ranks
+import remitspark.llm.suffix_array as SA
+from remitspark.llm.suffix_array import cut_repeats, deduplicated
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("alphabet,need", [(2, 10**9), (4, 10**9), (50, 10**9), (2, 5)])
-def test_order(spark, alphabet, need):
-    rng = random.Random(alphabet)
-    strings = [[rng.randint(1, alphabet) for _ in range(rng.choice([1, 2, 3, 4, 10, 30]))] for _ in range(25)]
-    strings += [[1] * 40, [1] * 40, [1, 2] * 20, [2, 1] * 15]
-    rows = [(s // 2, s % 2, i, x, 1) for s, xs in enumerate(strings) for i, x in enumerate(xs)]
-    df = spark.createDataFrame(rows, "sid long, run long, i int, x long, g long").repartition(3)
-    got = [(2 * r.sid + r.run, r.i) for r in suffix_ranks(df, need, Scratch(spark, "t")).orderBy("rank").collect()]
-    key = lambda p: strings[p[0]][p[1] :][:need]
-    assert len(got) == len(rows)
-    assert [key(p) for p in got] == sorted(key(p) for p in got)
-
-
-def brute(rows, length=400):
-    texts = [(t or "").encode() for _, t in rows]
+def masks(texts, length):
     seen = Counter(w[i : i + length] for w in texts for i in range(len(w) - length + 1))
-    out = []
-    for (i, _), w in zip(rows, texts):
+    for w in texts:
         gone = [False] * len(w)
         end = 0
         for s in range(len(w) - length + 1):
@@ -38,8 +23,15 @@ def brute(rows, length=400):
                 for k in range(max(s, end), s + length):
                     gone[k] = True
                 end = s + length
+        yield gone
+
+
+def brute(rows, length=400, passage=240):
+    texts = [(t or "").encode() for _, t in rows]
+    out = []
+    for (i, _), w, gone, seen in zip(rows, texts, masks(texts, length), masks(texts, passage)):
         spans = sum(g and not p for g, p in zip(gone, [False] + gone))
-        out.append((i, len(w), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(w, gone) if not g)).hexdigest()))
+        out.append((i, len(w), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(w, gone) if not g)).hexdigest(), sum(seen)))
     return sorted(out, key=str)
 
 
@@ -47,18 +39,58 @@ def run(df):
     return sorted([tuple(r) for r in deduplicated(df).collect()], key=str)
 
 
-def test_made_cases(spark):
+def made_rows():
     rng = random.Random(2)
     text = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
     cut = lambda s, n: s.encode()[:n].decode("utf-8", "ignore")
     a399, a400, a401, b900 = (text(n).replace("é", "e") for n in (399, 400, 401, 900))
-    rows = [(i, text(rng.randint(0, 300)) + p + text(rng.randint(0, 300))) for i, p in enumerate([a399, a399, a400, a400, a401, a401, b900, b900, b900 + "|" + b900, b900[50:700], b900[100:520], b900[:450] + "x" + b900[450:]] * 2)]
+    a239, a240, a300 = (text(n).replace("é", "e") for n in (239, 240, 300))
+    rows = [(i, text(rng.randint(0, 300)) + p + text(rng.randint(0, 300))) for i, p in enumerate([a399, a399, a400, a400, a401, a401, b900, b900, b900 + "|" + b900, b900[50:700], b900[100:520], b900[:450] + "x" + b900[450:], a239, a240, a300] * 2)]
     rows += [(50, None), (51, ""), (52, text(20)), (53, "a" * 2000), (54, "ab" * 700), (55, "b" * 399), (55, "b" * 399), (None, b900), (56, a400), (56, a400), (57, a399), (57, a399), (58, text(30000)), (59, cut("é" * 900, 1200))]
+    # one passage with many left and right ends
+    rows += [(100 + i, text(rng.randint(0, 9)) + b900[rng.randint(0, 40) : rng.randint(440, 900)] + rng.choice("xy") * rng.randint(0, 5) + text(rng.randint(0, 60))) for i in range(60)]
+    return rows
+
+
+def test_made_cases(spark):
+    rows = made_rows()
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, t string")
     assert run(df) == brute(rows)
     assert deduplicated(df.limit(0)).count() == 0
 
 
+def test_ranges_that_end_inside_a_name(spark, monkeypatch):
+    """Every range of the order holds a few suffixes only: intervals go on from range to range."""
+    rows = made_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(SA, "in_order", lambda s: s.repartitionByRange(61, "seed", "x0", "x1", "x2").sortWithinPartitions("seed", "x0", "x1", "x2"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert run(df) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_the_order_decides(spark, monkeypatch):
+    """With the sampled suffixes in another order the result is another."""
+    rows = made_rows()
+    monkeypatch.setattr(SA, "in_order", lambda s: s.orderBy("c1"))
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) != brute(rows)
+
+
+def test_cut_texts(spark):
+    """Each text without the bytes of windows that occur twice, at another length."""
+    rows = made_rows()
+    texts = [(t or "").encode() for _, t in rows]
+    want = [None if t is None else bytes(c for c, g in zip(w, gone) if not g).decode("utf-8", "ignore") for (_, t), w, gone in zip(rows, texts, masks(texts, 240))]
+    df = spark.createDataFrame([(i, t, k, None if t is None else len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, runs int, n_chars long")
+    got = cut_repeats(df, 240).orderBy("runs").collect()
+    assert [r.text for r in got] == want
+    assert [r.n_chars for r in got] == [None if w is None else len(w) for w in want]
+    assert cut_repeats(df.limit(0), 240).columns == df.columns
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_given_table(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
