@@ -3,15 +3,17 @@
 A vector's direction is approximated by a sum of ``BOOKS`` full-dimensional codewords, one of each codebook. Codebooks
 start as residual k-means and are refitted by least squares against beam-search codes, on a bounded sample
 (``SAMPLE`` vectors, the first by a hash of vec_id). Every vector is then encoded by beam search and stored as
-codes, the norm of its approximation and itself, in shards. A block of queries meets each shard: lookup tables of
-query times codeword give approximate cosines (sum of entries over the stored norm), the best ``RERANK`` of the
-shard are scored exactly on the original vectors, and the best k of them go on; the best k over all shards remain.
+codes and the norm of its approximation, in shards. A block of queries meets each shard's codes: lookup tables of
+query times codeword give approximate cosines (sum of entries over the stored norm), the best ``RERANK`` of each
+shard go on, and of those of all shards the best ``POOL`` are joined with their original vectors and scored exactly;
+the best k remain. Original vectors travel for candidates only.
 
 The index covers every row, there is no cap on queries, and ties go to the smaller vec_id at each step.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, as queries or candidates;
 nor do vectors whose width is not the table's most common one; rows with the query's vec_id are its own; other
-repeated rows are candidates of their own; with fewer than k candidates all are returned; an empty table gives an
+repeated rows are candidates of their own; repeated rows of a query are one query, but where one vec_id has several
+vectors, each is a query with ranks of its own; with fewer than k candidates all are returned; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -29,8 +31,8 @@ from remitspark.llm.common import Scratch
 from remitspark.llm.vectors import main_width, unit, usable
 
 BOOKS, WORDS, BEAM, SAMPLE = 8, 256, 8, 8192
-#: Vectors of a shard and queries of a block, about; candidates of a shard that are scored exactly.
-SHARD, QUERIES, RERANK = 8192, 512, 64
+#: Vectors of a shard and queries of a block, about; candidates of a shard, and of all, that are scored exactly.
+SHARD, QUERIES, RERANK, POOL = 8192, 512, 64, 512
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -95,62 +97,44 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2,
 
 
 def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Cosines of q with the rows of v in double precision; equal rows get equal scores."""
-    q, v = np.asarray(q, np.float64), np.asarray(v, np.float64)
-    return (v * q[None, :]).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum()))
+    """Cosines of the rows of q with the rows of v, pair by pair, in double precision; equal rows get equal scores."""
+    q, v = (x / np.abs(x).max(axis=1, keepdims=True) for x in (q, v))  # no square overflows
+    return (v * q).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum(1)))
 
 
-def shards_of(vectors: DataFrame, books: np.ndarray, shards: int) -> DataFrame:
-    """One row a shard: ids, codes, norms and original vectors, in order of vec_id; about SHARD rows each."""
+def coded(vectors: DataFrame, books: np.ndarray) -> DataFrame:
+    """vectors(rid, vec_id, embedding) as (rid, vec_id, codes, norm)."""
     held = vectors.sparkSession.sparkContext.broadcast(books)
 
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b = held.value
         for t in batches:
             if len(t):
-                codes = encode(unit(np.array(t["embedding"].tolist())), b)
+                codes = encode(unit(np.array(t["embedding"].tolist(), np.float64)), b)
                 approx = sum(b[j][codes[:, j]] for j in range(len(b)))
-                yield pd.DataFrame({"vec_id": t["vec_id"], "embedding": t["embedding"], "codes": [c.tobytes() for c in codes], "norm": np.sqrt((approx * approx).sum(1))})
+                yield pd.DataFrame({"rid": t["rid"], "vec_id": t["vec_id"], "codes": [c.tobytes() for c in codes], "norm": np.sqrt((approx * approx).sum(1))})
 
-    t = vectors.select("vec_id", "embedding").mapInPandas(coded, "vec_id long, embedding array<float>, codes binary, norm double")
-    row = F.struct("vec_id", "codes", "norm", "embedding")
-    shard = F.pmod(F.xxhash64("vec_id", F.hash("embedding")), F.lit(shards))
-    return t.groupBy(shard.alias("shard")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return vectors.mapInPandas(run, "rid long, vec_id long, codes binary, norm double")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RERANK) -> DataFrame:
-    """(query_id, rank, vec_id, score) for each row of queries(vec_id, embedding) against all rows of vectors."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "ann")
-    good = vectors.where(usable()).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    width = main_width(good)
-    good = good.where(F.size("embedding") == width)
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["embedding"].tolist()  # bounded
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = fit(unit(np.array(sample)))
-    n = max(1, round(good.count() / SHARD))
-    shards = shards_of(good, books, n)
-    asked = queries.where(usable()).where(F.size("embedding") == width).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    blocks = max(1, round(asked.count() / QUERIES))
-    packed = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    # the stated queries meet every shard, block by block
-    met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(shards, "shard").select("queries", "rows")
+def candidates(asked: DataFrame, codes: DataFrame, n: int, shards: int, books: np.ndarray, rerank: int) -> DataFrame:
+    """(qid, rid, approx): of each query asked(qid, vec_id, embedding), the best ``rerank`` of every shard."""
+    spark = asked.sparkSession
     held = spark.sparkContext.broadcast(books)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            for asked, rows in zip(t["queries"], t["rows"]):
-                yield one(asked, rows, held.value)
+    shard = F.pmod(F.xxhash64("rid"), F.lit(shards)).alias("shard")
+    rows = codes.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct("vec_id", "rid", "codes", "norm"))).alias("rows"))
+    blocks = max(1, round(n / QUERIES))
+    packed = asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("qid", "vec_id", "embedding")).alias("queries"))
+    # the stated queries meet every shard, block by block
+    met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(rows, "shard").select("queries", "rows")
 
     def one(asked: list, rows: list, b: np.ndarray) -> pd.DataFrame:
         ids = np.array([r["vec_id"] if r["vec_id"] is not None else -(1 << 63) for r in rows], np.int64)
+        rid = np.array([r["rid"] for r in rows], np.int64)
         codes = np.frombuffer(b"".join(r["codes"] for r in rows), np.uint8).reshape(len(rows), -1)
         norm = np.array([r["norm"] for r in rows])
-        own = np.array([r["embedding"] for r in rows], np.float32)
-        q = np.array([x["embedding"] for x in asked], np.float32)
-        table = np.einsum("qd,mkd->mqk", unit(q), b).astype(np.float32)
-        approx = np.zeros((len(q), len(rows)), np.float32)
+        table = np.einsum("qd,mkd->mqk", unit(np.array([x["embedding"] for x in asked], np.float64)), b).astype(np.float32)
+        approx = np.zeros((len(asked), len(rows)), np.float32)
         for j in range(len(b)):
             approx += table[j][:, codes[:, j]]
         approx /= np.maximum(norm, 1e-9).astype(np.float32)[None, :]
@@ -163,18 +147,45 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RE
                 pick = np.concatenate([above, np.flatnonzero(s == kth)[: rerank - len(above)]])
             else:
                 pick = np.arange(len(s))
-            pick = np.sort(pick[s[pick] > -np.inf])
-            if not len(pick):
-                continue
-            score = exact_scores(q[i], own[pick])
-            best = np.lexsort((ids[pick], -score))[:k]
-            out += [(x["vec_id"], rows[pick[j]]["vec_id"], float(score[j])) for j in best.tolist()]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = met.mapInPandas(search, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return scratch.save(best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+            pick = pick[s[pick] > -np.inf]
+            out.append(pd.DataFrame({"qid": x["qid"], "rid": rid[pick], "approx": s[pick].astype(np.float64)}))
+        return pd.concat(out, ignore_index=True)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            for queries, rows in zip(t["queries"], t["rows"]):
+                yield one(queries, rows, held.value)
+
+    return met.mapInPandas(search, "qid long, rid long, approx double")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RERANK, pool: int = POOL) -> DataFrame:
+    """(query_id, rank, vec_id, score) for each different row of queries(vec_id, embedding) against all rows of vectors."""
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "ann")
+    good = vectors.where(usable()).select("vec_id", "embedding")
+    width = main_width(good)
+    good = scratch.save(good.where(F.size("embedding") == width).withColumn("rid", F.monotonically_increasing_id()))
+    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).toPandas()["embedding"].tolist()  # bounded
+    if not sample:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    books = fit(unit(np.array(sample, np.float64)))
+    shards = max(1, round(good.count() / SHARD))
+    asked = queries.where(usable()).where(F.size("embedding") == width).select("vec_id", "embedding").distinct()
+    asked = scratch.save(asked.withColumn("qid", F.monotonically_increasing_id()))
+    found = candidates(asked, coded(good.select("rid", "vec_id", "embedding"), books), asked.count(), shards, books, rerank)
+    best = W.partitionBy("qid").orderBy(F.desc("approx"), "rid")
+    found = scratch.save(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= pool).select("qid", "rid"))
+    pairs = found.join(good, "rid").join(asked.select("qid", F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "qid")
+
+    @F.pandas_udf("double")
+    def cosine(q: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series(exact_scores(np.array(q.tolist(), np.float64), np.array(v.tolist(), np.float64)) if len(q) else [], dtype=float)
+
+    scored = pairs.select("qid", "query_id", "vec_id", cosine("query", "embedding").alias("score"))
+    order = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+    out = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scratch.save(out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
 def op5_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

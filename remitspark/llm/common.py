@@ -13,9 +13,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that the cluster shares, from spark.checkpoint.dir; where that is unset, one of this machine if Spark
+    runs on it alone, and an error otherwise."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -82,13 +85,27 @@ def text_key() -> list:
     return [F.xxhash64(text).alias("tk"), F.octet_length(text).alias("tn")]
 
 
+def to_roots(m: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pointers (u, to) doubled until each leads to a node that points to itself."""
+    while True:
+        up = m.select(F.col("u").alias("to"), F.col("to").alias("up"))
+        new = scratch.save(m.select("u", "to").join(up, "to").select("u", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")))
+        if new.where("moved").isEmpty():
+            scratch.drop(new)
+            return m.select("u", "to")
+        scratch.drop(m)
+        m = new
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Connected components by contraction to the smallest neighbour.
+    """Connected components by contraction to the smallest neighbour, with pointer jumping.
 
     edges(u long, v long), any direction, repeats and loops allowed. Returns (node, root) for every node on
-    an edge, root the smallest node reachable. Each round every node moves to the smallest of itself and its
-    neighbours and the edges are renamed; at least half of the nodes that still have edges vanish a round, so
-    rounds grow with the logarithm. Minima are aggregated before the shuffle, so that a hub costs one row a task.
+    an edge, root the smallest node reachable. Each round every node points to the smallest of itself and its
+    neighbours, pointers are doubled until they end at roots, and the edges are renamed to roots. A root alone in its
+    tree has only smaller neighbours afterwards and moves in the next round, so two rounds halve the nodes at least:
+    rounds grow with the logarithm of the nodes, doublings in a round with that of a chain. Minima are aggregated
+    before the shuffle, so that a hub costs one row a task.
     """
     e = scratch.save(
         edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -96,7 +113,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     moves: list[DataFrame] = []
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = scratch.save(both.groupBy("u").agg(F.least("u", F.min("v")).alias("to")))
+        m = to_roots(scratch.save(both.groupBy("u").agg(F.least("u", F.min("v")).alias("to"))), scratch)
         moves.append(m)
         e2 = (
             e.join(m.select(F.col("u"), F.col("to").alias("mu")), "u")
@@ -105,7 +122,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             .select(F.least("mu", "mv").alias("u"), F.greatest("mu", "mv").alias("v"))
             .distinct()
         )
-        e = scratch.save(e2)
+        old, e = e, scratch.save(e2)
+        scratch.drop(old)
     if not moves:
         return e.select(F.col("u").alias("node"), F.col("u").alias("root"))
     out = moves[-1].select(F.col("u").alias("node"), F.col("to").alias("root"))

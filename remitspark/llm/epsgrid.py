@@ -2,7 +2,7 @@
 
 Two vectors of one label link when their cosine is at least ``cosine``, that is, when their unit vectors are within
 eps = sqrt(2 - 2 cosine). Different vectors are sorted by label and by the cells (side eps) of their leading
-principal components, over all partitions, and cut into blocks of neighbours in that order. Intervals of blocks
+principal components (by hash inside a cell, so that a dense cell is split too), over all partitions, and cut into blocks of neighbours in that order. Intervals of blocks
 are joined recursively from the whole sequence down: a pair of intervals whose labels or boxes are farther apart
 than eps is skipped with all that is below it. The pairs of blocks that remain are compared in full, in double
 precision; each task keeps a spanning forest of its links and sums of partners.
@@ -66,7 +66,7 @@ def grid_blocks(cls: DataFrame, eps: float, scratch: Scratch) -> DataFrame:
 
     t = cls.withColumn("at", project("embedding"))
     cells = [F.floor(F.col("at")[i] / eps) for i in range(AXES)]
-    t = t.orderBy("label", "width", *cells).withColumn("seq", F.monotonically_increasing_id())
+    t = t.orderBy("label", "width", *cells, "e1", "e2").withColumn("seq", F.monotonically_increasing_id())
     t = scratch.save(t.withColumn("cid", F.col("seq")))
     return t.withColumn("block", F.floor(F.col("seq") / BLOCK))
 

@@ -1,18 +1,20 @@
 """License scans by conditional compression.
 
-Lines that speak of licensing are candidates. A candidate is compressed alone and with each template as zstandard
-raw dictionary; the template that saves the largest share of its size ranks first. The block then grows by
-neighbouring lines as long as the same template shortens them too. Winners, in order of rank, are confirmed word by
-word: the block's words must follow the template's but for few differences, and the words that set a license apart
-(name and version) must all be there.
+Words that speak of licensing are triggers. The block of ``AROUND`` words on both sides of a trigger, across lines and
+blank lines, is compressed alone and with each template as zstandard raw dictionary; templates are ranked by the bytes
+they take off. Winners, in order of rank, are confirmed word by word: around the trigger the stretch of text that
+follows one of the template's notices best is found, nearly all its words must be the notice's, the words that set the
+license apart (name and version) must all be there, and none that sets another apart may be among the rest.
 
 Cases: null and empty texts hold no license; repeated rows are scanned row by row; ties between templates go to
-the first name; an empty table gives an empty result; extra columns are ignored; long texts are scanned whole.
+the first name; an empty table gives an empty result; extra columns are ignored; long texts are scanned whole, the
+work for a trigger is bounded whatever the length of its line.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -23,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from remitspark.llm.common import bounded_batches
 
-#: A line that may belong to a license notice.
+#: What may belong to a license notice.
 TRIGGER = re.compile(r"licen[cs]e|copyright|permission is hereby|redistribution and use|public domain|all rights reserved|warrant(?:y|ies)|released under|\bcc0|\bcc by|permission to use", re.I)
 WORDS = re.compile(r"[^\W_]+(?:\.\d+)*")
-#: Least share of size that a template must save: of a block, and of a line that joins it.
-SAVES, JOINS = 0.25, 0.35
-#: Least share of the block's words that follow the template's wording.
-WORDING = 0.9
+#: Words of a block on each side of its trigger; fewest bytes that a template must take off a block.
+AROUND, SAVES = 24, 8
+#: Least share of a stretch's words that follow the template's wording, and fewest words of a stretch.
+WORDING, SHORTEST = 0.9, 3
+#: What a word that is not the notice's costs, against one for a word that is, when a stretch is chosen.
+STRAY = 3
 
 #: License names, the words that set them apart, and notices in use. Public license wording.
 TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
@@ -63,6 +67,14 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
         "Licensed under the GNU General Public License, version 3.",
         "Released under the GNU General Public License, version 3.",
     )),
+    ("LGPL-2.1", "gnu lesser general public license 2.1", (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+    )),
+    ("LGPL-3.0", "gnu lesser general public license 3", (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Lesser General Public License, version 3.",
+    )),
     ("ISC", "permission use copy modify distribute fee", (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     )),
@@ -86,12 +98,13 @@ def words(text: str) -> list[str]:
 class Template:
     name: str
     apart: frozenset[str]
+    foreign: frozenset[str]
     wordings: tuple[tuple[str, ...], ...]
     compressor: object
 
-    def saved(self, block: bytes, alone: int) -> float:
-        """Share of the size that the template as dictionary takes away."""
-        return 1 - len(self.compressor.compress(block)) / alone
+    def size(self, block: bytes) -> int:
+        """Compressed size with the template as dictionary."""
+        return len(self.compressor.compress(block))
 
 
 @cache
@@ -102,23 +115,46 @@ def templates() -> tuple[tuple[Template, ...], object]:
     bare = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
     params = z.ZstdCompressionParameters.from_level(9, **bare)
     out = []
+    names = frozenset(w for _, apart, _ in TEMPLATES for w in apart.split())
     for name, apart, notices in TEMPLATES:
         d = z.ZstdCompressionDict("\n".join(notices).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
-        out.append(Template(name, frozenset(apart.split()), tuple(tuple(words(n)) for n in notices), z.ZstdCompressor(dict_data=d, compression_params=params)))
+        out.append(Template(name, frozenset(apart.split()), names - frozenset(w for n in notices for w in words(n)), tuple(tuple(words(n)) for n in notices), z.ZstdCompressor(dict_data=d, compression_params=params)))
     return tuple(out), z.ZstdCompressor(compression_params=params)
 
 
-def wording(block: list[str], t: Template) -> tuple[float, list[str]]:
-    """Share of the block's words that follow one of the template's notices, and the words that do not."""
-    best: tuple[float, list[str]] = (0.0, block)
+def stretch(block: list[str], at: int, notice: tuple[str, ...]) -> tuple[int, int, list[str]]:
+    """The part [i, j) of the block that has word ``at`` and follows the notice best, and its words that do not."""
+    follows = [False] * len(block)
+    # a notice quoted from its middle is as good; one shuffled is not: matches come in order by construction
+    for m in SequenceMatcher(None, block, notice, autojunk=False).get_matching_blocks():
+        follows[m.a : m.a + m.size] = [True] * m.size
+    i = j = at
+    best = total = 0
+    for k in range(at, len(block)):
+        total += 1 if follows[k] else -STRAY
+        if total > best:
+            best, j = total, k + 1
+    best = total = 0
+    for k in range(at - 1, -1, -1):
+        total += 1 if follows[k] else -STRAY
+        if total > best:
+            best, i = total, k
+    return i, j, [block[k] for k in range(i, j) if not follows[k]]
+
+
+def confirmed(tokens: list[str], at: int, t: Template) -> tuple[int, int, float, list[str]] | None:
+    """Words [i, j) around word ``at`` that are one of the template's notices, their share that is, and the rest."""
+    best = None
     for notice in t.wordings:
-        m = SequenceMatcher(None, block, notice, autojunk=False)
-        same = m.get_matching_blocks()
-        share = sum(x.size for x in same) / max(len(block), 1)
-        # a notice quoted from its middle is as good; one shuffled is not: matches come in order by construction
-        if share > best[0]:
-            kept = {i for x in same for i in range(x.a, x.a + x.size)}
-            best = share, [w for i, w in enumerate(block) if i not in kept]
+        low = max(0, at - len(notice) - AROUND)
+        block = tokens[low : at + len(notice) + AROUND]
+        if not t.apart <= set(block):
+            continue
+        i, j, other = stretch(block, at - low, notice)
+        share = 1 - len(other) / max(j - i, 1)
+        fine = j - i >= SHORTEST and share >= WORDING and t.apart <= set(block[i:j]) and not t.foreign & set(other)
+        if fine and (best is None or (j - i, share) > (best[1] - best[0], best[2])):
+            best = low + i, low + j, share, other
     return best
 
 
@@ -127,36 +163,27 @@ def scan(text: str) -> tuple[int, list[tuple[str, int, int, float, float, list[s
     if not TRIGGER.search(text):
         return 0, []
     known, plain = templates()
-    lines = text.split("\n")
-    n, found, done = 0, [], -1
-    for i, line in enumerate(lines):
-        if not TRIGGER.search(line):
+    at = [(m.start(), m.end()) for m in WORDS.finditer(text)]
+    starts, tokens = [a for a, _ in at], [text[a:b].lower() for a, b in at]
+    n, found, done = 0, [], 0
+    for m in TRIGGER.finditer(text):
+        w = bisect_right(starts, m.start()) - 1
+        if w < done:
             continue
         n += 1
-        if i <= done:
-            continue
-        raw = line.encode()
+        raw = text[starts[max(w - AROUND, done)] : at[min(w + AROUND, len(at) - 1)][1]].encode()
         alone = len(plain.compress(raw))
-        ranked = sorted(((t.saved(raw, alone), t) for t in known), key=lambda x: (-x[0], x[1].name))
-        for saved, t in ranked:
-            if saved < SAVES:
+        for size, t in sorted(((t.size(raw), t) for t in known), key=lambda x: (x[0], x[1].name)):
+            if alone - size < SAVES:
                 break
-            a = b = i
-
-            def joins(x: str, t: Template = t) -> bool:
-                e = x.encode()
-                return len(e) > 8 and t.saved(e, len(plain.compress(e))) >= JOINS
-
-            while a - 1 > done and joins(lines[a - 1]):
-                a -= 1
-            while b + 1 < len(lines) and joins(lines[b + 1]):
-                b += 1
-            block = words("\n".join(lines[a : b + 1]))
-            share, other = wording(block, t)
-            if share >= WORDING and t.apart <= set(block):
-                full = "\n".join(lines[a : b + 1]).encode()
-                found.append((t.name, a, b - a + 1, t.saved(full, len(plain.compress(full))), share, other))
-                done = b
+            got = confirmed(tokens, w, t)
+            if got:
+                i, j, share, other = got
+                whole = text[starts[i] : at[j - 1][1]]
+                line = text.count("\n", 0, starts[i])
+                full = whole.encode()
+                found.append((t.name, line, whole.count("\n") + 1, 1 - t.size(full) / len(plain.compress(full)), share, other))
+                done = j
                 break
     return n, found
 

@@ -3,9 +3,9 @@
 Arrivals are appended as small immutable Parquet shards, a run for each arrival. Runs of similar size (the same
 power of ``fan``) are a tier; where a tier has ``fan`` runs they are merged into one run of files of about
 ``target`` bytes, which may complete the next tier. What a table consists of is said by a manifest: a table of
-(run, file, rows, bytes, tier) and a version file that names it. A version file is created exclusively, as the
-last step: readers see a whole version or the one before, and of two writers one must try again on the newer
-version. Files are never changed; ``vacuum`` deletes those that only forgotten versions name.
+(run, file, rows, bytes, tier) and a version file that names it. A version file is written under another name and
+renamed, which fails where the version is there already: readers see a whole version or the one before, a writer that
+dies leaves no version, and of two writers one must try again on the newer version. Files are never changed; ``vacuum`` deletes those that only forgotten versions name.
 
 Cases: an empty arrival adds no shard; null ids and texts and repeated rows are stored as they are; any columns are
 kept; a merge reads and writes rows as they are, in no order.
@@ -17,6 +17,7 @@ import json
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,16 +62,27 @@ class ShardStore:
         manifest.select("run", "tier", "path", "rows", "bytes").coalesce(1).write.parquet(where)
         body = json.dumps({"manifest": where, "parent": on}).encode()
         final = self.path(f"{self.base}/versions/v{on + 1:010d}.json")
-        if self.fs.exists(final):
-            raise Conflict(str(final))
-        try:
-            out = self.fs.create(final, False)
-        except Exception as e:  # created between the two calls
-            raise Conflict(str(final)) from e
+        draft = self.path(f"{self.base}/versions/draft-{uuid.uuid4().hex}")
+        out = self.fs.create(draft, False)
         out.write(bytearray(body))
         out.close()
+        self._publish(draft, final)
         return on + 1
 
+    def _publish(self, draft, final) -> None:
+        """Rename without overwriting: one atomic step of the file system."""
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(self.fs.getUri(), sc._jsc.hadoopConfiguration())
+        no_options = sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            context.rename(draft, final, no_options)
+        except Py4JJavaError as e:
+            self.fs.delete(draft, False)
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                raise Conflict(str(final)) from e
+            raise
+
     # writing
     def tier(self, size: int) -> int:
         t = 0
@@ -173,9 +185,10 @@ def op9_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         upto += share
         which = F.when((part < upto) & (part >= upto - share), k).otherwise(which)
     feed = f"{base}/data/feed"
-    docs.withColumn("arrival_", which).write.option("compression", "zstd").partitionBy("arrival_").parquet(feed)
+    arrival = next(c for c in (f"arrival{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    docs.withColumn(arrival, which).write.option("compression", "zstd").partitionBy(arrival).parquet(feed)
     for k in range(len(ARRIVALS)):
-        folder = f"{feed}/arrival_={k}"
+        folder = f"{feed}/{arrival}={k}"
         if store.fs.exists(store.path(folder)):
             store.adopt([folder])
             store.compact()

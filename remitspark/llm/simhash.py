@@ -161,8 +161,13 @@ class Forest:
                 self.root = up
 
 
-def links(fps: DataFrame, bits: int = 4, clean: int = 1) -> DataFrame:
-    """Spanning links (u, v) of distinct fingerprints fps(fp) that differ in at most ``bits`` bits.
+#: Fingerprints, each turned once a choice of blocks, that a task joins, about.
+PER_TASK = 1 << 18
+
+
+def links(fps: DataFrame, bits: int = 4, clean: int = 1, n: int = 0) -> DataFrame:
+    """Spanning links (u, v) of distinct fingerprints fps(fp) that differ in at most ``bits`` bits; n: how many there
+    are, about, for the number of tasks.
 
     Rows of one key are in one task; a key is a value of the leading blocks, and finer keys (larger ``clean``)
     keep subtries small when there are more fingerprints. Equal fingerprints were merged before, so that a hot
@@ -198,8 +203,8 @@ def links(fps: DataFrame, bits: int = 4, clean: int = 1) -> DataFrame:
             if len(child):
                 yield pd.DataFrame({"u": f[child].view(np.int64), "v": f[forest.root[child]].view(np.int64)})
 
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return turned.repartition(n, "k", "lead").mapInPandas(join, "u long, v long")
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(masks) // PER_TASK))
+    return turned.repartition(tasks, "k", "lead").mapInPandas(join, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
@@ -212,7 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFra
     n, clean = reps.count(), 1
     while clean < 4 and n / 2.0 ** (64 * clean / (bits + clean)) > 64:
         clean += 1
-    comp = components(links(reps.select("fp"), bits, clean), scratch)
+    comp = components(links(reps.select("fp"), bits, clean, n), scratch)
     named = reps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = scratch.save(named.join(least, "root").select("fp", "component_id", "root"))
