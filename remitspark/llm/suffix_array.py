@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from remitspark.llm.common import Scratch, text_key
 from remitspark.llm.seeds import BASES, TABLES, Rolling, anchors, copies, fmix, gathered, repeated, texts_with_seeds
 
-#: The contract's length. PASSAGE: about the fewest bytes of a passage of 50 words, reported beside it.
-LENGTH, PASSAGE = 400, 240
+#: The contract's length. PASSAGE: strings of so many bytes, fewer than any likely 50 words have, are reported beside it.
+LENGTH, PASSAGE = 400, 200
 #: k-grams among which a window's anchor is the smallest; anchors are at most this far apart.
 STEP = 101
 OPEN = -1
@@ -52,15 +52,15 @@ def byte_values(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Shape:
-    """Sizes that follow from the lengths asked for: k-gram, bytes of a sampled suffix that matter, its characters."""
+    """Sizes that follow from the length: k-gram of an anchor (at most length - STEP + 1), bytes of a sampled suffix that
+    matter, its characters."""
 
-    def __init__(self, lengths: tuple[int, ...]) -> None:
-        self.lengths, self.shortest = lengths, min(lengths)
-        self.gram = self.shortest - STEP + 1
-        self.need = max(lengths) + STEP
+    def __init__(self, length: int, gram: int | None = None) -> None:
+        self.length, self.gram = length, length - STEP + 1 if gram is None else gram
+        self.need = length + STEP
         self.char = -(-(self.need - self.gram) // 3)
         #: depths at which intervals are asked for
-        self.depths = np.arange(self.gram, max(lengths))
+        self.depths = np.arange(length - STEP + 1, length)
 
 
 def sampled(found: DataFrame, shape: Shape) -> DataFrame:
@@ -121,11 +121,32 @@ def shared_prefixes(seed: np.ndarray, text: np.ndarray, size: np.ndarray, gram:
     return np.where(seed[1:] == seed[:-1], gram + np.minimum(first, np.minimum(size[1:], size[:-1])), 0)
 
 
-ORDERED = "c1 long, c2 long, shared boolean, alike boolean, rt long, rpos int, pid int, up int, down int, depths binary, starts binary, edge binary"
+ORDERED = "c1 long, c2 long, mark binary, edge binary"
+#: Numbers at the head of a mark: range, bytes shared with the suffix before and after, flags, a place (text, position).
+HEAD, SHARED, ALIKE = 6, 1, 2
+
+
+def marks_of(rows: pd.DataFrame, pid: int, up: np.ndarray, row: np.ndarray, step: np.ndarray) -> list[bytes]:
+    """One mark a row: the head, and a number for each step (depth and first row, as ``step_of``); row ascends."""
+    n = len(rows)
+    size = HEAD + np.bincount(row, minlength=n)
+    at = np.cumsum(size) - size
+    out = np.empty(size.sum(), np.int64)
+    flags = SHARED * rows["shared"].to_numpy(np.int64) + ALIKE * rows["alike"].to_numpy(np.int64)
+    for k, x in enumerate((pid, up, np.append(up[1:], -1), flags, rows["t"].to_numpy(np.int64), rows["pos"].to_numpy(np.int64))):
+        out[at + k] = x
+    first = np.searchsorted(row, np.arange(n))
+    out[at[row] + HEAD + np.arange(len(row)) - first[row]] = step
+    raw = out.tobytes()
+    return [raw[8 * i : 8 * j] for i, j in zip(at.tolist(), (at + size).tolist())]
+
+
+def step_of(depth: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return (depth << 40) + start + 1
 
 
 def adjacent(batches: Iterator[pd.DataFrame], shape: Shape) -> Iterator[pd.DataFrame]:
-    """Rows of one range of the order: bytes shared with both neighbours (-1 beyond the range), and for each depth the
+    """Marks of one range of the order: bytes shared with both neighbours (-1 beyond the range), and for each depth the
     first row of the interval (``OPEN`` if it may begin in an earlier range), as steps. The last row given has no
     suffix but the edges of the range, for ``joined_edges``."""
     pid, width = TaskContext.get().partitionId(), shape.need - shape.gram
@@ -144,27 +165,26 @@ def adjacent(batches: Iterator[pd.DataFrame], shape: Shape) -> Iterator[pd.DataF
             up = shared_prefixes(np.concatenate([[last[0]], seed]), np.vstack([last[1], text]), np.concatenate([[last[2]], size]), shape.gram)
         last = (seed[-1], text[-1], size[-1], raw[-1])
         for i in range(0, len(raw), 2048):
-            part = up[i : i + 2048]
+            part, c = up[i : i + 2048], b.iloc[i : i + 2048]
             index = np.arange(base + i, base + i + len(part))
             begins = (part[None, :] < shape.depths[:, None]) & (part[None, :] >= 0)
             starts = np.maximum.accumulate(np.concatenate([state[:, None], np.where(begins, index[None, :], OPEN)], axis=1), axis=1)[:, 1:]
             state = starts[:, -1].copy()
-            turn = np.concatenate([np.ones((1, len(part)), bool), starts[1:] != starts[:-1]]).T
-            row, depth = np.nonzero(turn)
-            cut = np.searchsorted(row, np.arange(1, len(part)))
-            at, of = np.split(shape.depths[depth].astype(np.int16), cut), np.split(starts.T[row, depth], cut)
-            c = b.iloc[i : i + len(part)]
-            out = pd.DataFrame({"c1": c["c1"], "c2": c["c2"], "shared": c["shared"], "alike": c["alike"], "rt": c["t"], "rpos": c["pos"], "pid": pid, "up": part, "down": -1, "depths": [x.tobytes() for x in at], "starts": [x.tobytes() for x in of], "edge": None})
+            row, depth = np.nonzero(np.concatenate([np.ones((1, len(part)), bool), starts[1:] != starts[:-1]]).T)
+            out = pd.DataFrame({"c1": c["c1"].to_numpy(), "c2": c["c2"].to_numpy(), "mark": marks_of(c, pid, part, row, step_of(shape.depths[depth], starts.T[row, depth])), "edge": None})
             if held is not None:
-                out = pd.concat([held, out], ignore_index=True)
-            out["down"] = np.concatenate([out["up"].to_numpy()[1:], [-1]])
+                mark = np.frombuffer(held["mark"].iloc[0], np.int64).copy()
+                mark[2] = part[0]
+                held = pd.DataFrame({"c1": held["c1"].to_numpy(), "c2": held["c2"].to_numpy(), "mark": [mark.tobytes()], "edge": None})
+                yield pd.concat([held, out.iloc[:-1]], ignore_index=True)
+            else:
+                yield out.iloc[:-1]
             held = out.iloc[-1:]
-            yield out.iloc[:-1]
         base += len(raw)
     if held is not None:
         yield held
-        head = np.array([first[0], last[0], len(first[1]), len(last[3])], np.int64).tobytes()
-        yield pd.DataFrame({"c1": 0, "c2": 0, "shared": False, "alike": False, "rt": 0, "rpos": 0, "pid": pid, "up": 0, "down": 0, "depths": None, "starts": None, "edge": [head + state.tobytes() + first[1] + last[3]]})
+        head = np.array([pid, first[0], last[0], len(first[1]), len(last[3])], np.int64).tobytes()
+        yield pd.DataFrame({"c1": [0], "c2": [0], "mark": [None], "edge": [head + state.tobytes() + first[1] + last[3]]})
 
 
 def joined_edges(ordered: DataFrame, shape: Shape) -> dict[int, tuple[int, int, np.ndarray | None]]:
@@ -172,11 +192,12 @@ def joined_edges(ordered: DataFrame, shape: Shape) -> dict[int, tuple[int, int,
     that its open ones belong to. One row of a few kilobytes a range; texts, names and suffixes stay where they are."""
     n = len(shape.depths)
     ranges = []
-    for r in ordered.where("edge is not null").select("pid", "edge").orderBy("pid").collect():
+    for r in ordered.where("edge is not null").select("edge").collect():
         e = bytes(r.edge)
-        s0, s1, n0, n1 = np.frombuffer(e[:32], np.int64).tolist()
-        rest = e[32 + 8 * n :]
-        ranges.append((r.pid, s0, rest[:n0], s1, rest[n0 : n0 + n1], np.frombuffer(e[32 : 32 + 8 * n], np.int64)))
+        pid, s0, s1, n0, n1 = np.frombuffer(e[:40], np.int64).tolist()
+        rest = e[40 + 8 * n :]
+        ranges.append((pid, s0, rest[:n0], s1, rest[n0 : n0 + n1], np.frombuffer(e[40 : 40 + 8 * n], np.int64)))
+    ranges.sort(key=lambda r: r[0])
     out: dict[int, tuple[int, int, np.ndarray | None]] = {}
     before = None
     for pid, s0, x0, s1, x1, state in ranges:
@@ -196,47 +217,76 @@ def joined_edges(ordered: DataFrame, shape: Shape) -> dict[int, tuple[int, int,
 
 
 def suffix_order(found: DataFrame, rows: DataFrame, shape: Shape, scratch: Scratch) -> tuple[DataFrame, dict]:
-    ordered = scratch.save(in_order(scratch.save(triples(found, rows, shape, scratch))).mapInPandas(lambda b: adjacent(b, shape), ORDERED))
+    own = Scratch(scratch.spark, "order")
+    ordered = scratch.save(in_order(own.save(triples(found, rows, shape, own))).mapInPandas(lambda b: adjacent(b, shape), ORDERED))
+    own.clear()
     return ordered, joined_edges(ordered, shape)
 
 
-def decided(text: str, marks: list, shape: Shape, edges: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length: (length, starts of windows proven by the order, starts of those to merge, their leading bytes'
-    hash, the interval of their anchor)."""
+def intervals(flat: np.ndarray, at: np.ndarray, end: np.ndarray, shape: Shape, edges: dict) -> tuple[np.ndarray, np.ndarray]:
+    """For anchors whose marks lie at [at, end) of ``flat``: (anchor << 12) + depth of every step, ascending, and the
+    interval that begins there."""
+    n = end - at - HEAD
+    k = np.repeat(np.arange(len(at)), n)
+    steps = flat[np.repeat(at + HEAD, n) + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)]
+    depth, start = steps >> 40, (steps & ((1 << 40) - 1)) - 1
+    base = flat[at[k]] << 33
+    key, place = (k << 12) + depth, base + start
+    open_ = np.flatnonzero(start == OPEN)
+    if not len(open_):
+        return key, place
+    # shallow intervals begin where the ranges before say
+    more_key, more_place = [np.delete(key, open_)], [np.delete(place, open_)]
+    for i in open_.tolist():
+        last = depth[i + 1] if i + 1 < len(k) and k[i + 1] == k[i] else shape.depths[-1] + 1
+        deep = shape.depths[: last - shape.depths[0]]
+        mine = edges.get(int(base[i] >> 33), (0, 0, None))[2]
+        more_key.append((k[i] << 12) + deep)
+        more_place.append(np.full(len(deep), base[i]) if mine is None else mine[: len(deep)])
+    key, place = np.concatenate(more_key), np.concatenate(more_place)
+    order = np.argsort(key, kind="stable")
+    return key[order], place[order]
+
+
+def window_starts(n: int, length: int, r1: Rolling, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of a text's windows, the anchor of each, and all anchors."""
+    p, of, a, _ = anchors(r1, np.array([n]), gram, STEP)
+    fits = p + length <= n
+    return p[fits], of[fits], a
+
+
+def decided(t: int, text: str, marks: list, shape: Shape, edges: dict) -> tuple[np.ndarray, ...]:
+    """Starts of windows that the order proves; starts of those to merge, their leading bytes' hash, the interval of
+    their anchor; sampled suffixes and the bytes each shares with another."""
     v1, _ = byte_values(text)
     n, r1 = len(v1), Rolling(v1)
-    p, of, a, _ = anchors(r1, np.array([n]), shape.gram, STEP)
-    j = np.searchsorted(a, np.array([m["pos"] for m in marks], np.int64))
-    above, best = np.zeros(len(a) + 1, np.int64), np.zeros(len(a) + 1, np.int64)  # the last: no anchor
-    later, alike = np.zeros(len(a) + 1, bool), np.zeros(len(a) + 1, bool)
-    depth, start = [], []
-    for k, m in zip(j.tolist(), marks):
-        up, down, mine = edges.get(m["pid"], (0, 0, None))
-        above[k] = up if m["up"] < 0 else m["up"]
-        best[k] = shape.need if m["shared"] else max(above[k], down if m["down"] < 0 else m["down"])
-        later[k], alike[k] = m["shared"] and not m["first"], m["alike"]
-        d, base = np.frombuffer(m["depths"], np.int16).astype(np.int64), np.int64(m["pid"]) << 33
-        s = np.frombuffer(m["starts"], np.int64)
-        if s[0] == OPEN:  # shallow intervals begin where the ranges before say
-            n_open = (d[1] if len(d) > 1 else shape.depths[-1] + 1) - shape.depths[0]
-            shallow = np.full(n_open, base) if mine is None else mine[:n_open]
-            d, s = np.concatenate([shape.depths[:n_open], d[1:]]), np.concatenate([shallow, s[1:] + base])
-        else:
-            s = s + base
-        depth.append(d + (np.int64(k) << 12))
-        start.append(s)
-    order = np.argsort(j)
-    depth, start = np.concatenate([depth[i] for i in order]), np.concatenate([start[i] for i in order])
+    p, of, a = window_starts(n, shape.length, r1, shape.gram)
+    marks = sorted(marks, key=lambda m: m["pos"])
+    pos, blobs = np.array([m["pos"] for m in marks], np.int64), [m["mark"] for m in marks]
+    flat = np.frombuffer(b"".join(blobs), np.int64)
+    end = np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8)
+    at = np.concatenate([[0], end[:-1]])
+    up, down, flags = flat[at + 1].copy(), flat[at + 2].copy(), flat[at + 3]
+    for side, k in ((up, 0), (down, 1)):
+        for i in np.flatnonzero(side < 0).tolist():
+            side[i] = edges.get(int(flat[at[i]]), (0, 0, None))[k]
+    shared = (flags & SHARED) > 0
+    # by anchor of the text; -1 (no anchor) shares nothing
+    above, best = np.zeros(len(a) + 1, np.int64), np.zeros(len(a) + 1, np.int64)
+    later, alike, mark = np.zeros(len(a) + 1, bool), np.zeros(len(a) + 1, bool), np.zeros(len(a) + 1, np.int64)
+    j = np.searchsorted(a, pos)
+    above[j], best[j] = up, np.where(shared, shape.need, np.maximum(up, down))
+    later[j], alike[j], mark[j] = shared & ((flat[at + 4] != t) | (flat[at + 5] != pos)), (flags & ALIKE) > 0, np.arange(len(j))
     z, own, d = np.searchsorted(a, p, "right") - 1, np.searchsorted(a, of), of - p
-    for length in shape.lengths:
-        fits = p + length <= n
-        reach = p - a[z] + length
-        can = fits & (d > 0) & (best[own] >= length - d)
-        proven = (fits & (z >= 0) & (best[z] >= reach)) | (can & alike[own])
-        ask = can & ~alike[own] & ~((z >= 0) & ((above[z] >= reach) | later[z]))
-        s, deep = p[ask], length - d[ask]
-        place = start[np.searchsorted(depth, (own[ask] << 12) + deep, "right") - 1]
-        yield length, p[proven], s, fmix(r1.hash(s, of[ask]) + deep.astype(np.uint64)), place
+    reach = p - a[z] + shape.length
+    can = (d > 0) & (best[own] >= shape.length - d)
+    proven = ((z >= 0) & (best[z] >= reach)) | (can & alike[own])
+    ask = can & ~alike[own] & ~((z >= 0) & ((above[z] >= reach) | later[z]))
+    s, deep = p[ask], shape.length - d[ask]
+    mine, k = np.unique(mark[own[ask]], return_inverse=True)
+    key, place = intervals(flat, at[mine], end[mine], shape, edges)
+    place = place[np.searchsorted(key, (k << 12) + deep, "right") - 1] if len(s) else np.zeros(0, np.int64)
+    return p[proven], s, fmix(r1.hash(s, of[ask]) + deep.astype(np.uint64)), place, pos, np.minimum(best[j], n - pos)
 
 
 def as_runs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,55 +297,69 @@ def as_runs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[np.concatenate([[0], new + 1])], s[np.concatenate([new, [len(s) - 1]])] + 1
 
 
+#: What a row says: windows that start in [s, e) are repeated; bytes [s, e) occur elsewhere too.
+WINDOWS, BYTES = 0, 1
+
+
 def merged_windows(texts: DataFrame, shape: Shape, edges: dict) -> DataFrame:
-    """(a, b, t, length, s, e): windows to merge by leading bytes (a) and interval (b), and runs of windows proven
-    by the order (b is null)."""
+    """(a, b, t, kind, s, e): windows to merge by leading bytes (a) and interval (b); and what the order shows by itself
+    (b is -1): runs of windows, and bytes that sampled suffixes share."""
     held = texts.sparkSession.sparkContext.broadcast(edges)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for batch in batches:
             for t, text, marks in zip(batch["t"].tolist(), batch["text"], batch["marks"]):
-                for length, known, s, a, b in decided(text, marks, shape, held.value):
-                    x, y = as_runs(known)
-                    k = len(x)
-                    yield {
-                        "a": np.concatenate([np.zeros(k, np.int64), a.view(np.int64)]), "b": np.concatenate([np.full(k, -1), b]), "t": np.full(k + len(s), t),
-                        "length": np.full(k + len(s), length, np.int32), "s": np.concatenate([x, s]).astype(np.int32), "e": np.concatenate([y, s + 1]).astype(np.int32),
-                    }
+                known, s, a, b, pos, shared = decided(t, text, marks, shape, held.value)
+                (x, y), (u, v) = as_runs(known), united(pos, pos + shared)
+                k = len(x) + len(u)
+                yield {
+                    "a": np.concatenate([np.zeros(k, np.int64), a.view(np.int64)]), "b": np.concatenate([np.full(k, -1), b]), "t": np.full(k + len(s), t),
+                    "kind": np.repeat([WINDOWS, BYTES, WINDOWS], [len(x), len(u), len(s)]).astype(np.int32),
+                    "s": np.concatenate([x, u, s]).astype(np.int32), "e": np.concatenate([y, v, s + 1]).astype(np.int32),
+                }
+
+    return texts.mapInPandas(lambda b: gathered(each(b)), "a long, b long, t long, kind int, s int, e int")
 
-    return texts.mapInPandas(lambda b: gathered(each(b)), "a long, b long, t long, length int, s int, e int")
 
+def united(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges with ascending starts, those that touch made one."""
+    if not len(s):
+        return s, e
+    upto = np.maximum.accumulate(e)
+    new = np.concatenate([[True], s[1:] > upto[:-1]])
+    return s[new], upto[np.append(new[1:], True)]
 
-def repeats(docs: DataFrame, scratch: Scratch, *lengths: int) -> DataFrame:
-    """(tk, tn, text, runs): different texts with repeated windows, and runs (length, s, e) of the windows' starts."""
-    shape = Shape(lengths)
+
+def repeats(docs: DataFrame, scratch: Scratch, shape: Shape) -> DataFrame:
+    """(tk, tn, text, runs): different texts with a sampled suffix that occurs twice, and runs (kind, s, e)."""
     found = scratch.save(texts_with_seeds(docs, "bytes", shape.gram, STEP, scratch))
     scratch.forget()
     rows = scratch.save(sampled(found, shape))
     ordered, edges = suffix_order(found, rows, shape, scratch)
-    first = (F.col("t") == F.col("rt")) & (F.col("pos") == F.col("rpos"))
-    marks = rows.drop("seed", "left").join(ordered.where("edge is null").drop("edge"), ["c1", "c2"]).groupBy("t").agg(F.collect_list(F.struct("pos", "pid", "up", "down", "shared", "alike", first.alias("first"), "depths", "starts")).alias("marks"))
+    scratch.forget()
+    marks = rows.drop("seed", "left").join(ordered.where("edge is null").drop("edge"), ["c1", "c2"]).groupBy("t").agg(F.collect_list(F.struct("pos", "mark")).alias("marks"))
     windows = scratch.save(merged_windows(found.select("t", "text").join(marks, "t"), shape, edges))
     scratch.drop(rows, ordered)
     scratch.forget()
-    # a window's bytes before its anchor, the depth and the interval: two such windows are equal
+    # bytes before the anchor and the interval at its depth: two such windows are equal
     again = repeated(windows.where("b >= 0"), ["a", "b"], [], scratch)
-    runs = windows.where("b < 0").unionByName(again).groupBy("t").agg(F.collect_list(F.struct("length", "s", "e")).alias("runs"))
+    runs = windows.where("b < 0").unionByName(again).groupBy("t").agg(F.collect_list(F.struct("kind", "s", "e")).alias("runs"))
     return found.select("t", "tk", "tn", "text").join(runs, "t").drop("t")
 
 
-def covered(runs: list, length: int, n: int) -> np.ndarray:
-    """Bytes that the windows of one length cover."""
+def covered(runs: list, kind: int, length: int, n: int) -> np.ndarray:
+    """Bytes that windows of a length, or ranges, cover."""
     d = np.zeros(n + 1, np.int64)
-    s, e = (np.array([r[c] for r in runs if r["length"] == length], np.int64) for c in "se")
+    s, e = (np.array([r[c] for r in runs if r["kind"] == kind], np.int64) for c in "se")
     np.add.at(d, s, 1)
-    np.add.at(d, e + length - 1, -1)
+    np.add.at(d, e + (length - 1 if kind == WINDOWS else 0), -1)
     return np.cumsum(d)[:n] > 0
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 for ``length``; n_passage: bytes covered by repeats of
-    ``passage`` bytes, which are reported and stay."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 for ``length``; n_passage: bytes of strings of
+    ``passage`` bytes and more that begin at a sampled place and begin elsewhere too (of a longer repeat up to STEP - 1
+    bytes at its left end are not counted). Those are reported and stay, unless ``length`` removes them."""
     scratch = Scratch(docs.sparkSession, "suffix")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -303,13 +367,13 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE)
             out = []
             for tk, tn, text, runs in zip(b["tk"], b["tn"], b["text"], b["runs"]):
                 raw = np.frombuffer(text.encode(), np.uint8)
-                gone = covered(runs, length, len(raw))
+                gone = covered(runs, WINDOWS, length, len(raw))
                 spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
-                out.append((tk, tn, int(gone.sum()), spans, int(covered(runs, passage, len(raw)).sum()), hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
+                out.append((tk, tn, int(gone.sum()), spans, int(covered(runs, BYTES, length, len(raw)).sum()), hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
             yield pd.DataFrame(out, columns=["tk", "tn", "cut", "spans", "seen", "cut_sha"])
 
     work = Scratch(docs.sparkSession, "repeats")
-    changed = scratch.save(repeats(docs, work, length, passage).mapInPandas(cut, "tk long, tn int, cut long, spans long, seen long, cut_sha string"))
+    changed = scratch.save(repeats(docs, work, Shape(length, min(passage, length - STEP + 1))).mapInPandas(cut, "tk long, tn int, cut long, spans long, seen long, cut_sha string"))
     work.clear()
     rows = scratch.save(docs.select("doc_id", *text_key(), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")))
     out = rows.join(scratch.save(copies(rows)), ["tk", "tn"], "left").join(changed, ["tk", "tn"], "left")
@@ -335,13 +399,13 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out = []
             for tk, tn, text, runs in zip(b["tk"], b["tn"], b["text"], b["runs"]):
                 raw = np.frombuffer(text.encode(), np.uint8)
-                gone = covered(runs, length, len(raw))
+                gone = covered(runs, WINDOWS, length, len(raw))
                 if gone.any():
                     out.append((tk, tn, raw[~gone].tobytes().decode("utf-8", "ignore")))
             yield pd.DataFrame(out, columns=["tk", "tn", "kept_"])
 
     work = Scratch(docs.sparkSession, "repeats")
-    changed = scratch.save(repeats(docs.select("text"), work, length).mapInPandas(cut, "tk long, tn int, kept_ string"))
+    changed = scratch.save(repeats(docs.select("text"), work, Shape(length)).mapInPandas(cut, "tk long, tn int, kept_ string"))
     work.clear()
     keys = docs.select(*text_key())
     whole = copies(keys).where(F.col("tn") >= length).select("tk", "tn", F.lit("").alias("kept_"))
