@@ -82,20 +82,59 @@ def enr_07(v):
     )
 
 
-@query("src_05_history_scan", "SELECT customer_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n FROM ev GROUP BY 1, 2")
+@query("src_05_history_scan", "WITH h AS (SELECT customer_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n FROM ev GROUP BY 1, 2) SELECT 'history' AS origin, * FROM h UNION ALL SELECT 'computed', * FROM h WHERE day >= '2024-01-29'")
 def src_05(v):
-    """Feature history from its folder if there is one, else computed from the events."""
+    """Feature history from its folder if there is one, else computed from the events: both ways."""
     from remitspark.sources.history import history_or
+    from remitspark.sources.scratch import shared_folder
 
-    fresh = lambda: v.event.groupBy("customer_id", F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
-    return history_or(v.spark, f"{v.dir}/feature_history.parquet", fresh)
+    day = F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("day")
+    fresh = lambda: v.event.groupBy("customer_id", day).agg(F.count("*").alias("n"))
+    folder = shared_folder(v.spark, "history")
+    computed = history_or(v.spark, folder, fresh)  # nothing there yet
+    computed.write.parquet(folder)
+    nothing = lambda: computed.where("false")
+    read = history_or(v.spark, folder, nothing)
+    return read.select(F.lit("history").alias("origin"), "customer_id", "day", "n").unionByName(computed.where("day >= '2024-01-29'").withColumn("origin", F.lit("computed")))
 
 
-@query("fea_02_window_history", "SELECT customer_id, strftime(to_timestamp((CAST(floor(epoch(ts)) AS BIGINT) // 86400) * 86400)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM ev GROUP BY 1, 2")
+def _last(length, hop, what):
+    """SQL: of each customer the last window that has an event."""
+    return f"SELECT customer_id, {what}, max(ts) AS latest FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) // {hop} AS slot, max(CAST(floor(epoch(ts)) AS BIGINT) // {hop}) OVER (PARTITION BY customer_id) AS last_slot FROM ev) WHERE slot >= last_slot AND slot < last_slot + {length // hop} GROUP BY 1"
+
+
+@query("fea_02_window_history", f"""WITH a AS ({_last(86400, 300, 'count(*) AS n, CAST(sum(amount) AS DOUBLE) AS spend')}), b AS ({_last(604800, 1800, 'count(*) AS n, CAST(sum(discount) AS DOUBLE) / nullif(CAST(sum(amount) AS DOUBLE), 0) AS rate')}),
+  k AS (SELECT c_custkey AS customer_id FROM customer), h AS (SELECT customer_id, count(*) AS slots FROM (SELECT DISTINCT customer_id, CAST(floor(epoch(ts)) AS BIGINT) // 300 AS slot FROM ev) GROUP BY 1)
+  SELECT k.customer_id, a.n AS txn_count_24h, a.spend AS spend_24h, b.n AS txn_count_7d, b.rate AS discount_rate_7d, CASE WHEN a.n IS NOT NULL THEN 'spark_batch' END AS computed_via, coalesce(slots, 0) AS history_slots
+  FROM k LEFT JOIN a USING (customer_id) LEFT JOIN b USING (customer_id) LEFT JOIN h USING (customer_id)""")
 def fea_02(v):
-    from remitspark.plans.streams import complete
+    """24-hour windows each five minutes and 7-day windows each half hour. The stream appends its slots to the history,
+    by customer bucket; each micro-batch's last window of a customer updates the online table, which never gains rows."""
+    from remitspark.plans.streams import drain
+    from remitspark.sources.scratch import shared_folder
     from remitspark.sources.streams import event_stream
-    from remitspark.streaming.windows import windowed
-
-    w = complete(v, windowed(event_stream(v.spark, v.dir, "30 minutes"), "1 day", None, ["customer_id"]))
-    return w.select("customer_id", stamp("window_start", "window_start"), "n")
+    from remitspark.streaming import tables as S
+    from remitspark.streaming import windows as N
+
+    online = S.SnapshotTable(v.spark, shared_folder(v.spark, "online"), "customer_id long, txn_count_24h long, spend_24h double, txn_count_7d long, discount_rate_7d double, quality struct<computed_via:string,confidence:double>, latest timestamp", ["customer_id"])
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in online.types.fields[1:]]
+    online.apply(lambda old: v.customer.select("customer_id", *none), 0)
+    quality = F.struct(F.lit("spark_batch").alias("computed_via"), F.lit(0.95).alias("confidence"))
+    keys = ["customer_id"]
+    for hop, length, delay, names in ((300, 86400, "30 minutes", ("txn_count_24h", "spend_24h")), (1800, 604800, "1 hour", ("txn_count_7d", "discount_rate_7d"))):
+        history = shared_folder(v.spark, f"history_{hop}")
+        if hop == 300:
+            kept = history
+
+        def each(df, batch, history=history, hop=hop, length=length, names=names):
+            slots = df.withColumn("customer_bucket", F.abs(F.hash("customer_id")) % 32)
+            slots.write.mode("overwrite").partitionBy("customer_bucket").parquet(f"{history}/batch_={batch}")
+            w = N.with_rate(N.hopped(df, length, hop, keys))
+            value = F.col("amount") if names[1] == "spend_24h" else F.col("discount_rate")
+            new = w.select("customer_id", F.col("n").alias(names[0]), value.cast("double").alias(names[1]), quality.alias("quality"), F.col("window_start").alias("latest"))
+            online.apply(S.update_latest(new, keys, "latest"), batch, names[0])
+
+        drain(v, N.slots(event_stream(v.spark, v.dir, delay), f"{hop} seconds", keys), each, "update")
+    slots = v.spark.read.parquet(kept).groupBy("customer_id").agg(F.count_distinct("slot_start").alias("history_slots"))
+    t = online.read().join(slots, "customer_id", "left")
+    return t.select("customer_id", "txn_count_24h", "spend_24h", "txn_count_7d", "discount_rate_7d", "quality.computed_via", F.coalesce("history_slots", F.lit(0)).alias("history_slots"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from remitspark.registry import query
 from remitspark.sources.scratch import shared_folder
-from remitspark.sources.streams import event_stream
+from remitspark.sources.streams import ITEM_SCHEMA, event_stream, raw_stream, replayed
 from remitspark.streaming import tables as S
 from remitspark.streaming import windows as N
 from remitspark.views import AS_OF_EVENTS, clock, stamp
@@ -20,16 +20,14 @@ def drain(v, stream, each, mode="append"):
     q.awaitTermination()
 
 
-def complete(v, stream):
-    """The whole result table of an aggregating stream after its last batch."""
-    out = {}
-
-    def each(df, batch):
-        out["path"] = shared_folder(v.spark, "result")
-        df.write.parquet(out["path"])
-
-    drain(v, stream, each, "complete")
-    return v.spark.read.schema(stream.schema).parquet(out["path"])
+def final(v, stream, keys):
+    """The result of an aggregating stream once its input has ended: each micro-batch adds the rows that it changed, and
+    of a key the row of the last batch counts."""
+    out = shared_folder(v.spark, "result")
+    drain(v, stream, lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch_={batch}"), "update")
+    rest = [c for c in stream.columns if c not in keys]
+    t = v.spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch_ long").parquet(out)
+    return t.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_").alias("x")).select(*[F.col(c) if c in keys else F.col(f"x.{c}") for c in stream.columns])
 
 
 def hops(length, hop):
@@ -39,33 +37,38 @@ def hops(length, hop):
 
 @query("str_01_hopping_5m", f"SELECT {T('ws')} AS window_start, customer_id, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount, CAST(sum(discount) AS DOUBLE) AS discount FROM ({hops(300, 30)}) GROUP BY ws, customer_id")
 def str_01(v):
-    t = complete(v, N.windowed(event_stream(v.spark, v.dir), "5 minutes", "30 seconds", ["customer_id"]))
+    t = final(v, N.windowed(event_stream(v.spark, v.dir), "5 minutes", "30 seconds", ["customer_id"]), ["window_start", "customer_id"])
     return t.select(stamp("window_start", "window_start"), "customer_id", "n", *[F.col(c).cast("double").alias(c) for c in ("amount", "discount")])
 
 
 @query("str_02_tumbling_5m", f"SELECT {T('ws')} AS window_start, customer_id, merchant_id, count(*) AS n FROM ({hops(300, 300)}) GROUP BY ws, customer_id, merchant_id HAVING count(*) > 1")
 def str_02(v):
-    t = complete(v, N.windowed(event_stream(v.spark, v.dir), "5 minutes", None, ["customer_id", "merchant_id"]))
+    t = final(v, N.windowed(event_stream(v.spark, v.dir), "5 minutes", None, ["customer_id", "merchant_id"]), ["window_start", "customer_id", "merchant_id"])
     return t.where("n > 1").select(stamp("window_start", "window_start"), "customer_id", "merchant_id", "n")
 
 
 @query("str_03_tumbling_60s", f"SELECT {T('ws')} AS window_start, merchant_id, count(*) AS n FROM ({hops(60, 60)}) WHERE merchant_id <> 'signup' GROUP BY ws, merchant_id HAVING count(*) > 1")
 def str_03(v):
-    t = complete(v, N.windowed(event_stream(v.spark, v.dir).where("merchant_id <> 'signup'"), "60 seconds", None, ["merchant_id"]))
+    t = final(v, N.windowed(event_stream(v.spark, v.dir).where("merchant_id <> 'signup'"), "60 seconds", None, ["merchant_id"]), ["window_start", "merchant_id"])
     return t.where("n > 1").select(stamp("window_start", "window_start"), "merchant_id", "n")
 
 
-@query("str_04_sliding_24h", f"SELECT {T('ws')} AS window_start, customer_id, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS spend FROM ({hops(86400, 3600)}) GROUP BY ws, customer_id")
+@query("str_04_sliding_24h", f"WITH w AS (SELECT ws, customer_id, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS spend FROM ({hops(86400, 300)}) GROUP BY ws, customer_id) SELECT customer_id, strftime(ws, '%Y-%m-%d') AS day, count(*) AS windows, max(n) AS peak_n, max(spend) AS peak_spend, CAST(sum(n) AS BIGINT) AS covered FROM w GROUP BY 1, 2")
 def str_04(v):
-    """The 24-hour window at hourly steps (the step is a parameter; five minutes make 288 windows an event)."""
-    t = complete(v, N.windowed(event_stream(v.spark, v.dir, "30 minutes"), "24 hours", "1 hour", ["customer_id"]))
-    return t.select(stamp("window_start", "window_start"), "customer_id", "n", F.col("amount").cast("double").alias("spend"))
+    """24-hour windows each five minutes, reported by the day they start on (how many, largest count and spend)."""
+    s = final(v, N.slots(event_stream(v.spark, v.dir, "30 minutes"), "5 minutes", ["customer_id"]), ["slot_start", "customer_id"])
+    w = N.hopped(s, 86400, 300, ["customer_id"])
+    g = w.groupBy("customer_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"))
+    return g.agg(F.count("*").alias("windows"), F.max("n").alias("peak_n"), F.max("amount").cast("double").alias("peak_spend"), F.sum("n").alias("covered"))
 
 
-@query("str_05_sliding_7d", f"SELECT {T('ws')} AS window_start, customer_id, count(*) AS n, CAST(sum(discount) AS DOUBLE) / nullif(CAST(sum(amount) AS DOUBLE), 0) AS discount_rate FROM ({hops(604800, 86400)}) GROUP BY ws, customer_id")
+@query("str_05_sliding_7d", f"WITH w AS (SELECT ws, customer_id, count(*) AS n, CAST(sum(discount) AS DOUBLE) / nullif(CAST(sum(amount) AS DOUBLE), 0) AS discount_rate FROM ({hops(604800, 1800)}) GROUP BY ws, customer_id) SELECT customer_id, strftime(ws, '%Y-%m-%d') AS day, count(*) AS windows, max(n) AS peak_n, max(discount_rate) AS peak_rate, CAST(sum(n) AS BIGINT) AS covered FROM w GROUP BY 1, 2")
 def str_05(v):
-    t = complete(v, N.with_rate(N.windowed(event_stream(v.spark, v.dir, "1 hour"), "7 days", "1 day", ["customer_id"])))
-    return t.select(stamp("window_start", "window_start"), "customer_id", "n", "discount_rate")
+    """Seven-day windows each half hour with their discount rate, reported by the day they start on."""
+    s = final(v, N.slots(event_stream(v.spark, v.dir, "1 hour"), "30 minutes", ["customer_id"]), ["slot_start", "customer_id"])
+    w = N.with_rate(N.hopped(s, 604800, 1800, ["customer_id"]))
+    g = w.groupBy("customer_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"))
+    return g.agg(F.count("*").alias("windows"), F.max("n").alias("peak_n"), F.max("discount_rate").alias("peak_rate"), F.sum("n").alias("covered"))
 
 
 @query("str_06_late_append", f"WITH w AS (SELECT ws, customer_id, count(*) AS n FROM ({hops(3600, 3600)}) GROUP BY 1, 2) SELECT {T('ws')} AS window_start, customer_id, n FROM w WHERE ws + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 30 MINUTE FROM ev)")
@@ -79,13 +82,13 @@ def str_06(v):
 
 @query("str_09_last_value_state", f"SELECT customer_id, {T('max(ts)')} AS last_at, arg_max(merchant_id, (ts, event_id)) AS last_type FROM ev GROUP BY 1")
 def str_09(v):
-    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "last"), "customer_id long, last_at timestamp, last_id long, last_type string")
+    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "last"), "customer_id long, last_at timestamp, last_id long, last_type string", ["customer_id"])
 
     def each(df, batch):
         last = df.groupBy("customer_id").agg(F.max_by(F.struct("ts", "event_id", "merchant_id"), F.struct("ts", "event_id")).alias("x"))
         new = last.select("customer_id", F.col("x.ts").alias("last_at"), F.col("x.event_id").alias("last_id"), F.col("x.merchant_id").alias("last_type"))
         later = lambda old: old.unionByName(new).groupBy("customer_id").agg(F.max_by(F.struct("last_at", "last_id", "last_type"), F.struct("last_at", "last_id")).alias("x")).select("customer_id", "x.*")
-        table.apply(later, batch)
+        table.apply(S.on(new, later), batch)
 
     drain(v, event_stream(v.spark, v.dir), each)
     return table.read().select("customer_id", stamp("last_at", "last_at"), "last_type")
@@ -93,12 +96,11 @@ def str_09(v):
 
 @query("str_10_accumulators", f"SELECT customer_id, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount, {T('min(ts)')} AS first_at, {T('max(ts)')} AS last_at FROM ev GROUP BY 1")
 def str_10(v):
-    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "acc"), "customer_id long, n long, amount decimal(28,2), first_at timestamp, last_at timestamp")
+    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "acc"), "customer_id long, n long, amount decimal(28,2), first_at timestamp, last_at timestamp", ["customer_id"])
 
     def each(df, batch):
         new = df.groupBy("customer_id").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
         table.apply(S.accumulate(new, ["customer_id"], ["n", "amount"], ["first_at"], ["last_at"]), batch)
-        table.apply(S.accumulate(new, ["customer_id"], ["n", "amount"], ["first_at"], ["last_at"]), batch)  # a replay changes nothing
 
     drain(v, event_stream(v.spark, v.dir), each)
     return table.read().select("customer_id", "n", F.col("amount").cast("double").alias("amount"), stamp("first_at", "first_at"), stamp("last_at", "last_at"))
@@ -112,21 +114,27 @@ def str_11(v):
     return v.spark.read.schema(t.schema).parquet(out)
 
 
-@query("str_12_sliding_rate", f"SELECT {T('ws')} AS window_start, count(*) / 3600.0::DOUBLE AS rate FROM ({hops(3600, 600)}) GROUP BY ws")
+LAGS = "SELECT ws, least(greatest(lag_s, 0), 60) AS lag_s FROM (SELECT *, event_id % 90 - 10 AS lag_s FROM ({x})) WHERE lag_s <= 60".format(x=hops(60, 10))
+
+
+@query("str_12_sliding_rate", f"WITH l AS ({LAGS}), o AS (SELECT ws, count(*) AS n, list_sort(list(lag_s)) AS s FROM l GROUP BY 1) SELECT {T('ws')} AS window_start, n / 60.0::DOUBLE AS rate, CAST(s[1 + greatest(0, least(n - 1, CAST(floor(n * 0.5) AS BIGINT) - 1))] AS INTEGER) AS p50, CAST(s[1 + greatest(0, least(n - 1, CAST(floor(n * 0.99) AS BIGINT) - 1))] AS INTEGER) AS p99 FROM o")
 def str_12(v):
-    t = complete(v, event_stream(v.spark, v.dir).groupBy(F.window("ts", "1 hour", "10 minutes").alias("w")).agg(F.count("*").alias("n")))
-    return t.select(stamp("w.start", "window_start"), (F.col("n") / F.lit(3600.0)).alias("rate"))
+    """Rate, median and 99th percentile of lag over a minute, each ten seconds. Arrival is event time and a lag from -10
+    to 79 seconds by event: negative lags count as 0, those above a minute are left out."""
+    arrived = F.timestamp_seconds(F.unix_timestamp("ts") + F.col("event_id") % 90 - 10)
+    t = final(v, N.rate_and_lag(event_stream(v.spark, v.dir), arrived), ["window_start"])
+    return t.select(stamp("window_start", "window_start"), "rate", "p50", "p99")
 
 
 @query("str_13_case_mirror", "SELECT customer_id, count(*) AS open_cases, min(event_id) AS oldest FROM ev WHERE merchant_id = 'error' AND amount <= 100 GROUP BY 1")
 def str_13(v):
     """Open cases of each customer from a change stream: errors open a case, those above 100 are closed at once."""
-    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "mirror"), "customer_id long, case_id long")
+    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "mirror"), "customer_id long, case_id long", ["case_id"])
 
     def each(df, batch):
         opened = df.where("amount <= 100").select("customer_id", F.col("event_id").alias("case_id"))
         closed = df.where("amount > 100").select(F.col("event_id").alias("case_id"))
-        table.apply(lambda old: S.keep_first(opened, ["case_id"])(old).join(closed, "case_id", "left_anti").select("customer_id", "case_id"), batch)
+        table.apply(S.on(df.select(F.col("event_id").alias("case_id")), lambda old: S.keep_first(opened, ["case_id"])(old).join(closed, "case_id", "left_anti").select("customer_id", "case_id")), batch)
 
     drain(v, event_stream(v.spark, v.dir).where("merchant_id = 'error'"), each)
     return table.read().groupBy("customer_id").agg(F.count("*").alias("open_cases"), F.min("case_id").alias("oldest"))
@@ -147,25 +155,43 @@ def str_14(v):
     return read.parquet(*paths.values()).groupBy("sink").agg(F.count("*").alias("n"))
 
 
-@query("str_15_catalog_feed", "WITH c AS (SELECT product_ref, arg_max(charge_code, (shipped_at, transaction_id, line_no, merchant_id, line_total)) AS code FROM items WHERE product_ref < 300 GROUP BY 1) SELECT product_ref, code FROM c WHERE code <> 'CC_BUNDLE_PPV'")
+@query("str_15_catalog_feed", "WITH c AS (SELECT product_ref, arg_max(charge_code, (shipped_at, transaction_id, line_no, merchant_id)) AS code, count(*) AS changes FROM items GROUP BY 1) SELECT product_ref, code, changes FROM c WHERE code <> 'CC_BUNDLE_PPV'")
 def str_15(v):
-    """Latest change of each catalog entry; a bundle code stands for a delete."""
-    by = F.struct("shipped_at", "transaction_id", "line_no", "merchant_id", "line_total")
-    return v.items.where("product_ref < 300").groupBy("product_ref").agg(F.max_by("charge_code", by).alias("code")).where("code <> 'CC_BUNDLE_PPV'")
+    """The catalog as its change feed leaves it: of each entry the latest insert or update counts, a bundle code is a
+    delete. Deleted entries stay as tombstones in the table, so that a late change does not bring them back."""
+    schema = "product_ref long, at struct<shipped_at:timestamp_ntz,transaction_id:bigint,line_no:int,merchant_id:bigint>, code string, changes long"
+    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "catalog"), schema, ["product_ref"])
+    code = F.when(F.col("l_returnflag") == "A", "CC_PPV_DIRECT").when(F.col("l_returnflag") == "R", "CC_BUNDLE_PPV").otherwise("CC_SUBSCRIPTION_BASE")
+    at = F.struct(F.col("l_shipdate").alias("shipped_at"), F.col("l_orderkey").alias("transaction_id"), F.col("l_linenumber").alias("line_no"), F.col("l_suppkey").alias("merchant_id"))
+    feed = raw_stream(v.spark, v.dir, "lineitem", ITEM_SCHEMA, ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")).select(F.col("l_partkey").alias("product_ref"), at.alias("at"), code.alias("code"))
 
+    def latest(t):
+        return t.groupBy("product_ref").agg(F.max("at").alias("at"), F.max_by("code", "at").alias("code"), F.sum("changes").alias("changes"))
 
-@query("src_02_micro_batch_consumer", "SELECT count(*) FILTER (WHERE c_custkey IS NOT NULL AND user_id % 5 <> 0) AS accepted, count(*) FILTER (WHERE c_custkey IS NULL OR user_id % 5 = 0) AS skipped_unknown FROM events LEFT JOIN customer ON c_custkey = user_id")
+    def each(df, batch):
+        new = latest(df.withColumn("changes", F.lit(1).cast("long")))
+        table.apply(S.on(new, lambda old: latest(old.unionByName(new))), batch)
+
+    drain(v, feed, each)
+    return table.read().where("code <> 'CC_BUNDLE_PPV'").select("product_ref", "code", "changes")
+
+
+@query("src_02_micro_batch_consumer", "WITH m AS (SELECT *, value < 1 AS bad, c_custkey IS NOT NULL AND user_id % 5 <> 0 AS known FROM events LEFT JOIN customer ON c_custkey = user_id) SELECT count(*) FILTER (WHERE NOT known) AS skipped_unknown, count(*) FILTER (WHERE known AND bad) AS errors, count(*) FILTER (WHERE known AND NOT bad) AS accepted, count(*) AS stamped FROM m")
 def src_02(v):
-    known = v.customer.where("customer_id % 5 <> 0").select("customer_id", F.lit(True).alias("known"))
-    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "consumer"), "accepted long, skipped_unknown long")
+    """Each message gets the topic, partition (its file) and offset (its place there) it came from. Unknown customers are
+    skipped, messages that cannot be written (here: below one unit of money) are errors, and neither stops the batch."""
+    known = v.customer.where("customer_id % 5 <> 0").select(F.col("customer_id").alias("user_id"), F.lit(True).alias("known"))
+    out = shared_folder(v.spark, "consumed")
+    stamped = raw_stream(v.spark, v.dir).select("event_id", "user_id", "value", F.lit("events").alias("topic"), F.col("_metadata.file_name").alias("partition"), F.col("_metadata.row_index").alias("offset"))
 
     def each(df, batch):
-        t = df.join(known, "customer_id", "left")
-        new = t.agg(F.count_if(F.col("known").isNotNull()).alias("accepted"), F.count_if(F.col("known").isNull()).alias("skipped_unknown"))
-        table.apply(lambda old: old.unionByName(new).agg(F.sum("accepted").alias("accepted"), F.sum("skipped_unknown").alias("skipped_unknown")), batch)
+        outcome = F.when(F.col("known").isNull(), "skipped_unknown").when(~F.coalesce(F.col("value") >= 1, F.lit(False)), "errors").otherwise("accepted")
+        df.join(known, "user_id", "left").withColumn("outcome", outcome).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    drain(v, event_stream(v.spark, v.dir), each)
-    return table.read()
+    drain(v, stamped, each)
+    t = v.spark.read.parquet(out)
+    counts = [F.count_if(F.col("outcome") == c).alias(c) for c in ("skipped_unknown", "errors", "accepted")]
+    return t.agg(*counts, F.count_distinct("topic", "partition", "offset").alias("stamped"))
 
 
 @query("src_03_change_feed", "SELECT event_id, customer_id FROM ev WHERE amount > 50")
@@ -184,13 +210,11 @@ def src_01(v):
     return v.spark.read.schema(t.schema).parquet(out).select("event_id", stamp("ts", "ts"))
 
 
-def sink_case(v, schema, seed, change, twice=True):
-    """A table seeded with rows, one change applied (and replayed), read back."""
-    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "sink"), schema)
+def sink_case(v, schema, seed, change, keys=("customer_id",), day=None):
+    """A table seeded with rows, one change applied, read back."""
+    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "sink"), schema, list(keys), day=day)
     table.apply(lambda old: seed, 0)
     table.apply(change, 1)
-    if twice:
-        table.apply(change, 1)
     return table.read()
 
 
@@ -229,11 +253,16 @@ def snk_03(v):
     return sink_case(v, KEYED, old, S.keep_first(new.withColumn("name", F.lit(None).cast("string")), ["customer_id"]))
 
 
-@query("snk_04_update_latest", f"WITH {OLD}, n AS (SELECT customer_id, CAST(amount AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY event_id DESC) rn FROM ev) WHERE rn = 1) SELECT old.customer_id, name, coalesce(n.value, old.value) AS value FROM old LEFT JOIN n USING (customer_id)")
+@query("snk_04_update_latest", f"WITH {OLD}, n AS (SELECT customer_id, CAST(amount AS DOUBLE) AS value, ts FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY event_id DESC) rn FROM ev) WHERE rn = 1) SELECT old.customer_id, name, coalesce(n.value, old.value) AS value, CASE WHEN n.ts IS NOT NULL THEN 'spark_batch' END AS computed_via, CASE WHEN n.ts IS NOT NULL THEN 0.95::DOUBLE END AS confidence, {T('n.ts')} AS latest_source_at FROM old LEFT JOIN n USING (customer_id)")
 def snk_04(v):
+    """Rows that are updated say by what and how surely (quality) and from which source time (lineage)."""
     old, _ = old_new(v)
-    new = v.event.select("customer_id", "event_id", F.col("amount").cast("double").alias("value"))
-    return sink_case(v, KEYED, old, S.update_latest(new, ["customer_id"], "event_id"))
+    tags = "quality struct<computed_via:string,confidence:double>, lineage struct<latest_source_at:timestamp_ntz>"
+    quality = F.struct(F.lit("spark_batch").alias("computed_via"), F.lit(0.95).alias("confidence"))
+    new = v.event.select("customer_id", "event_id", F.col("amount").cast("double").alias("value"), quality.alias("quality"), F.struct(F.col("ts").alias("latest_source_at")).alias("lineage"))
+    seed = old.withColumn("quality", F.lit(None).cast("struct<computed_via:string,confidence:double>")).withColumn("lineage", F.lit(None).cast("struct<latest_source_at:timestamp_ntz>"))
+    t = sink_case(v, f"{KEYED}, {tags}", seed, S.update_latest(new, ["customer_id"], "event_id"))
+    return t.select("customer_id", "name", "value", "quality.computed_via", "quality.confidence", stamp("lineage.latest_source_at", "latest_source_at"))
 
 
 @query("snk_05_bulk_update", f"WITH {OLD}, {NEW} SELECT customer_id, name, coalesce(new.value, old.value) AS value FROM old LEFT JOIN new USING (customer_id)")
@@ -242,17 +271,31 @@ def snk_05(v):
     return sink_case(v, KEYED, old, S.update_latest(new.withColumn("at", F.lit(1)), ["customer_id"], "at"))
 
 
-@query("snk_07_insert_if_absent", f"WITH {OLD}, {NEW} SELECT CASE WHEN new.customer_id IN (SELECT customer_id FROM old) THEN 'skipped' ELSE 'seeded' END AS outcome, count(*) AS n FROM new GROUP BY 1")
+CYCLES = "cyc AS (SELECT customer_id, 'cyc_' || customer_id || '_' || strftime(TIMESTAMP '2001-08-01' - to_months(CAST(k AS INTEGER)), '%Y%m') AS cycle_id, k, CASE WHEN k = 0 THEN 'open' ELSE 'billed' END AS status FROM cust, range(6) r(k))"
+
+
+@query("snk_07_insert_if_absent", f"WITH {CYCLES} SELECT CASE WHEN customer_id % 3 <> 0 AND k % 2 = 1 THEN 'skipped' ELSE 'seeded' END AS outcome, count(*) AS n FROM cyc GROUP BY 1 UNION ALL SELECT 'kept:' || CASE WHEN customer_id % 3 <> 0 AND k % 2 = 1 THEN 'disputed' ELSE status END, count(*) FROM cyc GROUP BY 1")
 def snk_07(v):
-    old, new = old_new(v)
-    known = old.select("customer_id", F.lit(True).alias("known"))
-    return new.join(known, "customer_id", "left").groupBy(F.when(F.col("known"), "skipped").otherwise("seeded").alias("outcome")).agg(F.count("*").alias("n"))
+    """Trailing cycles seeded where they are not there yet: what the backfill reports, and what the table then holds."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")
+    start = F.date_format(F.add_months(F.lit("2001-08-01").cast("date"), -F.col("k")), "yyyyMM")
+    cycles = v.customer.select("customer_id", k).select(F.concat(F.lit("cyc_"), "customer_id", F.lit("_"), start).alias("cycle_id"), "customer_id", "k", F.when(F.col("k") == 0, "open").otherwise("billed").alias("status"))
+    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "cycles"), "cycle_id string, customer_id long, status string", ["cycle_id"])
+    there = cycles.where("customer_id % 3 <> 0 and k % 2 = 1").select("cycle_id", "customer_id", F.lit("disputed").alias("status"))
+    new = cycles.drop("k")
+    table.apply(lambda old: there, 0)
+    counted = shared_folder(v.spark, "outcomes")
+    S.insert_outcomes(table, new, ["cycle_id"]).write.parquet(counted)
+    table.apply(S.keep_first(new, ["cycle_id"]), 1)
+    held = table.read().groupBy(F.concat(F.lit("kept:"), "status").alias("outcome")).agg(F.count("*").alias("n"))
+    return v.spark.read.schema("outcome string, n long").parquet(counted).unionByName(held)
 
 
 @query("snk_08_retention", f"SELECT event_id FROM ev WHERE ts >= TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL 7 DAY")
 def snk_08(v):
+    """The table is cut by day: days before the limit go unread, its own day is rewritten, later ones stay."""
     seed = v.event.select("event_id", "ts")
-    return sink_case(v, "event_id long, ts timestamp_ntz", seed, S.retain(clock(AS_OF_EVENTS), "ts", 7)).select("event_id")
+    return sink_case(v, "event_id long, ts timestamp_ntz", seed, S.retain(AS_OF_EVENTS, "ts", 7), (), "ts").select("event_id")
 
 
 @query("snk_09_replace_by_key", f"WITH {OLD}, {NEW} SELECT customer_id, name, value FROM old WHERE customer_id NOT IN (SELECT customer_id FROM new) UNION ALL SELECT customer_id, 'replaced', value FROM new")
@@ -261,13 +304,16 @@ def snk_09(v):
     return sink_case(v, KEYED, old, S.replace_by_key(new.withColumn("name", F.lit("replaced")), ["customer_id"]))
 
 
-@query("snk_10_created_at_on_insert", f"WITH {OLD}, {NEW} SELECT coalesce(old.customer_id, new.customer_id) AS customer_id, CASE WHEN old.customer_id IS NULL THEN 'inserted' WHEN new.customer_id IS NULL THEN 'kept' ELSE 'updated' END AS outcome, coalesce(name, 'created now') AS created FROM old FULL JOIN new ON old.customer_id = new.customer_id")
+@query("snk_10_created_at_on_insert", f"WITH {OLD}, {NEW} SELECT coalesce(old.customer_id, new.customer_id) AS customer_id, CASE WHEN new.customer_id IS NULL THEN old.value ELSE new.value END AS value, CASE WHEN old.customer_id IS NULL THEN 'inserted' WHEN new.customer_id IS NULL THEN 'kept' ELSE 'updated' END AS outcome, CASE WHEN old.customer_id IS NULL THEN '2024-02-01 00:00:00' ELSE '2024-01-01 00:00:00' END AS created_at, CASE WHEN new.customer_id IS NULL THEN '2024-01-01 00:00:00' ELSE '2024-02-01 00:00:00' END AS updated_at FROM old FULL JOIN new ON old.customer_id = new.customer_id")
 def snk_10(v):
+    """A first load on one day, an upsert a month later: the day of creation stays, the outcome follows from both."""
     old, new = old_new(v)
-    o, n = old.alias("o"), new.alias("n")
-    j = o.join(n, F.col("o.customer_id") == F.col("n.customer_id"), "full")
-    outcome = F.when(F.col("o.customer_id").isNull(), "inserted").when(F.col("n.customer_id").isNull(), "kept").otherwise("updated")
-    return j.select(F.coalesce("o.customer_id", "n.customer_id").alias("customer_id"), outcome.alias("outcome"), F.coalesce("o.name", F.lit("created now")).alias("created"))
+    first, second = clock("2024-01-01 00:00:00"), clock("2024-02-01 00:00:00")
+    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "stamped"), "customer_id long, value double, created_at timestamp_ntz, updated_at timestamp_ntz", ["customer_id"])
+    table.apply(S.upsert_stamped(old.select("customer_id", "value"), ["customer_id"], first), 0)
+    table.apply(S.upsert_stamped(new, ["customer_id"], second), 1)
+    outcome = F.when(F.col("created_at") == second, "inserted").when(F.col("updated_at") == second, "updated").otherwise("kept")
+    return table.read().select("customer_id", "value", outcome.alias("outcome"), stamp("created_at", "created_at"), stamp("updated_at", "updated_at"))
 
 
 def enriched(stream, customers):
@@ -309,30 +355,49 @@ for _name in SRL:
 @query("str_08_stateless_rules", " UNION ALL ".join(f"SELECT '{n}' AS rule_type, count(*) AS n FROM ev LEFT JOIN cust USING (customer_id) WHERE {c}" for n, c in RULE_SQL.items()))
 def str_08(v):
     t = N.stateless_hits(enriched(event_stream(v.spark, v.dir), v.customer), list(RULE_SQL)).groupBy("rule_type").agg(F.count("*").alias("n"))
-    return complete(v, t)
+    return final(v, t, ["rule_type"])
+
+
+#: A month of events in ten minutes, on twenty customers.
+SPEED, FOLD, BEGAN = 4320, 20, "2024-01-01 00:00:00"
+REPLAY = f"rp AS (SELECT event_id, customer_id % {FOLD} AS customer_id, merchant_id, CAST(floor(amount / 50) * 50 AS BIGINT) AS charge, amount, to_timestamp(epoch(TIMESTAMP '{BEGAN}') + (CAST(floor(epoch(ts)) AS BIGINT) - CAST(epoch(TIMESTAMP '{BEGAN}') AS BIGINT)) // {SPEED})::TIMESTAMP AS ts FROM ev)"
+
+
+def replay_stream(v):
+    return replayed(event_stream(v.spark, v.dir), BEGAN, SPEED, FOLD)
+
+
+def ends(length):
+    return f"to_timestamp((CAST(floor(epoch(ts)) AS BIGINT) // {length} + 1) * {length})::TIMESTAMP"
 
 
-@query("srl_02_velocity", f"SELECT customer_id, merchant_id, 'vel_' || customer_id || '_' || merchant_id || '_' || CAST(epoch(ws) AS BIGINT) AS case_id, count(*) AS n FROM ({hops(43200, 43200)}) GROUP BY ws, customer_id, merchant_id HAVING count(*) > 2")
+@query("srl_02_velocity", f"WITH {REPLAY} SELECT 'case-velocity-' || customer_id || '-' || merchant_id || '-' || CAST(epoch({ends(300)}) AS BIGINT) AS case_id, customer_id, merchant_id, 'medium' AS severity, {T(ends(300))} AS created_at, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total, {T('min(ts)')} AS first_at, {T('max(ts)')} AS last_at, min(event_id) AS least_id, max(event_id) AS largest_id FROM rp GROUP BY {ends(300)}, customer_id, merchant_id HAVING count(*) > 50")
 def srl_02(v):
-    return complete(v, N.velocity_cases(event_stream(v.spark, v.dir), 2, "12 hours")).select("customer_id", "merchant_id", "case_id", "n")
+    """Over 50 in five minutes, on a replay fast enough to reach that."""
+    t = final(v, N.velocity_cases(replay_stream(v)), ["case_id"])
+    return t.select("case_id", "customer_id", "merchant_id", "severity", stamp("created_at", "created_at"), "n", F.col("total").cast("double").alias("total"), stamp("first_at", "first_at"), stamp("last_at", "last_at"), "least_id", "largest_id")
 
 
-@query("srl_05_duplicate", f"SELECT customer_id, merchant_id, 'dup_' || customer_id || '_' || CAST(epoch(ws) AS BIGINT) AS case_id, count(*) AS n FROM ({hops(86400, 86400)}) GROUP BY ws, customer_id, merchant_id HAVING count(*) > 2")
+@query("srl_05_duplicate", f"WITH {REPLAY} SELECT 'case-dup-' || customer_id || '-' || CAST(epoch({ends(60)}) AS BIGINT) AS case_id, customer_id, merchant_id, charge, 'medium' AS severity, count(*) AS n, {T('min(ts)')} AS first_at, {T('max(ts)')} AS last_at, min(event_id) AS least_id, max(event_id) AS largest_id FROM rp WHERE merchant_id <> 'signup' GROUP BY {ends(60)}, customer_id, merchant_id, charge HAVING count(*) > 2")
 def srl_05(v):
-    return complete(v, N.duplicate_cases(event_stream(v.spark, v.dir), 2, "1 day", ("customer_id", "merchant_id"))).select("customer_id", "merchant_id", "case_id", "n")
+    """Over two equal charges of a customer at a merchant in a minute, on the same replay (charges in steps of 50)."""
+    charges = replay_stream(v).where("merchant_id <> 'signup'").withColumn("charge", (F.floor(F.col("amount") / 50) * 50).cast("long"))
+    keys = ("customer_id", "merchant_id", "charge")
+    t = final(v, N.duplicate_cases(charges, keys=keys), ["case_id", *keys])
+    return t.select("case_id", *keys, "severity", "n", stamp("first_at", "first_at"), stamp("last_at", "last_at"), "least_id", "largest_id")
 
 
 @query("fea_01_five_minute_features", f"WITH w AS (SELECT ws, customer_id, count(*) AS n, sum(amount) AS a FROM ({hops(300, 30)}) GROUP BY 1, 2) SELECT customer_id, {T('max(ws) + INTERVAL 5 MINUTE')} AS updated_at, arg_max(n, ws) AS txn_count_5m FROM w GROUP BY 1")
 def fea_01(v):
     """The latest five-minute window of each customer; silent customers keep their last one."""
-    w = complete(v, N.windowed(event_stream(v.spark, v.dir), "5 minutes", "30 seconds", ["customer_id"]))
+    w = final(v, N.windowed(event_stream(v.spark, v.dir), "5 minutes", "30 seconds", ["customer_id"]), ["window_start", "customer_id"])
     return w.groupBy("customer_id").agg(stamp(F.max("window_end"), "updated_at"), F.max_by("n", "window_start").alias("txn_count_5m"))
 
 
 @query("fea_03_lineage", f"SELECT customer_id, count(*) AS source_n, {T('min(ts)')} AS earliest, {T('max(ts)')} AS latest FROM ev GROUP BY 1")
 def fea_03(v):
     t = event_stream(v.spark, v.dir).groupBy("customer_id").agg(F.count("*").alias("source_n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
-    return complete(v, t).select("customer_id", "source_n", stamp("a", "earliest"), stamp("b", "latest"))
+    return final(v, t, ["customer_id"]).select("customer_id", "source_n", stamp("a", "earliest"), stamp("b", "latest"))
 
 
 @query("fea_12_lag_percentiles", f"WITH l AS (SELECT CAST(CAST(floor(epoch(TIMESTAMP '{AS_OF_EVENTS}')) - floor(epoch(ts)) AS BIGINT) AS DOUBLE) AS s FROM ev WHERE ts >= TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL 1 DAY) SELECT round(quantile_cont(s, 0.5), 4) AS p50, round(quantile_cont(s, 0.95), 4) AS p95, round(quantile_cont(s, 0.99), 4) AS p99 FROM l")

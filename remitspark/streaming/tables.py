@@ -1,7 +1,9 @@
-"""Keyed tables for foreachBatch sinks: immutable snapshots, a version file, and the last batch applied.
+"""Keyed tables for foreachBatch sinks: immutable parts, a version file, and the last batch applied.
 
-A batch writes a new snapshot and then one version file that carries its batch number; a replayed batch finds its
-number there and does nothing, so every merge below is applied once.
+A table is cut into parts by a hash of its keys or by the day of a time column. A batch rewrites the parts that its
+rows fall into, and then publishes one version file that names all parts and the last batch of each writer; a replayed
+batch finds its number there and does nothing, so every merge below is applied once. A version file is written under
+another name and renamed without overwriting: readers see a whole version or the one before.
 """
 
 from __future__ import annotations
@@ -10,45 +12,99 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Change = Callable[[DataFrame], DataFrame]
+
+
+class Conflict(RuntimeError):
+    """Another writer published this version first."""
+
 
 class SnapshotTable:
-    def __init__(self, spark: SparkSession, base: str, schema: str) -> None:
+    def __init__(self, spark: SparkSession, base: str, schema: str, keys: list[str] | None = None, parts: int = 8, day: str | None = None) -> None:
         self.spark, self.base, self.schema = spark, base.rstrip("/"), schema
+        self.types = spark.createDataFrame([], schema).schema
+        self.keys, self.parts, self.day = keys, parts, day
         jvm = spark.sparkContext._jvm
         self.path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.fs.mkdirs(self.path(f"{self.base}/versions"))
 
+    def part(self) -> Column:
+        """The part of a row, as text."""
+        if self.day:
+            return F.coalesce(F.date_format(self.day, "yyyy-MM-dd"), F.lit("none"))
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("string") if self.keys else F.lit("0")
+
     def _state(self) -> tuple[int, dict]:
         names = [s.getPath().getName() for s in self.fs.listStatus(self.path(f"{self.base}/versions"))]
         v = max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
         if not v:
-            return 0, {"data": None, "batch": -1}
+            return 0, {"parts": {}, "batches": {}}
         return v, json.loads(self.spark.read.text(f"{self.base}/versions/v{v:010d}.json", wholetext=True).first().value)
 
+    def _publish(self, version: int, state: dict) -> None:
+        draft, final = self.path(f"{self.base}/versions/draft-{uuid.uuid4().hex}"), self.path(f"{self.base}/versions/v{version:010d}.json")
+        out = self.fs.create(draft, False)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        try:
+            hadoop.FileContext.getFileContext(self.fs.getUri(), sc._jsc.hadoopConfiguration()).rename(draft, final, sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            self.fs.delete(draft, False)
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                raise Conflict(str(final)) from e
+            raise
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*sorted(folders)) if folders else self.spark.createDataFrame([], self.schema)
+
     def read(self) -> DataFrame:
-        data = self._state()[1]["data"]
-        return self.spark.read.schema(self.schema).parquet(data) if data else self.spark.createDataFrame([], self.schema)
+        return self._rows(list(self._state()[1]["parts"].values()))
 
-    def apply(self, change: Callable[[DataFrame], DataFrame], batch: int) -> bool:
-        """Replace the table by change(table) unless this batch was applied before."""
+    def apply(self, change: Change, batch: int, writer: str = "") -> bool:
+        """Publish change(table) unless this batch of the writer was applied before. A change that names its new rows (``change.new``)
+        sees and rewrites only the parts those fall into; ``change.keep`` tells from a part's name whether it stays as
+        it is (True), goes (False), or is rewritten (None)."""
         v, state = self._state()
-        if batch <= state["batch"]:
+        if batch <= state["batches"].get(writer, -1):
             return False
-        data = f"{self.base}/data/{uuid.uuid4().hex}"
-        types = self.spark.createDataFrame([], self.schema).schema
-        change(self.read()).select(*[F.col(f.name).cast(f.dataType) for f in types.fields]).write.parquet(data)
-        out = self.fs.create(self.path(f"{self.base}/versions/v{v + 1:010d}.json"), False)
-        out.write(bytearray(json.dumps({"data": data, "batch": batch}).encode()))
-        out.close()
+        parts = dict(state["parts"])
+        new, keep = getattr(change, "new", None), getattr(change, "keep", None)
+        if new is not None and (self.keys or self.day):
+            own = [F.col(c).cast(self.types[c].dataType).alias(c) for c in (self.keys or [self.day])]
+            touched = {r.p for r in new.select(*own).select(self.part().alias("p")).distinct().collect()}  # at most one a part
+        elif keep is not None and self.day:
+            fate = {p: keep(p) for p in parts}
+            parts = {p: f for p, f in parts.items() if fate[p] is not False}
+            touched = {p for p, f in fate.items() if f is None}
+        else:
+            touched = set(parts) | {"*"}
+        if touched:
+            old = [parts.pop(p) for p in list(parts) if p in touched]
+            data = f"{self.base}/data/{uuid.uuid4().hex}"
+            rows = change(self._rows(old)).select(*[F.col(f.name).cast(f.dataType) for f in self.types.fields])
+            rows.withColumn("part_", self.part()).hint("rebalance", "part_").write.partitionBy("part_").parquet(data)
+            for s in self.fs.listStatus(self.path(data)):
+                name = s.getPath().getName()
+                if name.startswith("part_="):
+                    parts[name.removeprefix("part_=")] = f"{data}/{name}"
+        self._publish(v + 1, {"parts": parts, "batches": state["batches"] | {writer: batch}})
         return True
 
 
-def upsert(new: DataFrame, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+def on(new: DataFrame, change: Change) -> Change:
+    """A change that concerns the parts of ``new`` only."""
+    change.new = new
+    return change
+
+
+def upsert(new: DataFrame, keys: list[str]) -> Change:
     """New values that are not null win, other columns and rows survive."""
 
     def change(old: DataFrame) -> DataFrame:
@@ -56,41 +112,82 @@ def upsert(new: DataFrame, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
         joined = o.join(n, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full")
         return joined.select(*[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c in new.columns else F.col(f"o.{c}") for c in old.columns])
 
-    return change
+    return on(new, change)
 
 
-def keep_first(new: DataFrame, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+def one_a_key(new: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key: the smallest by its other columns, so that the order of rows does not matter."""
+    rest = [c for c in new.columns if c not in keys]
+    if not rest:
+        return new.distinct()
+    return new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("x")).select(*[F.col(c) if c in keys else F.col(f"x.{c}") for c in new.columns])
+
+
+def keep_first(new: DataFrame, keys: list[str]) -> Change:
     """Insert rows with unknown keys; what is there stays."""
-    return lambda old: old.unionByName(new.dropDuplicates(keys).join(old, keys, "left_anti").select(*old.columns))
+    return on(new, lambda old: old.unionByName(one_a_key(new, keys).join(old, keys, "left_anti").select(*old.columns)))
+
 
+def insert_outcomes(table: SnapshotTable, new: DataFrame, keys: list[str]) -> DataFrame:
+    """(outcome, n): how many rows an insert-if-absent would seed and skip on the table as it is."""
+    known = table.read().select(*keys).distinct().withColumn("known", F.lit(True))
+    return one_a_key(new, keys).join(known, keys, "left").groupBy(F.when(F.col("known"), "skipped").otherwise("seeded").alias("outcome")).agg(F.count("*").alias("n"))
 
-def update_latest(new: DataFrame, keys: list[str], order: str) -> Callable[[DataFrame], DataFrame]:
-    """Within the batch the latest row of a key; only keys already there change."""
-    latest = new.withColumn("rn_", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))).where("rn_ = 1").drop("rn_")
+
+def update_latest(new: DataFrame, keys: list[str], order: str) -> Change:
+    """Within the batch the latest row of a key (ties: the largest by all columns); only keys already there change."""
+    rest = [c for c in new.columns if c not in keys]
+    latest = new.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("order_"), *rest)).alias("x"))
 
     def change(old: DataFrame) -> DataFrame:
-        n = latest.select(*keys, *[F.col(c).alias(f"{c}__new") for c in latest.columns if c not in keys])
+        n = latest.select(*keys, *[F.col(f"x.{c}").alias(f"{c}__new") for c in rest])
         j = old.join(n, keys, "left")
         return j.select(*[F.coalesce(f"{c}__new", c).alias(c) if f"{c}__new" in j.columns else F.col(c) for c in old.columns])
 
-    return change
+    return on(new, change)
 
 
-def replace_by_key(new: DataFrame, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+def replace_by_key(new: DataFrame, keys: list[str]) -> Change:
     """Rows of the batch take the place of rows with their keys."""
-    return lambda old: old.join(new, keys, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+    return on(new, lambda old: old.join(new, keys, "left_anti").select(*old.columns).unionByName(new.select(*old.columns)))
+
+
+def upsert_stamped(new: DataFrame, keys: list[str], at: Column, created: str = "created_at", updated: str = "updated_at") -> Change:
+    """Rows of the batch take the place of rows with their keys and get the time of the update; the time of creation is
+    set once, when a key is new."""
+
+    def change(old: DataFrame) -> DataFrame:
+        first = old.select(*keys, F.col(created).alias("first_"))
+        rows = new.join(first, keys, "left").withColumn(created, F.coalesce("first_", at)).withColumn(updated, at)
+        return old.join(new, keys, "left_anti").select(*old.columns).unionByName(rows.select(*old.columns))
+
+    return on(new, change)
 
 
-def accumulate(new: DataFrame, keys: list[str], sums: list[str], lows: list[str], highs: list[str]) -> Callable[[DataFrame], DataFrame]:
+def accumulate(new: DataFrame, keys: list[str], sums: list[str], lows: list[str], highs: list[str]) -> Change:
     """Counters add up, first and last times move outwards."""
 
     def change(old: DataFrame) -> DataFrame:
         both = old.unionByName(new.select(*old.columns))
         return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in lows], *[F.max(c).alias(c) for c in highs]).select(*old.columns)
 
-    return change
+    return on(new, change)
+
+
+def retain(as_of: str, time: str, days: int) -> Change:
+    """Drop rows older than so many days before ``as_of`` (a timestamp as text). A table cut by day loses whole parts
+    and rewrites only the day in which the limit lies."""
+    limit = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS")
 
+    def keep(day: str) -> bool | None:
+        import datetime as dt
 
-def retain(as_of, time: str, days: int) -> Callable[[DataFrame], DataFrame]:
-    """Drop rows older than so many days."""
-    return lambda old: old.where(F.col(time) >= as_of - F.expr(f"INTERVAL {days} DAYS"))
+        if day == "none":
+            return False
+        first = dt.datetime.fromisoformat(as_of) - dt.timedelta(days=days)
+        d = dt.date.fromisoformat(day)
+        return None if d == first.date() else d > first.date()
+
+    change = lambda old: old.where(F.col(time) >= limit)
+    change.keep = keep
+    return change

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,21 +16,62 @@ def windowed(events: DataFrame, length: str, hop: str | None, keys: list[str]) -
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n", "amount", "discount", "first_at", "last_at")
 
 
+def hopped(slots: DataFrame, length: int, hop: int, keys: list[str]) -> DataFrame:
+    """Hopping windows of ``length`` seconds each ``hop`` seconds from slots of one hop (slot_start, keys, n, amount,
+    discount): a slot counts in each window that covers it, so events are met once, whatever the number of windows."""
+    back = F.explode(F.sequence(F.lit(0), F.lit(length // hop - 1)))
+    t = slots.withColumn("back", back).withColumn("window_start", F.timestamp_seconds(F.unix_timestamp("slot_start") - F.col("back") * hop))
+    return t.groupBy("window_start", *keys).agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"), F.sum("discount").alias("discount"))
+
+
+def slots(events: DataFrame, hop: str, keys: list[str]) -> DataFrame:
+    """Counts and sums by slot of one hop and keys."""
+    return windowed(events, hop, None, keys).select(F.col("window_start").alias("slot_start"), *keys, "n", "amount", "discount")
+
+
 def with_rate(w: DataFrame) -> DataFrame:
     return w.withColumn("discount_rate", F.try_divide(F.col("discount").cast("double"), F.col("amount").cast("double")))
 
 
 def velocity_cases(events: DataFrame, most: int = 50, length: str = "5 minutes") -> DataFrame:
-    """More than ``most`` events of a customer at a merchant in a fixed window."""
-    t = windowed(events, length, None, ["customer_id", "merchant_id"]).where(F.col("n") > most)
-    return t.withColumn("case_id", F.concat_ws("_", F.lit("vel"), "customer_id", "merchant_id", F.unix_timestamp("window_start")))
+    """More than ``most`` events of a customer at a merchant in a fixed window: a case of medium severity, its evidence
+    first and last event and time, count and total."""
+    w = F.window("ts", length)
+    g = events.groupBy(w.alias("w"), "customer_id", "merchant_id").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).alias("total"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.min("event_id").alias("least_id"), F.max("event_id").alias("largest_id"),
+    ).where(F.col("n") > most)
+    case_id = F.concat_ws("-", F.lit("case-velocity"), "customer_id", "merchant_id", F.unix_timestamp(F.col("w.end")))
+    return g.select(case_id.alias("case_id"), "customer_id", "merchant_id", F.lit("medium").alias("severity"), F.lit("open").alias("status"), F.col("w.end").alias("created_at"), "n", "total", "first_at", "last_at", "least_id", "largest_id")
 
 
 def duplicate_cases(events: DataFrame, most: int = 2, length: str = "60 seconds", keys: tuple[str, ...] = ("customer_id", "merchant_id", "amount")) -> DataFrame:
-    """More than ``most`` equal charges in a fixed minute."""
+    """More than ``most`` equal charges in a fixed minute: a case of medium severity with its evidence."""
     w = F.window("ts", length)
-    g = events.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).where(F.col("n") > most)
-    return g.select(F.concat_ws("_", F.lit("dup"), "customer_id", F.unix_timestamp(F.col("w.start"))).alias("case_id"), *keys, "n", F.col("w.start").alias("window_start"))
+    g = events.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.min("event_id").alias("least_id"), F.max("event_id").alias("largest_id")).where(F.col("n") > most)
+    case_id = F.concat_ws("-", F.lit("case-dup"), "customer_id", F.unix_timestamp(F.col("w.end")))
+    return g.select(case_id.alias("case_id"), *keys, F.lit("medium").alias("severity"), F.lit("open").alias("status"), F.col("w.end").alias("created_at"), "n", "first_at", "last_at", "least_id", "largest_id")
+
+
+#: Largest lag in seconds that counts.
+LAG_MOST = 60
+
+
+def rate_and_lag(events: DataFrame, arrived: Column, length: str = "60 seconds", hop: str = "10 seconds") -> DataFrame:
+    """Events a second and median and 99th percentile of whole seconds of lag in a sliding minute. Lags are counted in a
+    histogram of ``LAG_MOST`` + 1 bins, which adds up across tasks and batches, so no window's events are gathered."""
+    t = lag_seconds(events, arrived)
+    bins = [F.count_if(F.col("lag_s") == k).alias(f"b{k}") for k in range(LAG_MOST + 1)]
+    g = t.groupBy(F.window("ts", length, hop).alias("w")).agg(F.count("*").alias("n"), *bins)
+    counts = F.array(*[F.col(f"b{k}") for k in range(LAG_MOST + 1)])
+
+    def at(p: float) -> Column:
+        """The lag at 0-based place max(0, min(n - 1, floor(n p) - 1)) of the sorted lags."""
+        place = F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor(F.col("n") * p) - 1))
+        below = F.aggregate("counts_", F.struct(F.lit(0).cast("long").alias("c"), F.lit(-1).alias("k")), lambda a, x: F.struct((a["c"] + x).alias("c"), F.when(a["c"] > place, a["k"]).otherwise(a["k"] + 1).alias("k")))
+        return below["k"]
+
+    g = g.withColumn("counts_", counts)
+    return g.select(F.col("w.start").alias("window_start"), "n", (F.col("n") / F.lit(60.0)).alias("rate"), at(0.5).alias("p50"), at(0.99).alias("p99"))
 
 
 #: Stateless rules over enriched events: name -> condition.

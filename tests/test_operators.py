@@ -101,8 +101,9 @@ def test_cycle_join(spark):
     assert sorted(r.cycle for r in cycle_join(t, c).collect()) == ["a", "b"]
 
 
-def test_sinks_apply_a_batch_once(spark):
-    table = T.SnapshotTable(spark, "file://" + tempfile.mkdtemp(prefix="spark-table-"), "k long, a string, n long")
+@pytest.mark.parametrize("keys", [None, ["k"]])
+def test_sinks_apply_a_batch_once(spark, keys):
+    table = T.SnapshotTable(spark, "file://" + tempfile.mkdtemp(prefix="spark-table-"), "k long, a string, n long", keys)
     row = lambda *r: spark.createDataFrame([r], "k long, a string, n long")
     assert table.apply(lambda old: row(1, "x", 1), 0)
     assert table.apply(T.upsert(row(1, None, 5), ["k"]), 1)
@@ -116,6 +117,100 @@ def test_sinks_apply_a_batch_once(spark):
     assert sorted(map(tuple, table.read().collect())) == [(1, "x", 7), (2, "later", 4)]
 
 
+def test_a_batch_rewrites_only_its_parts(spark):
+    table = T.SnapshotTable(spark, "file://" + tempfile.mkdtemp(prefix="spark-table-"), "k long, n long", ["k"], parts=4)
+    table.apply(lambda old: spark.range(100).selectExpr("id as k", "id as n"), 0)
+    before = table._state()[1]["parts"]
+    assert table.apply(T.upsert(spark.createDataFrame([(7, 700)], "k int, n long"), ["k"]), 1)
+    after = table._state()[1]["parts"]
+    assert len(before) == 4 and sum(before[p] != after[p] for p in before) == 1
+    assert {r.k: r.n for r in table.read().collect()} == {k: 700 if k == 7 else k for k in range(100)}
+    # writers have batches of their own
+    assert table.apply(T.upsert(spark.createDataFrame([(8, 800)], "k long, n long"), ["k"]), 1, "other")
+    assert not table.apply(T.upsert(spark.createDataFrame([(8, 801)], "k long, n long"), ["k"]), 1, "other")
+    assert table.read().where("n >= 700").count() == 2
+
+
+def test_versions_of_tables(spark):
+    """A draft of a dead writer is not seen; of two writers of a version the second fails."""
+    table = T.SnapshotTable(spark, "file://" + tempfile.mkdtemp(prefix="spark-table-"), "k long", ["k"])
+    table.apply(lambda old: spark.range(3).selectExpr("id as k"), 0)
+    table.fs.create(table.path(f"{table.base}/versions/draft-dead"), False).close()
+    v, state = table._state()
+    assert v == 1 and table.read().count() == 3
+    with pytest.raises(T.Conflict):
+        table._publish(1, state)
+    assert table.read().count() == 3 and table.apply(T.keep_first(spark.range(5).selectExpr("id as k"), ["k"]), 1) and table.read().count() == 5
+
+
+def test_retention_drops_whole_days(spark):
+    day = lambda d, h: dt.datetime(2026, 1, d, h)
+    table = T.SnapshotTable(spark, "file://" + tempfile.mkdtemp(prefix="spark-table-"), "k long, ts timestamp_ntz", day="ts")
+    rows = [(k, day(d, h)) for k, (d, h) in enumerate([(1, 5), (2, 5), (3, 5), (3, 18), (4, 1), (9, 3)])] + [(99, None)]
+    table.apply(lambda old: spark.createDataFrame(rows, "k long, ts timestamp_ntz"), 0)
+    before = table._state()[1]["parts"]
+    table.apply(T.retain("2026-01-10 12:00:00", "ts", 7), 1)
+    after = table._state()[1]["parts"]
+    assert sorted(r.k for r in table.read().collect()) == [3, 4, 5]
+    assert sorted(after) == ["2026-01-03", "2026-01-04", "2026-01-09"]
+    assert [after[d] == before[d] for d in sorted(after)] == [False, True, True]
+
+
+def test_sinks_do_not_hinge_on_row_order(spark):
+    rows = [(1, "b", 2), (1, "a", 2), (1, "c", 1), (2, None, 5), (2, "z", 5)]
+    got = set()
+    for order in (rows, rows[::-1]):
+        new = spark.createDataFrame(order, "k long, a string, n long").repartition(1)
+        old = spark.createDataFrame([(1, "x", 0), (2, "x", 0)], "k long, a string, n long")
+        got.add(str(sorted(map(str, T.update_latest(new, ["k"], "n")(old).collect()))))
+        got.add("first" + str(sorted(map(str, T.keep_first(new, ["k"])(old.limit(0)).collect()))))
+    assert len(got) == 2
+
+
+def test_replayed_stream_comes_in_order(spark):
+    from remitspark.sources.streams import arrivals
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    seen = []
+    from remitspark.sources.streams import raw_stream
+
+    q = raw_stream(spark, sf).writeStream.foreachBatch(lambda df, b: seen.append(df.agg(F.min("ts"), F.max("ts"), F.count("*")).first())).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-ck-")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(seen) > 1 and sum(r[2] for r in seen) == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert all(a[1] <= b[0] for a, b in zip(seen, seen[1:]))
+    assert arrivals(spark, sf, "events", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string", ["ts", "event_id"]).startswith("file:")
+
+
+def test_rate_and_lag(spark):
+    rows = [(i, at(i * 5), lag) for i, lag in enumerate([0, 3, -7, 61, 60, 12])]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, lag long")
+    w = {r.window_start: r for r in N.rate_and_lag(df, F.timestamp_seconds(F.unix_timestamp("ts") + F.col("lag")), "60 seconds", "60 seconds").collect()}
+    r = w[at(0)]
+    assert (r.n, r.rate, r.p50, r.p99) == (5, 5 / 60, 0, 12)  # lags 0 0 3 12 60: places 1 and 3
+
+
+def test_hash_bucket_is_murmur3(spark):
+    """Buckets by Spark's hash are those of 32-bit Murmur3 with seed 42 over the eight bytes of a long."""
+
+    def murmur3(x):
+        mask, h = 0xFFFFFFFF, 42
+        rot = lambda v, r: ((v << r) | (v >> (32 - r))) & mask
+        for word in (x & mask, x >> 32 & mask):
+            k = rot(word * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+            h = (rot(h ^ k, 13) * 5 + 0xE6546B64) & mask
+        h ^= 8
+        h = (h ^ h >> 16) * 0x85EBCA6B & mask
+        h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+        h ^= h >> 16
+        return h - (1 << 32) if h >> 31 else h
+
+    ids = [0, 1, 2, 77, 10**12, -5, (1 << 62) + 3]
+    got = spark.createDataFrame([(i,) for i in ids], "k long").select((F.abs(F.hash("k")) % 32).alias("b")).collect()
+    assert [r.b for r in got] == [abs(murmur3(i & (1 << 64) - 1)) % 32 for i in ids]
+
+
 def events(spark, rows, path):
     spark.createDataFrame(rows, "ts timestamp, customer_id long, merchant_id string, amount double, discount double").coalesce(1).write.mode("append").parquet(path)
 
@@ -145,7 +240,7 @@ def test_hopping_windows_share_one(spark):
 
 
 def test_duplicate_minutes(spark):
-    make = lambda s: spark.createDataFrame([(at(x), 1, "m", 5.0) for x in s], "ts timestamp, customer_id long, merchant_id string, amount double")
+    make = lambda s: spark.createDataFrame([(x, at(x), 1, "m", 5.0) for x in s], "event_id long, ts timestamp, customer_id long, merchant_id string, amount double")
     assert N.duplicate_cases(make([1, 20, 40])).count() == 1
     assert N.duplicate_cases(make([20, 40, 61])).count() == 0
 
