@@ -7,10 +7,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Ranges of values that a group's running counts are cut into.
+BUCKETS = 64
+
+
+def running(df: DataFrame, value: str, keys: list[str], counts: dict[str, Column]) -> DataFrame:
+    """(keys, value, counts, running counts ``<name>_upto``, totals ``<name>_all``) for each different value of a group,
+    nulls left out. Equal values are combined first; the rest is cut into ranges of values by approximate quantiles, so
+    that a large group is many tasks' work: ranges are summed up, and a window runs inside each range only."""
+    names = list(counts)
+    ties = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()])
+    cuts = ties.groupBy(*keys).agg(F.percentile_approx(value, [k / BUCKETS for k in range(1, BUCKETS)], 1000).alias("cuts_"))
+    side = cuts.select(*[F.col(k).alias(f"{k}_k") for k in keys], "cuts_")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_k")) for k in keys]
+    t = ties.join(side, same) if keys else ties.crossJoin(F.broadcast(side))  # without keys one row
+    t = t.withColumn("range_", F.size(F.filter("cuts_", lambda c: c < F.col(value)))).drop("cuts_", *[f"{k}_k" for k in keys])
+    sums = t.groupBy(*keys, "range_").agg(*[F.sum(n).alias(f"{n}_s") for n in names])
+    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))  # at most BUCKETS rows a group
+    before = whole.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"{k}_k") for k in keys], F.col("range_").alias("range_k"), *[F.coalesce(F.sum(f"{n}_s").over(before), F.lit(0)).alias(f"{n}_before") for n in names], *[F.sum(f"{n}_s").over(whole).alias(f"{n}_all") for n in names])
+    t = t.join(sums, [*same, F.col("range_") == F.col("range_k")])
+    inside = W.partitionBy(*keys, "range_").orderBy(value)
+    return t.select(*keys, value, *names, *[(F.col(f"{n}_before") + F.sum(n).over(inside)).alias(f"{n}_upto") for n in names], *[f"{n}_all" for n in names])
+
+
 def ranked(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """df with 1-based rank ``rn`` of the value inside each group and the group's size ``n`` (nulls left out)."""
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    return df.where(F.col(value).isNotNull()).withColumn("rn", F.row_number().over(w.orderBy(value))).withColumn("n", F.count("*").over(w))
+    """(keys, value, first, last, n): the 1-based ranks that each different value of a group takes, and its size."""
+    t = running(df, value, keys, {"c": F.count("*")})
+    return t.select(*keys, value, (F.col("c_upto") - F.col("c") + 1).alias("first"), F.col("c_upto").alias("last"), F.col("c_all").alias("n"))
+
+
+def holds(place: Column) -> Column:
+    """Whether a row of ``ranked`` takes the 0-based place."""
+    return place.between(F.col("first") - 1, F.col("last") - 1)
 
 
 #: 0-based index into n sorted values of the p-quantile, by convention.
@@ -24,9 +53,14 @@ CONVENTIONS = {
 
 def nearest_rank(df: DataFrame, value: str, keys: list[str], p: float, convention: str, name: str) -> DataFrame:
     """One row a group: the value at the convention's index."""
+    return nearest_ranks(df, value, keys, {name: (p, convention)})
+
+
+def nearest_ranks(df: DataFrame, value: str, keys: list[str], picks: dict[str, tuple[float, str]]) -> DataFrame:
+    """One row a group: the values at several indexes, from one ranking."""
     t = ranked(df, value, keys)
-    at = CONVENTIONS[convention](F.col("n"), F.lit(p))
-    return t.where(F.col("rn") - 1 == at).select(*keys, F.col(value).alias(name))
+    picked = [F.max(F.when(holds(CONVENTIONS[c](F.col("n"), F.lit(p))), F.col(value))).alias(name) for name, (p, c) in picks.items()]
+    return t.groupBy(*keys).agg(*picked)
 
 
 def band(x: Column, cuts: list[tuple[float, str]], low: str) -> Column:

@@ -41,9 +41,11 @@ def sla_tick(as_of: Column, target: Column, breached_at: Column) -> dict[str, Co
 
 
 def revenue_impact(amount: Column, severity: Column, ops_cost: float = 12.0) -> tuple[Column, Column]:
-    """Revenue at stake (0.8 of the amount when severe, else 0.5) and what is left after the cost of a case."""
-    at_stake = F.when(severity.isin("critical", "high"), 0.8).otherwise(0.5) * amount.cast("double")
-    return F.bround(at_stake, 2), F.bround(at_stake - ops_cost, 2)
+    """Revenue at stake (0.8 of the amount when severe, else 0.5) and what is left after the cost of a case, in decimals,
+    half cents to the even cent."""
+    share = F.when(severity.isin("critical", "high"), F.lit("0.8").cast("decimal(2,1)")).otherwise(F.lit("0.5").cast("decimal(2,1)"))
+    at_stake = share * amount.cast("decimal(18,2)")
+    return F.bround(at_stake, 2), F.bround(at_stake - F.lit(str(ops_cost)).cast("decimal(10,2)"), 2)
 
 
 #: Which status may follow which.
@@ -53,3 +55,12 @@ LEGAL = {"open": ("under_review", "resolved"), "under_review": ("resolved", "ope
 def transition(current: Column, to: str) -> Column:
     """Whether a case may move on to ``to``."""
     return current.isin(*[a for a, b in LEGAL.items() if to in b])
+
+
+def vote(tp: Column, fp: Column, n: Column, base: float) -> list[Column]:
+    """Vote, weight and confidence from the dispositions of n retrieved cases, blended with a prior confidence."""
+    weight = F.least(F.lit(1.0), n / F.lit(5.0))
+    thin, for_tp, for_fp = n < 2, tp * 10 >= n * 7, fp * 10 >= n * 7
+    says = F.when(thin, "prior").when(for_tp, "true_positive").when(for_fp, "false_positive").otherwise("needs_more_info")
+    level = F.when(for_tp, 0.85).when(for_fp, 0.75).otherwise(0.5)
+    return [says.alias("vote"), weight.alias("weight"), F.round(F.when(thin, base).otherwise(base * (1 - weight) + level * weight), 2).alias("confidence")]

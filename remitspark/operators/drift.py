@@ -3,24 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from remitspark.functions.stats import band, running
+
 SEVERITY = [(0.40, "alert"), (0.20, "warn"), (0.10, "watch")]
 
 
 def ks_statistic(samples: DataFrame, feature: str = "feature", value: str = "value", current: str = "is_current") -> DataFrame:
     """One row a feature: sizes of both samples and the largest gap between their distribution functions.
 
-    Equal values are combined first, so that the window sorts distinct values of a feature only.
+    Equal values are combined first, and distribution functions are summed up over ranges of values (``running``), so
+    that a feature is not one task's work.
     """
     c = F.col(current)
-    ties = samples.where(F.col(value).isNotNull()).groupBy(feature, value).agg(F.count_if(c).alias("a"), F.count_if(~c).alias("b"))
-    w = W.partitionBy(feature).orderBy(value)
-    whole = W.partitionBy(feature)
-    t = ties.select(feature, F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"), F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"))
-    gap = F.coalesce(F.abs(F.try_divide("ca", "na") - F.try_divide("cb", "nb")), F.lit(0.0))
-    g = t.groupBy(feature).agg(F.max("na").alias("n_current"), F.max("nb").alias("n_baseline"), F.max(gap).alias("d"))
+    t = running(samples, value, [feature], {"a": F.count_if(c), "b": F.count_if(~c)})
+    gap = F.coalesce(F.abs(F.try_divide("a_upto", "a_all") - F.try_divide("b_upto", "b_all")), F.lit(0.0))
+    g = t.groupBy(feature).agg(F.max("a_all").alias("n_current"), F.max("b_all").alias("n_baseline"), F.max(gap).alias("d"))
     return g.withColumn("d", F.when((F.col("n_current") == 0) | (F.col("n_baseline") == 0), 0.0).otherwise(F.col("d")))
 
 
@@ -34,10 +33,9 @@ def ks_p_value(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
 
 
 def severity(d: Column) -> Column:
-    from remitspark.functions.stats import band
-
     return band(d, SEVERITY, "none")
 
 
 def recommended_action(level: Column, consumers: Column) -> Column:
-    return F.when((level == "alert") & (consumers > 0), "block_promotion").when(level == "alert", "investigate").when(level == "warn", "schedule_review").when(level == "watch", "monitor").otherwise("none")
+    """An alert that somebody reads is for whoever is on call; an alert nobody reads and a warning are to be investigated."""
+    return F.when((level == "alert") & (consumers > 0), "alert_oncall").when(level.isin("alert", "warn"), "investigate").otherwise("monitor")

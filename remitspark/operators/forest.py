@@ -11,9 +11,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SAMPLE = 256
+#: Rows from which all trees draw their samples.
+POOL = 20_000
 
 
 def average_path(n: float) -> float:
@@ -42,14 +45,16 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> list[list[float]]:
 
 
 def fit(df: DataFrame, features: list[str], trees: int = 200, sample: int = SAMPLE, seed: int = 7, row_id: str | None = None) -> DataFrame:
-    """(tree, nodes): one row a tree. Rows are dealt to trees by a hash of their ``row_id`` (unique in df;
-    without one, of their place in df), equal features or not, so that no tree sees more than its sample by much, and
-    the smallest hashes of a tree are its sample."""
-    n = max(df.count(), 1)
-    share = min(1.0, 2.0 * sample / n)  # enough candidates a tree, not the table for each tree
-    key = F.xxhash64(F.col("_id"), F.col("tree"), F.lit(seed))
-    t = df.select((F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("_id"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    t = t.withColumn("h", key).where((F.shiftrightunsigned("h", 11) / float(1 << 53)) < share)
+    """(tree, nodes): one row a tree, each on a uniform sample of rows. The table is read once for a pool of
+    ``POOL`` rows (the smallest hashes of ``row_id``, unique in df; without one, of their place in df); each tree then
+    takes the smallest hashes of (row, tree) in the pool, so that nothing is multiplied by trees but the pool."""
+    key = F.col(row_id) if row_id else F.monotonically_increasing_id()
+    t = df.select(key.alias("_id"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    pool = t.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(POOL)
+    n = F.count("*").over(W.partitionBy(F.lit(0)))  # the pool is bounded
+    share = F.least(F.lit(1.0), F.lit(3.0 * sample) / F.col("n"))
+    t = pool.withColumn("n", n).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("h", F.xxhash64("_id", "tree", F.lit(seed)))
+    t = t.where((F.shiftrightunsigned("h", 11) / float(1 << 53)) < share)
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         tree = int(p["tree"].iloc[0])

@@ -6,15 +6,21 @@ Hits carry rule_type, customer_id, transaction_id (null for grouped rules) and e
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def mismatched_discount(min_discount: float = 0.0) -> Column:
+    return (F.col("discount") > min_discount) & (F.size(F.coalesce("promotions", F.array().cast("array<string>"))) == 0)
+
+
 def discount_mismatch(txn: DataFrame, min_discount: float = 0.0) -> DataFrame:
     """Discounted although no promotion was active at billing."""
-    return txn.where((F.col("discount") > min_discount) & (F.size(F.coalesce("promotions", F.array().cast("array<string>"))) == 0))
+    return txn.where(mismatched_discount(min_discount))
 
 
 def velocity_anomaly(txn: DataFrame, as_of, window_seconds: int = 300, max_transactions: int = 5, group_by: tuple[str, ...] = ("customer_id", "merchant_id")) -> DataFrame:
@@ -28,21 +34,36 @@ def amount_outlier(txn: DataFrame, multiplier: float = 3.0, lookback_days: int =
     """Farther from the customer's earlier mean than ``multiplier`` sample deviations (no deviation counts as 0)."""
     if as_of is not None:
         txn = txn.where(F.col("ts") >= as_of - F.expr(f"INTERVAL {lookback_days} DAYS"))
+    return with_history(txn).where(outlying(multiplier, minimum_history))
+
+
+def with_history(txn: DataFrame) -> DataFrame:
+    """Count, mean and sample deviation of the customer's amounts before each row."""
     before = W.partitionBy("customer_id").orderBy("ts", "transaction_id").rowsBetween(W.unboundedPreceding, -1)
     x = F.col("amount").cast("double")
-    t = txn.withColumn("n_before", F.count("amount").over(before)).withColumn("mean_before", F.avg(x).over(before)).withColumn("std_before", F.coalesce(F.stddev_samp(x).over(before), F.lit(0.0)))
-    return t.where((F.col("n_before") >= minimum_history) & (F.abs(x - F.col("mean_before")) > multiplier * F.col("std_before")))
+    return txn.withColumn("n_before", F.count("amount").over(before)).withColumn("mean_before", F.avg(x).over(before)).withColumn("std_before", F.coalesce(F.stddev_samp(x).over(before), F.lit(0.0)))
+
+
+def outlying(multiplier: float = 3.0, minimum_history: int = 10) -> Column:
+    return (F.col("n_before") >= minimum_history) & (F.abs(F.col("amount").cast("double") - F.col("mean_before")) > multiplier * F.col("std_before"))
+
+
+def missing_entitlements() -> Column:
+    return F.array_except("purchased", F.coalesce("entitled", F.array().cast("array<bigint>")))
 
 
 def entitlement_mismatch(txn: DataFrame) -> DataFrame:
     """Purchased references that are not all entitled; needs arrays ``purchased`` and ``entitled``."""
-    missing = F.array_except("purchased", F.coalesce("entitled", F.array().cast("array<bigint>")))
-    return txn.withColumn("missing", missing).where(F.size("missing") > 0)
+    return txn.withColumn("missing", missing_entitlements()).where(F.size("missing") > 0)
 
 
 def geographic_anomaly(txn: DataFrame) -> DataFrame:
     """Transaction state present and not the home state (an unknown home counts as different)."""
-    return txn.where(F.col("txn_state").isNotNull() & ~F.col("txn_state").eqNullSafe(F.col("home_state")))
+    return txn.where(away())
+
+
+def away() -> Column:
+    return F.col("txn_state").isNotNull() & ~F.col("txn_state").eqNullSafe(F.col("home_state"))
 
 
 def duplicate_transaction(txn: DataFrame, window_seconds: int = 60, fields: tuple[str, ...] = ("customer_id", "merchant_id", "amount")) -> DataFrame:
@@ -53,15 +74,23 @@ def duplicate_transaction(txn: DataFrame, window_seconds: int = 60, fields: tupl
 
 def termination_fee_check(txn: DataFrame, min_amount: float = 50.0, delta_tolerance: float = 0.0) -> DataFrame:
     """A termination fee inside the lock-in, or billed off the expected fee by more than the tolerance."""
+    return txn.where(doubtful_fee(min_amount, delta_tolerance))
+
+
+def doubtful_fee(min_amount: float = 50.0, delta_tolerance: float = 0.0) -> Column:
     fee = (F.col("txn_type") == "termination_fee") & (F.col("amount") >= min_amount)
     off = F.abs(F.coalesce(F.col("billed_delta"), F.lit(0))) > delta_tolerance
-    return txn.where(fee & (F.coalesce("lock_in", F.lit(False)) | off))
+    return fee & (F.coalesce("lock_in", F.lit(False)) | off)
 
 
 def unearned_earned_segregation(txn: DataFrame, types: tuple[str, ...] = ("subscription_charge", "addon_charge", "addon_purchase"), tolerance: float = 0.5) -> DataFrame:
     """The split is missing, or its parts do not sum to the line."""
+    return txn.where(split_off(types, tolerance))
+
+
+def split_off(types: tuple[str, ...] = ("subscription_charge", "addon_charge", "addon_purchase"), tolerance: float = 0.5) -> Column:
     off = F.abs(F.col("earned") + F.col("unearned") - F.col("gross")) > tolerance
-    return txn.where(F.col("txn_type").isin(*types) & (F.col("earned").isNull() | F.col("unearned").isNull() | off))
+    return F.col("txn_type").isin(*types) & (F.col("earned").isNull() | F.col("unearned").isNull() | off)
 
 
 def double_charge_multi_code(items: DataFrame, codes: tuple[str, ...], match: tuple[str, ...] = ("customer_id", "product_ref"), window_seconds: int = 600) -> DataFrame:
@@ -72,26 +101,65 @@ def double_charge_multi_code(items: DataFrame, codes: tuple[str, ...], match: tu
 
 def proration_check(txn: DataFrame, tolerance_pct: float = 0.05) -> DataFrame:
     """A change in mid-cycle whose proration is missing or off by more than the tolerance."""
+    return txn.where(proration_off(tolerance_pct))
+
+
+def proration_off(tolerance_pct: float = 0.05) -> Column:
     off = F.abs(F.col("proration") - F.col("expected_proration")) > tolerance_pct * F.col("expected_proration")
-    return txn.where(F.col("mid_cycle") & (F.col("proration").isNull() | F.col("expected_proration").isNull() | off))
+    return F.col("mid_cycle") & (F.col("proration").isNull() | F.col("expected_proration").isNull() | off)
 
 
-#: Rules that give one row for a transaction; grouped rules are called by name.
+#: All rule types by name, each a function of transactions (``double_charge_multi_code``: of lines) and parameters.
 RULES: dict[str, Callable[..., DataFrame]] = {
     "discount_mismatch": discount_mismatch, "velocity_anomaly": velocity_anomaly, "amount_outlier": amount_outlier, "entitlement_mismatch": entitlement_mismatch,
     "geographic_anomaly": geographic_anomaly, "duplicate_transaction": duplicate_transaction, "termination_fee_check": termination_fee_check,
     "unearned_earned_segregation": unearned_earned_segregation, "double_charge_multi_code": double_charge_multi_code, "proration_check": proration_check,
 }
+#: Those that judge a row by itself or by what ``with_history`` adds to it, as conditions.
+BY_ROW: dict[str, Callable[..., Column]] = {
+    "discount_mismatch": mismatched_discount, "amount_outlier": outlying, "entitlement_mismatch": lambda: F.size(missing_entitlements()) > 0, "geographic_anomaly": away,
+    "termination_fee_check": doubtful_fee, "unearned_earned_segregation": split_off, "proration_check": proration_off,
+}
 
 
-def run_rules(txn: DataFrame, active: list[tuple[str, dict]]) -> DataFrame:
-    """Union of (rule_type, transaction_id, customer_id) over an active rule set; an unknown type is an error."""
-    out = None
-    for kind, params in active:
-        if kind not in RULES:
-            raise KeyError(f"unknown rule type {kind}")
-        hits = RULES[kind](txn, **params).select(F.lit(kind).alias("rule_type"), "transaction_id", "customer_id")
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return txn.select(F.lit("").alias("rule_type"), "transaction_id", "customer_id").where("false")
-    return out
+@dataclass(frozen=True)
+class Rule:
+    kind: str
+    params: dict = field(default_factory=dict)
+    mode: str = "active"
+    enabled: bool = True
+
+
+def run_rules(txn: DataFrame, rules: list[Rule], lines: DataFrame | None = None) -> DataFrame:
+    """Hits (rule_type, mode, transaction_id, customer_id) of the enabled rules; shadow rules are told by their mode, an
+    unknown type is an error. All rules that judge rows are one pass over the transactions; grouped rules follow, each an
+    aggregation, and give a row a group, without a transaction. ``lines``: what double charges are looked for in."""
+    for r in rules:
+        if r.kind not in RULES:
+            raise KeyError(f"unknown rule type {r.kind}")
+    on = [r for r in rules if r.enabled]
+    rows, out = [r for r in on if r.kind in BY_ROW], []
+    none = lambda kind: F.lit(None).cast(kind)
+    if rows:
+        t = with_history(txn) if any(r.kind == "amount_outlier" for r in rows) else txn
+        name = lambda r: F.struct(F.lit(r.kind).alias("rule_type"), F.lit(r.mode).alias("mode"))
+        fired = F.filter(F.array(*[F.when(BY_ROW[r.kind](**{k: x for k, x in r.params.items() if k not in ("lookback_days", "as_of")}), name(r)) for r in rows]), lambda x: x.isNotNull())
+        out.append(t.select("transaction_id", "customer_id", F.explode(fired).alias("r")).select("r.rule_type", "r.mode", "transaction_id", "customer_id"))
+    for r in on:
+        if r.kind not in BY_ROW:
+            hits = RULES[r.kind](lines if r.kind == "double_charge_multi_code" and lines is not None else txn, **r.params)
+            who = F.col("customer_id") if "customer_id" in hits.columns else none("bigint")
+            out.append(hits.select(F.lit(r.kind).alias("rule_type"), F.lit(r.mode).alias("mode"), none("bigint").alias("transaction_id"), who.alias("customer_id")))
+    if not out:
+        return txn.select(F.lit("").alias("rule_type"), F.lit("").alias("mode"), "transaction_id", "customer_id").where("false")
+    return reduce(DataFrame.unionByName, out)
+
+
+def backtest(latest: DataFrame, rule: Rule, sample_size: int, shown: int = 50) -> DataFrame:
+    """One row: hits of a row rule on the given latest transactions, their share of the sample asked for, and the first
+    hits, newest first."""
+    hits = RULES[rule.kind](latest, **rule.params)
+    first = hits.orderBy(F.desc("ts"), "transaction_id").limit(shown).agg(F.array_sort(F.collect_list(F.struct((-F.unix_timestamp("ts")).alias("t"), "transaction_id"))).alias("x"))  # at most ``shown`` rows
+    g = hits.agg(F.count("*").alias("hit_count"))
+    shown_ids = F.transform("x", lambda e: e["transaction_id"])
+    return g.crossJoin(F.broadcast(first)).select(F.lit(rule.kind).alias("rule_type"), F.lit(sample_size).alias("sample_size"), "hit_count", (F.col("hit_count") / F.lit(float(sample_size))).alias("hit_rate"), shown_ids.alias("hits"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from remitspark.functions import stats as S
 from remitspark.operators import cases as C
+from remitspark.operators.search import top_k
 from remitspark.registry import query
 from remitspark.views import AS_OF_EVENTS, AS_OF_ORDERS, clock, money, seconds, stamp
 
@@ -35,11 +36,18 @@ def cas_02(v):
     return scored(v).select("case_id", stamp("target", "target"))
 
 
-@query("cas_03_revenue_impact", "SELECT case_id, round_even(CASE WHEN severity IN ('critical','high') THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END * CAST(amount AS DOUBLE), 2) AS at_stake, round_even(CASE WHEN severity IN ('critical','high') THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END * CAST(amount AS DOUBLE) - 12, 2) AS net FROM cases WHERE CAST(amount * 100 AS BIGINT) % 10 = 0")
+def even_cents(mills):
+    """SQL: thousandths to cents, halves to the even cent."""
+    return f"CAST(({mills}) // 10 + CASE WHEN ({mills}) % 10 > 5 OR (({mills}) % 10 = 5 AND (({mills}) // 10) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 100"
+
+
+STAKE = "CAST(amount * 100 AS BIGINT) * CASE WHEN severity IN ('critical','high') THEN 8 ELSE 5 END"
+
+
+@query("cas_03_revenue_impact", f"WITH x AS (SELECT case_id, {even_cents(STAKE)} AS at_stake FROM cases) SELECT case_id, at_stake, CAST(round((at_stake - 12) * 100) AS DOUBLE) / 100 AS net FROM x")
 def cas_03(v):
-    """On amounts whose shares are exact to the cent (ties are rounded differently by engines)."""
     stake, net = C.revenue_impact(F.col("amount"), F.col("severity"))
-    return v.case.where((F.col("amount") * 100).cast("long") % 10 == 0).select("case_id", stake.alias("at_stake"), net.alias("net"))
+    return v.case.select("case_id", stake.cast("double").alias("at_stake"), net.cast("double").alias("net"))
 
 
 @query("cas_04_lifecycle", f"SELECT case_id, 1 + CAST(status <> 'open' AS INTEGER) AS events, CASE WHEN status = 'open' THEN 'open' ELSE 'open>' || status END AS path, status IN ('open','under_review') AS may_resolve FROM cases")
@@ -100,11 +108,26 @@ def cas_12(v):
     return t.groupBy("rule_type").agg(F.count("*").alias("n"), F.count_distinct("customer_id").alias("customers"))
 
 
-@query("cas_13_usefulness", "WITH s AS (SELECT case_id, unnest([case_id + 1, case_id + 2]) AS shown FROM cases WHERE status = 'resolved'), h AS (SELECT case_id AS shown, disposition FROM cases WHERE disposition IS NOT NULL) SELECT shown, count(*) AS times_shown, count(*) FILTER (WHERE c.disposition = h.disposition) AS agreed FROM s JOIN h USING (shown) JOIN cases c ON c.case_id = s.case_id GROUP BY 1")
+#: A case's vector is the one with its id. History: cases with a disposition; hits: cosine to six places, the case itself left out.
+HISTORY = """pairs AS (SELECT q.case_id AS query_id, h.case_id AS vec_id, q.status, q.disposition AS mine, h.disposition, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+  FROM cases q JOIN embeddings a ON a.vec_id = q.case_id JOIN cases h ON h.case_id <> q.case_id AND h.disposition IS NOT NULL JOIN embeddings b ON b.vec_id = h.case_id),
+  near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM pairs)"""
+
+
+def similar_history(v, asked, k):
+    """(query_id, vec_id, score, place, disposition): the k past cases most like each case of ``asked``."""
+    e = v.table("embeddings").select("vec_id", "embedding")
+    past = v.case.where("disposition is not null").select(F.col("case_id").alias("vec_id"), "disposition")
+    queries = asked.select(F.col("case_id").alias("query_id")).join(e.withColumnRenamed("vec_id", "query_id"), "query_id")
+    return top_k(queries, e.join(past, "vec_id"), k).join(past, "vec_id")
+
+
+@query("cas_13_usefulness", f"WITH {HISTORY} SELECT vec_id AS shown, count(*) AS times_shown, count(*) FILTER (WHERE mine = disposition) AS useful, count(*) FILTER (WHERE mine <> disposition) AS not_useful FROM near WHERE place <= 3 AND mine IS NOT NULL GROUP BY 1")
 def cas_13(v):
-    shown = v.case.where("status = 'resolved'").select(F.col("disposition").alias("mine"), F.explode(F.array(F.col("case_id") + 1, F.col("case_id") + 2)).alias("shown"))
-    past = v.case.where("disposition is not null").select(F.col("case_id").alias("shown"), "disposition")
-    return shown.join(past, "shown").groupBy("shown").agg(F.count("*").alias("times_shown"), F.count_if(F.col("mine") == F.col("disposition")).alias("agreed"))
+    """Each judged case had three past cases shown: how often those were shown, and how often they were right."""
+    judged = v.case.where("disposition is not null")
+    t = similar_history(v, judged, 3).join(judged.select(F.col("case_id").alias("query_id"), F.col("disposition").alias("mine")), "query_id")
+    return t.groupBy(F.col("vec_id").alias("shown")).agg(F.count("*").alias("times_shown"), F.count_if(F.col("mine") == F.col("disposition")).alias("useful"), F.count_if(F.col("mine") != F.col("disposition")).alias("not_useful"))
 
 
 @query("cas_14_classification", "SELECT case_id, CASE WHEN len(rules) >= 3 OR severity = 'critical' THEN 'complex' WHEN len(rules) = 2 THEN 'moderate' ELSE 'simple' END AS complexity, CASE WHEN amount > 250000 THEN 'strong' WHEN amount > 50000 THEN 'medium' ELSE 'weak' END AS evidence, (len(rules) >= 3 OR severity = 'critical') AND NOT list_contains(rules, 'duplicate_transaction') AS deep_path FROM cases")
@@ -117,12 +140,16 @@ def cas_14(v):
     )
 
 
-@query("cas_15_disposition_vote", "WITH p AS (SELECT a.case_id, b.disposition FROM (SELECT case_id, unnest(range(case_id + 1, case_id + 6)) AS other FROM cases WHERE status = 'open') a JOIN cases b ON b.case_id = a.other WHERE b.disposition IS NOT NULL) SELECT case_id, count(*) AS n, CASE WHEN count(*) FILTER (WHERE disposition = 'true_positive') * 10 >= count(*) * 7 THEN 'true_positive' WHEN count(*) FILTER (WHERE disposition = 'false_positive') * 10 >= count(*) * 7 THEN 'false_positive' ELSE 'undecided' END AS vote, count(*) / 5.0::DOUBLE AS weight FROM p GROUP BY 1")
+@query("cas_15_disposition_vote", f"""WITH {HISTORY}, g AS (SELECT query_id AS case_id, count(*) AS n, count(*) FILTER (WHERE disposition = 'true_positive') AS tp, count(*) FILTER (WHERE disposition = 'false_positive') AS fp FROM near WHERE place <= 5 AND status = 'open' GROUP BY 1),
+  w AS (SELECT *, least(1.0::DOUBLE, n / 5.0::DOUBLE) AS weight, n < 2 AS thin, tp * 10 >= n * 7 AS for_tp, fp * 10 >= n * 7 AS for_fp FROM g)
+  SELECT case_id, n, tp, fp, CASE WHEN thin THEN 'prior' WHEN for_tp THEN 'true_positive' WHEN for_fp THEN 'false_positive' ELSE 'needs_more_info' END AS vote, weight,
+  round(CASE WHEN thin THEN 0.6::DOUBLE ELSE 0.6::DOUBLE * (1 - weight) + CASE WHEN for_tp THEN 0.85::DOUBLE WHEN for_fp THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END * weight END, 2) AS confidence FROM w""")
 def cas_15(v):
-    a = v.case.where("status = 'open'").select("case_id", F.explode(F.sequence(F.col("case_id") + 1, F.col("case_id") + 5)).alias("other"))
-    b = v.case.where("disposition is not null").select(F.col("case_id").alias("other"), "disposition")
-    tp, fp, n = F.count_if(F.col("disposition") == "true_positive"), F.count_if(F.col("disposition") == "false_positive"), F.count("*")
-    return a.join(b, "other").groupBy("case_id").agg(n.alias("n"), F.when(tp * 10 >= n * 7, "true_positive").when(fp * 10 >= n * 7, "false_positive").otherwise("undecided").alias("vote"), (n / F.lit(5.0)).alias("weight"))
+    """Dispositions of the five past cases most like an open one. Seven in ten of a kind decide; the prior confidence of
+    0.6 gives way to what the vote says as more cases are found. Fewer than two leave the prior alone."""
+    found = similar_history(v, v.case.where("status = 'open'"), 5)
+    g = found.groupBy(F.col("query_id").alias("case_id")).agg(F.count("*").alias("n"), F.count_if(F.col("disposition") == "true_positive").alias("tp"), F.count_if(F.col("disposition") == "false_positive").alias("fp"))
+    return g.select("case_id", "n", "tp", "fp", *C.vote(F.col("tp"), F.col("fp"), F.col("n"), 0.6))
 
 
 @query("cas_16_trace_summary", "WITH f AS (SELECT conv_id, role, min(turn) AS t, count(*) AS n FROM conversations GROUP BY 1, 2) SELECT conv_id, list_aggregate(list(role ORDER BY t, role), 'string_agg', '>') AS path, count(*) AS nodes, CAST(sum(n) AS BIGINT) AS steps FROM f GROUP BY 1")
@@ -191,19 +218,19 @@ def enr_02(v):
 @query("enr_03_batch_totals", "SELECT t.transaction_id, CAST(coalesce(s.net, t.total) AS DOUBLE) AS total, s.net IS NULL AS fallback FROM txn t LEFT JOIN (SELECT transaction_id, sum(line_total - discount + line_total * tax_rate) AS net FROM items GROUP BY 1) s USING (transaction_id)")
 def enr_03(v):
     s = v.items.groupBy("transaction_id").agg(F.sum(F.col("line_total") - F.col("discount") + F.col("line_total") * F.col("tax_rate")).alias("net"))
-    return v.txn.join(s, "transaction_id", "left").select("transaction_id", F.coalesce("net", "total").cast("double").alias("total"), F.col("net").isNull().alias("fallback"))
+    return v.bill.join(s, "transaction_id", "left").select("transaction_id", F.coalesce("net", "total").cast("double").alias("total"), F.col("net").isNull().alias("fallback"))
 
 
 @query("enr_04_batch_signals", "SELECT transaction_id, n_before = 0 AND txn_type = 'ppv_charge' AS first_ppv FROM (SELECT *, count(*) FILTER (WHERE txn_type = 'ppv_charge') OVER (PARTITION BY customer_id ORDER BY ts, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_before FROM txn)")
 def enr_04(v):
     w = W.partitionBy("customer_id").orderBy("ts", "transaction_id").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum((F.col("txn_type") == "ppv_charge").cast("int")).over(w), F.lit(0))
-    return v.txn.select("transaction_id", ((before == 0) & (F.col("txn_type") == "ppv_charge")).alias("first_ppv"))
+    return v.bill.select("transaction_id", ((before == 0) & (F.col("txn_type") == "ppv_charge")).alias("first_ppv"))
 
 
 @query("enr_05_cycle_id", f"SELECT transaction_id, 'cyc_' || customer_id || '_' || strftime(ts, '%Y%m') AS cycle_id, {T("date_trunc('month', ts)")} AS cycle_start, CAST(day(last_day(ts)) AS INTEGER) AS days FROM txn")
 def enr_05(v):
-    return v.txn.select("transaction_id", F.concat(F.lit("cyc_"), "customer_id", F.lit("_"), F.date_format("ts", "yyyyMM")).alias("cycle_id"), stamp(F.date_trunc("month", "ts"), "cycle_start"), F.dayofmonth(F.last_day("ts")).alias("days"))
+    return v.bill.select("transaction_id", F.concat(F.lit("cyc_"), "customer_id", F.lit("_"), F.date_format("ts", "yyyyMM")).alias("cycle_id"), stamp(F.date_trunc("month", "ts"), "cycle_start"), F.dayofmonth(F.last_day("ts")).alias("days"))
 
 
 @query("enr_06_primary_entity", "SELECT customer_id, coalesce(CASE WHEN customer_id % 3 = 0 THEN NULL ELSE entity END, segment) AS primary_entity FROM cust")
@@ -216,7 +243,7 @@ def enr_06(v):
 @query("enr_08_commercial_buckets", "SELECT customer_id, (rn - 1) // 5 AS bucket, count(*) AS n, count(*) >= 4 AS near_cap, count(*) FILTER (WHERE txn_type = 'ppv_charge') AS ppv FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY ts, transaction_id) rn FROM txn JOIN cust USING (customer_id) WHERE customer_type = 'commercial') GROUP BY 1, 2")
 def enr_08(v):
     w = W.partitionBy("customer_id").orderBy("ts", "transaction_id")
-    t = v.txn.join(v.customer.where("customer_type = 'commercial'").select("customer_id"), "customer_id").withColumn("bucket", F.floor((F.row_number().over(w) - 1) / 5))
+    t = v.bill.join(v.customer.where("customer_type = 'commercial'").select("customer_id"), "customer_id").withColumn("bucket", F.floor((F.row_number().over(w) - 1) / 5))
     return t.groupBy("customer_id", "bucket").agg(F.count("*").alias("n"), (F.count("*") >= 4).alias("near_cap"), F.count_if(F.col("txn_type") == "ppv_charge").alias("ppv"))
 
 
@@ -231,7 +258,7 @@ def enr_09(v):
 @query("enr_10_mark_quarantined", "SELECT t.transaction_id, c.case_id IS NOT NULL AS quarantined FROM txn t LEFT JOIN (SELECT case_id FROM cases WHERE len(rules) >= 2) c ON c.case_id = t.transaction_id")
 def enr_10(v):
     hit = v.case.where(F.size("rules") >= 2).select(F.col("case_id").alias("transaction_id"), F.array("case_id").alias("case_ids"))
-    return v.txn.join(hit, "transaction_id", "left").select("transaction_id", F.col("case_ids").isNotNull().alias("quarantined"))
+    return v.bill.join(hit, "transaction_id", "left").select("transaction_id", F.col("case_ids").isNotNull().alias("quarantined"))
 
 
 @query("cyc_01_trailing_cycles", f"SELECT customer_id, 'cyc_' || customer_id || '_' || strftime(TIMESTAMP '2001-08-01' - to_months(CAST(k AS INTEGER)), '%Y%m') AS cycle_id, CASE WHEN k = 0 THEN 'open' ELSE 'billed' END AS status FROM cust, range(6) r(k)")
@@ -243,18 +270,18 @@ def cyc_01(v):
 
 @query("cyc_02_cycle_counters", "SELECT customer_id, strftime(ts, '%Y%m') AS cycle, count(*) AS n, CAST(sum(total) AS DOUBLE) AS total FROM txn GROUP BY 1, 2")
 def cyc_02(v):
-    return v.txn.groupBy("customer_id", F.date_format("ts", "yyyyMM").alias("cycle")).agg(F.count_distinct("transaction_id").alias("n"), F.sum("total").cast("double").alias("total"))
+    return v.bill.groupBy("customer_id", F.date_format("ts", "yyyyMM").alias("cycle")).agg(F.count_distinct("transaction_id").alias("n"), F.sum("total").cast("double").alias("total"))
 
 
 @query("cyc_03_status_timeline", "SELECT customer_id, strftime(ts, '%Y%m') AS cycle, list_aggregate(list(status ORDER BY ts, transaction_id), 'string_agg', '>') AS timeline, arg_max(status, (ts, transaction_id)) AS current_status FROM txn GROUP BY 1, 2")
 def cyc_03(v):
-    g = v.txn.groupBy("customer_id", F.date_format("ts", "yyyyMM").alias("cycle")).agg(F.array_sort(F.collect_list(F.struct("ts", "transaction_id", "status"))).alias("x"))
+    g = v.bill.groupBy("customer_id", F.date_format("ts", "yyyyMM").alias("cycle")).agg(F.array_sort(F.collect_list(F.struct("ts", "transaction_id", "status"))).alias("x"))
     return g.select("customer_id", "cycle", F.array_join(F.transform("x", lambda e: e["status"]), ">").alias("timeline"), F.element_at("x", -1)["status"].alias("current_status"))
 
 
 @query("cyc_04_expected_vs_billed", "WITH c AS (SELECT customer_id, strftime(ts, '%Y%m') AS cycle, sum(total) AS billed, sum(CASE WHEN txn_type = 'subscription_charge' THEN total ELSE 0 END) AS subscription FROM txn GROUP BY 1, 2) SELECT customer_id, cycle, CAST(billed AS DOUBLE) AS billed, CAST(subscription AS DOUBLE) AS subscription, CAST(billed - lag(billed) OVER (PARTITION BY customer_id ORDER BY cycle) AS DOUBLE) AS delta FROM c")
 def cyc_04(v):
-    g = v.txn.groupBy("customer_id", F.date_format("ts", "yyyyMM").alias("cycle")).agg(F.sum("total").alias("billed"), F.sum(F.when(F.col("txn_type") == "subscription_charge", F.col("total")).otherwise(0)).alias("subscription"))
+    g = v.bill.groupBy("customer_id", F.date_format("ts", "yyyyMM").alias("cycle")).agg(F.sum("total").alias("billed"), F.sum(F.when(F.col("txn_type") == "subscription_charge", F.col("total")).otherwise(0)).alias("subscription"))
     w = W.partitionBy("customer_id").orderBy("cycle")
     return g.select("customer_id", "cycle", F.col("billed").cast("double").alias("billed"), F.col("subscription").cast("double").alias("subscription"), (F.col("billed") - F.lag("billed").over(w)).cast("double").alias("delta"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from remitspark.functions import stats as S
 from remitspark.operators import drift as K
 from remitspark.operators.joins import as_of_join
+from remitspark.operators.search import Search, completions, near_names, top_k
 from remitspark.plans.relational import LAB, PUR, error_labels, purchases
 from remitspark.registry import query
 from remitspark.views import AS_OF_EVENTS, AS_OF_ORDERS, clock, seconds, stamp
@@ -22,13 +23,13 @@ NOW = f"TIMESTAMP '{AS_OF_EVENTS}'"
 def cus_01(v):
     month = F.date_format(F.add_months(F.lit("2001-07-01").cast("date"), -F.col("k")), "yyyy-MM")
     spine = v.customer.select("customer_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")).select("customer_id", month.alias("month"))
-    g = v.txn.where("status = 'settled'").groupBy("customer_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum("total").alias("s"), F.count_if(F.col("txn_type") == "ppv_charge").alias("ppv"))
+    g = v.bill.where("status = 'settled'").groupBy("customer_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum("total").alias("s"), F.count_if(F.col("txn_type") == "ppv_charge").alias("ppv"))
     return spine.join(g, ["customer_id", "month"], "left").select("customer_id", "month", F.coalesce("s", F.lit(0)).cast("double").alias("spend"), F.coalesce("ppv", F.lit(0)).alias("ppv"))
 
 
 @query("cus_02_transaction_pattern", f"WITH b AS (SELECT * FROM txn WHERE ts >= TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL 365 DAY), c AS (SELECT customer_id, charge_code, count(*) AS n, row_number() OVER (PARTITION BY customer_id ORDER BY count(*) DESC, charge_code) AS rn FROM b JOIN items USING (transaction_id) GROUP BY 1, 2), k AS (SELECT customer_id, list_aggregate(list(charge_code ORDER BY rn), 'string_agg', ',') AS top_codes FROM c WHERE rn <= 3 GROUP BY 1) SELECT b.customer_id, count(*) AS n, CAST(sum(total) AS DOUBLE) / count(*) AS mean, round(stddev_pop(CAST(total AS DOUBLE)), 4) AS std, {T('min(ts)')} AS first_at, {T('max(ts)')} AS last_at, max(top_codes) AS top_codes FROM b LEFT JOIN k ON k.customer_id = b.customer_id GROUP BY 1")
 def cus_02(v):
-    b = v.txn.where(F.col("ts") >= clock(AS_OF_ORDERS) - F.expr("INTERVAL 365 DAYS"))
+    b = v.bill.where(F.col("ts") >= clock(AS_OF_ORDERS) - F.expr("INTERVAL 365 DAYS"))
     w = W.partitionBy("customer_id").orderBy(F.desc("n"), "charge_code")
     codes = b.select("transaction_id", "customer_id").join(v.items.select("transaction_id", "charge_code"), "transaction_id").groupBy("customer_id", "charge_code").agg(F.count("*").alias("n"))
     top = codes.withColumn("rn", F.row_number().over(w)).where("rn <= 3").groupBy("customer_id").agg(F.array_sort(F.collect_list(F.struct("rn", "charge_code"))).alias("x"))
@@ -63,9 +64,8 @@ def fea_08(v):
 @query("fea_09_freshness", f"WITH a AS (SELECT customer_id, CAST(floor(epoch({NOW})) - floor(epoch(max(ts))) AS BIGINT) AS age FROM ev GROUP BY 1), l AS (SELECT * FROM a ORDER BY age, customer_id LIMIT 200), o AS (SELECT age, row_number() OVER (ORDER BY age) AS rn, count(*) OVER () AS n FROM l) SELECT round(quantile_cont(CAST(age AS DOUBLE), 0.5), 4) AS median, max(CASE WHEN rn = CAST(ceil(0.95 * n) AS BIGINT) THEN age END) AS p95, max(age) AS oldest, count(*) FILTER (WHERE age <= 36000) / count(*)::DOUBLE AS fresh_share FROM o")
 def fea_09(v):
     a = v.event.groupBy("customer_id").agg(seconds(clock(AS_OF_EVENTS), F.max("ts")).alias("age")).orderBy("age", "customer_id").limit(200)
-    t = S.ranked(a, "age", [])
-    p95 = F.max(F.when(F.col("rn") == F.ceil(0.95 * F.col("n")), F.col("age")))
-    return t.agg(F.round(F.percentile("age", 0.5), 4).alias("median"), p95.alias("p95"), F.max("age").alias("oldest"), (F.count_if(F.col("age") <= 36000) / F.count("*").cast("double")).alias("fresh_share"))
+    g = a.agg(F.round(F.percentile("age", 0.5), 4).alias("median"), F.max("age").alias("oldest"), (F.count_if(F.col("age") <= 36000) / F.count("*").cast("double")).alias("fresh_share"))
+    return g.crossJoin(F.broadcast(S.nearest_rank(a, "age", [], 0.95, "ceiling", "p95")))  # one row each
 
 
 @query("fea_10_staleness", f"SELECT c_custkey AS customer_id, coalesce(floor(epoch({NOW})) - floor(epoch(max(ts))) > 7200, true) AS is_stale FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1")
@@ -157,13 +157,13 @@ def cus_08(v):
 
 @query("cus_09_nightly_360", "SELECT customer_type, count(DISTINCT customer_id) AS customers, count(transaction_id) AS txns, CAST(coalesce(sum(total), 0) AS DOUBLE) AS ltv FROM cust LEFT JOIN txn USING (customer_id) GROUP BY 1")
 def cus_09(v):
-    s = v.txn.groupBy("customer_id").agg(F.count("*").alias("k"), F.sum("total").alias("s"))
+    s = v.bill.groupBy("customer_id").agg(F.count("*").alias("k"), F.sum("total").alias("s"))
     return v.customer.join(s, "customer_id", "left").groupBy("customer_type").agg(F.count("customer_id").alias("customers"), F.coalesce(F.sum("k"), F.lit(0)).alias("txns"), F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias("ltv"))
 
 
 @query("cus_10_revenue_by_entity", "WITH m AS (SELECT entity, strftime(ts, '%Y') AS y, sum(total) AS s FROM txn JOIN cust USING (customer_id) GROUP BY 1, 2) SELECT entity, CAST(sum(s) AS DOUBLE) AS revenue, list_aggregate(list(CAST(s AS VARCHAR) ORDER BY y), 'string_agg', '|') AS trend FROM m GROUP BY 1")
 def cus_10(v):
-    m = v.txn.join(v.customer.select("customer_id", "entity"), "customer_id").groupBy("entity", F.date_format("ts", "yyyy").alias("y")).agg(F.sum("total").alias("s"))
+    m = v.bill.join(v.customer.select("customer_id", "entity"), "customer_id").groupBy("entity", F.date_format("ts", "yyyy").alias("y")).agg(F.sum("total").alias("s"))
     g = m.groupBy("entity").agg(F.sum("s").cast("double").alias("revenue"), F.array_sort(F.collect_list(F.struct("y", "s"))).alias("x"))
     return g.select("entity", "revenue", F.array_join(F.transform("x", lambda e: e["s"].cast("string")), "|").alias("trend"))
 
@@ -183,7 +183,7 @@ def cus_12(v):
 
 @query("cus_13_outlet_distribution", "WITH o AS (SELECT customer_id, parent_no, sum(total) AS r FROM cust JOIN txn USING (customer_id) WHERE customer_type = 'commercial' GROUP BY 1, 2) SELECT customer_id, parent_no, CAST(r AS DOUBLE) AS revenue, CAST(r AS DOUBLE) / CAST(sum(r) OVER (PARTITION BY parent_no) AS DOUBLE) AS share FROM o QUALIFY row_number() OVER (ORDER BY r DESC, customer_id) <= 10")
 def cus_13(v):
-    o = v.txn.join(v.customer.where("customer_type = 'commercial'").select("customer_id", "parent_no"), "customer_id").groupBy("customer_id", "parent_no").agg(F.sum("total").alias("r"))
+    o = v.bill.join(v.customer.where("customer_type = 'commercial'").select("customer_id", "parent_no"), "customer_id").groupBy("customer_id", "parent_no").agg(F.sum("total").alias("r"))
     o = o.withColumn("all", F.sum("r").over(W.partitionBy("parent_no"))).orderBy(F.desc("r"), "customer_id").limit(10)
     return o.select("customer_id", "parent_no", F.col("r").cast("double").alias("revenue"), (F.col("r").cast("double") / F.col("all").cast("double")).alias("share"))
 
@@ -201,10 +201,14 @@ def cus_15(v):
     return s.select("customer_id", F.size(F.array_except("new", "old")).cast("long").alias("added"), F.size(F.array_except("old", "new")).cast("long").alias("removed"))
 
 
-@query("cus_16_embedding_freshness", "SELECT vec_id, len(embedding) AS dim, vec_id % 40 AS age_days, embedding IS NULL OR vec_id % 40 > 30 AS is_stale FROM embeddings")
+@query("cus_16_embedding_freshness", f"WITH m AS (SELECT customer_id, min(ts) AS made_at FROM ev GROUP BY 1) SELECT vec_id, len(embedding) AS dim, {T('made_at')} AS made_at, CAST(floor((floor(epoch({NOW})) - floor(epoch(made_at))) / 86400) AS BIGINT) AS age_days, embedding IS NULL OR made_at IS NULL OR floor(epoch({NOW})) - floor(epoch(made_at)) > 29 * 86400 AS is_stale FROM embeddings LEFT JOIN m ON m.customer_id = vec_id")
 def cus_16(v):
-    age = F.col("vec_id") % 40
-    return v.table("embeddings").select("vec_id", F.size("embedding").cast("long").alias("dim"), age.alias("age_days"), (F.col("embedding").isNull() | (age > 30)).alias("is_stale"))
+    """Vectors made when their customer was first seen; stale without a vector, without that time, or over 29 days old."""
+    made = v.event.groupBy(F.col("customer_id").alias("vec_id")).agg(F.min("ts").alias("made_at"))
+    age = seconds(clock(AS_OF_EVENTS), F.col("made_at"))
+    stale = F.col("embedding").isNull() | F.col("made_at").isNull() | (age > 29 * 86400)
+    t = v.table("embeddings").join(made, "vec_id", "left")
+    return t.select("vec_id", F.size("embedding").cast("long").alias("dim"), stamp("made_at", "made_at"), F.floor(age / 86400).alias("age_days"), stale.alias("is_stale"))
 
 
 @query("cus_17_array_element_edit", "SELECT case_id, array_to_string(list_transform(rules, lambda r: CASE WHEN r = 'velocity_anomaly' THEN r || ':dismissed' ELSE r || ':active' END), ',') AS edited FROM cases")
@@ -216,9 +220,8 @@ def cus_17(v):
 
 @query("cus_18_monthly_value", "SELECT transaction_id, CAST(sum(line_total) FILTER (WHERE charge_code = 'CC_SUBSCRIPTION_BASE') AS DOUBLE) AS monthly FROM items GROUP BY 1 HAVING count(*) FILTER (WHERE charge_code = 'CC_SUBSCRIPTION_BASE') > 0")
 def cus_18(v):
-    fees = v.items.where("charge_code = 'CC_SUBSCRIPTION_BASE'").groupBy("transaction_id").agg(F.collect_list("line_total").alias("subs"))
-    total = F.aggregate("subs", F.lit(0).cast("decimal(20,2)"), lambda a, x: (a + x).cast("decimal(20,2)"))
-    return fees.select("transaction_id", total.cast("double").alias("monthly"))
+    t = v.items.where("charge_code = 'CC_SUBSCRIPTION_BASE'").groupBy("transaction_id").agg(F.sum("line_total").cast("double").alias("monthly"))
+    return t
 
 
 # drift
@@ -248,9 +251,20 @@ def drf_02(v):
     return K.ks_statistic(samples(v)).select("feature", F.round(K.ks_p_value(F.col("d"), F.col("n_current").cast("double"), F.col("n_baseline").cast("double")), 6).alias("p"))
 
 
-@query("drf_03_severity", f"WITH {DRIFT} SELECT feature, {level('d * 5')} AS severity FROM ks")
+#: Drift of known size: of the k-th event type the current amounts are raised by k times 8 %.
+SHIFTED = DRIFT.replace("smp AS (SELECT merchant_id AS feature, CAST(amount AS DOUBLE) AS value,", "smp AS (SELECT merchant_id AS feature, CAST(amount * (100 + CASE WHEN ts >= {NOW} - INTERVAL 7 DAY THEN 8 * list_position(['click','error','purchase','signup','view'], merchant_id) ELSE 0 END) AS DOUBLE) AS value,".replace("{NOW}", NOW))
+
+
+def shifted(v):
+    current = F.col("ts") >= clock(AS_OF_EVENTS) - F.expr("INTERVAL 7 DAYS")
+    k = F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.col("merchant_id"))
+    value = (F.col("amount") * (F.lit(100) + F.when(current, 8 * k).otherwise(0))).cast("double")
+    return v.event.select(F.col("merchant_id").alias("feature"), value.alias("value"), current.alias("is_current"))
+
+
+@query("drf_03_severity", f"WITH {SHIFTED} SELECT feature, round(d, 9) AS d, {level('d')} AS severity FROM ks")
 def drf_03(v):
-    return K.ks_statistic(samples(v)).select("feature", K.severity(F.col("d") * 5).alias("severity"))
+    return K.ks_statistic(shifted(v)).select("feature", F.round("d", 9).alias("d"), K.severity(F.col("d")).alias("severity"))
 
 
 CONS = "cons AS (SELECT event_type AS feature, count(DISTINCT user_id) % 3 AS consumers FROM events GROUP BY 1)"
@@ -260,10 +274,10 @@ def consumers(v):
     return v.event.groupBy(F.col("merchant_id").alias("feature")).agg((F.count_distinct("customer_id") % 3).alias("consumers"))
 
 
-@query("drf_04_recommended_action", f"WITH {DRIFT}, {CONS} SELECT feature, CASE WHEN d * 10 >= 0.40 AND consumers > 0 THEN 'block_promotion' WHEN d * 10 >= 0.40 THEN 'investigate' WHEN d * 10 >= 0.20 THEN 'schedule_review' WHEN d * 10 >= 0.10 THEN 'monitor' ELSE 'none' END AS action FROM ks JOIN cons USING (feature)")
+@query("drf_04_recommended_action", f"WITH {SHIFTED}, {CONS} SELECT feature, CASE WHEN d >= 0.40 AND consumers > 0 THEN 'alert_oncall' WHEN d >= 0.20 THEN 'investigate' ELSE 'monitor' END AS action FROM ks JOIN cons USING (feature)")
 def drf_04(v):
-    t = K.ks_statistic(samples(v)).join(consumers(v), "feature")
-    return t.select("feature", K.recommended_action(K.severity(F.col("d") * 10), F.col("consumers")).alias("action"))
+    t = K.ks_statistic(shifted(v)).join(consumers(v), "feature")
+    return t.select("feature", K.recommended_action(K.severity(F.col("d")), F.col("consumers")).alias("action"))
 
 
 TICKS = "tick AS (SELECT merchant_id AS feature, date_trunc('day', ts) AS at_, CAST(avg(CAST(amount AS DOUBLE)) > 60 AS INTEGER) AS sev FROM ev GROUP BY 1, 2)"
@@ -322,61 +336,148 @@ def drf_12(v):
 
 
 # retrieval and text
-@query("txt_01_case_text", "SELECT case_id, 'severity ' || severity || '; rules ' || array_to_string(list_slice(rules, 1, 4), ', ') || CASE WHEN amount > 250000 THEN '; anomaly' ELSE '' END AS text FROM cases")
+def cents(c):
+    return f"(({c}) // 100) || '.' || lpad(CAST(({c}) % 100 AS VARCHAR), 2, '0')"
+
+
+def in_cents(c):
+    """Cents as text with two places."""
+    return F.concat(F.floor(c / 100).cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
+
+
+def whole_cents(c):
+    return F.floor(c * 100).cast("long")
+
+
+def joined(parts, most, sep="; "):
+    return F.array_join(F.slice(parts, 1, most), sep)
+
+
+LINES = f"""li AS (SELECT *, CAST(floor(line_total * 100) AS BIGINT) AS lc, CAST(floor(quantity) AS BIGINT) AS q, CAST(floor(discount * 100) AS BIGINT) AS dc FROM items),
+  tl AS (SELECT transaction_id, count(*) AS n, CAST(sum(lc) AS BIGINT) AS lc, CAST(sum(dc) AS BIGINT) AS dc, list_aggregate(list_sort(list(DISTINCT charge_code)), 'string_agg', ', ') AS codes,
+  list_aggregate(list_slice(list(charge_code || ' x' || q || ' @' || {cents('lc // greatest(q, 1)')} || '=' || {cents('lc')} ORDER BY line_no, product_ref, merchant_id, lc), 1, 8), 'string_agg', '; ') AS lines,
+  list_aggregate(list_slice(list('PROMO_' || (product_ref % 3) || ':percent=' || {cents('dc')} ORDER BY line_no, product_ref, merchant_id, lc) FILTER (WHERE dc > 0), 1, 6), 'string_agg', '; ') AS discounts FROM li GROUP BY 1)"""
+
+
+def told_lines(v):
+    """Per transaction: lines (at most 8), discounts (at most 6), codes and sums as text; a transaction has few lines."""
+    t = v.items.select("transaction_id", "line_no", "product_ref", "merchant_id", "charge_code", whole_cents(F.col("line_total")).alias("lc"), F.floor("quantity").cast("long").alias("q"), whole_cents(F.col("discount")).alias("dc"))
+    unit = F.floor(F.col("lc") / F.greatest(F.col("q"), F.lit(1)))
+    line = F.concat("charge_code", F.lit(" x"), "q", F.lit(" @"), in_cents(unit), F.lit("="), in_cents(F.col("lc")))
+    promo = F.when(F.col("dc") > 0, F.concat(F.lit("PROMO_"), F.col("product_ref") % 3, F.lit(":percent="), in_cents(F.col("dc"))))
+    g = t.groupBy("transaction_id").agg(
+        F.count("*").alias("n"), F.sum("lc").alias("lc"), F.sum("dc").alias("dc"), F.array_join(F.array_sort(F.collect_set("charge_code")), ", ").alias("codes"),
+        F.array_sort(F.collect_list(F.struct("line_no", "product_ref", "merchant_id", "lc", line.alias("line"), promo.alias("promo")))).alias("x"),
+    )
+    promos = F.filter(F.transform("x", lambda e: e["promo"]), lambda p: p.isNotNull())
+    return g.select("transaction_id", "n", "lc", "dc", "codes", joined(F.transform("x", lambda e: e["line"]), 8).alias("lines"), joined(promos, 6).alias("discounts"))
+
+
+TOLD = f"""{LINES}, told AS (SELECT c.*, tl.n, codes, tl.lines, coalesce(discounts, '') AS discounts, coalesce(tl.dc * 2 > tl.lc, false) AS anomaly, k.customer_type, k.lifetime_quarantine_count AS prior, t.txn_type,
+  list_aggregate(list_transform(c.rules, lambda r: r || ' (amount=' || {cents('CAST(floor(c.amount * 100) AS BIGINT)')} || ', lines=' || coalesce(tl.n, 0) || ', severity=' || severity || ', type=' || t.txn_type || ')'), 'string_agg', '; ') AS told_rules
+  FROM cases c LEFT JOIN tl ON tl.transaction_id = c.case_id LEFT JOIN cust k USING (customer_id) LEFT JOIN txn t ON t.transaction_id = c.case_id)"""
+
+
+def told(v):
+    """Cases with all that their texts say; evidence is at most four pairs a rule."""
+    t = v.case.join(told_lines(v).withColumnRenamed("transaction_id", "case_id"), "case_id", "left").join(v.customer.select("customer_id", "customer_type", F.col("lifetime_quarantine_count").alias("prior")), "customer_id", "left")
+    t = t.join(v.bill.select(F.col("transaction_id").alias("case_id"), "txn_type"), "case_id")
+    pairs = F.array(F.concat(F.lit("amount="), in_cents(whole_cents(F.col("amount")))), F.concat(F.lit("lines="), F.coalesce("n", F.lit(0))), F.concat(F.lit("severity="), "severity"), F.concat(F.lit("type="), "txn_type"), F.concat(F.lit("status="), "status"))
+    rules = F.array_join(F.transform("rules", lambda r: F.concat(r, F.lit(" ("), joined(pairs, 4, ", "), F.lit(")"))), "; ")
+    return t.withColumns({"told_rules": rules, "anomaly": F.coalesce(F.col("dc") * 2 > F.col("lc"), F.lit(False)), "discounts": F.coalesce("discounts", F.lit(""))})
+
+
+def part(label, c):
+    """The labelled text where there is any."""
+    return F.when(F.coalesce(F.length(c), F.lit(0)) > 0, F.concat(F.lit(label), c))
+
+
+def sql_part(label, c):
+    return f"CASE WHEN coalesce(length({c}), 0) > 0 THEN '{label}' || {c} END"
+
+
+@query("txt_01_case_text", f"WITH {TOLD} SELECT case_id, concat_ws(' | ', 'case of a ' || coalesce(customer_type, 'unknown') || ' customer, ' || coalesce(prior, 0) || ' earlier', 'severity ' || severity, {sql_part('rules ', 'told_rules')}, 'a ' || txn_type || ' of ' || {cents('CAST(floor(amount * 100) AS BIGINT)')} || CASE WHEN anomaly THEN ', discounted by more than half' ELSE '' END, {sql_part('codes ', 'codes')}, {sql_part('lines ', 'lines')}, {sql_part('discounts ', 'discounts')}, 'disposition ' || coalesce(disposition, 'open')) AS text FROM told")
 def txt_01(v):
-    return v.case.select("case_id", F.concat(F.lit("severity "), "severity", F.lit("; rules "), F.array_join(F.slice("rules", 1, 4), ", "), F.when(F.col("amount") > 250000, "; anomaly").otherwise("")).alias("text"))
+    head = F.concat(F.lit("case of a "), F.coalesce("customer_type", F.lit("unknown")), F.lit(" customer, "), F.coalesce("prior", F.lit(0)), F.lit(" earlier"))
+    amount = F.concat(F.lit("a "), "txn_type", F.lit(" of "), in_cents(whole_cents(F.col("amount"))), F.when(F.col("anomaly"), ", discounted by more than half").otherwise(""))
+    text = F.concat_ws(" | ", head, F.concat(F.lit("severity "), "severity"), part("rules ", F.col("told_rules")), amount, part("codes ", F.col("codes")), part("lines ", F.col("lines")), part("discounts ", F.col("discounts")), F.concat(F.lit("disposition "), F.coalesce("disposition", F.lit("open"))))
+    return told(v).select("case_id", text.alias("text"))
 
 
-@query("txt_02_history_text", "SELECT case_id, disposition || ' after review; ' || array_to_string(rules, ' ') AS text FROM cases WHERE disposition IS NOT NULL")
+@query("txt_02_history_text", f"WITH {TOLD} SELECT case_id, concat_ws(' | ', 'resolved case of a ' || coalesce(customer_type, 'unknown') || ' customer', 'severity ' || severity, 'final disposition ' || disposition, {sql_part('rules ', 'told_rules')}, {sql_part('codes ', 'codes')}, {sql_part('lines ', 'lines')}, {sql_part('discounts ', 'discounts')}, 'resolution: closed ' || CASE WHEN resolved_at IS NULL THEN 'at once' ELSE 'after ' || CAST(floor((floor(epoch(resolved_at)) - floor(epoch(created_at))) / 86400) AS BIGINT) || ' days' END) AS text FROM told WHERE disposition IS NOT NULL")
 def txt_02(v):
-    return v.case.where("disposition is not null").select("case_id", F.concat("disposition", F.lit(" after review; "), F.array_join("rules", " ")).alias("text"))
+    days = F.floor(seconds(F.col("resolved_at"), F.col("created_at")) / 86400)
+    closed = F.concat(F.lit("resolution: closed "), F.when(F.col("resolved_at").isNull(), "at once").otherwise(F.concat(F.lit("after "), days, F.lit(" days"))))
+    text = F.concat_ws(" | ", F.concat(F.lit("resolved case of a "), F.coalesce("customer_type", F.lit("unknown")), F.lit(" customer")), F.concat(F.lit("severity "), "severity"), F.concat(F.lit("final disposition "), "disposition"), part("rules ", F.col("told_rules")), part("codes ", F.col("codes")), part("lines ", F.col("lines")), part("discounts ", F.col("discounts")), closed)
+    return told(v).where("disposition is not null").select("case_id", text.alias("text"))
 
 
-@query("txt_03_customer_text", "SELECT customer_id, concat_ws('; ', name, customer_type, entity, promotions[1]) AS text, length(concat_ws('; ', name, customer_type, entity, promotions[1])) < 45 AS thin FROM cust")
-def txt_03(v):
-    text = F.concat_ws("; ", "name", "customer_type", "entity", F.get("promotions", 0))
-    return v.customer.select("customer_id", text.alias("text"), (F.char_length(text) < 45).alias("thin"))
+VALUE = "value AS (SELECT customer_id, CAST(floor(sum(total) * 100) AS BIGINT) AS ltv, count(*) AS bills, max(txn_type) AS last_type FROM txn GROUP BY 1)"
+BANDED = "CASE WHEN ltv >= 2000000 THEN 'platinum' WHEN ltv >= 800000 THEN 'gold' WHEN ltv >= 200000 THEN 'silver' ELSE 'bronze' END"
+OPEN = "open_cases AS (SELECT customer_id, count(*) AS n_open FROM cases WHERE status = 'open' GROUP BY 1)"
 
 
-def cosine(a, b):
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+@query("txt_03_customer_text", f"WITH {FEAT}, {CHURN}, {VALUE}, {OPEN}, x AS (SELECT c.customer_id, concat_ws(' | ', c.customer_type || ' customer ' || name, 'in ' || home_state, 'of ' || entity, 'segment ' || segment, {sql_part('promotions ', 'array_to_string(promotions, chr(44))')}, 'package ' || {cents('CAST(floor(c.package_value * 100) AS BIGINT)')}, 'life-time value ' || {cents('coalesce(ltv, 0)')} || ' (' || {BANDED.replace('ltv >=', 'coalesce(ltv, 0) >=')} || ') in ' || coalesce(bills, 0) || ' bills', 'churn ' || CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 0.645 THEN 'high' WHEN score >= 0.345 THEN 'medium' ELSE 'low' END, CASE WHEN n_open > 0 THEN n_open || ' open cases' END, 'earlier quarantines ' || lifetime_quarantine_count) AS text FROM cust c LEFT JOIN value USING (customer_id) LEFT JOIN churn ON churn.customer_id = c.customer_id LEFT JOIN open_cases o ON o.customer_id = c.customer_id) SELECT customer_id, text, length(text) < 200 AS thin FROM x")
+def txt_03(v):
+    """What the customer index holds; a text under 200 characters is thin."""
+    value = v.bill.groupBy("customer_id").agg(whole_cents(F.sum("total")).alias("ltv"), F.count("*").alias("bills"))
+    opened = v.case.where("status = 'open'").groupBy("customer_id").agg(F.count("*").alias("n_open"))
+    t = v.customer.join(value, "customer_id", "left").join(churn(v).select("customer_id", "score"), "customer_id", "left").join(opened, "customer_id", "left")
+    ltv = F.coalesce("ltv", F.lit(0))
+    risk = F.when(F.col("score").isNull(), "unknown").otherwise(S.band(F.col("score"), [(0.645, "high"), (0.345, "medium")], "low"))
+    text = F.concat_ws(
+        " | ", F.concat("customer_type", F.lit(" customer "), "name"), F.concat(F.lit("in "), "home_state"), F.concat(F.lit("of "), "entity"), F.concat(F.lit("segment "), "segment"), part("promotions ", F.array_join("promotions", ",")),
+        F.concat(F.lit("package "), in_cents(whole_cents(F.col("package_value")))), F.concat(F.lit("life-time value "), in_cents(ltv), F.lit(" ("), S.ltv_band(ltv / 100), F.lit(") in "), F.coalesce("bills", F.lit(0)), F.lit(" bills")),
+        F.concat(F.lit("churn "), risk), F.when(F.col("n_open") > 0, F.concat("n_open", F.lit(" open cases"))), F.concat(F.lit("earlier quarantines "), "lifetime_quarantine_count"),
+    )
+    return t.select("customer_id", text.alias("text"), (F.char_length(text) < 200).alias("thin"))
 
 
-def vector_top_k(queries, vectors, k, same=None):
-    """Best k of the vectors for each of a few queries (the queries are a stated, small set)."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    t = vectors.join(F.broadcast(q), (F.col("vec_id") != F.col("query_id")) & (same if same is not None else F.lit(True)))
-    t = t.withColumn("score", F.round(cosine("q", "embedding"), 6))
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+VEC = "top AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id {x} WHERE a.vec_id % 50 = 0)"
 
 
-VEC = "top AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id {x} WHERE a.vec_id < 10)"
+def asked(e):
+    """The stated queries: vectors whose id is divisible by 50."""
+    return e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
 
 
-@query("txt_04_vector_top_k", f"WITH {VEC.format(x='')} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 5")
+@query("txt_04_vector_top_k", f"WITH {VEC.format(x='AND b.label <> 3')} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 5")
 def txt_04(v):
+    """With a filter before the search: label 3 is no candidate."""
     e = v.table("embeddings")
-    return vector_top_k(e.where("vec_id < 10"), e, 5).select("query_id", "vec_id", "score", "rank")
+    return top_k(asked(e), e.where("label <> 3"), 5).select("query_id", "vec_id", "score", F.col("place").cast("int").alias("rank"))
 
 
 @query("txt_05_threshold", f"WITH {VEC.format(x='')} SELECT query_id, vec_id, score FROM top WHERE rank <= 20 AND score >= 0.2")
 def txt_05(v):
     e = v.table("embeddings")
-    return vector_top_k(e.where("vec_id < 10"), e, 20).where("score >= 0.2").select("query_id", "vec_id", "score")
+    return Search(e).nearest(asked(e), 20).at_least(0.2).limit(20).select("query_id", "vec_id", "score")
 
 
-@query("txt_06_filtered_search", f"WITH {VEC.format(x='AND a.label = b.label')} SELECT query_id, vec_id, score FROM top WHERE rank <= 3")
+@query("txt_06_filtered_search", """WITH m AS (SELECT e.vec_id, embedding, customer_type, entity, package_value >= 2000 AS valued FROM embeddings e JOIN cust ON customer_id = e.vec_id),
+  p AS (SELECT a.vec_id AS query_id, b.vec_id, b.customer_type, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM m a JOIN m b ON a.vec_id <> b.vec_id AND b.entity = a.entity AND b.valued WHERE a.vec_id % 50 = 0),
+  t AS (SELECT *, row_number() OVER (PARTITION BY query_id, customer_type ORDER BY score DESC, vec_id) AS r FROM p), u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM t WHERE r <= 4)
+  SELECT query_id, vec_id, customer_type, score, CAST(place AS INTEGER) AS rank FROM u WHERE place <= 4""")
 def txt_06(v):
-    e = v.table("embeddings")
-    return vector_top_k(e.where("vec_id < 10"), e, 3, F.col("label") == F.col("q_label")).select("query_id", "vec_id", "score")
+    """Customers' vectors in two indexes, residential and commercial, searched apart with filters on entity (the asking
+    customer's) and value tier; hits of both are one ranking, cut to the limit."""
+    m = v.table("embeddings").join(v.customer.select(F.col("customer_id").alias("vec_id"), "customer_type", "entity", (F.col("package_value") >= 2000).alias("valued")), "vec_id")
+    parts = [Search(m).prefilter((F.col("customer_type") == kind) & F.col("valued")).nearest(asked(m), 4, ("entity",)) for kind in ("residential", "commercial")]
+    return Search.merged(*parts).limit(4).select("query_id", "vec_id", "customer_type", "score", "rank")
+
+
+NAMED = "asking AS (SELECT customer_id AS query_id, name FROM cust WHERE customer_id % 50 = 0)"
 
 
-@query("txt_07_fuzzy_name", "SELECT c_custkey AS customer_id, levenshtein(c_name, 'Customer#000000123') AS distance FROM customer WHERE levenshtein(c_name, 'Customer#000000123') <= 1 OR c_custkey = 77")
+@query("txt_07_fuzzy_name", f"WITH {NAMED} SELECT query_id, customer_id, 'name' AS how, levenshtein(a.name, c.name) AS distance FROM asking a JOIN cust c ON levenshtein(a.name, c.name) <= 1 UNION ALL SELECT query_id, customer_id, 'typed', NULL FROM asking a JOIN cust c ON starts_with(c.name, substr(a.name, 1, 17)) UNION ALL SELECT query_id, customer_id, 'id', NULL FROM asking JOIN cust ON customer_id = query_id")
 def txt_07(v):
-    d = F.levenshtein("name", F.lit("Customer#000000123"))
-    return v.customer.where((d <= 1) | (F.col("customer_id") == 77)).select("customer_id", d.cast("long").alias("distance"))
+    """Names within one edit of a name asked for, names that begin as typed so far (17 letters), and the exact id."""
+    q = v.customer.where("customer_id % 50 = 0").select(F.col("customer_id").alias("query_id"), "name")
+    none = F.lit(None).cast("long").alias("distance")
+    near = near_names(q, v.customer).select("query_id", "customer_id", F.lit("name").alias("how"), F.col("distance").cast("long").alias("distance"))
+    typed = completions(q.select("query_id", F.substring("name", 1, 17).alias("typed")), v.customer).select("query_id", "customer_id", F.lit("typed").alias("how"), none)
+    exact = q.join(v.customer.select("customer_id"), F.col("query_id") == F.col("customer_id")).select("query_id", "customer_id", F.lit("id").alias("how"), none)
+    return near.unionByName(typed).unionByName(exact)
 
 
 # quality, migration, training
@@ -387,7 +488,7 @@ def dq_01(v):
 
 @query("dq_02_domains", "SELECT count(*) FILTER (WHERE status NOT IN ('settled','open','pending')) AS bad_status, count(*) FILTER (WHERE total < 0 OR total > 400000) AS bad_total FROM txn")
 def dq_02(v):
-    return v.txn.agg(F.count_if(~F.col("status").isin("settled", "open", "pending")).alias("bad_status"), F.count_if((F.col("total") < 0) | (F.col("total") > 400000)).alias("bad_total"))
+    return v.bill.agg(F.count_if(~F.col("status").isin("settled", "open", "pending")).alias("bad_status"), F.count_if((F.col("total") < 0) | (F.col("total") > 400000)).alias("bad_total"))
 
 
 @query("dq_03_array_constraints", "SELECT count(*) FILTER (WHERE len(rules) = 0) AS empty_rules, count(*) FILTER (WHERE len(list_filter(rules, lambda r: NOT r LIKE '%\\_%' ESCAPE '\\')) > 0) AS bad_names FROM cases")

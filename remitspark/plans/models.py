@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from remitspark.operators import drift as K
 from remitspark.operators import forest
 from remitspark.operators.search import Search
-from remitspark.plans.customers import DRIFT, VEC, cosine, features, samples
+from remitspark.plans.customers import DRIFT, VEC, asked, features, samples
 from remitspark.registry import query
+from remitspark.sources.scratch import shared_folder
 from remitspark.views import stamp
 
 FEATURES = ["n", "minutes_silent", "discount_rate", "quarantines", "spend_7d"]
@@ -20,7 +21,10 @@ def ml_02(v):
 
 @query("ml_03_batch_score")
 def ml_03(v):
-    t = features(v)
+    """Features are made once and saved: the model is fitted on them and they are scored."""
+    folder = shared_folder(v.spark, "features")
+    features(v).write.parquet(folder)
+    t = v.spark.read.parquet(folder)
     return forest.score(t, forest.fit(t, FEATURES, row_id="customer_id"), FEATURES).select("customer_id", F.round("model_score", 6).alias("model_score"), F.lit("forest-1").alias("model_version"))
 
 
@@ -38,8 +42,7 @@ def udf_03(v):
 @query("udf_04_search_pipeline", f"WITH {VEC.format(x='')} SELECT query_id, vec_id, score, CAST(r2 AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r2 FROM top WHERE rank <= 40 AND label % 2 = 0 AND score >= 0.1) WHERE r2 <= 4")
 def udf_04(v):
     e = v.table("embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = Search(e).nearest(q, F.round(cosine("q", "embedding"), 6), 40).where(F.col("label") % 2 == 0).at_least(0.1)
+    s = Search(e).nearest(asked(e), 40).where(F.col("label") % 2 == 0).at_least(0.1)
     return s.limit(4).select("query_id", "vec_id", "score", "rank")
 
 
@@ -47,12 +50,8 @@ def udf_04(v):
 def set_03(v):
     """Two indexes (labels below 5, and the rest) searched apart, their hits ranked together."""
     e = v.table("embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    score = F.round(cosine("q", "embedding"), 6)
-    a, b = (Search(e).prefilter(c).nearest(q, score, 5).df for c in (F.col("label") < 5, F.col("label") >= 5))
-    both = Search(a.unionByName(b))
-    both.stage = "ranked"
-    return both.limit(5).select("query_id", "vec_id", "score")
+    parts = [Search(e).prefilter(c).nearest(asked(e), 5) for c in (F.col("label") < 5, F.col("label") >= 5)]
+    return Search.merged(*parts).limit(5).select("query_id", "vec_id", "score")
 
 
 @query("prj_03_streaming_summary", "SELECT event_id, customer_type, array_to_string(promotions, ',') AS promotions, home_state AS service_state FROM ev LEFT JOIN cust USING (customer_id)")
@@ -86,7 +85,6 @@ def enr_07(v):
 def src_05(v):
     """Feature history from its folder if there is one, else computed from the events: both ways."""
     from remitspark.sources.history import history_or
-    from remitspark.sources.scratch import shared_folder
 
     day = F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("day")
     fresh = lambda: v.event.groupBy("customer_id", day).agg(F.count("*").alias("n"))
@@ -111,7 +109,6 @@ def fea_02(v):
     """24-hour windows each five minutes and 7-day windows each half hour. The stream appends its slots to the history,
     by customer bucket; each micro-batch's last window of a customer updates the online table, which never gains rows."""
     from remitspark.plans.streams import drain
-    from remitspark.sources.scratch import shared_folder
     from remitspark.sources.streams import event_stream
     from remitspark.streaming import tables as S
     from remitspark.streaming import windows as N

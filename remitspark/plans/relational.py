@@ -23,12 +23,12 @@ def src_04(v):
 
 @query("src_06_filtered_find", f"SELECT transaction_id, {T('ts')} AS ts FROM txn WHERE status = 'open' AND total > 1000 ORDER BY ts DESC, transaction_id LIMIT 40 OFFSET 20")
 def src_06(v):
-    return v.txn.where("status = 'open' and total > 1000").orderBy(F.desc("ts"), "transaction_id").offset(20).limit(40).select("transaction_id", stamp("ts", "ts"))
+    return v.bill.where("status = 'open' and total > 1000").orderBy(F.desc("ts"), "transaction_id").offset(20).limit(40).select("transaction_id", stamp("ts", "ts"))
 
 
 @query("prj_01_rename_compute_drop", "SELECT transaction_id, customer_id AS payer, CAST(total AS DOUBLE) AS amount_myr, 'batch' AS channel, status = 'settled' AS is_settled FROM txn")
 def prj_01(v):
-    t = v.txn.withColumnRenamed("customer_id", "payer").withColumns({"amount_myr": F.col("total").cast("double"), "channel": F.lit("batch"), "is_settled": F.col("status") == "settled"})
+    t = v.bill.withColumnRenamed("customer_id", "payer").withColumns({"amount_myr": F.col("total").cast("double"), "channel": F.lit("batch"), "is_settled": F.col("status") == "settled"})
     return t.select("transaction_id", "payer", "amount_myr", "channel", "is_settled")
 
 
@@ -59,7 +59,7 @@ def prj_07(v):
 def prj_08(v):
     first = v.items.groupBy("transaction_id").agg(F.min(F.struct("line_no", "product_ref", "merchant_id", "line_total", "shipped_at", "charge_code")).alias("f"))
     hit = v.case.where(F.size("rules") >= 2).select(F.col("case_id").alias("transaction_id"), F.lit(True).alias("hit"))
-    t = v.txn.select("transaction_id").join(first, "transaction_id", "left").join(hit, "transaction_id", "left")
+    t = v.bill.select("transaction_id").join(first, "transaction_id", "left").join(hit, "transaction_id", "left")
     return t.select("transaction_id", F.col("f.charge_code").alias("charge_code"), F.when(F.col("hit"), "quarantined").otherwise("clean").alias("feed_status"))
 
 
@@ -93,7 +93,7 @@ def prj_13(v):
 
 @query("flt_01_comparison", "SELECT transaction_id FROM txn WHERE txn_type IN ('refund','ppv_charge') AND total >= 1000 AND total < 200000 AND status <> 'open'")
 def flt_01(v):
-    return v.txn.where(F.col("txn_type").isin("refund", "ppv_charge") & (F.col("total") >= 1000) & (F.col("total") < 200000) & (F.col("status") != "open")).select("transaction_id")
+    return v.bill.where(F.col("txn_type").isin("refund", "ppv_charge") & (F.col("total") >= 1000) & (F.col("total") < 200000) & (F.col("status") != "open")).select("transaction_id")
 
 
 @query("flt_02_existence", "SELECT transaction_id, coalesce(txn_state, 'none') AS state FROM txn WHERE merchant_id IS NULL OR txn_state IS NOT NULL")
@@ -152,7 +152,7 @@ def join_01(v):
 
 @query("join_02_enrich_inner", "SELECT transaction_id, home_state FROM txn JOIN cust USING (customer_id) WHERE customer_type = 'commercial'")
 def join_02(v):
-    return v.txn.join(v.customer.where("customer_type = 'commercial'"), "customer_id").select("transaction_id", "home_state")
+    return v.bill.join(v.customer.where("customer_type = 'commercial'"), "customer_id").select("transaction_id", "home_state")
 
 
 @query("join_03_two_table_lookup", "SELECT customer_id, CASE WHEN customer_type = 'residential' OR customer_id % 4 = 0 THEN 'residential' ELSE 'commercial' END AS found_in FROM cust")
@@ -175,7 +175,7 @@ def month_cycles(txn):
 
 @query("join_05_range_on_cycle", f"SELECT transaction_id, {T("date_trunc('month', ts)")} AS cycle_start FROM txn WHERE status = 'settled'")
 def join_05(v):
-    return cycle_join(v.txn.where("status = 'settled'"), month_cycles(v.txn)).select("transaction_id", stamp("cycle_start", "cycle_start"))
+    return cycle_join(v.bill.where("status = 'settled'"), month_cycles(v.bill)).select("transaction_id", stamp("cycle_start", "cycle_start"))
 
 
 def error_labels(v):
@@ -223,7 +223,7 @@ def join_10(v):
 
 @query("join_11_not_entitled", "WITH ent AS (SELECT DISTINCT customer_id, product_ref FROM txn JOIN items USING (transaction_id) WHERE status = 'settled') SELECT DISTINCT t.customer_id, i.product_ref FROM txn t JOIN items i USING (transaction_id) WHERE t.status = 'pending' AND NOT EXISTS (SELECT 1 FROM ent e WHERE e.customer_id = t.customer_id AND e.product_ref = i.product_ref)")
 def join_11(v):
-    bought = v.txn.join(v.items.select("transaction_id", "product_ref"), "transaction_id").select("customer_id", "product_ref", "status")
+    bought = v.bill.join(v.items.select("transaction_id", "product_ref"), "transaction_id").select("customer_id", "product_ref", "status")
     ent = bought.where("status = 'settled'").select("customer_id", "product_ref")
     return bought.where("status = 'pending'").join(ent, ["customer_id", "product_ref"], "left_anti").select("customer_id", "product_ref").distinct()
 
@@ -257,7 +257,7 @@ def join_15(v):
 
 @query("join_16_hierarchy_rollup", "SELECT parent_no, count(DISTINCT customer_id) AS outlets, CAST(coalesce(sum(total), 0) AS DOUBLE) AS revenue FROM cust LEFT JOIN txn USING (customer_id) WHERE customer_type = 'commercial' GROUP BY 1")
 def join_16(v):
-    spend = v.txn.groupBy("customer_id").agg(F.sum("total").alias("s"))
+    spend = v.bill.groupBy("customer_id").agg(F.sum("total").alias("s"))
     t = v.customer.where("customer_type = 'commercial'").join(spend, "customer_id", "left")
     return t.groupBy("parent_no").agg(F.count_distinct("customer_id").alias("outlets"), F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias("revenue"))
 
@@ -265,24 +265,24 @@ def join_16(v):
 @query("agg_01_group", "SELECT txn_type, status, count(*) AS n, CAST(sum(total) AS DOUBLE) AS total, CAST(min(total) AS DOUBLE) AS lo, CAST(max(total) AS DOUBLE) AS hi, CAST(sum(total) AS DOUBLE) / count(*) AS mean FROM txn GROUP BY 1, 2")
 def agg_01(v):
     s = F.sum("total").cast("double")
-    return v.txn.groupBy("txn_type", "status").agg(F.count("*").alias("n"), s.alias("total"), F.min("total").cast("double").alias("lo"), F.max("total").cast("double").alias("hi"), (s / F.count("*")).alias("mean"))
+    return v.bill.groupBy("txn_type", "status").agg(F.count("*").alias("n"), s.alias("total"), F.min("total").cast("double").alias("lo"), F.max("total").cast("double").alias("hi"), (s / F.count("*")).alias("mean"))
 
 
 @query("agg_02_sample_deviation", f"SELECT customer_id, count(*) AS n, round(avg(CAST(total AS DOUBLE)), 4) AS mean, round(stddev_samp(CAST(total AS DOUBLE)), 4) AS std FROM txn WHERE ts >= TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL 900 DAY GROUP BY 1")
 def agg_02(v):
     x = F.col("total").cast("double")
-    return v.txn.where(F.col("ts") >= clock(AS_OF_ORDERS) - F.expr("INTERVAL 900 DAYS")).groupBy("customer_id").agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("std"))
+    return v.bill.where(F.col("ts") >= clock(AS_OF_ORDERS) - F.expr("INTERVAL 900 DAYS")).groupBy("customer_id").agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("std"))
 
 
 @query("agg_03_population_deviation", "SELECT customer_id, count(t.transaction_id) AS n, coalesce(round_even(stddev_pop(CAST(total AS DOUBLE)), 4), 0) AS std FROM cust LEFT JOIN (SELECT * FROM txn WHERE status = 'pending') t USING (customer_id) GROUP BY 1")
 def agg_03(v):
-    t = v.txn.where("status = 'pending'").groupBy("customer_id").agg(F.count("*").alias("n"), F.bround(F.stddev_pop(F.col("total").cast("double")), 4).alias("std"))
+    t = v.bill.where("status = 'pending'").groupBy("customer_id").agg(F.count("*").alias("n"), F.bround(F.stddev_pop(F.col("total").cast("double")), 4).alias("std"))
     return v.customer.join(t, "customer_id", "left").select("customer_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("std", F.lit(0.0)).alias("std"))
 
 
 @query("agg_04_collect", "SELECT customer_id, list_aggregate(list_sort(list(DISTINCT txn_type)), 'string_agg', ',') AS types, list_aggregate(list(transaction_id ORDER BY transaction_id), 'string_agg', ',') AS ids FROM txn GROUP BY 1")
 def agg_04(v):
-    g = v.txn.groupBy("customer_id").agg(F.array_sort(F.collect_set("txn_type")).alias("types"), F.array_sort(F.collect_list("transaction_id")).alias("ids"))
+    g = v.bill.groupBy("customer_id").agg(F.array_sort(F.collect_set("txn_type")).alias("types"), F.array_sort(F.collect_list("transaction_id")).alias("ids"))
     return g.select("customer_id", F.array_join("types", ",").alias("types"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
@@ -340,20 +340,16 @@ def agg_11(v):
   max(CASE WHEN rn - 1 = greatest(0, least(n - 1, CAST(floor(n * 0.95) AS BIGINT) - 1)) THEN x END) AS q_live, max(CASE WHEN rn - 1 = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT) THEN x END) AS q_nearest FROM o GROUP BY 1""")
 def agg_12(v):
     t = v.event.select("merchant_id", F.col("amount").cast("double").alias("x"))
-    out = None
-    for c in S.CONVENTIONS:
-        q = S.nearest_rank(t, "x", ["merchant_id"], 0.95, c, f"q_{c}")
-        out = q if out is None else out.join(q, "merchant_id")
-    return out
+    return S.nearest_ranks(t, "x", ["merchant_id"], {f"q_{c}": (0.95, c) for c in S.CONVENTIONS})
 
 
 @query("agg_13_distribution", """WITH o AS (SELECT merchant_id, CAST(amount AS DOUBLE) AS x, row_number() OVER (PARTITION BY merchant_id ORDER BY amount) AS rn, count(*) OVER (PARTITION BY merchant_id) AS n FROM ev)
   SELECT merchant_id, max(n) AS n, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, min(x) AS lo, max(CASE WHEN rn - 1 = least(n - 1, CAST(floor(0.25 * n) AS BIGINT)) THEN x END) AS p25,
   max(CASE WHEN rn - 1 = least(n - 1, CAST(floor(0.75 * n) AS BIGINT)) THEN x END) AS p75, max(x) AS hi FROM o GROUP BY 1""")
 def agg_13(v):
-    t = S.ranked(v.event.select("merchant_id", F.col("amount").cast("double").alias("x")), "x", ["merchant_id"])
-    at = lambda p: F.max(F.when(F.col("rn") - 1 == S.CONVENTIONS["truncated"](F.col("n"), F.lit(p)), F.col("x")))
-    return t.groupBy("merchant_id").agg(F.max("n").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("std"), F.min("x").alias("lo"), at(0.25).alias("p25"), at(0.75).alias("p75"), F.max("x").alias("hi"))
+    x = v.event.select("merchant_id", F.col("amount").cast("double").alias("x"))
+    g = x.groupBy("merchant_id").agg(F.count("x").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("std"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return g.join(S.nearest_ranks(x, "x", ["merchant_id"], {"p25": (0.25, "truncated"), "p75": (0.75, "truncated")}), "merchant_id")
 
 
 @query("agg_14_conditional_ratio", "SELECT customer_id, CAST(sum(discount) AS DOUBLE) / nullif(CAST(sum(amount) AS DOUBLE), 0) AS discount_rate FROM ev GROUP BY 1")
@@ -419,7 +415,7 @@ def win_05(v):
 
 @query("win_06_trend_label", "WITH m AS (SELECT customer_id, date_trunc('month', ts) AS m, sum(total) AS s FROM txn GROUP BY 1, 2), e AS (SELECT DISTINCT customer_id, first_value(s) OVER w AS a, last_value(s) OVER w AS b FROM m WINDOW w AS (PARTITION BY customer_id ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT customer_id, CASE WHEN b > a * 1.05 THEN 'rising' WHEN b < a * 0.95 THEN 'falling' ELSE 'flat' END AS trend FROM e")
 def win_06(v):
-    m = v.txn.groupBy("customer_id", F.date_trunc("month", "ts").alias("m")).agg(F.sum("total").alias("s"))
+    m = v.bill.groupBy("customer_id", F.date_trunc("month", "ts").alias("m")).agg(F.sum("total").alias("s"))
     g = m.groupBy("customer_id").agg(F.min_by("s", "m").alias("a"), F.max_by("s", "m").alias("b"))
     up, down = (F.lit(x).cast("decimal(3,2)") for x in ("1.05", "0.95"))
     return g.select("customer_id", F.when(F.col("b") > F.col("a") * up, "rising").when(F.col("b") < F.col("a") * down, "falling").otherwise("flat").alias("trend"))
@@ -432,7 +428,7 @@ def top_01(v):
 
 @query("top_02_most_recent", "SELECT transaction_id FROM txn ORDER BY ts DESC, transaction_id LIMIT 500")
 def top_02(v):
-    return v.txn.orderBy(F.desc("ts"), "transaction_id").limit(500).select("transaction_id")
+    return v.bill.orderBy(F.desc("ts"), "transaction_id").limit(500).select("transaction_id")
 
 
 @query("top_03_capped_list", "SELECT customer_id, list_aggregate(list(event_id ORDER BY ts DESC, event_id DESC), 'string_agg', ',') AS recent FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY ts DESC, event_id DESC) rn FROM ev) WHERE rn <= 50 GROUP BY 1")
@@ -444,11 +440,10 @@ def top_03(v):
 
 @query("top_04_last_n_push", "WITH o AS (SELECT customer_id, event_id, row_number() OVER (PARTITION BY customer_id ORDER BY ts DESC, event_id DESC) rn FROM ev WHERE merchant_id IN ('error','click')) SELECT customer_id, count(*) AS kept, min(event_id) AS oldest FROM o WHERE rn <= 20 GROUP BY 1")
 def top_04(v):
-    side = lambda k: v.event.where(F.col("merchant_id") == k).groupBy("customer_id").agg(F.collect_list(F.struct("ts", "event_id")).alias(k))
-    both = side("error").join(side("click"), "customer_id", "full")
-    empty = F.array().cast("array<struct<ts:timestamp_ntz,event_id:bigint>>")
-    last = F.slice(F.reverse(F.array_sort(F.concat(F.coalesce("error", empty), F.coalesce("click", empty)))), 1, 20)
-    return both.select("customer_id", F.size(last).cast("long").alias("kept"), F.array_min(F.transform(last, lambda e: e["event_id"])).alias("oldest"))
+    """The last 20 of two histories: rows beyond the 20th are dropped before anything is gathered."""
+    w = W.partitionBy("customer_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    last = v.event.where(F.col("merchant_id").isin("error", "click")).withColumn("rn", F.row_number().over(w)).where("rn <= 20")
+    return last.groupBy("customer_id").agg(F.count("*").alias("kept"), F.min("event_id").alias("oldest"))
 
 
 @query("top_05_top_by_metric", "SELECT merchant_id, CAST(sum(line_total) AS DOUBLE) AS revenue FROM items GROUP BY 1 ORDER BY sum(line_total) DESC, merchant_id LIMIT 10")
@@ -464,7 +459,7 @@ def top_06(v):
 
 @query("top_07_sample_rows", "SELECT transaction_id FROM txn ORDER BY md5(CAST(transaction_id AS VARCHAR)), transaction_id LIMIT 1000")
 def top_07(v):
-    return v.txn.orderBy(F.md5(F.col("transaction_id").cast("string").cast("binary")), "transaction_id").limit(1000).select("transaction_id")
+    return v.bill.orderBy(F.md5(F.col("transaction_id").cast("string").cast("binary")), "transaction_id").limit(1000).select("transaction_id")
 
 
 @query("set_01_union_regroup", "WITH u AS (SELECT customer_type, entity, package_value FROM cust WHERE customer_type = 'residential' UNION ALL SELECT customer_type, entity, package_value FROM cust WHERE customer_type = 'commercial'), p AS (SELECT entity, customer_type, CAST(sum(package_value) AS DOUBLE) / count(*) AS m, count(*) AS n FROM u GROUP BY 1, 2) SELECT entity, CAST(sum(n) AS BIGINT) AS n, round(avg(m), 6) AS mean_of_means FROM p GROUP BY 1")
@@ -490,7 +485,7 @@ def set_04(v):
 @query("fn_01_math", "SELECT transaction_id, round_even(sqrt(CAST(total AS DOUBLE)), 4) AS root, floor(CAST(total AS DOUBLE) / 7) AS whole, least(greatest(CAST(total AS DOUBLE) - 100000, 0), 50000) AS clamped, round(exp(-CAST(total AS DOUBLE) / 100000), 9) AS decay FROM txn")
 def fn_01(v):
     x = F.col("total").cast("double")
-    return v.txn.select("transaction_id", F.bround(F.sqrt(x), 4).alias("root"), F.floor(x / 7).cast("double").alias("whole"), F.least(F.greatest(x - 100000, F.lit(0.0)), F.lit(50000.0)).alias("clamped"), F.round(F.exp(-x / 100000), 9).alias("decay"))
+    return v.bill.select("transaction_id", F.bround(F.sqrt(x), 4).alias("root"), F.floor(x / 7).cast("double").alias("whole"), F.least(F.greatest(x - 100000, F.lit(0.0)), F.lit(50000.0)).alias("clamped"), F.round(F.exp(-x / 100000), 9).alias("decay"))
 
 
 @query("fn_02_conditional", "SELECT transaction_id, CASE status WHEN 'settled' THEN 1 WHEN 'open' THEN 2 ELSE 0 END AS code, coalesce(merchant_id, -1) AS merchant FROM txn")

@@ -54,16 +54,21 @@ class Views:
         )
 
     @cached_property
-    def txn(self) -> DataFrame:
-        first = self.items.groupBy("transaction_id").agg(F.min(F.struct("line_no", "product_ref", "merchant_id", "line_total", "shipped_at")).alias("f"), F.count("*").alias("n_items"))
+    def bill(self) -> DataFrame:
+        """Transactions without what their lines say: no line is read for it."""
         kind = F.element_at(F.array(*map(F.lit, ("ppv_charge", "subscription_charge", "addon_charge", "termination_fee", "refund"))), F.substring("o_orderpriority", 1, 1).cast("int"))
         status = F.when(F.col("o_orderstatus") == "F", "settled").when(F.col("o_orderstatus") == "O", "open").otherwise("pending")
-        state = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("merchant_id"), F.col("n_name").alias("txn_state"))
-        orders = self.table("orders").select(
+        return self.table("orders").select(
             F.col("o_orderkey").alias("transaction_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("ts"),
             money("o_totalprice").alias("total"), kind.alias("txn_type"), status.alias("status"),
         )
-        t = orders.join(first, "transaction_id", "left").withColumn("merchant_id", F.col("f.merchant_id")).drop("f")
+
+    @cached_property
+    def txn(self) -> DataFrame:
+        """Transactions with merchant and state of their first line and the number of lines."""
+        first = self.items.groupBy("transaction_id").agg(F.min(F.struct("line_no", "product_ref", "merchant_id", "line_total", "shipped_at")).alias("f"), F.count("*").alias("n_items"))
+        state = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("merchant_id"), F.col("n_name").alias("txn_state"))
+        t = self.bill.join(first, "transaction_id", "left").withColumn("merchant_id", F.col("f.merchant_id")).drop("f")
         return t.join(state, "merchant_id", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
 
     @cached_property
