@@ -1,10 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of word-shingle sets.
+"""Near-duplicates by the Jaccard similarity of word-shingle sets, with SimHash as the first search.
 
 Two texts link when their sets of shingles (as in ``simhash``: lower-cased ASCII, XXH64) have similarity ``least`` or
-more. Candidates come from MinHash bands (``BANDS`` bands of ``ROWS`` values): a pair of similarity 0.8 shares a band
+more. Candidates are pairs whose SimHash fingerprints differ in at most ``BITS`` bits, found by the trie join of
+``simhash``, and, since a similarity of 0.8 may mean 16 bits, which no trie of 64 bits prunes, pairs that share a MinHash
+band (``BANDS`` bands of ``ROWS`` values): a pair of similarity 0.8 shares a band
 but for about 5 in a million, a pair of 0.3 in 3 of 100. Texts with equal sets count once. Sets that share a band are
 chained to candidate groups, and inside a group every pair that can reach ``least`` is compared exactly, shortest
-sets first and rarest shingles first, unless its two sides are linked already.
+sets first and rarest shingles first, unless its two sides are linked already. A group of more than ``LARGE`` sets is
+many tasks' work: all its sets are compared with one pivot first, and those that the pivot does not link, a few where
+copies of one text make the group, meet all others block by block.
 
 Cases: null and empty texts have the empty set and link with each other; a text of at most ``shingle`` words is one
 shingle; repeated rows, repeated ids and null ids take part row by row; an empty table gives an empty result; extra
@@ -21,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remitspark.llm.common import Scratch, components, text_key
-from remitspark.llm.simhash import LOWER
+from remitspark.llm.simhash import fingerprint_links, fingerprint_of, shingle_hashes
 
-BANDS, ROWS = 40, 6
+BANDS, ROWS, BITS = 40, 6, 4
+#: Most sets of a group that one task compares, and sets of a block of larger groups, about.
+LARGE, BLOCK = 512, 256
 _RNG = np.random.default_rng(42)
 _A = (_RNG.integers(0, 1 << 31, BANDS * ROWS) * 2 + 1).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
@@ -31,17 +37,7 @@ _B = _RNG.integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode().translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    flat = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxh64_intdigest(flat, 42)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-shingle]]).tolist()
-    return np.unique(np.array([xxh64_intdigest(flat[a : b - 1], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64))
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def bands(s: np.ndarray) -> list[int]:
@@ -117,34 +113,73 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            sets = [shingle_set(t, shingle) for t in b["text"]]
+            hashes = [shingle_hashes(t, shingle) for t in b["text"]]
+            sets = [np.unique(h) for h in hashes]
+            fp = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
             digest = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "tk": b["tk"], "tn": b["tn"], "sd": digest, "bands": [bands(s) for s in sets]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "tk": b["tk"], "tn": b["tn"], "sd": digest, "fp": fp, "bands": [bands(s) for s in sets]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", *text_key(), "text")
-    rows = scratch.save(keyed.mapInPandas(sketch, f"doc_id {kind}, tk long, tn int, sd long, bands array<long>"))
+    rows = scratch.save(keyed.mapInPandas(sketch, f"doc_id {kind}, tk long, tn int, sd long, fp long, bands array<long>"))
+    # SimHash: of equal fingerprints and of linked ones, sets are chained by their smallest digest
+    at = scratch.save(rows.groupBy("fp").agg(F.min("sd").alias("lo")))
+    ends = fingerprint_links(at, BITS, scratch).join(at.select(F.col("fp").alias("u"), F.col("lo").alias("a")), "u").join(at.select(F.col("fp").alias("v"), F.col("lo").alias("b")), "v")
+    near = ends.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(rows.select("fp", "sd").distinct().join(at, "fp").select(F.col("sd").alias("u"), F.col("lo").alias("v")))
     band = rows.select("sd", F.explode("bands").alias("band"))
     shared = band.groupBy("band").agg(F.min("sd").alias("lo"), F.max("sd").alias("hi")).where("lo < hi").select("band", "lo")
-    found = components(band.join(scratch.save(shared), "band").select(F.col("sd").alias("u"), F.col("lo").alias("v")), scratch)
+    alike = band.join(scratch.save(shared), "band").select(F.col("sd").alias("u"), F.col("lo").alias("v"))
+    found = components(alike.unionByName(scratch.save(near)), scratch)
     found = scratch.save(found.select(F.col("node").alias("sd"), F.col("root").alias("g")))
     one = rows.join(found, "sd").groupBy("sd", "g").agg(F.min(F.struct("tk", "tn")).alias("t")).select("g", "sd", "t.tk", "t.tn")
-    texts = docs.select(*text_key(), "text").join(scratch.save(one), ["tk", "tn"])
+    texts = keyed.groupBy("tk", "tn").agg(F.first("text").alias("text")).join(scratch.save(one), ["tk", "tn"])
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"g": b["g"], "sd": b["sd"], "s": [shingle_set(t, shingle).view(np.int64) for t in b["text"]]})
 
-    def confirm(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.drop_duplicates("sd")
-        sd, c = p["sd"].to_numpy(), linked([np.asarray(s).view(np.uint64) for s in p["s"]], least)
-        return pd.DataFrame({"sd": sd, "component": pd.Series(sd).groupby(c).transform("min").to_numpy()})
-
-    sets = texts.select("g", "sd", "text").mapInPandas(shingles, "g long, sd long, s array<long>")
-    groups = scratch.save(sets.groupBy("g").applyInPandas(confirm, "sd long, component long"))
+    sets = scratch.save(texts.select("g", "sd", "text").mapInPandas(shingles, "g long, sd long, s array<long>"))
+    groups = scratch.save(confirmed(sets, least, scratch))
     return rows.join(groups, "sd", "left").select("doc_id", "tk", "tn", F.coalesce("component", "sd").alias("component"))
 
 
+def forest(sd: np.ndarray, sets: list, least: float) -> pd.DataFrame:
+    """(sd, component) of distinct sets: the smallest digest that a set is linked with."""
+    c = linked([np.asarray(x).view(np.uint64) for x in sets], least)
+    return pd.DataFrame({"sd": sd, "component": pd.Series(sd).groupby(c).transform("min").to_numpy()})
+
+
+def confirmed(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(sd, component) of sets(g, sd, s) under links of similarity ``least`` or more inside groups."""
+    size = sets.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx(F.size("s"), 0.5).alias("mid"))
+    size = scratch.save(size)
+    few = sets.join(size.where(F.col("n") <= LARGE).select("g"), "g")
+    out = few.groupBy("g").applyInPandas(lambda p: forest(p["sd"].to_numpy(), p["s"].tolist(), least), "sd long, component long")
+    large = scratch.save(sets.join(size.where(F.col("n") > LARGE), "g"))
+    if large.isEmpty():
+        return out
+    pivot = large.groupBy("g").agg(F.min_by(F.struct("sd", "s"), F.struct(F.abs(F.size("s") - F.col("mid")), "sd")).alias("p"))
+    pivot = scratch.save(pivot.select("g", F.col("p.sd").alias("pivot"), F.col("p.s").alias("ps")))
+    both = F.size(F.array_intersect("s", "ps"))
+    t = scratch.save(large.join(pivot, "g").select("g", "sd", "s", "n", "pivot", (both >= least * (F.size("s") + F.size("ps") - both) - 1e-9).alias("near")))
+    rest = t.where("not near")
+    count = rest.groupBy("g").agg(F.count("*").alias("k"))
+    pack = F.collect_list(F.struct("sd", "s"))
+    chunks = rest.join(count, "g").groupBy("g", F.pmod(F.xxhash64("sd"), F.ceil(F.col("k") / BLOCK)).alias("chunk")).agg(pack.alias("a"))
+    blocks = t.join(count.select("g"), "g", "left_semi").groupBy("g", F.pmod(F.xxhash64("sd", F.lit(1)), F.ceil(F.col("n") / BLOCK)).alias("block")).agg(pack.alias("b"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for a, b in zip(x["a"], x["b"]):
+                held = {r["sd"]: r["s"] for r in [*a, *b]}
+                yield forest(np.array(list(held), np.int64), list(held.values()), least)
+
+    met = scratch.save(chunks).join(scratch.save(blocks), "g").select("a", "b").mapInPandas(compare, "sd long, component long")
+    edges = t.where("near").select(F.col("sd").alias("u"), F.col("pivot").alias("v")).unionByName(met.where("sd <> component").select(F.col("sd").alias("u"), F.col("component").alias("v")))
+    found = components(scratch.save(edges), scratch).select(F.col("node").alias("sd"), F.col("root").alias("component"))
+    return out.unionByName(found)
+
+
 def drop_similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each component stays: one with the smallest doc_id (ids before null), then the smallest text key."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk", "tn"))

@@ -11,8 +11,8 @@ No source is sorted as a whole. Ranks fall into buckets of a few hundred documen
 aggregated before the shuffle and give the bucket where the cut lies, and only that bucket's documents meet in
 one task, where documents that no longer fit are passed over.
 
-Cases: a null text has size 0 and is never taken; null sources are a source of their own, last in order; a null
-doc_id takes part with one fixed random number; repeated rows are documents of their own with equal numbers; an
+Cases: a null text has size 0 and is never taken; null sources are a source of their own, last in order; rows
+without a doc_id draw by their text; repeated rows are documents of their own with equal numbers; an
 empty table gives an empty mix; extra columns are kept by ``mix`` (columns starting with ``_mix_`` are its own).
 """
 
@@ -84,7 +84,7 @@ def plan(sized: DataFrame, scratch: Scratch, share: float, most: float, weights:
 
 def ranked(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """Rows with their class's plan, rank in (0, 1) and bucket; the plan is one row per source and class."""
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + F.lit(0.5)) / float(1 << 53)
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed), "_mix_key"), 11) + F.lit(0.5)) / float(1 << 53)
     t = sized.join(plan, F.col("_mix_source").eqNullSafe(F.col("_s")) & (F.col("_mix_class") == F.col("_c"))).drop("_s", "_c")
     odds = (u / (1 - u)) / (F.col("_mix_p") / (1 - F.col("_mix_p")))
     t = t.withColumn("_mix_rank", F.when((F.col("_mix_p") > 0) & (F.col("_mix_size") > 0), odds / (1 + odds)))
@@ -111,13 +111,13 @@ def fill_bucket(t: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (5.0, 2.0, 1.0), seed: int = 20, sized: DataFrame | None = None) -> DataFrame:
     """docs with size, source_size, target, copies and taken (= copies x size); no row is repeated here.
 
-    sized: the columns doc_id, _mix_source, _mix_size, _mix_class of docs, where they are at hand already.
+    sized: the columns doc_id, _mix_source, _mix_size, _mix_class, _mix_key of docs, where they are at hand already.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     cols = docs.columns
     if sized is None:
         rows = with_sizes(docs)
-        sized = scratch.save(rows.select("doc_id", "_mix_source", "_mix_size", "_mix_class"))
+        sized = scratch.save(rows.select("doc_id", "_mix_source", "_mix_size", "_mix_class", "_mix_key"))
     else:
         rows = docs
     p = plan(sized, scratch, share, most, weights)
@@ -140,6 +140,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
 
 def with_sizes(docs: DataFrame) -> DataFrame:
     d = docs.withColumn("_mix_source", F.col("source")).withColumn("_mix_size", word_count())
+    d = d.withColumn("_mix_key", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
     return d.withColumn("_mix_class", (F.col("_mix_size") >= LONG).cast("int"))
 
 
@@ -154,5 +155,5 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     scratch = Scratch(spark, "mixing")
-    sized = scratch.save(with_sizes(docs).select("doc_id", "_mix_source", "_mix_size", "_mix_class"))
+    sized = scratch.save(with_sizes(docs).select("doc_id", "_mix_source", "_mix_size", "_mix_class", "_mix_key"))
     return mix(sized, sized=sized).select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -24,5 +24,21 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_pareto_mixing, op2_substring_dedup, op3_simhash_neardup, op4_embedding_neardup, op5_additive_ann, op6_sentencepiece, op7_toxicity_mil, op8_license_scan, op9_tiered_sharding, op10_suffix_dedup)}
 
 
+#: Where SQL can say it: every window of 35 words by its words, and links and reach of vectors by brute force.
+SUBSTRING = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  p AS (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+  r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) AS c FROM p) WHERE c > 1),
+  g AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS j FROM r), n AS (SELECT rid, count(*) AS gone FROM g GROUP BY 1),
+  u AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+  k AS (SELECT u.rid, string_agg(x, ' ' ORDER BY u.j) AS kept FROM u LEFT JOIN g ON g.rid = u.rid AND g.j = u.j WHERE g.rid IS NULL GROUP BY 1)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (rid) LEFT JOIN k USING (rid)"""
+NEAR = """WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  good AS (SELECT * FROM v WHERE e IS NOT NULL AND label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+  l AS (SELECT a.rid AS p, b.rid AS q FROM good a JOIN good b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+  reach(p, q) AS (SELECT rid, rid FROM v UNION SELECT reach.p, l.q FROM reach JOIN l ON l.p = reach.q),
+  c AS (SELECT p, min(vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.q GROUP BY 1), n AS (SELECT p, count(*) AS n_links FROM l GROUP BY 1)
+  SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c ON c.p = v.rid LEFT JOIN n ON n.p = v.rid"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": SUBSTRING, "op4_embedding_neardup": NEAR}

@@ -31,20 +31,23 @@ from remitspark.llm.common import Scratch, components
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """The unsigned fingerprint of one text."""
+def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """Unsigned hashes of a text's shingles in their order, repeats included."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     if len(words) <= shingle:
-        h = np.array([xxh64_intdigest(flat, seed)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate([[0], ends[:-shingle]]).tolist()
-        h = np.array([xxh64_intdigest(flat[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+        return np.array([xxh64_intdigest(flat, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-shingle]]).tolist()
+    return np.array([xxh64_intdigest(flat[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The unsigned fingerprint of a text's shingle hashes: bits set in over half of them (none: zero)."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         part = np.ascontiguousarray(h[k : k + (1 << 16)]).view(np.uint8).reshape(-1, 8)
@@ -52,6 +55,11 @@ def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """The unsigned fingerprint of one text."""
+    return fingerprint_of(shingle_hashes(text, shingle, seed))
+
+
 def with_fingerprint(docs: DataFrame, shingle: int = 4, column: str = "fp") -> DataFrame:
     """docs with a signed 64-bit fingerprint column."""
 
@@ -207,17 +215,23 @@ def links(fps: DataFrame, bits: int = 4, clean: int = 1, n: int = 0) -> DataFram
     return turned.repartition(tasks, "k", "lead").mapInPandas(join, "u long, v long")
 
 
+def fingerprint_links(fps: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
+    """Spanning links (u, v) of different fingerprints fps(fp). A random subtrie shall hold about 64 of them at most:
+    blocks are finer for more fingerprints."""
+    reps = scratch.save(fps.select("fp").distinct())
+    n, clean = reps.count(), 1
+    while clean < 4 and n / 2.0 ** (64 * clean / (bits + clean)) > 64:
+        clean += 1
+    return links(reps, bits, clean, n)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
     """Per document: doc_id, fp (signed fingerprint), component_id (smallest doc_id reachable over links), root (the
     component's smallest fingerprint)."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fp = scratch.save(with_fingerprint(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"))
     reps = scratch.save(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    # about one fingerprint in a random subtrie for every 64: finer blocks for more fingerprints
-    n, clean = reps.count(), 1
-    while clean < 4 and n / 2.0 ** (64 * clean / (bits + clean)) > 64:
-        clean += 1
-    comp = components(links(reps.select("fp"), bits, clean, n), scratch)
+    comp = components(fingerprint_links(reps, bits, scratch), scratch)
     named = reps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = scratch.save(named.join(least, "root").select("fp", "component_id", "root"))

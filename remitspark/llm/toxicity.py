@@ -6,8 +6,8 @@ known; the weights are fitted to them, and afterwards the sentences' own p locat
 is the sum over its hashed features (the word, and its beginnings), so that unseen forms of a known stem count
 too.
 
-The classifier is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` documents of each label, the
-first by a hash of doc_id, weighted back to the labels' true shares. Rows whose crc32(doc_id) mod 4 is 2 are
+The classifier is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` documents of each label and ``BYTES``
+of text, the first by a hash of doc_id that fit, each id once, weighted back to the labels' true shares. Rows whose crc32(doc_id) mod 4 is 2 are
 never learnt from. Labels, lang, source and doc_id are no inputs of a score. Scoring covers every document.
 
 Cases: a null or empty text has no sentence and scores like one empty sentence; repeated rows score alike; labels
@@ -28,8 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most documents of each label in the training sample.
-SAMPLE = 3000
+#: Most documents of each label in the training sample, and most bytes of their texts together.
+SAMPLE, BYTES = 3000, 16 << 20
 #: Hashed features, and the lengths of the beginnings.
 DIM, PREFIXES = 1 << 20, (3, 4, 5, 6)
 THRESHOLD = 0.3
@@ -148,13 +148,24 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, steps: int = 2
     return Model(dict(zip(used[keep].tolist(), w[keep].tolist())), float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """Fit on at most ``most`` documents of each label, none of them held out."""
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = BYTES) -> Model:
+    """Fit on at most ``most`` documents and ``most_bytes`` of text of each label, none of them held out."""
     l = labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2")
     shares = {int(r.toxic): r["count"] for r in l.groupBy("toxic").count().collect()}
     h = F.xxhash64("doc_id")
     pick = l.where("toxic = 1").orderBy(h, "doc_id").limit(most).union(l.where("toxic = 0").orderBy(h, "doc_id").limit(most))
-    rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "text", "toxic").toPandas()  # bounded by 2 x most
+    # one text an id, however often the id is repeated; of a text that may not fit only its size comes to the driver
+    chosen = docs.select("doc_id", "text").join(F.broadcast(pick.distinct()), "doc_id").groupBy("doc_id", "toxic")
+    sizes = chosen.agg(F.min(F.octet_length(F.coalesce("text", F.lit("")))).alias("n")).withColumn("h", h).toPandas()  # 2 x most rows
+    fits, left = [], {0: most_bytes, 1: most_bytes}
+    for r in sizes.sort_values(["h", "doc_id"], kind="stable").itertuples():
+        if r.n <= left[int(r.toxic)]:
+            left[int(r.toxic)] -= r.n
+            fits.append((int(r.doc_id), int(r.toxic)))
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    least = docs.sparkSession.createDataFrame(fits, "doc_id long, toxic int")
+    whole = docs.select("doc_id", F.struct(size.alias("n"), F.coalesce("text", F.lit("")).alias("text")).alias("x")).join(F.broadcast(least), "doc_id")
+    rows = whole.groupBy("doc_id", "toxic").agg(F.min("x").alias("x")).select("doc_id", "x.text", "toxic").toPandas()  # at most 2 x most_bytes
     rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
     y = rows["toxic"].to_numpy(float)
     weight = np.array([shares[int(v)] / max((y == v).sum(), 1) for v in y])

@@ -74,3 +74,24 @@ def test_one_id_on_unlike_texts(spark):
 
     rows = [(1, " ".join(f"{c}{k}" for k in range(60))) for c in "pqr"]
     assert drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 3
+
+
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    """A large group with several cores, chains between them, and sets that no core links: components as by all pairs."""
+    import remitspark.llm.jaccard as J
+
+    monkeypatch.setattr(J, "LARGE", 20)
+    monkeypatch.setattr(J, "BLOCK", 7)
+    rng = random.Random(12)
+    core = [[f"w{rng.randint(0, 10**6)}" for _ in range(120)] for _ in range(3)]
+    middle = core[0][:60] + core[1][60:]
+    rows = []
+    for i in range(150):
+        w = list(rng.choice([*core, core[0], core[0], middle]))
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+            w[rng.randrange(len(w))] = f"edit{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(w), None, "s", 0))
+    # one after the other loses words at its end: neighbours are alike, the ends are not
+    rows += [(200 + k, " ".join(core[2][: 120 - 2 * k]), None, "s", 0) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id for r in P.simhash(spark, df, "").collect()), key=str) == brute(rows)

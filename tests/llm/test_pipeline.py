@@ -1,6 +1,7 @@
 """The stages, one after the other, against what their operators promise, on the smallest table."""
 
 import os
+from collections import Counter
 
 import pytest
 
@@ -13,8 +14,8 @@ SF = "/root/testdata/sf0.001"
 def test_stages(spark):
     import sentencepiece
 
+    from remitspark.llm.jaccard import similar
     from remitspark.llm.piece_bpe import default_path
-    from remitspark.llm.simhash import near_duplicates
     from remitspark.llm.toxicity import score_documents, train
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -28,17 +29,23 @@ def test_stages(spark):
     model = train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     clean = {r.doc_id for r in score_documents(docs, model).where("predicted = 0").collect()}
     assert {r.doc_id for r in kept["toxicity"].collect()} == clean
-    groups = near_duplicates(kept["toxicity"], 5, 4).collect()
-    assert sorted(r.doc_id for r in kept["simhash"].collect()) == sorted({r.component_id for r in groups})
+    groups = {}
+    for r in similar(kept["toxicity"], 5, 0.8).collect():
+        groups.setdefault(r.component, []).append(r.doc_id)
+    assert sorted(r.doc_id for r in kept["simhash"].collect()) == sorted(min(g) for g in groups.values())
     cut = kept["suffix_array"].collect()
     assert sorted(r.doc_id for r in cut) == sorted(r.doc_id for r in kept["simhash"].collect())
-    texts = [(r.text or "").encode() for r in kept["simhash"].collect()]
+    # the cut, byte by byte: what lies in a string of PASSAGE bytes that starts at two places goes, everywhere
+    texts = {r.doc_id: (r.text or "").encode() for r in kept["simhash"].collect()}
+    seen = Counter(w[i : i + P.PASSAGE] for w in texts.values() for i in range(len(w) - P.PASSAGE + 1))
     for r in cut:
-        assert len(r.text) <= len(before[r.doc_id].text) and r.n_chars == len(r.text)
-        own = before[r.doc_id].text.encode()
-        again = any(sum(t.count(own[i : i + 400]) for t in texts) > 1 for i in range(0, max(0, len(own) - 399), 37))
-        if not again and r.text != before[r.doc_id].text:
-            assert len(own) >= 400
+        w, gone, end = texts[r.doc_id], set(), 0
+        for i in range(len(w) - P.PASSAGE + 1):
+            if seen[w[i : i + P.PASSAGE]] > 1:
+                gone.update(range(max(i, end), i + P.PASSAGE))
+                end = i + P.PASSAGE
+        assert r.text == bytes(c for k, c in enumerate(w) if k not in gone).decode("utf-8", "ignore") and r.n_chars == len(r.text)
+    assert any(r.text != before[r.doc_id].text for r in cut)
     words = lambda t: len((t or "").split())
     taken = sum(words(r.text) for r in kept["mixing"].collect())
     assert abs(taken - 1.5 * sum(words(r.text) for r in cut)) < 0.05 * taken + 500
@@ -51,11 +58,11 @@ def test_stages(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    from remitspark.llm.jaccard import drop_similar
     from remitspark.llm.mixing import mixed_documents
     from remitspark.llm.piece_bpe import default_path, digests
-    from remitspark.llm.simhash import drop_near_duplicates
     from remitspark.llm.suffix_array import cut_repeats
     from remitspark.llm.toxicity import reject_toxic
 
-    for f in (lambda d: reject_toxic(d, labels), lambda d: drop_near_duplicates(d), cut_repeats, mixed_documents, lambda d: digests(d, default_path())):
+    for f in (lambda d: reject_toxic(d, labels), drop_similar, cut_repeats, mixed_documents, lambda d: digests(d, default_path())):
         assert f(empty).count() == 0

@@ -37,3 +37,30 @@ def test_held_out(spark):
     y, hit = got["toxic"] == 1, got["predicted"] == 1
     assert (hit & y).sum() / y.sum() > 0.75  # a few hundred positive rows at this size
     assert (hit & ~y).sum() / (~y).sum() < 0.02
+
+
+def test_sample_is_bounded(spark):
+    """A repeated id is learnt from once, and texts that do not fit the bytes are left out, whole."""
+    import remitspark.llm.toxicity as T
+
+    rows = [(i, ("vile scum. " if i % 2 else "good day. ") * 3) for i in range(60)] + [(1, "vile scum. " * 3)] * 500 + [(101, "vile " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(60), 101]], "doc_id long, toxic int")
+    seen = []
+    old = T.fit
+    T.fit = lambda texts, y, weight: seen.append((texts, y)) or old(texts, y, weight)
+    try:
+        model = T.train(docs, labels, 100, 2000)
+    finally:
+        T.fit = old
+    texts, y = seen[0]
+    assert all(sum(len(t) for t, v in zip(texts, y) if v == k) <= 2000 for k in (0, 1)) and max(map(len, texts)) < 100
+    assert len(texts) <= 60 and model.score("vile scum.") > model.score("good day.")
+
+
+def test_score_column_of_the_input_is_replaced(spark):
+    import remitspark.llm.toxicity as T
+
+    df = spark.createDataFrame([(1, "a b", 7.0, 9)], "doc_id long, text string, score double, predicted int")
+    r = T.score_documents(df, T.Model({}, -5.0)).first()
+    assert r.score < 0.1 and r.predicted == 0
