@@ -27,7 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (sets of five-word shingles, Jaccard similarity 0.8 or more)."""
+    """One document of each group of near-duplicates stays: SimHash and MinHash find them, a Jaccard similarity of 0.8 or more
+    of their sets of five-word shingles confirms them."""
     return drop_similar(docs, shingle=5, least=0.8)
 
 
@@ -58,5 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = scratch.save(docs)
+            old, docs = docs, scratch.save(docs)
+            if k:
+                scratch.drop(old)
     return docs
