@@ -60,12 +60,13 @@ def seed_contexts(found: DataFrame, length: int, gram: int) -> DataFrame:
 COMPARE, KNOWN, BOTH = 1, 2, 3
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """(t, marks): anchors with a shared seed and what their contexts say."""
+def judged(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(t, marks): anchors with a shared seed and what their contexts say. Joins are of saved tables with one row a key on
+    one side, so that Spark splits a frequent key on the other by size."""
     place = F.xxhash64("t", "j")
-    same = rows.groupBy("seed", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    kinds = same.groupBy("seed").agg(F.count("*").alias("contexts"))
-    same = same.join(kinds, "seed")
+    same = scratch.save(rows.groupBy("seed", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("first")))
+    kinds = scratch.save(same.groupBy("seed").agg(F.count("*").alias("contexts")))
+    same = scratch.save(same.join(kinds, "seed"))
     says = F.when(F.col("contexts") == 1, KNOWN).when(F.col("n") == 1, COMPARE).when(F.col("first") == place, BOTH).otherwise(KNOWN)
     return rows.join(same, ["seed", "ctx"]).groupBy("t").agg(F.collect_list(F.struct("j", says.alias("says"))).alias("marks"))
 
@@ -100,7 +101,7 @@ def removals(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int
     found = scratch.save(texts_with_seeds(docs, "words", gram, length - gram + 1, scratch))
     scratch.forget()
     contexts = scratch.save(seed_contexts(found, length, gram))
-    texts = scratch.save(found.select("t", "tk", "tn", "text").join(judged(contexts), "t"))
+    texts = scratch.save(found.select("t", "tk", "tn", "text").join(judged(contexts, scratch), "t"))
     scratch.drop(found, contexts)
     scratch.forget()
     again = repeated(extended_windows(texts, length, gram), ["a", "b"], [], scratch)
