@@ -118,17 +118,19 @@ def fea_02(v):
     online.apply(lambda old: v.customer.select("customer_id", *none), 0)
     quality = F.struct(F.lit("spark_batch").alias("computed_via"), F.lit(0.95).alias("confidence"))
     keys = ["customer_id"]
-    for hop, length, delay, names in ((300, 86400, "30 minutes", ("txn_count_24h", "spend_24h")), (1800, 604800, "1 hour", ("txn_count_7d", "discount_rate_7d"))):
+    for hop, delay, names in ((300, "30 minutes", ("txn_count_24h", "spend_24h")), (1800, "1 hour", ("txn_count_7d", "discount_rate_7d"))):
         history = shared_folder(v.spark, f"history_{hop}")
         if hop == 300:
             kept = history
 
-        def each(df, batch, history=history, hop=hop, length=length, names=names):
+        def each(df, batch, history=history, names=names):
             slots = df.withColumn("customer_bucket", F.abs(F.hash("customer_id")) % 32)
             slots.write.mode("overwrite").partitionBy("customer_bucket").parquet(f"{history}/batch_={batch}")
-            w = N.with_rate(N.hopped(df, length, hop, keys))
+            # the last window with an event starts at the customer's last slot, and nothing lies behind that
+            last = df.groupBy(*keys).agg(F.max_by(F.struct("n", "amount", "discount"), "slot_start").alias("x"), F.max("slot_start").alias("latest")).select(*keys, "x.*", "latest")
+            w = N.with_rate(last)
             value = F.col("amount") if names[1] == "spend_24h" else F.col("discount_rate")
-            new = w.select("customer_id", F.col("n").alias(names[0]), value.cast("double").alias(names[1]), quality.alias("quality"), F.col("window_start").alias("latest"))
+            new = w.select("customer_id", F.col("n").alias(names[0]), value.cast("double").alias(names[1]), quality.alias("quality"), "latest")
             online.apply(S.update_latest(new, keys, "latest"), batch, names[0])
 
         drain(v, N.slots(event_stream(v.spark, v.dir, delay), f"{hop} seconds", keys), each, "update")
