@@ -8,7 +8,6 @@ from remitspark.operators.search import Search
 from remitspark.plans.customers import DRIFT, VEC, asked, features, samples
 from remitspark.registry import query
 from remitspark.sources.scratch import shared_folder
-from remitspark.views import stamp
 
 FEATURES = ["n", "minutes_silent", "discount_rate", "quarantines", "spend_7d"]
 

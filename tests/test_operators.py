@@ -1,7 +1,6 @@
 """Hand-valued cases of the operators: rules, drift, cases, as-of joins, sinks and late rows."""
 
 import datetime as dt
-import math
 import os
 import random
 import tempfile
