@@ -1,8 +1,11 @@
 """Fingerprints against the definition, components against all pairs, edge cases."""
 
+import os
 import random
+import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from remitspark.llm.simhash import drop_near_duplicates, near_duplicates, simhash
@@ -102,3 +105,35 @@ def test_trie_join_with_every_budget(spark):
             return tuple(y for y in fps if f(y) == f(x))
 
         assert groups(find) == groups(wfind)
+
+
+def test_query_on_given_table(spark):
+    """The registered query against fingerprints and components made anew, by all pairs."""
+    from remitspark.llm.simhash import op3_simhash_neardup
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+
+    def fingerprint(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        if not w:
+            return 0
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fp = {i: fingerprint(t) for i, t in rows}
+    every = np.array(sorted(set(fp.values())), np.uint64)
+    root = np.arange(len(every))
+    for a in range(len(every)):
+        for b in np.flatnonzero(np.bitwise_count(every[:a] ^ every[a]) <= 4).tolist():
+            if root[a] != root[b]:
+                root[root == root[a]] = root[b]
+    at = {int(f): int(root[k]) for k, f in enumerate(every)}
+    least = {}
+    for i, _ in rows:
+        least[at[fp[i]]] = min(i, least.get(at[fp[i]], i))
+    got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in op3_simhash_neardup(spark, sf).collect())
+    assert got == sorted((i, f"{fp[i]:016x}", least[at[fp[i]]]) for i, _ in rows)
