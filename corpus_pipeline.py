@@ -54,12 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage. Each stage's rows are saved, and the table saved before goes once nothing reads it."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            old, docs = docs, scratch.save(docs)
-            if k:
-                scratch.drop(old)
-    return docs
+    docs, saved = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+        if saved is not None:
+            scratch.drop(saved)
+        saved = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

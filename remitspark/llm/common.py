@@ -59,6 +59,9 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that ``save`` gave; another DataFrame is an error, as nothing of it is on disk."""
+        if any("_scratch_path" not in vars(t) for t in tables):
+            raise ValueError("only a table that save() gave can be dropped")
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:

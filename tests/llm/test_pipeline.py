@@ -53,6 +53,23 @@ def test_stages(spark):
     last = P.STAGES[-1][1](spark, kept["mixing"], SF).collect()
     want = sorted((r.doc_id, len(sp.encode(r.text or "", add_eos=True))) for r in kept["mixing"].collect())
     assert sorted((r.doc_id, r.n_tokens) for r in last) == want
+    # the registered query is the same five stages, one after the other
+    import __spark_entry__
+
+    whole = __spark_entry__.queries()["pipeline"](spark, SF)
+    assert sorted(map(tuple, whole.select(last[0].__fields__).collect())) == sorted(map(tuple, last))
+
+
+def test_only_saved_tables_are_dropped(spark):
+    from remitspark.llm.common import Scratch
+
+    scratch = Scratch(spark, "dropped")
+    t = scratch.save(spark.range(3))
+    with pytest.raises(ValueError):
+        scratch.drop(t.where("id > 0"))
+    scratch.drop(t)
+    with pytest.raises(Exception):
+        t.count()
 
 
 def test_empty(spark):
