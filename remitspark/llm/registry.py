@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from remitspark.llm.additive_ann import op5_additive_ann
+from remitspark.llm.byte_bpe import op11_byte_bpe
 from remitspark.llm.epsgrid import op4_embedding_neardup
 from remitspark.llm.license_scan import op8_license_scan
 from remitspark.llm.mixing import op1_pareto_mixing
@@ -21,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pareto_mixing, op2_substring_dedup, op3_simhash_neardup, op4_embedding_neardup, op5_additive_ann, op6_sentencepiece, op7_toxicity_mil, op8_license_scan, op9_tiered_sharding, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_substring_dedup, op3_simhash_neardup, op4_embedding_neardup, op5_additive_ann, op6_sentencepiece, op7_toxicity_mil, op8_license_scan, op9_tiered_sharding, op10_suffix_dedup, op11_byte_bpe)}
 
 
 #: Where SQL can say it: every window of 35 words by its words, and links and reach of vectors by brute force.
