@@ -10,6 +10,7 @@ from remitspark.llm.additive_ann import op5_additive_ann
 from remitspark.llm.byte_bpe import op11_byte_bpe
 from remitspark.llm.epsgrid import op4_embedding_neardup
 from remitspark.llm.license_scan import op8_license_scan
+from remitspark.llm.merkle import op13_merkle_manifest
 from remitspark.llm.mixing import op1_pareto_mixing
 from remitspark.llm.piece_bpe import op6_sentencepiece
 from remitspark.llm.sharding import op9_tiered_sharding
@@ -22,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pareto_mixing, op2_substring_dedup, op3_simhash_neardup, op4_embedding_neardup, op5_additive_ann, op6_sentencepiece, op7_toxicity_mil, op8_license_scan, op9_tiered_sharding, op10_suffix_dedup, op11_byte_bpe)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_substring_dedup, op3_simhash_neardup, op4_embedding_neardup, op5_additive_ann, op6_sentencepiece, op7_toxicity_mil, op8_license_scan, op9_tiered_sharding, op10_suffix_dedup, op11_byte_bpe, op13_merkle_manifest)}
 
 
 #: Where SQL can say it: every window of 35 words by its words, and links and reach of vectors by brute force.
@@ -40,6 +41,23 @@ NEAR = """WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label
   c AS (SELECT p, min(vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.q GROUP BY 1), n AS (SELECT p, count(*) AS n_links FROM l GROUP BY 1)
   SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c ON c.p = v.rid LEFT JOIN n ON n.p = v.rid"""
 
+#: The hash trees level by level; CRC-32 by its table, which follows from its polynomial.
+MERKLE = """WITH RECURSIVE bit(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE k < 8),
+  crc AS (SELECT list(c ORDER BY i) AS t FROM bit WHERE k = 8),
+  f AS (SELECT row_number() OVER () AS rid, doc_id, lang, n_chars, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS a, coalesce(octet_length(encode(text)) || ':' || text, '-') AS z,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 7 = 0 AS hit FROM documents, crc),
+  d AS (SELECT rid, doc_id, lang, sha256(a || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') || z) AS leaf, CASE WHEN hit THEN sha256(a || coalesce(octet_length(encode(CAST(n_chars::HUGEINT + 1 AS VARCHAR))) || ':' || (n_chars::HUGEINT + 1), '-') || z) END AS changed FROM f),
+  l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM d),
+  tree(lang, h, pos, n, x) AS (SELECT lang, 0, place, n, leaf FROM l UNION ALL SELECT lang, h + 1, pos // 2, (n + 1) // 2, sha256(string_agg(x, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY lang, h, pos // 2, n),
+  s AS (SELECT lang, x AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM tree WHERE n = 1),
+  crown(h, pos, n, x) AS (SELECT 0, place, n, subroot FROM s UNION ALL SELECT h + 1, pos // 2, (n + 1) // 2, sha256(string_agg(x, '' ORDER BY pos)) FROM crown WHERE n > 1 GROUP BY h, pos // 2, n),
+  up AS (SELECT s.lang, s.subroot, list(CASE WHEN b.x IS NULL THEN '-' WHEN a.pos % 2 = 0 THEN '>' || b.x ELSE '<' || b.x END ORDER BY a.h) AS path FROM s JOIN crown a ON a.n > 1 AND a.pos = s.place >> a.h LEFT JOIN crown b ON b.h = a.h AND b.pos = xor(a.pos, 1) GROUP BY 1, 2),
+  own AS (SELECT l.rid, list(CASE WHEN b.x IS NULL THEN '-' WHEN a.pos % 2 = 0 THEN '>' || b.x ELSE '<' || b.x END ORDER BY a.h) AS path FROM l JOIN tree a ON a.lang IS NOT DISTINCT FROM l.lang AND a.n > 1 AND a.pos = l.place >> a.h LEFT JOIN tree b ON b.lang IS NOT DISTINCT FROM a.lang AND b.h = a.h AND b.pos = xor(a.pos, 1) GROUP BY 1),
+  p AS (SELECT doc_id, leaf, s.subroot, coalesce(changed, leaf) AS start, list_concat(coalesce(own.path, []), coalesce(up.path, [])) AS path FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN own USING (rid) LEFT JOIN up ON up.subroot = s.subroot AND up.lang IS NOT DISTINCT FROM s.lang),
+  r AS (SELECT doc_id, leaf, subroot, (SELECT x FROM crown WHERE n = 1) AS root, sha256(array_to_string(list_transform(path, lambda y: substr(y, 2)), '')) AS proof_sha256,
+    list_reduce(list_concat([start], path), lambda g, y: sha256(CASE WHEN y[1] = '<' THEN substr(y, 2) || g WHEN y[1] = '>' THEN g || substr(y, 2) ELSE g END)) AS folded_root FROM p)
+  SELECT *, folded_root = root AS verified FROM r"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SUBSTRING, "op4_embedding_neardup": NEAR}
+    return {"op13_merkle_manifest": MERKLE, "op2_substring_dedup": SUBSTRING, "op4_embedding_neardup": NEAR}
