@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from remitspark.llm.additive_ann import op5_additive_ann
 from remitspark.llm.byte_bpe import op11_byte_bpe
+from remitspark.llm.divergence import op12_source_divergence
 from remitspark.llm.epsgrid import op4_embedding_neardup
 from remitspark.llm.license_scan import op8_license_scan
 from remitspark.llm.merkle import op13_merkle_manifest
@@ -23,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pareto_mixing, op2_substring_dedup, op3_simhash_neardup, op4_embedding_neardup, op5_additive_ann, op6_sentencepiece, op7_toxicity_mil, op8_license_scan, op9_tiered_sharding, op10_suffix_dedup, op11_byte_bpe, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_substring_dedup, op3_simhash_neardup, op4_embedding_neardup, op5_additive_ann, op6_sentencepiece, op7_toxicity_mil, op8_license_scan, op9_tiered_sharding, op10_suffix_dedup, op11_byte_bpe, op12_source_divergence, op13_merkle_manifest)}
 
 
 #: Where SQL can say it: every window of 35 words by its words, and links and reach of vectors by brute force.
@@ -58,6 +59,18 @@ MERKLE = """WITH RECURSIVE bit(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i)
     list_reduce(list_concat([start], path), lambda g, y: sha256(CASE WHEN y[1] = '<' THEN substr(y, 2) || g WHEN y[1] = '>' THEN g || substr(y, 2) ELSE g END)) AS folded_root FROM p)
   SELECT *, folded_root = root AS verified FROM r"""
 
+#: Every kept term of every group, those that do not occur there too, without any of the operator's sums by kind.
+DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+  o AS (SELECT rid, lang, source, unnest(w) AS term FROM d), k AS (SELECT lang, term, count(*) AS m FROM o GROUP BY 1, 2 HAVING count(DISTINCT rid) >= 3), g AS (SELECT DISTINCT lang, source FROM d),
+  c AS (SELECT lang, source, term, count(*) AS n FROM o GROUP BY 1, 2, 3), e AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+  q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (m + 1) // (sum(m) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM k),
+  p AS (SELECT *, 1 + CAST(1000000000 AS HUGEINT) * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p FROM e),
+  b AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+  u AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN b ON b.lang = x.lang AND b.source = x.source AND b.item = y.source
+    UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+  r AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+  SELECT * FROM r WHERE part = 'pair' OR rank <= 200"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_merkle_manifest": MERKLE, "op2_substring_dedup": SUBSTRING, "op4_embedding_neardup": NEAR}
+    return {"op12_source_divergence": DIVERGENCE, "op13_merkle_manifest": MERKLE, "op2_substring_dedup": SUBSTRING, "op4_embedding_neardup": NEAR}
