@@ -6,8 +6,13 @@ from remitspark.operators import drift as K
 from remitspark.operators import forest
 from remitspark.operators.search import Search
 from remitspark.plans.customers import DRIFT, VEC, asked, features, samples
+from remitspark.plans.streams import drain, ended
 from remitspark.registry import query
 from remitspark.sources.scratch import shared_folder
+from remitspark.sources.streams import event_stream
+from remitspark.streaming import tables as S
+from remitspark.streaming import trailing as R
+from remitspark.streaming import windows as N
 
 FEATURES = ["n", "minutes_silent", "discount_rate", "quarantines", "spend_7d"]
 
@@ -95,44 +100,46 @@ def src_05(v):
     return read.select(F.lit("history").alias("origin"), "customer_id", "day", "n").unionByName(computed.where("day >= '2024-01-29'").withColumn("origin", F.lit("computed")))
 
 
-def _last(length, hop, what):
-    """SQL: of each customer the last window that has an event."""
-    return f"SELECT customer_id, {what}, max(ts) AS latest FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) // {hop} AS slot, max(CAST(floor(epoch(ts)) AS BIGINT) // {hop}) OVER (PARTITION BY customer_id) AS last_slot FROM ev) WHERE slot >= last_slot AND slot < last_slot + {length // hop} GROUP BY 1"
+def _trailing(length, hop, what):
+    """SQL: of each customer the window that ends with the step of the newest event."""
+    return f"SELECT customer_id, {what} FROM (SELECT *, (CAST(floor(epoch(max(ts) OVER (PARTITION BY customer_id))) AS BIGINT) // {hop} + 1) * {hop} AS e FROM ev) WHERE epoch(ts) >= e - {length} GROUP BY 1"
 
 
-@query("fea_02_window_history", f"""WITH a AS ({_last(86400, 300, 'count(*) AS n, CAST(sum(amount) AS DOUBLE) AS spend')}), b AS ({_last(604800, 1800, 'count(*) AS n, CAST(sum(discount) AS DOUBLE) / nullif(CAST(sum(amount) AS DOUBLE), 0) AS rate')}),
-  k AS (SELECT c_custkey AS customer_id FROM customer), h AS (SELECT customer_id, count(*) AS slots FROM (SELECT DISTINCT customer_id, CAST(floor(epoch(ts)) AS BIGINT) // 300 AS slot FROM ev) GROUP BY 1)
-  SELECT k.customer_id, a.n AS txn_count_24h, a.spend AS spend_24h, b.n AS txn_count_7d, b.rate AS discount_rate_7d, CASE WHEN a.n IS NOT NULL THEN 'spark_batch' END AS computed_via, coalesce(slots, 0) AS history_slots
-  FROM k LEFT JOIN a USING (customer_id) LEFT JOIN b USING (customer_id) LEFT JOIN h USING (customer_id)""")
-def fea_02(v):
-    """24-hour windows each five minutes and 7-day windows each half hour. The stream appends its slots to the history,
-    by customer bucket; each micro-batch's last window of a customer updates the online table, which never gains rows."""
-    from remitspark.plans.streams import drain
-    from remitspark.sources.streams import event_stream
-    from remitspark.streaming import tables as S
-    from remitspark.streaming import windows as N
+def _windows(length, hop, delay):
+    return f"SELECT customer_id, count(*) AS c FROM ({ended(length, hop, delay)}) GROUP BY 1"
+
 
+@query("fea_02_window_history", f"""WITH a AS ({_trailing(86400, 300, 'count(*) AS n, CAST(sum(amount) AS DOUBLE) AS spend')}), b AS ({_trailing(604800, 1800, 'count(*) AS n, CAST(sum(discount) AS DOUBLE) / nullif(CAST(sum(amount) AS DOUBLE), 0) AS rate')}),
+  k AS (SELECT c_custkey AS customer_id FROM customer), h AS ({_windows(86400, 300, '30 MINUTE')}), i AS ({_windows(604800, 1800, '1 HOUR')})
+  SELECT k.customer_id, a.n AS txn_count_24h, a.spend AS spend_24h, b.n AS txn_count_7d, b.rate AS discount_rate_7d, CASE WHEN a.n IS NOT NULL THEN 'spark_batch' END AS computed_via, coalesce(h.c, 0) AS history_24h, coalesce(i.c, 0) AS history_7d
+  FROM k LEFT JOIN a USING (customer_id) LEFT JOIN b USING (customer_id) LEFT JOIN h USING (customer_id) LEFT JOIN i USING (customer_id)""")
+def fea_02(v):
+    """24-hour windows each five minutes and 7-day windows each half hour, from state kept by customer. Windows go to the
+    history, by customer bucket, once they are closed; the window that ends with a customer's newest event updates the
+    online table with every micro-batch, which never gains rows."""
     online = S.SnapshotTable(v.spark, shared_folder(v.spark, "online"), "customer_id long, txn_count_24h long, spend_24h double, txn_count_7d long, discount_rate_7d double, quality struct<computed_via:string,confidence:double>, latest timestamp", ["customer_id"])
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in online.types.fields[1:]]
     online.apply(lambda old: v.customer.select("customer_id", *none), 0)
     quality = F.struct(F.lit("spark_batch").alias("computed_via"), F.lit(0.95).alias("confidence"))
-    keys = ["customer_id"]
-    for hop, delay, names in ((300, "30 minutes", ("txn_count_24h", "spend_24h")), (1800, "1 hour", ("txn_count_7d", "discount_rate_7d"))):
-        history = shared_folder(v.spark, f"history_{hop}")
-        if hop == 300:
-            kept = history
-
-        def each(df, batch, history=history, names=names):
-            slots = df.withColumn("customer_bucket", F.abs(F.hash("customer_id")) % 32)
-            slots.write.mode("overwrite").partitionBy("customer_bucket").parquet(f"{history}/batch_={batch}")
-            # the last window with an event starts at the customer's last slot, and nothing lies behind that
-            last = df.groupBy(*keys).agg(F.max_by(F.struct("n", "amount", "discount"), "slot_start").alias("x"), F.max("slot_start").alias("latest")).select(*keys, "x.*", "latest")
-            w = N.with_rate(last)
+    history = {}
+    for length, step, delay, names in ((86400, 300, "30 minutes", ("txn_count_24h", "spend_24h")), (604800, 1800, "1 hour", ("txn_count_7d", "discount_rate_7d"))):
+        folder = history[names[0]] = shared_folder(v.spark, f"history_{step}")
+
+        def each(df, batch, folder=folder, names=names):
+            kept = shared_folder(v.spark, "batch")  # so that the state is gone through once
+            df.write.parquet(kept)
+            df = v.spark.read.schema(df.schema).parquet(kept)
+            bucket = F.abs(F.hash("customer_id")) % 32
+            df.where("kind = 'closed'").drop("kind").withColumn("customer_bucket", bucket).write.mode("overwrite").partitionBy("customer_bucket").parquet(f"{folder}/batch_={batch}")
+            w = N.with_rate(df.where("kind = 'latest'"))
             value = F.col("amount") if names[1] == "spend_24h" else F.col("discount_rate")
-            new = w.select("customer_id", F.col("n").alias(names[0]), value.cast("double").alias(names[1]), quality.alias("quality"), "latest")
-            online.apply(S.update_latest(new, keys, "latest"), batch, names[0])
-
-        drain(v, N.slots(event_stream(v.spark, v.dir, delay), f"{hop} seconds", keys), each, "update")
-    slots = v.spark.read.parquet(kept).groupBy("customer_id").agg(F.count_distinct("slot_start").alias("history_slots"))
-    t = online.read().join(slots, "customer_id", "left")
-    return t.select("customer_id", "txn_count_24h", "spend_24h", "txn_count_7d", "discount_rate_7d", "quality.computed_via", F.coalesce("history_slots", F.lit(0)).alias("history_slots"))
+            new = w.select("customer_id", F.col("n").alias(names[0]), value.cast("double").alias(names[1]), quality.alias("quality"), F.col("window_end").alias("latest"))
+            online.apply(S.update_latest(new, ["customer_id"], "latest"), batch, names[0])
+
+        with R.rocks(v.spark):
+            drain(v, R.trailing(event_stream(v.spark, v.dir), length, step, delay), each)
+    t = online.read()
+    for n, name in (("txn_count_24h", "history_24h"), ("txn_count_7d", "history_7d")):
+        windows = v.spark.read.schema("customer_id long, window_end timestamp").parquet(history[n]).groupBy("customer_id").agg(F.count("*").alias(name))
+        t = t.join(windows, "customer_id", "left")
+    return t.select("customer_id", "txn_count_24h", "spend_24h", "txn_count_7d", "discount_rate_7d", "quality.computed_via", F.coalesce("history_24h", F.lit(0)).alias("history_24h"), F.coalesce("history_7d", F.lit(0)).alias("history_7d"))

@@ -16,19 +16,6 @@ def windowed(events: DataFrame, length: str, hop: str | None, keys: list[str]) -
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n", "amount", "discount", "first_at", "last_at")
 
 
-def hopped(slots: DataFrame, length: int, hop: int, keys: list[str]) -> DataFrame:
-    """Hopping windows of ``length`` seconds each ``hop`` seconds from slots of one hop (slot_start, keys, n, amount,
-    discount): a slot counts in each window that covers it, so events are met once, whatever the number of windows."""
-    back = F.explode(F.sequence(F.lit(0), F.lit(length // hop - 1)))
-    t = slots.withColumn("back", back).withColumn("window_start", F.timestamp_seconds(F.unix_timestamp("slot_start") - F.col("back") * hop))
-    return t.groupBy("window_start", *keys).agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"), F.sum("discount").alias("discount"))
-
-
-def slots(events: DataFrame, hop: str, keys: list[str]) -> DataFrame:
-    """Counts and sums by slot of one hop and keys."""
-    return windowed(events, hop, None, keys).select(F.col("window_start").alias("slot_start"), *keys, "n", "amount", "discount")
-
-
 def with_rate(w: DataFrame) -> DataFrame:
     return w.withColumn("discount_rate", F.try_divide(F.col("discount").cast("double"), F.col("amount").cast("double")))
 
