@@ -3,8 +3,6 @@
 import re
 from collections import Counter, defaultdict
 
-import pytest
-
 from remitspark.llm import divergence as D
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, term string, n int"
@@ -67,7 +65,6 @@ def test_blocks(spark, monkeypatch):
     words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "abcdef" for c in "xyzuvw"]
     rows = [(" ".join(rng.choice(words[: 60 * (1 + s)]) + rng.choice(["", ".", ","]) for _ in range(rng.randint(0, 120))), rng.choice(["l", "m"]), f"s{s}") for s in range(5) for _ in range(25)]
     rows += [("same words here", "l", "s0")] * 40
-    monkeypatch.setattr(D, "BLOCK_DOCS", 7)
     monkeypatch.setattr(D, "BLOCK_BYTES", 2000)
     assert result(made(spark, rows).repartition(3)) == brute(rows)
 
@@ -84,8 +81,44 @@ def test_large_counts(spark):
     assert n.select(D.share(F.col("n"), F.col("t"), F.col("k")).alias("p")).first().p == 1 + 10**9 * (10**13 + 1) // (3 * 10**13 + 10**6)
 
 
-@pytest.mark.parametrize("name", ["chunk"])
-def test_each_chunk_once(spark, name):
-    df = made(spark, ODD).repartition(4)
-    t = D.chunk_terms(D.chunk_counts(df))
-    assert t.count() == t.select("chunk", "term").distinct().count()
+def test_each_chunk_once(spark):
+    """A chunk of several blocks and tasks is one row when it is split into terms."""
+    from remitspark.llm.common import Scratch
+
+    texts, _ = D.named(made(spark, ODD * 3).repartition(4), Scratch(spark, "chunks"))
+    rows = D.chunk_counts(texts).repartition("word").sortWithinPartitions("word").mapInArrow(D.whole_chunks, D.ROW)
+    words = [bytes(r.word) for r in rows.collect()]
+    assert len(words) == len(set(words)) == len({w for x, *_ in ODD for w in (x or "").encode().split()})
+
+
+def test_sums_carry_over_batches(monkeypatch):
+    """A word whose rows lie in many batches is one row, with all its counts and enough of its documents."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows, want = [], {}
+    for w in (b"a", b"b", b"c" * 9):
+        for _ in range(40 if w == b"b" else 3):
+            counts = [(l, 10 * l + g, rng.randint(1, 9)) for l in range(2) for g in range(3) if rng.random() < 0.6]
+            docs = [(l, rng.randint(0, 5)) for l in range(2) if rng.random() < 0.5]
+            rows.append((w, np.array(counts, D.COUNT).tobytes(), np.array(docs, D.DOC).tobytes()))
+            n, d = want.setdefault(w, (Counter(), defaultdict(set)))
+            for l, g, k in counts:
+                n[l, g] += k
+            for l, x in docs:
+                d[l].add(x)
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in zip(*rows[k : k + 2])], ["word", "counts", "docs"]) for k in range(0, len(rows), 2)]
+    for held in (1, 300, 10**9):
+        monkeypatch.setattr(D, "HELD", held)
+        got = [r for b in D.whole_chunks(iter(batches)) for r in b.to_pylist()]
+        assert [r["word"] for r in got] == list(want)
+        for r in got:
+            n, d = want[r["word"]]
+            assert {(l, g): k for l, g, k in np.frombuffer(r["counts"], D.COUNT).tolist()} == n
+            mine = defaultdict(set)
+            for l, x in np.frombuffer(r["docs"], D.DOC).tolist():
+                mine[l].add(x)
+            assert {l: min(len(x), 3) for l, x in d.items()} == {l: len(x) for l, x in mine.items()} and all(mine[l] <= d[l] for l in mine)
