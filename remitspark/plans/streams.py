@@ -5,6 +5,10 @@ from pyspark.sql import functions as F
 from remitspark.registry import query
 from remitspark.sources.scratch import shared_folder
 from remitspark.sources.streams import ITEM_SCHEMA, event_stream, raw_stream, replayed
+from remitspark.streaming import consumer as C
+from remitspark.streaming import fanout as O
+from remitspark.streaming import lookups as L
+from remitspark.streaming import mirror as M
 from remitspark.streaming import tables as S
 from remitspark.streaming import trailing as R
 from remitspark.streaming import windows as N
@@ -15,9 +19,9 @@ def T(c):
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 
 
-def drain(v, stream, each, mode="append"):
-    """Run a stream over everything there is, handing each micro-batch to ``each``."""
-    q = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", shared_folder(v.spark, "stream")).trigger(availableNow=True).start()
+def drain(v, stream, each, mode="append", at=None):
+    """Run a stream over everything there is, or is new since its checkpoint, handing each micro-batch to ``each``."""
+    q = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", at or shared_folder(v.spark, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
@@ -143,44 +147,54 @@ def str_12(v):
     return t.select(stamp("window_start", "window_start"), "rate", "p50", "p99")
 
 
-@query("str_13_case_mirror", "SELECT customer_id, count(*) AS open_cases, min(event_id) AS oldest FROM ev WHERE merchant_id = 'error' AND amount <= 100 GROUP BY 1")
+CASES = """WITH x AS (SELECT l_orderkey AS case_id, o_custkey AS customer_id, l_linenumber AS seq, o_orderdate AS t0, CASE WHEN l_linenumber = 1 THEN 'insert' WHEN l_returnflag = 'R' THEN 'end' ELSE 'edit' END AS kind, CASE WHEN l_linenumber > 1 AND l_returnflag = 'A' THEN 'under_review' ELSE 'open' END AS status FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+  s AS (SELECT case_id, max(customer_id) AS customer_id, max(t0) AS t0, bool_or(kind = 'insert') AS there, coalesce(bool_or(kind = 'end'), false) AS ended, arg_max(status, (seq, status)) FILTER (WHERE kind <> 'end') AS status FROM x GROUP BY 1)
+  SELECT customer_id, count(*) AS lifetime, count(*) FILTER (WHERE NOT ended) AS open_cases, count(*) FILTER (WHERE NOT ended AND status = 'under_review') AS under_review, min(case_id) FILTER (WHERE NOT ended) AS oldest, arg_max(case_id, (t0, case_id)) FILTER (WHERE NOT ended) AS newest FROM s WHERE there GROUP BY 1"""
+
+
+@query("str_13_case_mirror", CASES)
 def str_13(v):
-    """Open cases of each customer from a change stream: errors open a case, those above 100 are closed at once."""
-    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "mirror"), "customer_id long, case_id long", ["case_id"])
+    """Cases of each customer from a change feed: the first line of an order opens its case, later lines edit its status or
+    end it. Changes arrive by shipping date, so those of a case come in any order and in several batches."""
+    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "mirror"), M.STATE, ["case_id"])
+    owner = v.table("orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
+    first = F.col("l_linenumber") == 1
+    kind = F.when(first, "insert").when(F.col("l_returnflag") == "R", "end").otherwise("edit")
+    status = F.when(~first & (F.col("l_returnflag") == "A"), "under_review").otherwise("open")
+    feed = raw_stream(v.spark, v.dir, "lineitem", ITEM_SCHEMA, ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"))
+    changes = feed.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("seq"), kind.alias("kind"), status.alias("status")).join(owner, "case_id")
+    drain(v, changes, M.mirrored(table))
+    return M.by_customer(table.read())
 
-    def each(df, batch):
-        opened = df.where("amount <= 100").select("customer_id", F.col("event_id").alias("case_id"))
-        closed = df.where("amount > 100").select(F.col("event_id").alias("case_id"))
-        table.apply(S.on(df.select(F.col("event_id").alias("case_id")), lambda old: S.keep_first(opened, ["case_id"])(old).join(closed, "case_id", "left_anti").select("customer_id", "case_id")), batch)
 
-    drain(v, event_stream(v.spark, v.dir).where("merchant_id = 'error'"), each)
-    return table.read().groupBy("customer_id").agg(F.count("*").alias("open_cases"), F.min("case_id").alias("oldest"))
+SINKS = {"all": "true", "error": "merchant_id = 'error'", "large": "amount > 100", "free": "discount = 0", "early": "ts < TIMESTAMP '2024-01-15 00:00:00'"}
 
 
-@query("str_14_fan_out", "SELECT 'all' AS sink, count(*) AS n FROM ev UNION ALL SELECT 'error', count(*) FROM ev WHERE merchant_id = 'error' UNION ALL SELECT 'large', count(*) FROM ev WHERE amount > 100")
+@query("str_14_fan_out", " UNION ALL ".join(f"SELECT '{n}' AS sink, count(*) AS n FROM ev WHERE {c}" for n, c in SINKS.items()))
 def str_14(v):
-    """Several sinks from one source: each is a query of its own with its own checkpoint."""
-    sinks = {"all": F.lit(True), "error": F.col("merchant_id") == "error", "large": F.col("amount") > 100}
-    paths, running = {}, []
-    for name, cond in sinks.items():
-        paths[name] = shared_folder(v.spark, name)
+    """Five sinks from one source, each a query of its own with its own checkpoint, watched together."""
+    paths, sinks = {}, {}
+    for name, cond in SINKS.items():
+        out = paths[name] = shared_folder(v.spark, name)
         t = event_stream(v.spark, v.dir).where(cond).select("event_id", F.lit(name).alias("sink"))
-        running.append(t.writeStream.format("parquet").option("path", paths[name]).option("checkpointLocation", shared_folder(v.spark, "stream")).trigger(availableNow=True).start())
-    for q in running:
-        q.awaitTermination()
-    read = v.spark.read.schema("event_id long, sink string")
-    return read.parquet(*paths.values()).groupBy("sink").agg(F.count("*").alias("n"))
+        w = t.writeStream.queryName(f"{name}-{out[-12:]}").format("parquet").option("path", out).option("checkpointLocation", shared_folder(v.spark, "stream")).trigger(availableNow=True)
+        sinks[name] = w.start
+    O.run_together(v.spark, sinks)
+    return v.spark.read.schema("event_id long, sink string").parquet(*paths.values()).groupBy("sink").agg(F.count("*").alias("n"))
 
 
-@query("str_15_catalog_feed", "WITH c AS (SELECT product_ref, arg_max(charge_code, (shipped_at, transaction_id, line_no, merchant_id)) AS code, count(*) AS changes FROM items GROUP BY 1) SELECT product_ref, code, changes FROM c WHERE code <> 'CC_BUNDLE_PPV'")
-def str_15(v):
-    """The catalog as its change feed leaves it: of each entry the latest insert or update counts, a bundle code is a
-    delete. Deleted entries stay as tombstones in the table, so that a late change does not bring them back."""
-    schema = "product_ref long, at struct<shipped_at:timestamp_ntz,transaction_id:bigint,line_no:int,merchant_id:bigint>, code string, changes long"
-    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "catalog"), schema, ["product_ref"])
+CATALOG = "product_ref long, at struct<shipped_at:timestamp_ntz,transaction_id:bigint,line_no:int,merchant_id:bigint>, code string, changes long"
+
+
+def catalog_changes(feed):
+    """The catalog's changes from its feed: entry, place in the order of changes, code."""
     code = F.when(F.col("l_returnflag") == "A", "CC_PPV_DIRECT").when(F.col("l_returnflag") == "R", "CC_BUNDLE_PPV").otherwise("CC_SUBSCRIPTION_BASE")
     at = F.struct(F.col("l_shipdate").alias("shipped_at"), F.col("l_orderkey").alias("transaction_id"), F.col("l_linenumber").alias("line_no"), F.col("l_suppkey").alias("merchant_id"))
-    feed = raw_stream(v.spark, v.dir, "lineitem", ITEM_SCHEMA, ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")).select(F.col("l_partkey").alias("product_ref"), at.alias("at"), code.alias("code"))
+    return feed.select(F.col("l_partkey").alias("product_ref"), at.alias("at"), code.alias("code"))
+
+
+def catalog_sink(table):
+    """Changes into the catalog: of each entry the latest counts, whatever order they come in."""
 
     def latest(t):
         return t.groupBy("product_ref").agg(F.max("at").alias("at"), F.max_by("code", "at").alias("code"), F.sum("changes").alias("changes"))
@@ -189,26 +203,54 @@ def str_15(v):
         new = latest(df.withColumn("changes", F.lit(1).cast("long")))
         table.apply(S.on(new, lambda old: latest(old.unionByName(new))), batch)
 
-    drain(v, feed, each)
+    return each
+
+
+@query("str_15_catalog_feed", "WITH c AS (SELECT product_ref, arg_max(charge_code, (shipped_at, transaction_id, line_no, merchant_id)) AS code, count(*) AS changes FROM items GROUP BY 1) SELECT product_ref, code, changes FROM c WHERE code <> 'CC_BUNDLE_PPV'")
+def str_15(v):
+    """The catalog as its change feed leaves it: of each entry the latest insert or update counts, a bundle code is a
+    delete. Deleted entries stay as tombstones in the table, so that a late change does not bring them back."""
+    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "catalog"), CATALOG, ["product_ref"])
+    feed = raw_stream(v.spark, v.dir, "lineitem", ITEM_SCHEMA, ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"))
+    drain(v, catalog_changes(feed), catalog_sink(table))
     return table.read().where("code <> 'CC_BUNDLE_PPV'").select("product_ref", "code", "changes")
 
 
+PERIOD = "(CAST(date_part('year', shipped_at) AS BIGINT) - 1992) // 2"
+
+
+@query("str_15_lookup_refresh", f"""WITH i AS (SELECT *, {PERIOD} AS period FROM items), c AS (SELECT product_ref, period, arg_max(charge_code, (shipped_at, transaction_id, line_no, merchant_id)) AS code FROM i GROUP BY 1, 2),
+  b AS (SELECT product_ref, period, lag(code) OVER (PARTITION BY product_ref ORDER BY period) AS before FROM c) SELECT transaction_id, line_no, product_ref, CASE WHEN before <> 'CC_BUNDLE_PPV' THEN before END AS code_seen FROM i JOIN b USING (product_ref, period)""")
+def str_15_refresh(v):
+    """Sales with the code that the catalog has when they arrive, two years at a time; the changes of those years reach the
+    catalog behind their sales. Both are streams that go on from their checkpoints: a sale after a change sees the new code,
+    one before it the old, and a deleted entry none."""
+    table = S.SnapshotTable(v.spark, shared_folder(v.spark, "catalog"), CATALOG, ["product_ref"])
+    landed, sold = shared_folder(v.spark, "landed"), shared_folder(v.spark, "sold")
+    rows = v.table("lineitem").select(*[c.split()[0] for c in ITEM_SCHEMA.split(", ")])
+    period = F.floor((F.year("l_shipdate") - 1992) / 2)
+    periods = sorted(r[0] for r in rows.select(period).distinct().collect())  # a few
+    seen = F.when(F.col("code") != "CC_BUNDLE_PPV", F.col("code")).alias("code_seen")
+    write = lambda df, batch: df.select("transaction_id", "line_no", "product_ref", seen).write.mode("overwrite").parquet(f"{sold}/batch={batch}")
+    each = L.enriched_by(L.Lookup(table), ["product_ref"], ["code"], write)
+    at = [shared_folder(v.spark, "stream") for _ in range(2)]
+    for p in periods:
+        rows.where(period == p).write.mode("append").parquet(landed)
+        feed = v.spark.readStream.schema(ITEM_SCHEMA).parquet(landed)
+        drain(v, feed.select(F.col("l_orderkey").alias("transaction_id"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("product_ref")), each, at=at[0])
+        drain(v, catalog_changes(feed), catalog_sink(table), at=at[1])
+    return v.spark.read.schema("transaction_id long, line_no int, product_ref long, code_seen string").parquet(sold).drop("batch")
+
+
 @query("src_02_micro_batch_consumer", "WITH m AS (SELECT *, value < 1 AS bad, c_custkey IS NOT NULL AND user_id % 5 <> 0 AS known FROM events LEFT JOIN customer ON c_custkey = user_id) SELECT count(*) FILTER (WHERE NOT known) AS skipped_unknown, count(*) FILTER (WHERE known AND bad) AS errors, count(*) FILTER (WHERE known AND NOT bad) AS accepted, count(*) AS stamped FROM m")
 def src_02(v):
     """Each message gets the topic, partition (its file) and offset (its place there) it came from. Unknown customers are
     skipped, messages that cannot be written (here: below one unit of money) are errors, and neither stops the batch."""
-    known = v.customer.where("customer_id % 5 <> 0").select(F.col("customer_id").alias("user_id"), F.lit(True).alias("known"))
+    known = v.customer.where("customer_id % 5 <> 0").select(F.col("customer_id").alias("user_id"))
     out = shared_folder(v.spark, "consumed")
     stamped = raw_stream(v.spark, v.dir).select("event_id", "user_id", "value", F.lit("events").alias("topic"), F.col("_metadata.file_name").alias("partition"), F.col("_metadata.row_index").alias("offset"))
-
-    def each(df, batch):
-        outcome = F.when(F.col("known").isNull(), "skipped_unknown").when(~F.coalesce(F.col("value") >= 1, F.lit(False)), "errors").otherwise("accepted")
-        df.join(known, "user_id", "left").withColumn("outcome", outcome).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-    drain(v, stamped, each)
-    t = v.spark.read.parquet(out)
-    counts = [F.count_if(F.col("outcome") == c).alias(c) for c in ("skipped_unknown", "errors", "accepted")]
-    return t.agg(*counts, F.count_distinct("topic", "partition", "offset").alias("stamped"))
+    drain(v, stamped, C.consumed(v.spark, known, "user_id", F.col("value") >= 1, ["topic", "partition", "offset"], out))
+    return C.totals(v.spark, out)
 
 
 @query("src_03_change_feed", "SELECT event_id, customer_id FROM ev WHERE amount > 50")

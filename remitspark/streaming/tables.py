@@ -1,7 +1,9 @@
 """Keyed tables for foreachBatch sinks: immutable parts, a version file, and the last batch applied.
 
-A table is cut into parts by a hash of its keys or by the day of a time column. A batch rewrites the parts that its
-rows fall into, and then publishes one version file that names all parts and the last batch of each writer; a replayed
+A table is cut into parts by a hash of its keys or by the day of a time column. Parts by keys hold about ``part_rows``
+rows: once they hold four times that on average, the next batch cuts the table anew, so that a batch of a few keys rewrites
+a few parts of a large table, and a table is cut anew only as often as it has grown fourfold. A batch rewrites the parts
+that its rows fall into, and then publishes one version file that names all parts and the last batch of each writer; a replayed
 batch finds its number there and does nothing, so every merge below is applied once. A version file is written under
 another name and renamed without overwriting: readers see a whole version or the one before.
 """
@@ -23,28 +25,35 @@ class Conflict(RuntimeError):
     """Another writer published this version first."""
 
 
+#: Rows of a part by keys, about.
+PART_ROWS = 50_000
+
+
 class SnapshotTable:
-    def __init__(self, spark: SparkSession, base: str, schema: str, keys: list[str] | None = None, parts: int = 8, day: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, base: str, schema: str, keys: list[str] | None = None, parts: int = 8, day: str | None = None, part_rows: int = PART_ROWS) -> None:
         self.spark, self.base, self.schema = spark, base.rstrip("/"), schema
         self.types = spark.createDataFrame([], schema).schema
-        self.keys, self.parts, self.day = keys, parts, day
+        self.keys, self.parts, self.day, self.part_rows = keys, parts, day, part_rows
         jvm = spark.sparkContext._jvm
         self.path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.fs.mkdirs(self.path(f"{self.base}/versions"))
 
-    def part(self) -> Column:
-        """The part of a row, as text."""
+    def part(self, parts: int) -> Column:
+        """The part of a row, as text, of so many."""
         if self.day:
             return F.coalesce(F.date_format(self.day, "yyyy-MM-dd"), F.lit("none"))
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("string") if self.keys else F.lit("0")
+        return F.pmod(F.xxhash64(*self.keys), F.lit(parts)).cast("string") if self.keys else F.lit("0")
 
     def _state(self) -> tuple[int, dict]:
         names = [s.getPath().getName() for s in self.fs.listStatus(self.path(f"{self.base}/versions"))]
         v = max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
+        return v, self._version(v)
+
+    def _version(self, v: int) -> dict:
         if not v:
-            return 0, {"parts": {}, "batches": {}}
-        return v, json.loads(self.spark.read.text(f"{self.base}/versions/v{v:010d}.json", wholetext=True).first().value)
+            return {"parts": {}, "batches": {}, "rows": {}, "cut": self.parts}
+        return json.loads(self.spark.read.text(f"{self.base}/versions/v{v:010d}.json", wholetext=True).first().value)
 
     def _publish(self, version: int, state: dict) -> None:
         draft, final = self.path(f"{self.base}/versions/draft-{uuid.uuid4().hex}"), self.path(f"{self.base}/versions/v{version:010d}.json")
@@ -64,8 +73,14 @@ class SnapshotTable:
     def _rows(self, folders: list[str]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*sorted(folders)) if folders else self.spark.createDataFrame([], self.schema)
 
-    def read(self) -> DataFrame:
-        return self._rows(list(self._state()[1]["parts"].values()))
+    def version(self) -> int:
+        """The number of the current version; 0 before the first."""
+        return self._state()[0]
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The table as it is, or as a version had it."""
+        state = self._state()[1] if version is None else self._version(version)
+        return self._rows(list(state["parts"].values()))
 
     def apply(self, change: Change, batch: int, writer: str = "") -> bool:
         """Publish change(table) unless this batch of the writer was applied before. A change that names its new rows (``change.new``)
@@ -74,11 +89,16 @@ class SnapshotTable:
         v, state = self._state()
         if batch <= state["batches"].get(writer, -1):
             return False
-        parts = dict(state["parts"])
+        parts, rows_of, cut = dict(state["parts"]), dict(state["rows"]), state["cut"]
+        wanted = -(-sum(rows_of.values()) // self.part_rows) if self.keys and not self.day else 0
+        anew = wanted > 4 * cut
+        cut = max(cut, 1 << (wanted - 1).bit_length()) if anew else cut
         new, keep = getattr(change, "new", None), getattr(change, "keep", None)
-        if new is not None and (self.keys or self.day):
+        if anew:
+            touched = set(parts) | {"*"}
+        elif new is not None and (self.keys or self.day):
             own = [F.col(c).cast(self.types[c].dataType).alias(c) for c in (self.keys or [self.day])]
-            touched = {r.p for r in new.select(*own).select(self.part().alias("p")).distinct().collect()}  # at most one a part
+            touched = {r.p for r in new.select(*own).select(self.part(cut).alias("p")).distinct().collect()}  # at most one a part
         elif keep is not None and self.day:
             fate = {p: keep(p) for p in parts}
             parts = {p: f for p, f in parts.items() if fate[p] is not False}
@@ -88,13 +108,17 @@ class SnapshotTable:
         if touched:
             old = [parts.pop(p) for p in list(parts) if p in touched]
             data = f"{self.base}/data/{uuid.uuid4().hex}"
+            rows_of = {p: n for p, n in rows_of.items() if p in parts}
             rows = change(self._rows(old)).select(*[F.col(f.name).cast(f.dataType) for f in self.types.fields])
-            rows.withColumn("part_", self.part()).hint("rebalance", "part_").write.partitionBy("part_").parquet(data)
+            rows.withColumn("part_", self.part(cut)).hint("rebalance", "part_").write.partitionBy("part_").parquet(data)
             for s in self.fs.listStatus(self.path(data)):
                 name = s.getPath().getName()
                 if name.startswith("part_="):
                     parts[name.removeprefix("part_=")] = f"{data}/{name}"
-        self._publish(v + 1, {"parts": parts, "batches": state["batches"] | {writer: batch}})
+            if self.keys and not self.day:
+                got = self.spark.read.schema(f"{self.keys[0]} {self.types[self.keys[0]].dataType.simpleString()}, part_ string").parquet(data) if len(parts) > len(rows_of) else None
+                rows_of |= {r.part_: r["count"] for r in got.groupBy("part_").count().collect()} if got is not None else {}  # one a part
+        self._publish(v + 1, {"parts": parts, "rows": rows_of, "cut": cut, "batches": state["batches"] | {writer: batch}})
         return True
 
 
