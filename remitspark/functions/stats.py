@@ -63,6 +63,17 @@ def nearest_ranks(df: DataFrame, value: str, keys: list[str], picks: dict[str, t
     return t.groupBy(*keys).agg(*picked)
 
 
+def interpolated(df: DataFrame, value: str, keys: list[str], picks: dict[str, float]) -> DataFrame:
+    """(keys, n, and a column a pick): quantiles between the two values beside place p (n - 1), n without nulls. From ranks that
+    are summed up over ranges of values, so that no group's values are held in one place."""
+    t = ranked(df, value, keys)
+    place = {name: F.lit(p) * (F.col("n") - 1) for name, p in picks.items()}
+    ends = [F.max(F.when(holds(end(place[name]).cast("long")), F.col(value))).cast("double").alias(f"{name}_{k}") for name in picks for k, end in (("lo", F.floor), ("hi", F.ceil))]
+    g = t.groupBy(*keys).agg(F.max("n").alias("n"), *ends)
+    between = lambda name: F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (place[name] - F.floor(place[name]))
+    return g.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), *[between(name).alias(name) for name in picks])
+
+
 def band(x: Column, cuts: list[tuple[float, str]], low: str) -> Column:
     """The name of the first cut that x reaches, cuts from high to low."""
     out = None
@@ -84,3 +95,14 @@ def hopping(ts: Column, length: int, hop: int) -> Column:
     t = F.unix_timestamp(ts)
     last = t - t % hop
     return F.explode(F.sequence(last - (length - hop), last, F.lit(hop).cast("long")))
+
+
+def ranking_quality(df: DataFrame, label: str, score: str) -> DataFrame:
+    """One row: area under the curve and average precision of a score against labels 0 and 1, ties at their mean rank and as
+    one threshold; null where a label is missing. Scores are ranked over ranges of values, whatever their number."""
+    t = running(df, score, [], {"n": F.count("*"), "p": F.sum(F.col(label).cast("long"))})
+    p, n = F.max("p_all").cast("double"), F.max("n_all").cast("double")
+    ranks = F.sum(F.col("p") * (F.col("n_upto") - (F.col("n") - 1) / 2.0))
+    hits, shown = F.col("p_all") - F.col("p_upto") + F.col("p"), F.col("n_all") - F.col("n_upto") + F.col("n")
+    precise = F.sum(F.try_divide(F.col("p"), F.col("p_all")) * (hits / shown))
+    return t.agg(F.try_divide(ranks - p * (p + 1) / 2, p * (n - p)).alias("auc"), F.when(p > 0, precise).alias("average_precision"))

@@ -33,19 +33,23 @@ def velocity_anomaly(txn: DataFrame, as_of, window_seconds: int = 300, max_trans
 def amount_outlier(txn: DataFrame, multiplier: float = 3.0, lookback_days: int = 90, minimum_history: int = 10, as_of=None) -> DataFrame:
     """Farther from the customer's earlier mean than ``multiplier`` sample deviations (no deviation counts as 0)."""
     if as_of is not None:
-        txn = txn.where(F.col("ts") >= as_of - F.expr(f"INTERVAL {lookback_days} DAYS"))
+        txn = txn.where(lookback(as_of, lookback_days))
     return with_history(txn).where(outlying(multiplier, minimum_history))
 
 
-def with_history(txn: DataFrame) -> DataFrame:
-    """Count, mean and sample deviation of the customer's amounts before each row."""
+def with_history(txn: DataFrame, since: Column | None = None, name: str = "") -> DataFrame:
+    """Count, mean and sample deviation of the customer's amounts before each row; with ``since`` only of rows that it holds for."""
     before = W.partitionBy("customer_id").orderBy("ts", "transaction_id").rowsBetween(W.unboundedPreceding, -1)
-    x = F.col("amount").cast("double")
-    return txn.withColumn("n_before", F.count("amount").over(before)).withColumn("mean_before", F.avg(x).over(before)).withColumn("std_before", F.coalesce(F.stddev_samp(x).over(before), F.lit(0.0)))
+    x = F.col("amount").cast("double") if since is None else F.when(since, F.col("amount").cast("double"))
+    return txn.withColumns({f"n_before{name}": F.count(x).over(before), f"mean_before{name}": F.avg(x).over(before), f"std_before{name}": F.coalesce(F.stddev_samp(x).over(before), F.lit(0.0))})
 
 
-def outlying(multiplier: float = 3.0, minimum_history: int = 10) -> Column:
-    return (F.col("n_before") >= minimum_history) & (F.abs(F.col("amount").cast("double") - F.col("mean_before")) > multiplier * F.col("std_before"))
+def outlying(multiplier: float = 3.0, minimum_history: int = 10, name: str = "") -> Column:
+    return (F.col(f"n_before{name}") >= minimum_history) & (F.abs(F.col("amount").cast("double") - F.col(f"mean_before{name}")) > multiplier * F.col(f"std_before{name}"))
+
+
+def lookback(as_of, lookback_days: int = 90) -> Column:
+    return F.col("ts") >= as_of - F.expr(f"INTERVAL {lookback_days} DAYS")
 
 
 def missing_entitlements() -> Column:
@@ -130,7 +134,7 @@ class Rule:
     enabled: bool = True
 
 
-def run_rules(txn: DataFrame, rules: list[Rule], lines: DataFrame | None = None) -> DataFrame:
+def run_rules(txn: DataFrame, rules: list[Rule], lines: DataFrame | None = None, lean: DataFrame | None = None) -> DataFrame:
     """Hits (rule_type, mode, transaction_id, customer_id) of the enabled rules; shadow rules are told by their mode, an
     unknown type is an error. All rules that judge rows are one pass over the transactions; grouped rules follow, each an
     aggregation, and give a row a group, without a transaction. ``lines``: what double charges are looked for in."""
@@ -141,13 +145,22 @@ def run_rules(txn: DataFrame, rules: list[Rule], lines: DataFrame | None = None)
     rows, out = [r for r in on if r.kind in BY_ROW], []
     none = lambda kind: F.lit(None).cast(kind)
     if rows:
-        t = with_history(txn) if any(r.kind == "amount_outlier" for r in rows) else txn
+        t, fires = txn, []
+        for k, r in enumerate(rows):
+            params = {n: x for n, x in r.params.items() if n not in ("lookback_days", "as_of")}
+            if r.kind == "amount_outlier":
+                since = lookback(r.params["as_of"], r.params.get("lookback_days", 90)) if r.params.get("as_of") is not None else None
+                t = with_history(t, since, f"_{k}")
+                hit = outlying(**params, name=f"_{k}")
+                fires.append(hit if since is None else hit & since)
+            else:
+                fires.append(BY_ROW[r.kind](**params))
         name = lambda r: F.struct(F.lit(r.kind).alias("rule_type"), F.lit(r.mode).alias("mode"))
-        fired = F.filter(F.array(*[F.when(BY_ROW[r.kind](**{k: x for k, x in r.params.items() if k not in ("lookback_days", "as_of")}), name(r)) for r in rows]), lambda x: x.isNotNull())
+        fired = F.filter(F.array(*[F.when(hit, name(r)) for hit, r in zip(fires, rows)]), lambda x: x.isNotNull())
         out.append(t.select("transaction_id", "customer_id", F.explode(fired).alias("r")).select("r.rule_type", "r.mode", "transaction_id", "customer_id"))
     for r in on:
         if r.kind not in BY_ROW:
-            hits = RULES[r.kind](lines if r.kind == "double_charge_multi_code" and lines is not None else txn, **r.params)
+            hits = RULES[r.kind](lines if r.kind == "double_charge_multi_code" and lines is not None else txn if lean is None else lean, **r.params)
             who = F.col("customer_id") if "customer_id" in hits.columns else none("bigint")
             out.append(hits.select(F.lit(r.kind).alias("rule_type"), F.lit(r.mode).alias("mode"), none("bigint").alias("transaction_id"), who.alias("customer_id")))
     if not out:

@@ -9,6 +9,7 @@ from remitspark.operators.joins import as_of_join
 from remitspark.operators.search import Search, completions, near_names, top_k
 from remitspark.plans.relational import LAB, PUR, error_labels, purchases
 from remitspark.registry import query
+from remitspark.sources.scratch import shared_folder
 from remitspark.views import AS_OF_EVENTS, AS_OF_ORDERS, clock, seconds, stamp
 
 
@@ -280,29 +281,64 @@ def drf_04(v):
     return t.select("feature", K.recommended_action(K.severity(F.col("d")), F.col("consumers")).alias("action"))
 
 
-TICKS = "tick AS (SELECT merchant_id AS feature, date_trunc('day', ts) AS at_, CAST(avg(CAST(amount AS DOUBLE)) > 60 AS INTEGER) AS sev FROM ev GROUP BY 1, 2)"
+#: Ten daily ticks; the current sample is three days, the baseline the thirty before it. Of the k-th event type the current
+#: amounts are raised by 3 k percent for each day of the tick's place in its week, so that severities move.
+DAYS = 10
+TICKS = f"""tk AS (SELECT i, {NOW} - to_days(CAST({DAYS} - 1 - i AS INTEGER)) AS tick FROM range({DAYS}) r(i)), smp AS (SELECT merchant_id AS feature, tick, ts >= tick - INTERVAL 3 DAY AS cur, CAST(amount * (100 + CASE WHEN ts >= tick - INTERVAL 3 DAY THEN 3 * (i % 7) * list_position(['click','error','purchase','signup','view'], merchant_id) ELSE 0 END) AS DOUBLE) AS value FROM ev JOIN tk ON ts < tick AND ts >= tick - INTERVAL 33 DAY),
+  tie AS (SELECT feature, tick, value, count(*) FILTER (WHERE cur) AS a, count(*) FILTER (WHERE NOT cur) AS b FROM smp GROUP BY 1, 2, 3),
+  cdf AS (SELECT feature, tick, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY feature, tick) AS na, sum(b) OVER (PARTITION BY feature, tick) AS nb FROM tie WINDOW w AS (PARTITION BY feature, tick ORDER BY value)),
+  ks AS (SELECT feature, tick, CAST(max(na) AS BIGINT) AS n_current, CAST(max(nb) AS BIGINT) AS n_baseline, CASE WHEN max(na) = 0 OR max(nb) = 0 THEN 0 ELSE max(abs(CAST(ca AS DOUBLE) / nullif(CAST(na AS DOUBLE), 0) - CAST(cb AS DOUBLE) / nullif(CAST(nb AS DOUBLE), 0))) END AS d FROM cdf GROUP BY 1, 2),
+  tick AS (SELECT *, {level('d')} AS severity FROM ks)"""
 
 
-def ticks(v):
-    return v.event.groupBy(F.col("merchant_id").alias("feature"), F.date_trunc("day", "ts").alias("at")).agg((F.avg(F.col("amount").cast("double")) > 60).cast("int").alias("sev"))
+def days():
+    import datetime as dt
 
+    end = dt.datetime.fromisoformat(AS_OF_EVENTS)
+    return [str(end - dt.timedelta(days=DAYS - 1 - i)) for i in range(DAYS)]
 
-@query("drf_05_severity_progression", f"WITH {TICKS}, l AS (SELECT *, lag(sev) OVER (PARTITION BY feature ORDER BY at_) AS prev FROM tick) SELECT feature, strftime(at_, '%Y-%m-%d') AS day, prev AS from_sev, sev AS to_sev FROM l WHERE prev IS NOT NULL AND prev <> sev")
+
+def daily(v, ticks=None):
+    """Samples of each event type at each tick."""
+    t = K.at_ticks(v.event.select(F.col("merchant_id").alias("feature"), "amount", "ts"), ticks or days(), "ts", 3, 30)
+    first = F.lit(days()[0]).cast("timestamp_ntz")
+    place = F.datediff("tick", first) % 7
+    k = F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.col("feature"))
+    return t.select("feature", "tick", "is_current", (F.col("amount") * (F.lit(100) + F.when(F.col("is_current"), 3 * place * k).otherwise(0))).cast("double").alias("value"))
+
+
+def severities(v, ticks=None):
+    return K.ks_statistic(daily(v, ticks), also=("tick",)).withColumn("severity", K.severity(F.col("d")))
+
+
+@query("drf_05_severity_progression", f"WITH {TICKS}, l AS (SELECT *, lag(severity) OVER (PARTITION BY feature ORDER BY tick) AS prev FROM tick) SELECT feature, strftime(tick, '%Y-%m-%d') AS day, prev AS from_sev, severity AS to_sev FROM l WHERE prev IS DISTINCT FROM severity")
 def drf_05(v):
-    t = ticks(v).withColumn("prev", F.lag("sev").over(W.partitionBy("feature").orderBy("at")))
-    return t.where("prev is not null and prev <> sev").select("feature", F.date_format("at", "yyyy-MM-dd").alias("day"), F.col("prev").alias("from_sev"), F.col("sev").alias("to_sev"))
+    """Two runs of five ticks each; the second goes on from the entries that the first has appended."""
+    table = shared_folder(v.spark, "progression")
+    read = v.spark.read.schema("feature string, tick timestamp_ntz, severity string, before string")
+    history = v.spark.createDataFrame([], "feature string, tick timestamp_ntz, severity string, before string")
+    for run in (days()[:5], days()[5:]):
+        K.progression(history, severities(v, run)).write.mode("append").parquet(table)
+        history = read.parquet(table)
+    return history.select("feature", F.date_format("tick", "yyyy-MM-dd").alias("day"), F.col("before").alias("from_sev"), F.col("severity").alias("to_sev"))
 
 
-@query("drf_06_drift_rows", f"WITH {DRIFT}, m AS (SELECT feature, round(avg(value) FILTER (WHERE cur), 4) AS mean_current, round(avg(value) FILTER (WHERE NOT cur), 4) AS mean_baseline FROM smp GROUP BY 1) SELECT feature, n_current, n_baseline, d, {level('d')} AS severity, mean_current, mean_baseline FROM ks JOIN m USING (feature)")
+SIDE = ", ".join(f"round({f}, 4) AS {c}_{n}" for c, g in (("mean", "avg(value) FILTER (WHERE {x})"), ("std", "stddev_samp(value) FILTER (WHERE {x})"), ("p50", "quantile_cont(value, 0.5) FILTER (WHERE {x})"), ("p95", "quantile_cont(value, 0.95) FILTER (WHERE {x})")) for n, x in (("current", "cur"), ("baseline", "NOT cur")) for f in [g.replace("{x}", x)])
+
+
+@query("drf_06_drift_rows", f"WITH {TICKS}, m AS (SELECT feature, tick, {SIDE} FROM smp GROUP BY 1, 2) SELECT feature, strftime(tick.tick, '%Y-%m-%d') AS day, n_current, n_baseline, round(d, 9) AS d, severity, m.* EXCLUDE (feature, tick) FROM tick JOIN m USING (feature, tick)")
 def drf_06(v):
-    s = samples(v)
-    m = s.groupBy("feature").agg(F.round(F.avg(F.when(F.col("is_current"), F.col("value"))), 4).alias("mean_current"), F.round(F.avg(F.when(~F.col("is_current"), F.col("value"))), 4).alias("mean_baseline"))
-    return K.ks_statistic(s).withColumn("severity", K.severity(F.col("d"))).join(m, "feature")
+    """Sizes, gap and severity, and mean, deviation, median and 95th percentile of both samples, of every tick in one job."""
+    t = K.drift_rows(daily(v))
+    sides = [F.round(f"{c}_{n}", 4).alias(f"{c}_{n}") for c in ("mean", "std", "p50", "p95") for n in ("current", "baseline")]
+    return t.select("feature", F.date_format("tick", "yyyy-MM-dd").alias("day"), "n_current", "n_baseline", F.round("d", 9).alias("d"), "severity", *sides)
 
 
-@query("drf_07_latest_snapshot", f"WITH {TICKS} SELECT feature, arg_max(sev, at_) AS latest, max(sev) = 1 AS any_drift FROM tick GROUP BY 1")
+@query("drf_07_latest_snapshot", f"WITH {TICKS} SELECT feature, arg_max(severity, tick) AS latest, arg_max(severity, tick) <> 'none' AS drifting, bool_or(arg_max(severity, tick) <> 'none') OVER () AS any_drift FROM tick GROUP BY 1")
 def drf_07(v):
-    return ticks(v).groupBy("feature").agg(F.max_by("sev", "at").alias("latest"), (F.max("sev") == 1).alias("any_drift"))
+    """Each feature's latest severity, and whether any feature drifts."""
+    t = severities(v).groupBy("feature").agg(F.max_by("severity", "tick").alias("latest")).withColumn("drifting", F.col("latest") != "none")
+    return t.crossJoin(t.agg(F.bool_or("drifting").alias("any_drift")))  # one row
 
 
 @query("drf_08_top_drifting", f"WITH {DRIFT} SELECT feature, d FROM ks ORDER BY d DESC, feature LIMIT 3")
@@ -317,15 +353,18 @@ def drf_09(v):
     return t.select("feature", F.size(F.filter("who", lambda x: x == "model")).cast("long").alias("models"), F.size(F.filter("who", lambda x: x == "rule")).cast("long").alias("rules"))
 
 
-@query("drf_10_history", f"WITH {TICKS} SELECT feature, strftime(at_, '%Y-%m-%d') AS day, sev FROM tick WHERE at_ >= {NOW} - INTERVAL 10 DAY")
+@query("drf_10_history", f"WITH {TICKS} SELECT feature, strftime(tick, '%Y-%m-%d') AS day, round(d, 9) AS d, severity FROM tick WHERE tick >= {NOW} - INTERVAL 7 DAY")
 def drf_10(v):
-    return ticks(v).where(F.col("at") >= clock(AS_OF_EVENTS) - F.expr("INTERVAL 10 DAYS")).orderBy("feature", "at").select("feature", F.date_format("at", "yyyy-MM-dd").alias("day"), "sev")
+    """A week of ticks, ascending."""
+    t = severities(v).where(F.col("tick") >= clock(AS_OF_EVENTS) - F.expr("INTERVAL 7 DAYS")).orderBy("feature", "tick")
+    return t.select("feature", F.date_format("tick", "yyyy-MM-dd").alias("day"), F.round("d", 9).alias("d"), "severity")
 
 
-@query("drf_11_promotion_gate", f"WITH {TICKS}, {CONS}, l AS (SELECT feature, arg_max(sev, at_) AS latest FROM tick GROUP BY 1) SELECT feature, latest = 1 AND consumers > 0 AS blocked FROM l JOIN cons USING (feature)")
+@query("drf_11_promotion_gate", f"WITH {TICKS}, {CONS}, l AS (SELECT feature, arg_max(severity, tick) AS latest FROM tick GROUP BY 1) SELECT feature, latest, latest = 'alert' AND consumers > 0 AS blocked FROM l JOIN cons USING (feature)")
 def drf_11(v):
-    l = ticks(v).groupBy("feature").agg(F.max_by("sev", "at").alias("latest"))
-    return l.join(consumers(v), "feature").select("feature", ((F.col("latest") == 1) & (F.col("consumers") > 0)).alias("blocked"))
+    """A model is not promoted while a feature that it reads is on alert."""
+    l = severities(v).groupBy("feature").agg(F.max_by("severity", "tick").alias("latest"))
+    return l.join(consumers(v), "feature").select("feature", "latest", ((F.col("latest") == "alert") & (F.col("consumers") > 0)).alias("blocked"))
 
 
 @query("drf_12_mean_shift", f"WITH {DRIFT}, m AS (SELECT feature, avg(value) FILTER (WHERE cur) AS a, avg(value) FILTER (WHERE NOT cur) AS b FROM smp GROUP BY 1) SELECT feature, CASE WHEN b = 0 THEN 'became active' WHEN abs(a - b) / b < 0.05 THEN 'flat' WHEN abs(a - b) / b < 0.2 THEN 'moderate' ELSE 'ratio' END AS shift FROM m")
@@ -514,11 +553,11 @@ def ml_01(v):
     return pit.join(features(v), "customer_id").select("row_id", "label", "seen_id", "n", "discount_rate")
 
 
-@query("ml_04_roc_auc", "WITH s AS (SELECT CAST(amount > 100 AS INTEGER) AS y, CAST(event_id % 1000 AS DOUBLE) AS s FROM ev), g AS (SELECT s, count(*) AS n, sum(y) AS p FROM s GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY s) AS c FROM g) SELECT round((CAST(sum(p * (c - (n - 1) / 2.0::DOUBLE)) AS DOUBLE) - CAST(sum(p) AS DOUBLE) * (CAST(sum(p) AS DOUBLE) + 1) / 2) / (CAST(sum(p) AS DOUBLE) * (CAST(sum(n) AS DOUBLE) - CAST(sum(p) AS DOUBLE))), 6) AS auc FROM r")
+SCORED = "s AS (SELECT CAST(amount > 100 AS INTEGER) AS y, CAST(discount AS DOUBLE) AS s FROM ev WHERE discount IS NOT NULL), g AS (SELECT s, count(*) AS n, sum(y) AS p FROM s GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY s) AS c, sum(p) OVER (ORDER BY s) AS cp, CAST(sum(p) OVER () AS DOUBLE) AS tp, CAST(sum(n) OVER () AS DOUBLE) AS tn FROM g)"
+
+
+@query("ml_04_roc_auc", f"WITH {SCORED} SELECT round((CAST(sum(p * (c - (n - 1) / 2.0::DOUBLE)) AS DOUBLE) - max(tp) * (max(tp) + 1) / 2) / (max(tp) * (max(tn) - max(tp))), 6) AS auc, round(sum(p / tp * ((tp - cp + p) / (tn - c + n))), 6) AS average_precision FROM r")
 def ml_04(v):
-    """Area under the curve from mean ranks of tied scores; only distinct scores are ordered."""
-    s = v.event.select((F.col("amount") > 100).cast("int").alias("y"), (F.col("event_id") % 1000).cast("double").alias("s"))
-    g = s.groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("p")).withColumn("c", F.sum("n").over(W.orderBy("s")))
-    p, n = F.sum("p").cast("double"), F.sum("n").cast("double")
-    ranks = F.sum(F.col("p") * (F.col("c") - (F.col("n") - 1) / 2.0))
-    return g.agg(F.round((ranks - p * (p + 1) / 2) / (p * (n - p)), 6).alias("auc"))
+    """How well the discount tells large amounts."""
+    t = v.event.select((F.col("amount") > 100).cast("int").alias("y"), F.col("discount").cast("double").alias("s"))
+    return S.ranking_quality(t, "y", "s").select(*[F.round(c, 6).alias(c) for c in ("auc", "average_precision")])

@@ -137,7 +137,7 @@ def fea_02(v):
             online.apply(S.update_latest(new, ["customer_id"], "latest"), batch, names[0])
 
         with R.rocks(v.spark):
-            drain(v, R.trailing(event_stream(v.spark, v.dir), length, step, delay), each)
+            drain(v, R.trailing(event_stream(v.spark, v.dir, None), length, step, delay), each)
     t = online.read()
     for n, name in (("txn_count_24h", "history_24h"), ("txn_count_7d", "history_7d")):
         windows = v.spark.read.schema("customer_id long, window_end timestamp").parquet(history[n]).groupBy("customer_id").agg(F.count("*").alias(name))

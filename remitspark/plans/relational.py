@@ -331,8 +331,8 @@ def agg_10(v):
 
 @query("agg_11_exact_percentiles", "SELECT merchant_id, round(quantile_cont(CAST(amount AS DOUBLE), 0.5), 4) AS p50, round(quantile_cont(CAST(amount AS DOUBLE), 0.95), 4) AS p95, round(quantile_cont(CAST(amount AS DOUBLE), 0.99), 4) AS p99 FROM ev GROUP BY 1")
 def agg_11(v):
-    p = F.percentile(F.col("amount").cast("double"), [0.5, 0.95, 0.99])
-    return v.event.groupBy("merchant_id").agg(p.alias("p")).select("merchant_id", *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    t = S.interpolated(v.event, "amount", ["merchant_id"], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return t.select("merchant_id", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")])
 
 
 @query("agg_12_quantile_conventions", """WITH o AS (SELECT merchant_id, CAST(amount AS DOUBLE) AS x, row_number() OVER (PARTITION BY merchant_id ORDER BY amount) AS rn, count(*) OVER (PARTITION BY merchant_id) AS n FROM ev)

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from remitspark.functions.stats import interpolated
 from remitspark.operators import rules as R
 from remitspark.registry import query
+from remitspark.sources.scratch import shared_folder
 from remitspark.views import AS_OF_EVENTS, AS_OF_ORDERS, clock, stamp
 
 TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -11,8 +13,8 @@ TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 def billed(v):
     """Transactions with what the rules look at: customer's promotions and home, discounts, splits, lock-in."""
-    lines = v.items.groupBy("transaction_id").agg(F.sum("discount").alias("discount"), F.array_sort(F.collect_set("product_ref")).alias("purchased"))
-    t = v.txn.withColumnRenamed("total", "amount").join(lines, "transaction_id", "left").join(v.customer, "customer_id", "left")
+    more = [F.sum("discount").alias("discount"), F.array_sort(F.collect_set("product_ref")).alias("purchased")]  # a transaction has few lines
+    t = v.txn_with(*more).withColumnRenamed("total", "amount").join(v.customer, "customer_id", "left")
     k = F.col("transaction_id")
     cents = lambda c: c.cast("decimal(18,2)")
     return t.withColumns({
@@ -44,12 +46,17 @@ def rul_02(v):
     return hits.select("customer_id", "merchant_id", "n", F.col("total").cast("double").alias("total"), stamp("first_at", "first_at"))
 
 
-@query("rul_03_amount_outlier", """SELECT transaction_id, customer_id, CAST(total AS DOUBLE) AS amount, n_before, round(mean_before, 4) AS mean_before FROM (
+#: Days of history that outliers are judged by.
+LOOKBACK = 1500
+SINCE = f"ts >= TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL {LOOKBACK} DAY"
+
+
+@query("rul_03_amount_outlier", f"""SELECT transaction_id, customer_id, CAST(total AS DOUBLE) AS amount, n_before, round(mean_before, 4) AS mean_before FROM (
   SELECT *, count(total) OVER w AS n_before, avg(CAST(total AS DOUBLE)) OVER w AS mean_before, coalesce(stddev_samp(CAST(total AS DOUBLE)) OVER w, 0) AS std_before
-  FROM txn WINDOW w AS (PARTITION BY customer_id ORDER BY ts, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  FROM txn WHERE {SINCE} WINDOW w AS (PARTITION BY customer_id ORDER BY ts, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
   WHERE n_before >= 5 AND abs(CAST(total AS DOUBLE) - mean_before) > 2 * std_before""")
 def rul_03(v):
-    hits = R.amount_outlier(v.bill.withColumnRenamed("total", "amount"), 2.0, minimum_history=5)
+    hits = R.amount_outlier(v.bill.withColumnRenamed("total", "amount"), 2.0, LOOKBACK, 5, clock(AS_OF_ORDERS))
     return hits.select("transaction_id", "customer_id", F.col("amount").cast("double").alias("amount"), "n_before", F.round("mean_before", 4).alias("mean_before"))
 
 
@@ -112,7 +119,7 @@ def rul_11(v):
 def rule_set():
     """One rule of each type; the proration rule is in shadow, a second discount rule is switched off."""
     return [
-        R.Rule("discount_mismatch", {"min_discount": 100}), R.Rule("geographic_anomaly"), R.Rule("proration_check", mode="shadow"), R.Rule("amount_outlier", {"multiplier": 2.0, "minimum_history": 5}),
+        R.Rule("discount_mismatch", {"min_discount": 100}), R.Rule("geographic_anomaly"), R.Rule("proration_check", mode="shadow"), R.Rule("amount_outlier", {"multiplier": 2.0, "minimum_history": 5, "lookback_days": LOOKBACK, "as_of": clock(AS_OF_ORDERS)}),
         R.Rule("entitlement_mismatch"), R.Rule("termination_fee_check", {"min_amount": 50, "delta_tolerance": 5}), R.Rule("unearned_earned_segregation"), R.Rule("discount_mismatch", enabled=False),
         R.Rule("velocity_anomaly", {"as_of": clock(AS_OF_ORDERS), "window_seconds": 200 * 86400, "max_transactions": 1, "group_by": ("customer_id",)}),
         R.Rule("duplicate_transaction", {"window_seconds": 30 * 86400, "fields": ("customer_id", "status")}),
@@ -127,16 +134,21 @@ def entitled(v):
 
 
 def hits(v):
-    lines = v.items.withColumnRenamed("shipped_at", "ts")
-    return R.run_rules(billed(v).join(entitled(v), "customer_id", "left"), rule_set(), lines)
+    """The rule set over transactions that are put together once and saved: lines are read for them, and for double charges."""
+    folder = shared_folder(v.spark, "billed")
+    billed(v).write.parquet(folder)
+    t = v.spark.read.parquet(folder)
+    settled = t.where("status = 'settled'").select("customer_id", F.explode("purchased").alias("p"))
+    own = settled.groupBy("customer_id").agg(F.collect_set("p").alias("entitled"))
+    return R.run_rules(t.join(own, "customer_id", "left"), rule_set(), v.items.withColumnRenamed("shipped_at", "ts"), lean=t)
 
 
-HITS = f"""{BILLED}, {ENTITLED}, hist AS (SELECT *, count(amount) OVER w AS n_before, avg(CAST(amount AS DOUBLE)) OVER w AS mean_before, coalesce(stddev_samp(CAST(amount AS DOUBLE)) OVER w, 0) AS std_before
-  FROM billed LEFT JOIN ent USING (customer_id) WINDOW w AS (PARTITION BY customer_id ORDER BY ts, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+HITS = f"""{BILLED}, {ENTITLED}, hist AS (SELECT *, count(x) OVER w AS n_before, avg(x) OVER w AS mean_before, coalesce(stddev_samp(x) OVER w, 0) AS std_before
+  FROM (SELECT *, CASE WHEN {SINCE} THEN CAST(amount AS DOUBLE) END AS x FROM billed) LEFT JOIN ent USING (customer_id) WINDOW w AS (PARTITION BY customer_id ORDER BY ts, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   hits AS (SELECT 'discount_mismatch' AS rule_type, 'active' AS mode, transaction_id, customer_id FROM hist WHERE discount > 100 AND len(promotions) = 0
   UNION ALL SELECT 'geographic_anomaly', 'active', transaction_id, customer_id FROM hist WHERE txn_state IS NOT NULL AND txn_state IS DISTINCT FROM home_state
   UNION ALL SELECT 'proration_check', 'shadow', transaction_id, customer_id FROM hist WHERE mid_cycle AND (proration IS NULL OR abs(proration - 100) > 5)
-  UNION ALL SELECT 'amount_outlier', 'active', transaction_id, customer_id FROM hist WHERE n_before >= 5 AND abs(CAST(amount AS DOUBLE) - mean_before) > 2 * std_before
+  UNION ALL SELECT 'amount_outlier', 'active', transaction_id, customer_id FROM hist WHERE {SINCE} AND n_before >= 5 AND abs(x - mean_before) > 2 * std_before
   UNION ALL SELECT 'entitlement_mismatch', 'active', transaction_id, customer_id FROM hist WHERE len(list_filter(purchased, lambda x: NOT list_contains(coalesce(entitled, []), x))) > 0
   UNION ALL SELECT 'termination_fee_check', 'active', transaction_id, customer_id FROM hist WHERE txn_type = 'termination_fee' AND amount >= 50 AND (lock_in OR abs(coalesce(billed_delta, 0)) > 5)
   UNION ALL SELECT 'unearned_earned_segregation', 'active', transaction_id, customer_id FROM hist WHERE txn_type IN ('subscription_charge','addon_charge','addon_purchase') AND (earned IS NULL OR unearned IS NULL OR abs(earned + unearned - gross) > 0.5)
@@ -194,13 +206,14 @@ def rul_14(v):
     rate = lambda x: F.coalesce(F.try_divide(F.count_if(recent & x).cast("double"), judged), F.lit(0.0))
     protected = F.coalesce(F.sum(F.when(recent & tp, F.col("amount"))), F.lit(0))
     cost = F.count_if(recent & fp) * 12
-    minutes = F.percentile((F.unix_timestamp("resolved_at") - F.unix_timestamp("created_at")) / 60.0, 0.5)
+    minutes = interpolated(t.withColumn("m", (F.unix_timestamp("resolved_at") - F.unix_timestamp("created_at")) / 60.0), "m", ["rule_type"], {"median_minutes": 0.5})
     g = t.groupBy("rule_type").agg(
         F.count("*").alias("hits_total"), *[F.count_if(since(d)).alias(n) for d, n in ((1, "hits_24h"), (7, "hits_7d"), (30, "hits_30d"))], stamp(F.max("created_at"), "last_hit"), rate(tp).alias("tp_rate_30d"), rate(fp).alias("fp_rate_30d"),
-        F.round(F.coalesce(minutes, F.lit(0.0)), 4).alias("median_minutes"), protected.cast("double").alias("protected_30d"), cost.cast("double").alias("fp_cost_30d"), (protected - cost).cast("double").alias("net_30d"),
+        protected.cast("double").alias("protected_30d"), cost.cast("double").alias("fp_cost_30d"), (protected - cost).cast("double").alias("net_30d"),
     )
     days = t.where(recent).groupBy("rule_type", F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.count_if(fp).alias("fp"))
     trend = days.groupBy("rule_type").agg(F.array_sort(F.collect_list(F.concat_ws(":", "day", "n", "fp"))).alias("x")).select("rule_type", F.array_join("x", ",").alias("trend"))  # at most 31 days a rule
+    g = g.join(minutes.drop("n"), "rule_type", "left").withColumn("median_minutes", F.round(F.coalesce("median_minutes", F.lit(0.0)), 4))
     return g.join(trend, "rule_type", "left").withColumn("trend", F.coalesce("trend", F.lit("")))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from remitspark.functions import stats as Q
 from remitspark.registry import query
 from remitspark.sources.scratch import shared_folder
 from remitspark.sources.streams import ITEM_SCHEMA, event_stream, raw_stream, replayed
@@ -52,16 +53,10 @@ def str_02(v):
     return t.where("n > 1").select(stamp("window_start", "window_start"), "customer_id", "merchant_id", "n")
 
 
-@query("str_03_tumbling_60s", f"SELECT {T('ws')} AS window_start, merchant_id, count(*) AS n FROM ({hops(60, 60)}) WHERE merchant_id <> 'signup' GROUP BY ws, merchant_id HAVING count(*) > 1")
-def str_03(v):
-    t = final(v, N.windowed(event_stream(v.spark, v.dir).where("merchant_id <> 'signup'"), "60 seconds", None, ["merchant_id"]), ["window_start", "merchant_id"])
-    return t.where("n > 1").select(stamp("window_start", "window_start"), "merchant_id", "n")
-
-
 def closed(v, length, step, delay):
     """The windows that the watermark closed, from state kept by customer."""
     out = shared_folder(v.spark, "closed")
-    w = R.trailing(event_stream(v.spark, v.dir), length, step, delay)
+    w = R.trailing(event_stream(v.spark, v.dir, None), length, step, delay)
 
     def put(df, batch):
         df.where("kind = 'closed'").write.mode("overwrite").parquet(f"{out}/batch={batch}")
@@ -423,13 +418,22 @@ REPLAY = f"rp AS (SELECT event_id, customer_id % {FOLD} AS customer_id, merchant
 
 
 def replay_stream(v):
-    return replayed(event_stream(v.spark, v.dir), BEGAN, SPEED, FOLD)
+    return replayed(event_stream(v.spark, v.dir, None), BEGAN, SPEED, FOLD)
 
 
 def ends(length):
     return f"to_timestamp((CAST(floor(epoch(ts)) AS BIGINT) // {length} + 1) * {length})::TIMESTAMP"
 
 
+@query("str_03_tumbling_60s", f"WITH {REPLAY} SELECT {T(ends(60))} AS window_end, customer_id, merchant_id, charge, count(*) AS n FROM rp WHERE merchant_id <> 'signup' GROUP BY {ends(60)}, customer_id, merchant_id, charge HAVING count(*) > 2")
+def str_03(v):
+    """Over two events of a customer, merchant and charge in a minute, on the replay; one kind of event is left out."""
+    t = replay_stream(v).where("merchant_id <> 'signup'").withColumn("charge", (F.floor(F.col("amount") / 50) * 50).cast("long"))
+    keys = ["customer_id", "merchant_id", "charge"]
+    w = final(v, N.windowed(t, "60 seconds", None, keys), ["window_start", *keys])
+    return w.where("n > 2").select(stamp("window_end", "window_end"), *keys, "n")
+
+
 @query("srl_02_velocity", f"WITH {REPLAY} SELECT 'case-velocity-' || customer_id || '-' || merchant_id || '-' || CAST(epoch({ends(300)}) AS BIGINT) AS case_id, customer_id, merchant_id, 'medium' AS severity, {T(ends(300))} AS created_at, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total, {T('min(ts)')} AS first_at, {T('max(ts)')} AS last_at, min(event_id) AS least_id, max(event_id) AS largest_id FROM rp GROUP BY {ends(300)}, customer_id, merchant_id HAVING count(*) > 50")
 def srl_02(v):
     """Over 50 in five minutes, on a replay fast enough to reach that."""
@@ -459,7 +463,13 @@ def fea_03(v):
     return final(v, t, ["customer_id"]).select("customer_id", "source_n", stamp("a", "earliest"), stamp("b", "latest"))
 
 
-@query("fea_12_lag_percentiles", f"WITH l AS (SELECT CAST(CAST(floor(epoch(TIMESTAMP '{AS_OF_EVENTS}')) - floor(epoch(ts)) AS BIGINT) AS DOUBLE) AS s FROM ev WHERE ts >= TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL 1 DAY) SELECT round(quantile_cont(s, 0.5), 4) AS p50, round(quantile_cont(s, 0.95), 4) AS p95, round(quantile_cont(s, 0.99), 4) AS p99 FROM l")
+@query("fea_12_lag_percentiles", f"WITH l AS (SELECT t.tick, CAST(floor(epoch(t.tick)) - floor(epoch(ts)) AS DOUBLE) AS s FROM ev JOIN (SELECT date_trunc('hour', ts) + INTERVAL 1 HOUR AS tick FROM ev GROUP BY 1) t ON ts >= t.tick - INTERVAL 15 MINUTE AND ts < t.tick) SELECT {T('tick')} AS tick, count(*) AS n, round(quantile_cont(s, 0.5), 4) AS p50, round(quantile_cont(s, 0.95), 4) AS p95, round(quantile_cont(s, 0.99), 4) AS p99 FROM l GROUP BY tick")
 def fea_12(v):
-    t = v.event.where(F.col("ts") >= clock(AS_OF_EVENTS) - F.expr("INTERVAL 1 DAY")).select((F.unix_timestamp(clock(AS_OF_EVENTS)) - F.unix_timestamp("ts")).alias("s"))
-    return t.agg(F.percentile("s", [0.5, 0.95, 0.99]).alias("p")).select(*[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    """How old the events of the last 15 minutes are, at each full hour; one row an hour that has any, appended to a table."""
+    hour = F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR")
+    t = v.event.select("ts", hour.alias("tick")).where(F.col("ts") >= F.col("tick") - F.expr("INTERVAL 15 MINUTES"))
+    lags = t.select("tick", (F.unix_timestamp("tick") - F.unix_timestamp("ts")).cast("double").alias("s"))
+    rows = Q.interpolated(lags, "s", ["tick"], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    table = shared_folder(v.spark, "lags")
+    rows.write.mode("append").parquet(table)
+    return v.spark.read.schema(rows.schema).parquet(table).select(stamp("tick", "tick"), "n", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")])

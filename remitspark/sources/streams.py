@@ -44,8 +44,12 @@ def raw_stream(spark: SparkSession, sf_dir: str, table: str = "events", schema:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals(spark, sf_dir, table, schema, list(order)))
 
 
-def event_stream(spark: SparkSession, sf_dir: str, delay: str | None = None, files_per_batch: int = 1) -> DataFrame:
-    """Events with event time ``ts`` (a timestamp, as watermarks need) and money as decimals."""
+#: How late an event may be where a stream does not say otherwise; state of windows goes that long after their end.
+DELAY = "10 minutes"
+
+
+def event_stream(spark: SparkSession, sf_dir: str, delay: str | None = DELAY, files_per_batch: int = 1) -> DataFrame:
+    """Events with event time ``ts`` (a timestamp, as watermarks need) and money as decimals; ``delay`` None: no watermark."""
     s = raw_stream(spark, sf_dir, files_per_batch=files_per_batch)
     k = F.get_json_object("props", "$.k").cast("decimal(6,0)")
     amount = F.col("value").cast("decimal(18,2)")
@@ -57,9 +61,9 @@ def event_stream(spark: SparkSession, sf_dir: str, delay: str | None = None, fil
     return t.withWatermark("ts", delay) if delay else t
 
 
-def replayed(events: DataFrame, start: str, speed: int, customers: int) -> DataFrame:
+def replayed(events: DataFrame, start: str, speed: int, customers: int, delay: str = "1 minute") -> DataFrame:
     """Events at a multiple of their speed from ``start`` on, customers folded onto a few: a load that rules with short
-    windows and high thresholds react to."""
+    windows and high thresholds react to. The events' own watermark must be left out, as they get another time."""
     began = F.unix_timestamp(F.lit(start).cast("timestamp"))
     at = began + F.floor((F.unix_timestamp("ts") - began) / speed)
-    return events.withColumn("ts", F.timestamp_seconds(at)).withColumn("customer_id", F.col("customer_id") % customers)
+    return events.withColumn("ts", F.timestamp_seconds(at)).withColumn("customer_id", F.col("customer_id") % customers).withWatermark("ts", delay)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF_EVENTS = "2024-01-31 00:00:00"
@@ -66,7 +66,11 @@ class Views:
     @cached_property
     def txn(self) -> DataFrame:
         """Transactions with merchant and state of their first line and the number of lines."""
-        first = self.items.groupBy("transaction_id").agg(F.min(F.struct("line_no", "product_ref", "merchant_id", "line_total", "shipped_at")).alias("f"), F.count("*").alias("n_items"))
+        return self.txn_with()
+
+    def txn_with(self, *more: Column) -> DataFrame:
+        """``txn`` with further aggregates of a transaction's lines, from one pass over the lines."""
+        first = self.items.groupBy("transaction_id").agg(F.min(F.struct("line_no", "product_ref", "merchant_id", "line_total", "shipped_at")).alias("f"), F.count("*").alias("n_items"), *more)
         state = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("merchant_id"), F.col("n_name").alias("txn_state"))
         t = self.bill.join(first, "transaction_id", "left").withColumn("merchant_id", F.col("f.merchant_id")).drop("f")
         return t.join(state, "merchant_id", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
