@@ -118,7 +118,7 @@ def coded(vectors: DataFrame, books: np.ndarray) -> DataFrame:
 
 
 def candidates(asked: DataFrame, codes: DataFrame, n: int, shards: int, books: np.ndarray, rerank: int) -> DataFrame:
-    """(qid, rid, approx): of each query asked(qid, vec_id, embedding), the best ``rerank`` of every shard."""
+    """(qid, vec_id, rid, approx): of each query asked(qid, vec_id, embedding), the best ``rerank`` of every shard."""
     spark = asked.sparkSession
     held = spark.sparkContext.broadcast(books)
     shard = F.pmod(F.xxhash64("rid"), F.lit(shards)).alias("shard")
@@ -148,7 +148,7 @@ def candidates(asked: DataFrame, codes: DataFrame, n: int, shards: int, books: n
             else:
                 pick = np.arange(len(s))
             pick = pick[s[pick] > -np.inf]
-            out.append(pd.DataFrame({"qid": x["qid"], "rid": rid[pick], "approx": s[pick].astype(np.float64)}))
+            out.append(pd.DataFrame({"qid": x["qid"], "vec_id": ids[pick], "rid": rid[pick], "approx": s[pick].astype(np.float64)}))
         return pd.concat(out, ignore_index=True)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +156,7 @@ def candidates(asked: DataFrame, codes: DataFrame, n: int, shards: int, books: n
             for queries, rows in zip(t["queries"], t["rows"]):
                 yield one(queries, rows, held.value)
 
-    return met.mapInPandas(search, "qid long, rid long, approx double")
+    return met.mapInPandas(search, "qid long, vec_id long, rid long, approx double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RERANK, pool: int = POOL) -> DataFrame:
@@ -174,7 +174,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RE
     asked = queries.where(usable()).where(F.size("embedding") == width).select("vec_id", "embedding").distinct()
     asked = scratch.save(asked.withColumn("qid", F.monotonically_increasing_id()))
     found = candidates(asked, coded(good.select("rid", "vec_id", "embedding"), books), asked.count(), shards, books, rerank)
-    best = W.partitionBy("qid").orderBy(F.desc("approx"), "rid")
+    best = W.partitionBy("qid").orderBy(F.desc("approx"), "vec_id", "rid")  # as at every step, ties to the smaller vec_id
     found = scratch.save(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= pool).select("qid", "rid"))
     pairs = found.join(good, "rid").join(asked.select("qid", F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "qid")
 

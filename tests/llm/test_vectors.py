@@ -139,3 +139,11 @@ def test_dense_cell(spark, monkeypatch):
     x = {r[0]: np.array(r[1]) / np.linalg.norm(r[1]) for r in rows[90:]}
     near = {i: sum(j != i and x[i] @ x[j] >= 0.98 for j in x) for i in x}
     assert {i: t[i].n_links for i in x} == near
+
+
+def test_more_copies_than_the_pool(spark):
+    """Of more equal vectors than are reranked, those with the smallest ids are the nearest."""
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(100, 140)] + [(i, [float(i), 1.0, -1.0]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = [(r.rank, r.vec_id) for r in nearest(df, df.where("vec_id = 100"), 5, rerank=10, pool=10).orderBy("rank").collect()]
+    assert got == list(enumerate(range(101, 106), 1))
