@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Severity weights, minutes to resolve, priority bands.
@@ -64,3 +64,44 @@ def vote(tp: Column, fp: Column, n: Column, base: float) -> list[Column]:
     says = F.when(thin, "prior").when(for_tp, "true_positive").when(for_fp, "false_positive").otherwise("needs_more_info")
     level = F.when(for_tp, 0.85).when(for_fp, 0.75).otherwise(0.5)
     return [says.alias("vote"), weight.alias("weight"), F.round(F.when(thin, base).otherwise(base * (1 - weight) + level * weight), 2).alias("confidence")]
+
+
+#: The version of a case row that ``upgraded`` makes, and statuses that end a case.
+VERSION, TERMINAL = 3, ("resolved", "dismissed")
+CURRENT = (
+    "case_id long, customer_id long, severity string, amount decimal(18,2), status string, disposition string, created_at timestamp_ntz, resolved_at timestamp_ntz, rules array<string>, "
+    "schema_version int, customer_type string, priority_score double, priority_band string, sla_target timestamp_ntz, at_stake decimal(18,2), net decimal(18,2), "
+    "lifecycle array<struct<at:timestamp_ntz,actor:string,from_status:string,to_status:string,note:string>>"
+)
+
+
+def upgraded(old: DataFrame, customers: DataFrame) -> DataFrame:
+    """Case rows of older versions as rows of this one: priority, service level, revenue at stake, and a life that begins with
+    the case and, where it has ended, ends when it did, not when it was upgraded. customers(customer_id, customer_type, prior).
+    Rows of unknown customers are left out."""
+    t = old.join(customers, "customer_id")
+    score = priority_score("severity", F.col("amount"), F.coalesce("prior", F.lit(0)), F.col("customer_type") == "commercial")
+    stake, net = revenue_impact(F.col("amount"), F.col("severity"))
+    ended = F.col("status").isin(*TERMINAL)
+    event = lambda at, actor, a, b, note: F.struct(at.alias("at"), F.lit(actor).alias("actor"), F.lit(a).cast("string").alias("from_status"), b.alias("to_status"), note.alias("note"))
+    life = F.array(event(F.col("created_at"), "backfill", None, F.lit("open"), F.array_join("rules", ",")), F.when(ended, event(F.col("resolved_at"), "analyst", "open", F.col("status"), F.col("disposition"))))
+    at_end = lambda c: F.when(ended, F.col(c)).alias(c)
+    return t.select(
+        "case_id", "customer_id", "severity", "amount", "status", at_end("disposition"), "created_at", at_end("resolved_at"), "rules", F.lit(VERSION).alias("schema_version"), "customer_type",
+        score.alias("priority_score"), priority_band(score).alias("priority_band"), sla_target(F.col("created_at"), "severity").alias("sla_target"), stake.alias("at_stake"), net.alias("net"), F.array_compact(life).alias("lifecycle"),
+    )
+
+
+def upgrade_step(table, customers: DataFrame, batch: int, writer: str = "upgrade") -> DataFrame:
+    """Upgrade the rows of a stored table that are of an older version, and tell (outcome, n) of all rows scanned: upgraded,
+    skipped_unknown_customer. The table holds rows of both versions side by side, those of the older one with nulls in what
+    it lacks; rows of this version are not scanned, so that a second run upgrades none."""
+    from remitspark.streaming.tables import replace_by_key
+
+    spark = table.spark
+    old = table.read().where(F.coalesce("schema_version", F.lit(0)) < VERSION)
+    new = upgraded(old.select("case_id", "customer_id", "severity", "amount", "status", "disposition", "created_at", "resolved_at", "rules"), customers)
+    scanned, done = old.count(), new.count()
+    if done:
+        table.apply(replace_by_key(new, ["case_id"]), batch, writer)
+    return spark.createDataFrame([("scanned", scanned), ("upgraded", done), ("skipped_unknown_customer", scanned - done)], "outcome string, n long")

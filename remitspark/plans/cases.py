@@ -1,5 +1,7 @@
 """Queries of cases, operations metrics and cycles."""
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -279,11 +281,42 @@ def cyc_03(v):
     return g.select("customer_id", "cycle", F.array_join(F.transform("x", lambda e: e["status"]), ">").alias("timeline"), F.element_at("x", -1)["status"].alias("current_status"))
 
 
-@query("cyc_04_expected_vs_billed", "WITH c AS (SELECT customer_id, strftime(ts, '%Y%m') AS cycle, sum(total) AS billed, sum(CASE WHEN txn_type = 'subscription_charge' THEN total ELSE 0 END) AS subscription FROM txn GROUP BY 1, 2) SELECT customer_id, cycle, CAST(billed AS DOUBLE) AS billed, CAST(subscription AS DOUBLE) AS subscription, CAST(billed - lag(billed) OVER (PARTITION BY customer_id ORDER BY cycle) AS DOUBLE) AS delta FROM c")
+#: Revenue categories by the kind of a transaction; the rest is other.
+CATEGORIES = {"subscription": ("subscription_charge",), "addons": ("addon_charge", "addon_purchase"), "ppv": ("ppv_charge",), "fees": ("termination_fee",)}
+CYCLE_SQL = """c AS (SELECT customer_id, strftime(ts, '%Y%m') AS cycle, sum(total) AS billed, coalesce(sum(total) FILTER (WHERE txn_type = 'subscription_charge'), 0) AS subscription, coalesce(sum(total) FILTER (WHERE txn_type IN ('addon_charge', 'addon_purchase')), 0) AS addons,
+  coalesce(sum(total) FILTER (WHERE txn_type = 'ppv_charge'), 0) AS ppv, coalesce(sum(total) FILTER (WHERE txn_type = 'termination_fee'), 0) AS fees, coalesce(sum(total) FILTER (WHERE txn_type = 'refund'), 0) AS other FROM txn GROUP BY 1, 2),
+  p AS (SELECT *, lag(billed) OVER w AS expected, lag(cycle) OVER w AS previous_cycle, lag(subscription) OVER w AS e0, lag(addons) OVER w AS e1, lag(ppv) OVER w AS e2, lag(fees) OVER w AS e3, lag(other) OVER w AS e4 FROM c WINDOW w AS (PARTITION BY customer_id ORDER BY cycle)),
+  d AS (SELECT *, [{'f': 'subscription', 'd': subscription - e0}, {'f': 'addons', 'd': addons - e1}, {'f': 'ppv', 'd': ppv - e2}, {'f': 'fees', 'd': fees - e3}, {'f': 'other', 'd': other - e4}] AS x FROM p)"""
+
+
+@query("cyc_04_expected_vs_billed", f"""WITH {CYCLE_SQL} SELECT customer_id, cycle, CAST(billed AS DOUBLE) AS billed, CAST(subscription AS DOUBLE) AS subscription, CAST(addons AS DOUBLE) AS addons, CAST(ppv AS DOUBLE) AS ppv, CAST(fees AS DOUBLE) AS fees, CAST(other AS DOUBLE) AS other, previous_cycle, CAST(expected AS DOUBLE) AS expected,
+  CAST(billed - expected AS DOUBLE) AS delta, round(CAST(billed - expected AS DOUBLE) / nullif(CAST(expected AS DOUBLE), 0) * 100, 6) AS percent,
+  CASE WHEN expected IS NOT NULL THEN array_to_string(list_transform(list_slice(list_sort(list_transform(list_filter(x, lambda e: e.d <> 0), lambda e: {{'k': -abs(e.d), 'f': e.f, 'd': e.d}})), 1, 3), lambda e: e.f || ':' || CAST(e.d AS VARCHAR)), ',') END AS drivers FROM d""")
 def cyc_04(v):
-    g = v.bill.groupBy("customer_id", F.date_format("ts", "yyyyMM").alias("cycle")).agg(F.sum("total").alias("billed"), F.sum(F.when(F.col("txn_type") == "subscription_charge", F.col("total")).otherwise(0)).alias("subscription"))
+    """A cycle by revenue category, against the customer's cycle before it as what was to be expected: difference, percent, and
+    the three categories that move it most."""
+    kind = lookup_category(F.col("txn_type"))
+    names = [*CATEGORIES, "other"]
+    t = v.bill.select("customer_id", F.date_format("ts", "yyyyMM").alias("cycle"), kind.alias("category"), "total")
+    g = t.groupBy("customer_id", "cycle").pivot("category", names).agg(F.sum("total")).na.fill(0, names)
+    g = g.withColumn("billed", reduce(lambda a, b: a + b, [F.col(n) for n in names]))
     w = W.partitionBy("customer_id").orderBy("cycle")
-    return g.select("customer_id", "cycle", F.col("billed").cast("double").alias("billed"), F.col("subscription").cast("double").alias("subscription"), (F.col("billed") - F.lag("billed").over(w)).cast("double").alias("delta"))
+    before = {n: F.lag(n).over(w) for n in [*names, "billed", "cycle"]}
+    g = g.withColumns({f"{n}_was": c for n, c in before.items()})
+    moves = F.filter(F.array(*[F.struct((-F.abs(F.col(n) - F.col(f"{n}_was"))).alias("k"), F.lit(n).alias("f"), (F.col(n) - F.col(f"{n}_was")).cast("decimal(18,2)").alias("d")) for n in names]), lambda e: e["d"] != 0)
+    drivers = F.array_join(F.transform(F.slice(F.array_sort(moves), 1, 3), lambda e: F.concat(e["f"], F.lit(":"), e["d"].cast("string"))), ",")
+    delta = F.col("billed") - F.col("billed_was")
+    as_number = [F.col(n).cast("double").alias(n) for n in ("billed", *names)]
+    percent = F.round(F.try_divide(delta.cast("double"), F.col("billed_was").cast("double")) * 100, 6)
+    return g.select("customer_id", "cycle", *as_number, F.col("cycle_was").alias("previous_cycle"), F.col("billed_was").cast("double").alias("expected"), delta.cast("double").alias("delta"), percent.alias("percent"), F.when(F.col("billed_was").isNotNull(), drivers).alias("drivers"))
+
+
+def lookup_category(kind):
+    """The revenue category of a kind of transaction."""
+    out = F.lit("other")
+    for name, kinds in CATEGORIES.items():
+        out = F.when(kind.isin(*kinds), name).otherwise(out)
+    return out
 
 
 @query("cyc_05_charge_code_rollup", "SELECT charge_code, CASE charge_code WHEN 'CC_SUBSCRIPTION_BASE' THEN 'recurring' ELSE 'one_off' END AS category, count(*) AS usage_n, count(DISTINCT transaction_id) AS txns, CAST(sum(line_total) AS DOUBLE) AS revenue FROM items GROUP BY 1, 2")

@@ -4,12 +4,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from remitspark.functions import stats as S
+from remitspark.operators import cases as C
 from remitspark.operators import drift as K
 from remitspark.operators.joins import as_of_join
 from remitspark.operators.search import Search, completions, near_names, top_k
 from remitspark.plans.relational import LAB, PUR, error_labels, purchases
 from remitspark.registry import query
 from remitspark.sources.scratch import shared_folder
+from remitspark.streaming.split import split_by
+from remitspark.streaming.tables import SnapshotTable
 from remitspark.views import AS_OF_EVENTS, AS_OF_ORDERS, clock, seconds, stamp
 
 
@@ -178,8 +181,21 @@ def cus_11(v):
 
 @query("cus_12_split_by_type", "SELECT customer_id, customer_type, customer_type = 'commercial' AND parent_no = 0 AS is_parent FROM cust")
 def cus_12(v):
-    sides = [v.customer.where(F.col("customer_type") == k) for k in ("residential", "commercial")]
-    return sides[0].unionByName(sides[1]).select("customer_id", "customer_type", ((F.col("customer_type") == "commercial") & (F.col("parent_no") == 0)).alias("is_parent"))
+    """Customers in a table for each type, and an index that says which, all under one version; read back through the index."""
+    out = split_customers(v)
+    sides = [out.table(k).select("customer_id", "is_parent") for k in ("residential", "commercial")]
+    return out.table("index").select("customer_id", "customer_type").join(sides[0].unionByName(sides[1]), "customer_id").select("customer_id", "customer_type", "is_parent")
+
+
+@query("cus_12_split_consistency", "SELECT 'residential' AS side, count(*) AS n, 0 AS strays FROM cust WHERE customer_type = 'residential' UNION ALL SELECT 'commercial', count(*), 0 FROM cust WHERE customer_type = 'commercial' UNION ALL SELECT 'index', count(*), 0 FROM cust")
+def cus_12_check(v):
+    """Rows of each output, and how many have no counterpart: none."""
+    return split_customers(v).check("customer_id", "customer_type")
+
+
+def split_customers(v):
+    t = v.customer.withColumn("is_parent", (F.col("customer_type") == "commercial") & (F.col("parent_no") == 0))
+    return split_by(t, "customer_type", ["residential", "commercial"], "customer_id", shared_folder(v.spark, "split"))
 
 
 @query("cus_13_outlet_distribution", "WITH o AS (SELECT customer_id, parent_no, sum(total) AS r FROM cust JOIN txn USING (customer_id) WHERE customer_type = 'commercial' GROUP BY 1, 2) SELECT customer_id, parent_no, CAST(r AS DOUBLE) AS revenue, CAST(r AS DOUBLE) / CAST(sum(r) OVER (PARTITION BY parent_no) AS DOUBLE) AS share FROM o QUALIFY row_number() OVER (ORDER BY r DESC, customer_id) <= 10")
@@ -540,11 +556,40 @@ def dq_04(v):
     return v.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("mig_01_case_upgrade", "SELECT CASE WHEN k.customer_id IS NULL THEN 'skipped' WHEN case_id % 4 = 0 THEN 'current' ELSE 'upgraded' END AS outcome, count(*) AS n FROM cases LEFT JOIN cust k USING (customer_id) GROUP BY 1")
+MIGRATED = f"""k AS (SELECT customer_id, customer_type, lifetime_quarantine_count AS prior FROM cust WHERE customer_id % 11 <> 0), x AS (SELECT c.*, k.customer_type, k.prior, k.customer_id IS NOT NULL AS known, case_id % 4 = 0 AS was_new,
+  CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.5 ELSE 0.25 END::DOUBLE AS w, CASE severity WHEN 'critical' THEN 30 WHEN 'high' THEN 240 WHEN 'medium' THEN 1440 ELSE 4320 END AS minutes FROM cases c LEFT JOIN k USING (customer_id)),
+  y AS (SELECT *, round_even(0.55::DOUBLE * w + 0.30::DOUBLE * least(1.0::DOUBLE, CAST(amount AS DOUBLE) / 5000.0::DOUBLE) + 0.10::DOUBLE * least(1.0::DOUBLE, CAST(prior AS DOUBLE) / 5.0::DOUBLE) + 0.05::DOUBLE * CAST(customer_type = 'commercial' AS INTEGER), 4) AS score FROM x)"""
+
+
+@query("mig_01_case_upgrade", f"""WITH {MIGRATED} SELECT case_id, CASE WHEN was_new THEN 3 WHEN known THEN 3 ELSE 2 END AS schema_version, CASE WHEN NOT was_new AND known THEN score END AS priority_score,
+  CASE WHEN NOT was_new AND known THEN CASE WHEN score >= 0.85 THEN 'P0' WHEN score >= 0.65 THEN 'P1' WHEN score >= 0.40 THEN 'P2' ELSE 'P3' END END AS priority_band,
+  CASE WHEN NOT was_new AND known THEN strftime(created_at + to_minutes(minutes), '%Y-%m-%d %H:%M:%S') END AS sla_target, CASE WHEN NOT was_new AND known THEN 'open' || CASE WHEN status = 'resolved' THEN '>resolved' ELSE '' END END AS life,
+  CASE WHEN NOT was_new AND known AND status = 'resolved' THEN strftime(resolved_at, '%Y-%m-%d %H:%M:%S') END AS ended_at FROM y""")
 def mig_01(v):
-    t = v.case.withColumn("_schema_version", F.when(F.col("case_id") % 4 == 0, 3).otherwise(2)).join(v.customer.select("customer_id", F.lit(True).alias("known")), "customer_id", "left")
-    outcome = F.when(F.col("known").isNull(), "skipped").when(F.col("_schema_version") >= 3, "current").otherwise("upgraded")
-    return t.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    """A stored table with rows of two versions: three of four are of the older one and are upgraded where the customer is
+    known; rows of this version (here: bare ones) stay as they are."""
+    table, _ = migrated(v)
+    t = table.read()
+    stops = F.array_join(F.transform("lifecycle", lambda e: e["to_status"]), ">")
+    ended = F.when(F.size("lifecycle") > 1, F.date_format(F.element_at("lifecycle", -1)["at"], "yyyy-MM-dd HH:mm:ss"))
+    return t.select("case_id", "schema_version", "priority_score", "priority_band", stamp("sla_target", "sla_target"), F.when(F.col("lifecycle").isNotNull(), stops).alias("life"), ended.alias("ended_at"))
+
+
+def migrated(v, runs=1):
+    """The table after so many runs, and what each run told."""
+    table = SnapshotTable(v.spark, shared_folder(v.spark, "cases"), C.CURRENT, ["case_id"])
+    rows = v.case.withColumn("schema_version", F.when(F.col("case_id") % 4 == 0, 3).otherwise(2))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.types.fields if f.name not in rows.columns]
+    table.apply(lambda old: rows.select("*", *none).select(*old.columns), 0)
+    known = v.customer.where("customer_id % 11 <> 0").select("customer_id", "customer_type", F.col("lifetime_quarantine_count").alias("prior"))
+    return table, [C.upgrade_step(table, known, k) for k in range(runs)]
+
+
+@query("mig_01_upgrade_counts", f"WITH {MIGRATED}, c AS (SELECT count(*) FILTER (WHERE NOT was_new) AS s, count(*) FILTER (WHERE NOT was_new AND known) AS u FROM y) SELECT 1 AS run, unnest(['scanned', 'upgraded', 'skipped_unknown_customer']) AS outcome, unnest([s, u, s - u]) AS n FROM c UNION ALL SELECT 2, unnest(['scanned', 'upgraded', 'skipped_unknown_customer']), unnest([s - u, 0, s - u]) FROM c")
+def mig_01_counts(v):
+    """What two runs tell: the second finds only what the first could not upgrade."""
+    _, told = migrated(v, 2)
+    return told[0].withColumn("run", F.lit(1)).unionByName(told[1].withColumn("run", F.lit(2)))
 
 
 @query("ml_01_training_set", f"WITH {LAB}, {PUR}, {FEAT} SELECT row_id, label, seen_id, n, discount_rate FROM (SELECT lab.*, pur.seen_id FROM lab ASOF LEFT JOIN pur ON lab.customer_id = pur.customer_id AND lab.label_at >= pur.seen_at) p JOIN feat f ON f.customer_id = p.customer_id")

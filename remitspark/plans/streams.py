@@ -96,6 +96,13 @@ def str_06(v):
     return v.spark.read.schema(w.schema).parquet(out).select(stamp("window_start", "window_start"), "customer_id", "n")
 
 
+@query("str_06_update_mode", f"SELECT {T('ws')} AS window_start, customer_id, count(*) AS n FROM ({hops(3600, 3600)}) GROUP BY ws, customer_id")
+def str_06_update(v):
+    """Update output of the same windows: each batch puts out those it changed again, open ones too; the last counts."""
+    w = N.windowed(event_stream(v.spark, v.dir, "30 minutes"), "1 hour", None, ["customer_id"])
+    return final(v, w, ["window_start", "customer_id"]).select(stamp("window_start", "window_start"), "customer_id", "n")
+
+
 @query("str_09_last_value_state", f"SELECT customer_id, {T('max(ts)')} AS last_at, arg_max(merchant_id, (ts, event_id)) AS last_type FROM ev GROUP BY 1")
 def str_09(v):
     table = S.SnapshotTable(v.spark, shared_folder(v.spark, "last"), "customer_id long, last_at timestamp, last_id long, last_type string", ["customer_id"])
