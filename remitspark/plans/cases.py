@@ -5,8 +5,9 @@ from functools import reduce
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from remitspark.functions.stats import interpolated
+from remitspark.functions.stats import interpolated, nearest_ranks
 from remitspark.operators import cases as C
+from remitspark.operators.joins import cycle_join
 from remitspark.operators.search import top_k
 from remitspark.registry import query
 from remitspark.views import AS_OF_EVENTS, AS_OF_ORDERS, clock, seconds, stamp
@@ -177,31 +178,55 @@ def ops_01(v):
     return v.event.groupBy(stamp(F.date_trunc("minute", "ts"), "minute")).agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("value"), F.count_if(F.col("merchant_id") == "error").alias("quarantined"))
 
 
-SAMPLES = "samples AS (SELECT date_trunc('hour', ts) AS seen, count(*) AS n, count(*) / 3600.0::DOUBLE AS tps, CAST(max(amount) AS DOUBLE) AS p99, CASE WHEN count(*) >= 18 THEN 'burst' WHEN count(*) >= 8 THEN 'steady' ELSE 'idle' END AS mode FROM ev GROUP BY 1)"
+LIVE = "max(CASE WHEN rn - 1 = greatest(0, least(n - 1, CAST(floor(n * {p}) AS BIGINT) - 1)) THEN amount END)"
+SAMPLES = f"o AS (SELECT date_trunc('hour', ts) AS seen, CAST(amount AS DOUBLE) AS amount, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY amount) AS rn, count(*) OVER (PARTITION BY date_trunc('hour', ts)) AS n FROM ev), samples AS (SELECT seen, max(n) AS n, max(n) / 3600.0::DOUBLE AS tps, {LIVE.format(p=0.5)} AS p50, {LIVE.format(p=0.99)} AS p99, CASE WHEN max(n) >= 18 THEN 'burst' WHEN max(n) >= 8 THEN 'steady' ELSE 'idle' END AS mode FROM o GROUP BY 1)"
+RUNS = "r AS (SELECT *, seen - to_hours(CAST(row_number() OVER (ORDER BY seen) AS INTEGER)) AS run FROM samples WHERE mode = 'burst')"
 
 
 def samples(v):
-    n = F.count("*")
-    mode = F.when(n >= 18, "burst").when(n >= 8, "steady").otherwise("idle")
-    return v.event.groupBy(F.date_trunc("hour", "ts").alias("at")).agg(n.alias("n"), (n / F.lit(3600.0)).alias("tps"), F.max("amount").cast("double").alias("p99"), mode.alias("mode"))
+    """Each hour's number and rate of events, median and 99th percentile of their amounts, and what mode that is."""
+    t = v.event.select(F.date_trunc("hour", "ts").alias("at"), F.col("amount").cast("double").alias("x"))
+    ranks = nearest_ranks(t, "x", ["at"], {"p50": (0.5, "live"), "p99": (0.99, "live")})
+    g = t.groupBy("at").agg(F.count("*").alias("n")).join(ranks, "at", "left")
+    n = F.col("n")
+    return g.withColumns({"tps": n / F.lit(3600.0), "mode": F.when(n >= 18, "burst").when(n >= 8, "steady").otherwise("idle")})
+
+
+def burst_runs(hours):
+    """Runs of hours in burst mode that follow each other, a row a run; a sample an hour, so few rows."""
+    b = hours.where("mode = 'burst'").groupBy(F.session_window("at", "61 minutes").alias("w")).agg(F.array_sort(F.collect_list(F.struct("at", "n", "p99"))).alias("x"))
+    peak = F.array_max(F.transform("x", lambda e: e["n"]))
+    near = F.size(F.filter("x", lambda e: e["n"] * 10 >= F.col("peak") * 9))
+    t = b.select(F.get("x", 0)["at"].alias("started_at"), F.element_at("x", -1)["at"].alias("last_at"), "x", peak.alias("peak"), F.size("x").cast("long").alias("n_samples"))
+    total = F.aggregate("x", F.lit(0).cast("long"), lambda a, e: a + e["n"])
+    return t.select(
+        "started_at", "last_at", "n_samples", "peak", (total / F.col("n_samples")).alias("mean"), F.array_max(F.transform("x", lambda e: e["p99"])).alias("p99_max"), (near / F.col("n_samples")).alias("near_peak"),
+        F.size(F.filter("x", lambda e: e["p99"] > 200)).cast("long").alias("breaches"), seconds(F.col("last_at"), F.col("started_at")).alias("duration_s"),
+    )
 
 
-@query("ops_02_system_sample", f"WITH {SAMPLES} SELECT {T('seen')} AS recorded_at, n, tps, p99, mode FROM samples")
+@query("ops_02_system_sample", f"WITH {SAMPLES} SELECT {T('seen')} AS recorded_at, n, tps, p50, p99, mode FROM samples")
 def ops_02(v):
-    return samples(v).select(stamp("at", "recorded_at"), "n", "tps", "p99", "mode")
+    return samples(v).select(stamp("at", "recorded_at"), "n", "tps", "p50", "p99", "mode")
 
 
-@query("ops_03_burst_status", f"WITH {SAMPLES}, b AS (SELECT *, max(n) OVER () AS peak FROM samples WHERE mode = 'burst') SELECT max(peak) AS peak, CAST(sum(n) AS DOUBLE) / nullif(count(*), 0) AS mean, max(p99) AS p99_max, count(*) FILTER (WHERE n * 10 >= peak * 9) / nullif(count(*), 0)::DOUBLE AS near_peak, count(*) FILTER (WHERE p99 > 200) AS breaches FROM b")
+@query("ops_03_burst_status", f"WITH {SAMPLES}, {RUNS}, g AS (SELECT run, max(n) AS peak FROM r GROUP BY 1), b AS (SELECT r.*, peak, min(seen) OVER (PARTITION BY run) AS s, max(seen) OVER (PARTITION BY run) AS e FROM r JOIN g USING (run)) SELECT {T('s')} AS started_at, CASE WHEN (SELECT arg_max(mode, seen) FROM samples) <> 'burst' THEN {T('e')} END AS ended_at, count(*) AS n_samples, max(peak) AS peak, CAST(sum(n) AS DOUBLE) / count(*) AS mean, max(p99) AS p99_max, count(*) FILTER (WHERE n * 10 >= peak * 9) / count(*)::DOUBLE AS near_peak, count(*) FILTER (WHERE p99 > 200) AS breaches, CAST(epoch(e) - epoch(s) AS BIGINT) AS duration_s FROM b GROUP BY s, e ORDER BY s DESC LIMIT 1")
 def ops_03(v):
-    b = samples(v).where("mode = 'burst'")
-    b = b.crossJoin(F.broadcast(b.agg(F.max("n").alias("peak"))))  # one row
-    return b.agg(F.max("peak").alias("peak"), F.try_divide(F.sum("n").cast("double"), F.count("*")).alias("mean"), F.max("p99").alias("p99_max"), F.try_divide(F.count_if(F.col("n") * 10 >= F.col("peak") * 9), F.count("*").cast("double")).alias("near_peak"), F.count_if(F.col("p99") > 200).alias("breaches"))
+    """The latest run of hours in burst mode; it has ended if the last hour is no burst."""
+    hours = samples(v)
+    mode = hours.agg(F.max_by("mode", "at").alias("mode"))  # one row
+    latest = burst_runs(hours).orderBy(F.desc("started_at")).limit(1).crossJoin(mode)
+    rest = [c for c in latest.columns if c not in ("started_at", "last_at", "mode")]
+    return latest.select(stamp("started_at", "started_at"), F.when(F.col("mode") != "burst", stamp("last_at", "x")).alias("ended_at"), *rest)
 
 
-@query("ops_04_recent_samples", f"WITH {SAMPLES}, r AS (SELECT * FROM samples WHERE seen >= TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL 2 DAY) SELECT count(*) AS n, list_aggregate(list_sort(list(DISTINCT mode)), 'string_agg', ',') AS modes, arg_max(mode, seen) AS current_mode FROM r")
+@query("ops_04_recent_samples", f"WITH {SAMPLES}, {RUNS}, w AS (SELECT s.*, run FROM samples s LEFT JOIN r USING (seen) WHERE s.seen >= TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL 2 DAY) SELECT count(*) AS n, list_aggregate(list_sort(list(DISTINCT mode)), 'string_agg', ',') AS modes, arg_max(mode, seen) AS current_mode, count(DISTINCT run) AS burst_runs FROM w")
 def ops_04(v):
-    r = samples(v).where(F.col("at") >= clock(AS_OF_EVENTS) - F.expr("INTERVAL 2 DAYS"))
-    return r.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("mode")), ",").alias("modes"), F.max_by("mode", "at").alias("current_mode"))
+    """Modes of the last two days' samples, the current one, and how many runs of bursts fall into them."""
+    hours, since = samples(v), clock(AS_OF_EVENTS) - F.expr("INTERVAL 2 DAYS")
+    runs = burst_runs(hours).where(F.col("last_at") >= since).agg(F.count("*").alias("burst_runs"))
+    r = hours.where(F.col("at") >= since).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("mode")), ",").alias("modes"), F.max_by("mode", "at").alias("current_mode"))
+    return r.crossJoin(runs)  # one row each
 
 
 @query("enr_01_totals_from_items", "SELECT transaction_id, CAST(sum(line_total) AS DOUBLE) AS subtotal, CAST(sum(discount) AS DOUBLE) AS discount, CAST(greatest(sum(line_total) - sum(discount), 0) * CAST(0.06 AS DECIMAL(3,2)) AS DOUBLE) AS tax FROM items GROUP BY 1")
@@ -223,16 +248,44 @@ def enr_03(v):
     return v.bill.join(s, "transaction_id", "left").select("transaction_id", F.coalesce("net", "total").cast("double").alias("total"), F.col("net").isNull().alias("fallback"))
 
 
-@query("enr_04_batch_signals", "SELECT transaction_id, n_before = 0 AND txn_type = 'ppv_charge' AS first_ppv FROM (SELECT *, count(*) FILTER (WHERE txn_type = 'ppv_charge') OVER (PARTITION BY customer_id ORDER BY ts, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_before FROM txn)")
+@query("enr_04_batch_signals", """WITH l AS (SELECT transaction_id, sum(line_total) AS subtotal, sum(discount) AS discount FROM items GROUP BY 1), t AS (SELECT txn.*, CAST(floor(epoch(ts)) AS BIGINT) AS s, subtotal, discount, home_state, package_value FROM txn LEFT JOIN l USING (transaction_id) LEFT JOIN cust USING (customer_id)),
+  w AS (SELECT *, avg(CAST(total AS DOUBLE)) OVER (PARTITION BY customer_id ORDER BY s RANGE BETWEEN 2592000 PRECEDING AND 1 PRECEDING) AS mean, count(*) FILTER (WHERE txn_type = 'ppv_charge') OVER (PARTITION BY customer_id ORDER BY ts, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ppv, min(ts) OVER (PARTITION BY customer_id) AS since, count(*) OVER (PARTITION BY customer_id ORDER BY s RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) AS velocity FROM t)
+  SELECT transaction_id, round(coalesce((CAST(total AS DOUBLE) - mean) / nullif(mean, 0) * 100, 0), 2) AS vs_mean_30d, round(coalesce(CAST(coalesce(discount, 0) AS DOUBLE) / nullif(CAST(coalesce(subtotal, total) AS DOUBLE), 0) * 100, 0), 2) AS discount_pct, ppv = 0 AND txn_type = 'ppv_charge' AS first_ppv, ts < since + INTERVAL 24 MONTH AS lock_in,
+  CASE WHEN home_state IS NULL OR home_state IS NOT DISTINCT FROM txn_state THEN 0.0 ELSE 200.0 END::DOUBLE AS distance_km, velocity, CASE WHEN txn_type = 'termination_fee' THEN round(CAST(total AS DOUBLE) / nullif(CAST(package_value AS DOUBLE), 0) * 100, 2) END AS fee_pct FROM w""")
 def enr_04(v):
-    w = W.partitionBy("customer_id").orderBy("ts", "transaction_id").rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum((F.col("txn_type") == "ppv_charge").cast("int")).over(w), F.lit(0))
-    return v.bill.select("transaction_id", ((before == 0) & (F.col("txn_type") == "ppv_charge")).alias("first_ppv"))
+    """Signals of stored transactions: percent off the customer's mean of 30 days before, discount of the subtotal in percent,
+    first pay-per-view, within 24 months of the first bill, distance from home, bills in five minutes, fee against the
+    package's worth."""
+    by = W.partitionBy("customer_id")
+    span = by.orderBy(F.unix_timestamp("ts"))
+    before = by.orderBy("ts", "transaction_id").rowsBetween(W.unboundedPreceding, -1)
+    ppv = F.col("txn_type") == "ppv_charge"
+    t = v.txn_with(F.sum("line_total").alias("subtotal"), F.sum("discount").alias("discount")).join(v.customer.select("customer_id", "home_state", "package_value"), "customer_id", "left")
+    t = t.withColumns({"mean": F.avg(F.col("total").cast("double")).over(span.rangeBetween(-2592000, -1)), "ppv": F.coalesce(F.sum(ppv.cast("int")).over(before), F.lit(0)), "since": F.min("ts").over(by), "velocity": F.count("*").over(span.rangeBetween(-300, 0))})
+    number = lambda c: F.col(c).cast("double")
+    percent = lambda a, b: F.try_divide(a, b) * 100
+    off = percent(number("total") - F.col("mean"), F.col("mean"))
+    cut = percent(F.coalesce("discount", F.lit(0)).cast("double"), F.coalesce("subtotal", "total").cast("double"))
+    home = F.col("home_state").isNull() | F.col("home_state").eqNullSafe(F.col("txn_state"))
+    return t.select(
+        "transaction_id", F.round(F.coalesce(off, F.lit(0.0)), 2).alias("vs_mean_30d"), F.round(F.coalesce(cut, F.lit(0.0)), 2).alias("discount_pct"), ((F.col("ppv") == 0) & ppv).alias("first_ppv"), (F.col("ts") < F.col("since") + F.expr("INTERVAL 24 MONTHS")).alias("lock_in"),
+        F.when(home, 0.0).otherwise(200.0).alias("distance_km"), "velocity", F.when(F.col("txn_type") == "termination_fee", F.round(percent(number("total"), number("package_value")), 2)).alias("fee_pct"),
+    )
 
 
-@query("enr_05_cycle_id", f"SELECT transaction_id, 'cyc_' || customer_id || '_' || strftime(ts, '%Y%m') AS cycle_id, {T("date_trunc('month', ts)")} AS cycle_start, CAST(day(last_day(ts)) AS INTEGER) AS days FROM txn")
+@query("enr_05_cycle_id", f"""WITH c AS (SELECT DISTINCT customer_id, date_trunc('month', ts - INTERVAL 14 DAY) + INTERVAL 14 DAY AS s FROM txn WHERE customer_id % 2 = 0 AND month(ts - INTERVAL 14 DAY) % 2 = 1), j AS (SELECT t.*, s FROM txn t LEFT JOIN c ON c.customer_id = t.customer_id AND t.ts >= s AND t.ts < s + INTERVAL 1 MONTH)
+  SELECT transaction_id, CASE WHEN s IS NOT NULL THEN 'bc_' || customer_id || '_' || strftime(s, '%Y%m%d') ELSE 'cyc_' || customer_id || '_' || strftime(ts, '%Y%m') END AS cycle_id, CASE WHEN s IS NOT NULL THEN 'covering' ELSE 'made' END AS origin, {T("coalesce(s, date_trunc('month', ts))")} AS cycle_start, CAST(date_diff('day', coalesce(s, date_trunc('month', ts)), coalesce(s, date_trunc('month', ts)) + INTERVAL 1 MONTH) AS INTEGER) AS days FROM j""")
 def enr_05(v):
-    return v.bill.select("transaction_id", F.concat(F.lit("cyc_"), "customer_id", F.lit("_"), F.date_format("ts", "yyyyMM")).alias("cycle_id"), stamp(F.date_trunc("month", "ts"), "cycle_start"), F.dayofmonth(F.last_day("ts")).alias("days"))
+    """The stored cycle that covers a transaction (here: of some customers and months, from the 15th on), else the calendar
+    month."""
+    start = F.date_trunc("month", F.col("ts") - F.expr("INTERVAL 14 DAYS"))
+    stored = v.bill.where((F.col("customer_id") % 2 == 0) & (F.month(start) % 2 == 1)).select("customer_id", (start + F.expr("INTERVAL 14 DAYS")).alias("cycle_start")).distinct()
+    stored = stored.withColumn("cycle_end", F.col("cycle_start") + F.expr("INTERVAL 1 MONTH"))
+    covering = cycle_join(v.bill, stored).select("transaction_id", "cycle_start")
+    t = v.bill.join(covering, "transaction_id", "left")
+    known, begin = F.col("cycle_start").isNotNull(), F.coalesce("cycle_start", F.date_trunc("month", "ts"))
+    name = F.when(known, F.concat_ws("_", F.lit("bc"), "customer_id", F.date_format("cycle_start", "yyyyMMdd"))).otherwise(F.concat_ws("_", F.lit("cyc"), "customer_id", F.date_format("ts", "yyyyMM")))
+    return t.select("transaction_id", name.alias("cycle_id"), F.when(known, "covering").otherwise("made").alias("origin"), stamp(begin, "cycle_start"), F.datediff(begin + F.expr("INTERVAL 1 MONTH"), begin).alias("days"))
 
 
 @query("enr_06_primary_entity", "SELECT customer_id, coalesce(CASE WHEN customer_id % 3 = 0 THEN NULL ELSE entity END, segment) AS primary_entity FROM cust")
@@ -242,11 +295,23 @@ def enr_06(v):
     return v.customer.select("customer_id", F.coalesce(F.get(listed, 0), F.map_keys(profiles)[0]).alias("primary_entity"))
 
 
-@query("enr_08_commercial_buckets", "SELECT customer_id, (rn - 1) // 5 AS bucket, count(*) AS n, count(*) >= 4 AS near_cap, count(*) FILTER (WHERE txn_type = 'ppv_charge') AS ppv FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY ts, transaction_id) rn FROM txn JOIN cust USING (customer_id) WHERE customer_type = 'commercial') GROUP BY 1, 2")
+#: Transactions of a bucket at most, and from how many on it counts as nearly full.
+CAP, ALARM = 500, 480
+
+
+def buckets(bills, cap=CAP, alarm=ALARM):
+    """Transactions of a customer and cycle in buckets of at most ``cap``, in order of time, with their counters."""
+    w = W.partitionBy("customer_id", "cycle").orderBy("ts", "transaction_id")
+    t = bills.withColumn("bucket", F.floor((F.row_number().over(w) - 1) / cap))
+    name = F.concat_ws("_", F.lit("bkt"), "customer_id", "cycle", F.col("bucket") + 1)
+    g = t.groupBy("customer_id", "cycle", "bucket").agg(F.count("*").alias("n"), F.count_if(F.col("txn_type") == "ppv_charge").alias("ppv"), F.sum("total").alias("total"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+    return g.withColumns({"bucket_id": name, "near_cap": F.col("n") >= alarm})
+
+
+@query("enr_08_commercial_buckets", f"SELECT 'bkt_' || customer_id || '_' || cycle || '_' || CAST((rn - 1) // {CAP} + 1 AS BIGINT) AS bucket_id, customer_id, cycle, count(*) AS n, count(*) >= {ALARM} AS near_cap, count(*) FILTER (WHERE txn_type = 'ppv_charge') AS ppv, CAST(sum(total) AS DOUBLE) AS total FROM (SELECT *, strftime(ts, '%Y%m') AS cycle, row_number() OVER (PARTITION BY customer_id, strftime(ts, '%Y%m') ORDER BY ts, transaction_id) rn FROM txn JOIN cust USING (customer_id) WHERE customer_type = 'commercial') GROUP BY customer_id, cycle, (rn - 1) // {CAP}")
 def enr_08(v):
-    w = W.partitionBy("customer_id").orderBy("ts", "transaction_id")
-    t = v.bill.join(v.customer.where("customer_type = 'commercial'").select("customer_id"), "customer_id").withColumn("bucket", F.floor((F.row_number().over(w) - 1) / 5))
-    return t.groupBy("customer_id", "bucket").agg(F.count("*").alias("n"), (F.count("*") >= 4).alias("near_cap"), F.count_if(F.col("txn_type") == "ppv_charge").alias("ppv"))
+    bills = v.bill.join(v.customer.where("customer_type = 'commercial'").select("customer_id"), "customer_id").withColumn("cycle", F.date_format("ts", "yyyyMM"))
+    return buckets(bills).select("bucket_id", "customer_id", "cycle", "n", "near_cap", "ppv", F.col("total").cast("double").alias("total"))
 
 
 @query("enr_09_rolling_signals", "SELECT event_id, n AS velocity_5m, CASE WHEN m >= 3 THEN CAST(amount AS DOUBLE) / (CAST(s AS DOUBLE) / m) END AS ratio_30d FROM (SELECT *, count(*) OVER (PARTITION BY customer_id ORDER BY s_ RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) AS n, count(*) OVER w AS m, sum(amount) OVER w AS s FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s_ FROM ev) WINDOW w AS (PARTITION BY customer_id ORDER BY s_ RANGE BETWEEN 2592000 PRECEDING AND 1 PRECEDING))")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from remitspark.functions import stats as S
 from remitspark.operators import cases as C
+from remitspark.operators import people
 from remitspark.operators import drift as K
 from remitspark.operators.joins import as_of_join
 from remitspark.operators.search import Search, completions, near_names, top_k
@@ -42,7 +43,7 @@ def cus_02(v):
 
 
 FEAT = f"""feat AS (SELECT customer_id, count(*) AS n, (floor(epoch({NOW})) - floor(epoch(max(ts)))) / 60.0::DOUBLE AS minutes_silent, coalesce(CAST(sum(discount) AS DOUBLE) / nullif(CAST(sum(amount) AS DOUBLE), 0), 0) AS discount_rate,
-  count(*) FILTER (WHERE merchant_id = 'error') AS quarantines, CAST(coalesce(sum(amount) FILTER (WHERE ts >= {NOW} - INTERVAL 7 DAY), 0) AS DOUBLE) AS spend_7d, count(*) FILTER (WHERE ts >= {NOW} - INTERVAL 1 HOUR) AS n_1h, count(*) FILTER (WHERE ts >= {NOW} - INTERVAL 1 DAY) AS n_24h FROM ev GROUP BY 1)"""
+  count(*) FILTER (WHERE merchant_id = 'error') AS quarantines, CAST(coalesce(sum(amount) FILTER (WHERE ts >= {NOW} - INTERVAL 7 DAY), 0) AS DOUBLE) AS spend_7d, count(*) FILTER (WHERE ts >= {NOW} - INTERVAL 1 HOUR) AS n_1h, count(*) FILTER (WHERE ts >= {NOW} - INTERVAL 1 DAY) AS n_24h, CAST(coalesce(sum(amount) FILTER (WHERE ts >= {NOW} - INTERVAL 1 DAY), 0) AS DOUBLE) AS spend_24h FROM ev GROUP BY 1)"""
 
 
 def features(v):
@@ -52,6 +53,7 @@ def features(v):
         F.coalesce(F.try_divide(F.sum("discount").cast("double"), F.sum("amount").cast("double")), F.lit(0.0)).alias("discount_rate"),
         F.count_if(F.col("merchant_id") == "error").alias("quarantines"), F.coalesce(F.sum(F.when(since("7 DAYS"), F.col("amount"))), F.lit(0)).cast("double").alias("spend_7d"),
         F.count_if(since("1 HOUR")).alias("n_1h"), F.count_if(since("1 DAY")).alias("n_24h"),
+        F.coalesce(F.sum(F.when(since("1 DAY"), F.col("amount"))), F.lit(0)).cast("double").alias("spend_24h"),
     )
 
 
@@ -101,36 +103,40 @@ def fea_05(v):
     return features(v).select("customer_id", F.least(F.greatest(F.col("n") / F.lit(60.0), F.lit(0.0)), F.lit(1.0)).alias("confidence"), F.when(F.col("n_24h") == 0, "n_24h").otherwise("").alias("missing"))
 
 
-CHURN = f"""churn AS (SELECT customer_id, package_value, least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN minutes_silent > 1440 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN spend_7d < 0.1::DOUBLE * CAST(package_value AS DOUBLE) THEN 0.20::DOUBLE ELSE 0 END
-  + CASE WHEN quarantines >= 3 THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN discount_rate > 0.05::DOUBLE THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN lifetime_quarantine_count >= 2 THEN 0.10::DOUBLE ELSE 0 END)) AS score,
-  len(promotions) AS n_promos FROM feat JOIN cust USING (customer_id))"""
+CHURN = f"""opn AS (SELECT customer_id, count(*) AS open_cases FROM cases WHERE status IN ('open', 'under_review') GROUP BY 1),
+  subs AS (SELECT customer_id, count(*) FILTER (WHERE txn_type = 'subscription_charge' AND status = 'pending') AS idle_subs, count(*) FILTER (WHERE txn_type = 'subscription_charge' AND status <> 'pending') AS live_subs, count(*) FILTER (WHERE txn_type = 'ppv_charge' AND ts >= TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL 365 DAY) AS recent_ppv FROM txn GROUP BY 1),
+  known AS (SELECT c.customer_id, package_value, len(promotions) AS n_promos, minutes_silent, quarantines, discount_rate, coalesce(spend_24h, 0) AS spend_24h, coalesce(n, 0) AS recent, coalesce(open_cases, 0) AS open_cases, coalesce(idle_subs, 0) AS idle_subs, coalesce(live_subs, 0) AS live_subs, coalesce(recent_ppv, 0) AS recent_ppv, spend_7d / nullif(CAST(package_value AS DOUBLE), 0) AS ratio
+    FROM cust c LEFT JOIN feat USING (customer_id) LEFT JOIN opn USING (customer_id) LEFT JOIN subs USING (customer_id)),
+  drv AS (SELECT *, list_filter([CASE WHEN minutes_silent > 20160 THEN {{'n': 'no_txn_in_14d', 'w': 40}} WHEN minutes_silent > 10080 THEN {{'n': 'no_txn_in_7d', 'w': 20}} END, CASE WHEN ratio > 0 AND ratio < 0.30::DOUBLE THEN {{'n': 'low_package_utilisation', 'w': 15}} END, CASE WHEN quarantines >= 3 THEN {{'n': 'recent_quarantines', 'w': 15}} END,
+    CASE WHEN open_cases >= 2 THEN {{'n': 'multiple_open_cases', 'w': 10}} END, CASE WHEN idle_subs >= 1 THEN {{'n': 'inactive_subscription', 'w': 10}} END, CASE WHEN discount_rate > 0.25::DOUBLE THEN {{'n': 'high_discount_dependency', 'w': 5}} END], lambda x: x IS NOT NULL) AS hits FROM known),
+  told AS (SELECT *, CASE WHEN len(hits) = 0 AND recent = 0 THEN [{{'n': 'no_recent_activity', 'w': 30}}] ELSE hits END AS d FROM drv),
+  churn AS (SELECT *, least(100, coalesce(list_sum(list_transform(d, lambda x: x.w)), 0)) / 100.0::DOUBLE AS score, array_to_string(list_transform(d, lambda x: x.n), ',') AS drivers FROM told)"""
+BAND = "CASE WHEN score >= 0.65 THEN 'high' WHEN score >= 0.35 THEN 'medium' ELSE 'low' END"
 
 
 def churn(v):
-    """Additive drivers of churn, each with its weight, kept between 0 and 1."""
-    t = features(v).join(v.customer, "customer_id")
-    drivers = [
-        (F.col("minutes_silent") > 1440, 0.25), (F.col("spend_7d") < 0.1 * F.col("package_value").cast("double"), 0.20), (F.col("quarantines") >= 3, 0.20),
-        (F.col("discount_rate") > 0.05, 0.10), (F.col("lifetime_quarantine_count") >= 2, 0.10),
-    ]
-    total = None
-    for hit, weight in drivers:
-        x = F.when(hit, weight).otherwise(0.0)
-        total = x if total is None else total + x
-    return t.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
-
-
-@query("cus_03_churn_score", f"WITH {FEAT}, {CHURN} SELECT customer_id, round(score, 4) AS score, CASE WHEN score >= 0.645 THEN 'high' WHEN score >= 0.345 THEN 'medium' ELSE 'low' END AS band FROM churn")
+    """Every customer with the drivers of churn and their score; who has none and no activity either gets one for that."""
+    opened = v.case.where(F.col("status").isin("open", "under_review")).groupBy("customer_id").agg(F.count("*").alias("open_cases"))
+    kind = F.col("txn_type")
+    sub = kind == "subscription_charge"
+    year = F.col("ts") >= clock(AS_OF_ORDERS) - F.expr("INTERVAL 365 DAYS")
+    bills = v.bill.groupBy("customer_id").agg(F.count_if(sub & (F.col("status") == "pending")).alias("idle_subs"), F.count_if(sub & (F.col("status") != "pending")).alias("live_subs"), F.count_if((kind == "ppv_charge") & year).alias("recent_ppv"))
+    t = v.customer.join(features(v), "customer_id", "left").join(opened, "customer_id", "left").join(bills, "customer_id", "left")
+    t = t.na.fill(0, ["open_cases", "idle_subs", "live_subs", "recent_ppv", "spend_24h"]).withColumn("recent", F.coalesce("n", F.lit(0))).withColumn("ratio", F.try_divide("spend_7d", F.col("package_value").cast("double")))
+    return people.churn_score(t)
+
+
+@query("cus_03_churn_score", f"WITH {FEAT}, {CHURN} SELECT customer_id, score, {BAND} AS band, drivers FROM churn")
 def cus_03(v):
-    return churn(v).select("customer_id", F.round("score", 4).alias("score"), S.band(F.col("score"), [(0.645, "high"), (0.345, "medium")], "low").alias("band"))
+    return churn(v).select("customer_id", "score", people.churn_band(F.col("score")).alias("band"), F.array_join("drivers", ",").alias("drivers"))
 
 
-@query("cus_04_next_best_offers", f"WITH {FEAT}, {CHURN} SELECT customer_id, array_to_string(list_filter([CASE WHEN score >= 0.645 THEN '1:retention' END, CASE WHEN n_promos = 0 THEN '2:welcome_promo' END, CASE WHEN package_value > 5000 THEN '3:upgrade' END, CASE WHEN score < 0.2 THEN '4:loyalty' END], lambda x: x IS NOT NULL), ',') AS offers FROM churn")
+@query("cus_04_next_best_offers", f"""WITH {FEAT}, {CHURN}, o AS (SELECT customer_id, list_filter([CASE WHEN score >= 0.65 THEN {{'p': 1, 'k': 1, 'o': 'retention_discount', 'u': CAST(round(package_value * 2.55, 2) AS DECIMAL(18,2))}} END, CASE WHEN ratio > 0.85::DOUBLE AND package_value > 0 THEN {{'p': CASE WHEN score >= 0.65 THEN 3 ELSE 2 END, 'k': 2, 'o': 'upgrade', 'u': CAST(round(package_value * 0.30, 2) AS DECIMAL(18,2))}} END,
+    CASE WHEN recent_ppv >= 3 THEN {{'p': 3, 'k': 3, 'o': 'addon', 'u': CAST(15 AS DECIMAL(18,2))}} END, CASE WHEN live_subs = 0 THEN {{'p': 4, 'k': 4, 'o': 'winback', 'u': CAST(0 AS DECIMAL(18,2))}} END, CASE WHEN score < 0.35 AND spend_24h > 100 AND n_promos = 0 THEN {{'p': 5, 'k': 5, 'o': 'loyalty_perk', 'u': CAST(25 AS DECIMAL(18,2))}} END], lambda x: x IS NOT NULL) AS x FROM churn)
+  SELECT customer_id, array_to_string(list_transform(list_sort(x), lambda e: e.p || ':' || e.o || ':' || e.u), ',') AS offers FROM o""")
 def cus_04(v):
-    offer = lambda p, name: F.struct(F.lit(p).alias("priority"), F.lit(name).alias("name"))
-    offers = F.array(F.when(F.col("score") >= 0.645, offer(1, "retention")), F.when(F.size("promotions") == 0, offer(2, "welcome_promo")), F.when(F.col("package_value") > 5000, offer(3, "upgrade")), F.when(F.col("score") < 0.2, offer(4, "loyalty")))
-    best = F.array_sort(F.filter(offers, lambda o: o.isNotNull()))
-    return churn(v).select("customer_id", F.array_join(F.transform(best, lambda o: F.concat(o["priority"].cast("string"), F.lit(":"), o["name"])), ",").alias("offers"))
+    shown = F.transform("offers", lambda o: F.concat_ws(":", o["priority"].cast("string"), o["offer"], o["uplift"].cast("string")))
+    return people.with_offers(churn(v)).select("customer_id", F.array_join(shown, ",").alias("offers"))
 
 
 @query("cus_05_engagement", "SELECT customer_id, count(*) FILTER (WHERE merchant_id = 'click') / nullif(count(*) FILTER (WHERE merchant_id IN ('click','view')), 0)::DOUBLE AS click_rate, count(*) FILTER (WHERE merchant_id = 'view') / count(*)::DOUBLE AS open_rate FROM ev GROUP BY 1")
