@@ -10,8 +10,10 @@ in bytes of their left parts, bounds the move: ``sufficient_lookahead`` finds it
 ends so many bytes before x is therefore final. ``Transducer`` holds a window of one step and the lookahead, emits what is
 final, and goes on from the last border it emitted, whatever the length of the pre-token.
 
-**Around it.** A text is cut at special tokens and into blocks before white space, where no pre-token can cross; pre-tokens
-of a block seen before come from a bounded memory of ids. Ids go on at once: to a digest, or to the caller's array.
+**Around it.** A text is cut at special tokens and into blocks before white space, where no pre-token can cross. Pre-tokens
+that end inside a window are final as a whole; those of a block are merged together, in flat arrays, and remembered up to a
+bound. As merges run in the order of their ranks, a round may take all places of a word's least pair at once. Ids go on
+block by block: to a digest, or to the caller's array.
 **Decoding** maps ids to bytes and feeds them to a byte-to-text state machine that holds at most three bytes of an
 unfinished character and puts U+FFFD for what is no UTF-8.
 
@@ -36,6 +38,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +47,9 @@ from remitspark.llm.common import bounded_batches
 #: Fixed value: how the byte-level vocabulary's texts are cut before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a block, of a pre-token that is remembered, and of a step of the window; pre-tokens remembered by a worker.
-BLOCK, SHORT, STEP, MEMORY = 1 << 16, 64, 2048, 200_000
+BLOCK, SHORT, STEP, MEMORY = 1 << 19, 64, 2048, 400_000
+#: The rank of a pair that no merge joins.
+NONE = np.int32(2**31 - 1)
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,18 +59,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def unassigned() -> str:
-    """Ranges of the characters that this Python's Unicode does not know, as a pattern's class holds them."""
-    out, first = [], None
-    for c in range(0x110001):
-        if c < 0x110000 and unicodedata.category(chr(c)) == "Cn":
-            first = c if first is None else first
-        elif first is not None:
-            out.append(f"\\U{first:08x}-\\U{c - 1:08x}")
-            first = None
-    return "".join(out)
-
-
 def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
     """Bytes behind a token after which nothing can change it (see above); merges in the order of their ranks."""
     made: dict[bytes, int] = {}
@@ -118,6 +111,11 @@ class ByteModel:
         self.base = max(ids.values()) + 1
         self.rank = {ids[a] * self.base + ids[b]: r for r, (a, b) in enumerate(pairs)}
         self.merged = [ids[a + b] for a, b in pairs]
+        self.keys = np.sort(np.fromiter(self.rank, np.int64, len(self.rank)))
+        self.ranks = np.array([self.rank[k] for k in self.keys.tolist()], np.int32)
+        self.made = np.array(self.merged, np.int32)
+        self.letters = np.array(self.byte, np.int32)
+        self.pairs = self.pair(np.repeat(self.letters, 256), np.tile(self.letters, 256))
         self.longest = max(map(len, self.surface.values()))
         self.special = {t["content"]: t["id"] for t in special}
         for t, i in self.special.items():
@@ -125,19 +123,32 @@ class ByteModel:
         names = sorted(self.special, key=len, reverse=True)
         self.at_special = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
         self.pieces, self.edge = regex.compile(PATTERN), regex.compile(r"(?<=\S)(?=\s)")
-        self.stands: dict[str, str] = {}
-        self.newer = regex.compile(f"[{unassigned()}]")
-        self.seen: dict[str, tuple[str, bytes, tuple[int, ...]]] = {}
+        self.stands: dict[int, str] = {}
+        self.plain: set[str] = set()
+        self.name = {i: str(i) for i in self.surface}
+        self.forget()
 
-    def classed(self, text: str) -> str:
-        """The text with a letter, a digit or a mark in the place of each character that Unicode may have got lately: which
-        of them, the tokenizer library says, as its tables and those of ``regex`` may be of different age."""
-        for c in set(self.newer.findall(text)).difference(self.stands):
-            from tokenizers.pre_tokenizers import ByteLevel
+    def forget(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.flat, self.start = np.zeros(1 << 16, np.int32), np.zeros(1, np.int64)
 
+    def classed(self, text: str) -> str:
+        """The text with a letter, a digit or a mark in the place of each character that Unicode has got lately (such as this
+        Python's tables do not have): which of them, the tokenizer library says, as the tables of ``regex`` may be of another
+        age than its own. Other texts come back as they are."""
+        if text.isascii():
+            return text
+        new = set(text).difference(self.plain)
+        odd = [c for c in new if unicodedata.category(c) == "Cn"]
+        self.plain |= new.difference(odd)
+        if not odd:
+            return text
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        for c in odd:
             ends = [b for _, (_, b) in ByteLevel(add_prefix_space=False).pre_tokenize_str(f"a{c}1")]
-            self.stands[c] = "a" if ends[0] == 2 else "1" if 1 in ends and 2 not in ends else "!"
-        return self.newer.sub(lambda hit: self.stands[hit[0]], text)
+            self.stands[ord(c)] = "a" if ends[0] == 2 else "1" if 1 in ends and 2 not in ends else "!"
+        return text.translate(self.stands)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word that is held whole: of the pairs with the least rank the leftmost, until there is none."""
@@ -183,54 +194,141 @@ class ByteModel:
             a = hit.end()
         yield (text[a:] if a else text), False
 
-    def encode(self, text: str) -> Iterator[tuple[int, str, bytes, Iterable[tuple[int, ...]]]]:
-        """Stable ids as they come, in runs: how many, written out with commas, their bytes, and the ids."""
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, NONE where no merge joins them."""
+        key = a.astype(np.int64) * self.base + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are held whole, one after the other, and how many each has."""
+        raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        sym, rank = self.letters[raw], np.full(len(raw), NONE, np.int32)  # rank: of the pair that begins here
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner] = self.pairs[raw[inner] * 256 + raw[inner + 1]]
+        done = []
+        while len(sym):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            size = np.diff(np.concatenate([first, [len(sym)]]))
+            best = np.minimum.reduceat(rank, first)
+            live = best < NONE
+            if not live.all():
+                keep = np.repeat(live, size)
+                done.append((sym[~keep], word[~keep]))
+                sym, word, rank, size, best = sym[keep], word[keep], rank[keep], size[live], best[live]
+            hit = rank == np.repeat(best, size)
+            at = np.flatnonzero(hit)
+            if not len(at):
+                break
+            begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))  # equal parts may overlap: every other one
+            at = at[(at - np.repeat(at[begins], np.diff(np.concatenate([begins, [len(at)]])))) % 2 == 0]
+            sym[at] = self.made[rank[at]]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            sym, word, rank = sym[keep], word[keep], rank[keep]
+            at -= np.arange(len(at))
+            rank[at] = NONE
+            for left in (at[(at + 1 < len(sym)) & (word[np.minimum(at + 1, len(sym) - 1)] == word[at])], at[(at > 0) & (word[at - 1] == word[at])] - 1):
+                rank[left] = self.pair(sym[left], sym[left + 1])
+        out, owner = (np.concatenate(x) for x in zip(*done)) if done else (sym, word)
+        order = np.argsort(owner, kind="stable")
+        return out[order], np.bincount(owner, minlength=len(words))
+
+    def learn(self, words: list[str]) -> None:
+        """Merge pre-tokens not seen before, all together, and remember their ids."""
+        out, counts = self.merge_all([w.encode() for w in words])
+        n, at = len(self.seen), int(self.start[-1])
+        if at + len(out) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(at + 2 * len(out), np.int32)])
+        self.flat[at : at + len(out)] = out
+        self.start = np.concatenate([self.start, at + np.cumsum(counts)])
+        self.seen.update(zip(words, range(n, n + len(words))))
+
+    def parts(self, text: str) -> Iterator[list[str] | list[int]]:
+        """A text in order: lists of short pre-tokens, of about a block at most, and lists of ids that are stable already."""
         for stretch, special in self.segments(text):
             if special:
-                i = self.special[stretch]
-                yield 1, str(i), self.surface[i], [(i,)]
-                continue
-            if self.newer.search(stretch):
-                shape = self.classed(stretch)
-                yield self.known([stretch[h.start() : h.end()] for h in self.pieces.finditer(shape)])
+                yield [self.special[stretch]]
                 continue
+            shape = self.classed(stretch)
             a = 0
             while a < len(stretch):
-                edge = self.edge.search(stretch, a + BLOCK) if len(stretch) - a > BLOCK else None
+                edge = self.edge.search(shape, a + BLOCK) if len(stretch) - a > BLOCK else None
                 b = edge.start() if edge else len(stretch)
-                if b - a <= 4 * BLOCK:
-                    yield self.known(self.pieces.findall(stretch, a, b))
-                else:  # no white space for long
-                    for hit in self.pieces.finditer(stretch, a, b):
-                        yield from self.whole(stretch, hit.start(), hit.end())
+                if shape is stretch and b - a <= 4 * BLOCK:
+                    yield from self.short(self.pieces.findall(stretch, a, b))
+                else:  # no white space for long, or characters to be classed
+                    few: list[str] = []
+                    for hit in self.pieces.finditer(shape, a, b):
+                        if hit.end() - hit.start() > SHORT:
+                            yield few
+                            few = []
+                            yield from self.windows(stretch, hit.start(), hit.end())
+                        else:
+                            few.append(stretch[hit.start() : hit.end()])
+                            if len(few) >= BLOCK // 4:
+                                yield few
+                                few = []
+                    yield few
                 a = b
 
-    def whole(self, text: str, a: int, b: int) -> Iterator[tuple[int, str, bytes, Iterable[tuple[int, ...]]]]:
-        if b - a <= SHORT:
-            yield self.known([text[a:b]])
+    def short(self, words: list[str]) -> Iterator[list[str] | list[int]]:
+        """The words, long ones by windows."""
+        if max(map(len, words), default=0) <= SHORT:
+            yield words
             return
+        a = 0
+        for k, w in enumerate(words):
+            if len(w) > SHORT:
+                yield words[a:k]
+                yield from self.windows(w, 0, len(w))
+                a = k + 1
+        yield words[a:]
+
+    def windows(self, text: str, a: int, b: int) -> Iterator[list[int]]:
+        """Ids of the pre-token at a to b as they become stable."""
         window = Transducer(self)
         for k in range(a, b, STEP):
-            if ids := window.feed(text[k : min(k + STEP, b)].encode()):
-                yield self.run(ids)
-        yield self.run(window.finish())
-
-    def run(self, ids: list[int]) -> tuple[int, str, bytes, Iterable[tuple[int, ...]]]:
-        return len(ids), ",".join(map(str, ids)), b"".join(map(self.surface.__getitem__, ids)), [tuple(ids)]
-
-    def known(self, words: list[str]) -> tuple[int, str, bytes, Iterable[tuple[int, ...]]]:
-        """Ids of pre-tokens, those seen before from memory."""
-        seen = self.seen
-        if len(seen) > MEMORY:
-            seen.clear()
-        long: dict[str, tuple[str, bytes, tuple[int, ...]]] = {}
-        for w in set(words).difference(seen):
-            window = Transducer(self)
-            ids = [i for k in range(0, len(w), STEP) for i in window.feed(w[k : k + STEP].encode())] + window.finish()
-            (seen if len(w) <= SHORT else long)[w] = (",".join(map(str, ids)), b"".join(map(self.surface.__getitem__, ids)), tuple(ids))
-        got = [seen[w] for w in words] if not long else [long.get(w) or seen[w] for w in words]
-        written = ",".join([g[0] for g in got])
-        return written.count(",") + 1, written, b"".join([g[1] for g in got]), [g[2] for g in got]
+            yield window.feed(text[k : min(k + STEP, b)].encode())
+        yield window.finish()
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[int, list[int]]]:
+        """(number of the text, further ids of it), texts in order. Words of about a block of text are looked up at once."""
+        held: list[tuple[int, list[str] | list[int]]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for part in self.parts(text):
+                if part:
+                    held.append((i, part))
+                    size += len(part)
+                if size >= BLOCK // 4:
+                    yield from self.looked_up(held)
+                    held, size = [], 0
+        yield from self.looked_up(held)
+
+    def looked_up(self, held: list[tuple[int, list[str] | list[int]]]) -> Iterator[tuple[int, list[int]]]:
+        words = [p for _, p in held if isinstance(p[0], str)]
+        if len(self.seen) > MEMORY:
+            self.forget()
+        new = set().union(*words).difference(self.seen)
+        if new:
+            self.learn(sorted(new))
+        for i, part in held:
+            if isinstance(part[0], int):
+                yield i, part
+                continue
+            k = np.fromiter(map(self.seen.__getitem__, part), np.int64, len(part))
+            a = self.start[k]
+            n = self.start[k + 1] - a
+            yield i, self.flat[np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))].tolist()
+
+    def text(self, ids: list[int]) -> str:
+        back = Decoder(self)
+        return "".join([back.feed(ids[k : k + STEP]) for k in range(0, len(ids), STEP)]) + back.finish()
+
+    def ids(self, text: str) -> list[int]:
+        return [i for _, run in self.encode([text]) for i in run]
 
 
 class Transducer:
@@ -266,10 +364,12 @@ class Decoder:
         self.model, self.state = model, codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        return self.feed_bytes(b"".join(self.model.surface.get(i, b"") for i in ids))
-
-    def feed_bytes(self, raw: bytes) -> str:
-        return self.state.decode(raw)
+        """What of the text is certain; ids that the file does not know add nothing."""
+        surface = self.model.surface
+        try:
+            return self.state.decode(b"".join(map(surface.__getitem__, ids)))
+        except KeyError:
+            return self.state.decode(b"".join([surface.get(i, b"") for i in ids]))
 
     def finish(self) -> str:
         return self.state.decode(b"", True)
@@ -288,19 +388,13 @@ def model(path: str) -> ByteModel:
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int) and decoded (text) of every row; the general interface."""
 
-    def rows(m: ByteModel, text: str) -> tuple[list[int], str]:
-        ids, out, back = [], [], Decoder(m)
-        for _, _, raw, run in m.encode(text):
-            ids.extend(i for part in run for i in part)
-            out.append(back.feed_bytes(raw))
-        return ids, "".join(out) + back.finish()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
         for b in batches:
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                ids, decoded = rows(m, text or "")
-                yield pd.DataFrame({"doc_id": pd.array([doc_id], "Int64"), "ids": [ids], "decoded": [decoded]})
+            got: list[list[int]] = [[] for _ in range(len(b))]
+            for i, ids in m.encode([t or "" for t in b["text"]]):
+                got[i].extend(ids)
+            yield pd.DataFrame({"doc_id": pd.array(b["doc_id"], "Int64"), "ids": got, "decoded": [m.text(x) for x in got]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>, decoded string")
 
@@ -311,11 +405,7 @@ def decode_documents(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
         for b in batches:
-            out = []
-            for ids in b["ids"]:
-                back, ids = Decoder(m), [] if ids is None else ids
-                out.append("".join([back.feed(ids[k : k + STEP]) for k in range(0, len(ids), STEP)]) + back.finish())
-            yield pd.DataFrame({"doc_id": pd.array(b["doc_id"], "Int64"), "text": out})
+            yield pd.DataFrame({"doc_id": pd.array(b["doc_id"], "Int64"), "text": [m.text([] if x is None else list(x)) for x in b["ids"]]})
 
     return rows.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
@@ -323,20 +413,19 @@ def decode_documents(rows: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: ids and decoded text go to the digests as they come."""
 
-    def of(m: ByteModel, text: str) -> tuple[int, str, str]:
-        n, ids, decoded, back = 0, hashlib.sha256(), hashlib.sha256(), Decoder(m)
-        for k, written, raw, _ in m.encode(text):
-            ids.update(((("," if n else "") + written) if k else "").encode())
-            decoded.update(back.feed_bytes(raw).encode())
-            n += k
-        decoded.update(back.finish().encode())
-        return n, ids.hexdigest(), decoded.hexdigest()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
         for b in batches:
-            got = [of(m, t or "") for t in b["text"]]
-            yield pd.DataFrame({"doc_id": pd.array(b["doc_id"], "Int64"), **{c: [g[k] for g in got] for k, c in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}})
+            got = [(hashlib.sha256(), hashlib.sha256(), Decoder(m)) for _ in range(len(b))]
+            n = [0] * len(b)
+            for i, ids in m.encode([t or "" for t in b["text"]]):
+                written, decoded, back = got[i]
+                written.update(("," * (n[i] > 0) + ",".join(map(m.name.__getitem__, ids))).encode())
+                decoded.update(back.feed(ids).encode())
+                n[i] += len(ids)
+            for _, decoded, back in got:
+                decoded.update(back.finish().encode())
+            yield pd.DataFrame({"doc_id": pd.array(b["doc_id"], "Int64"), "n_tokens": n, "ids_sha256": [g[0].hexdigest() for g in got], "decoded_sha256": [g[1].hexdigest() for g in got]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

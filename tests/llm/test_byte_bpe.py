@@ -18,7 +18,7 @@ def both():
 
 
 def encoded(m, t):
-    return [i for run in m.encode(t) for part in run[3] for i in part]
+    return m.ids(t)
 
 
 def same(both, texts):
@@ -118,6 +118,25 @@ def test_window_is_bounded(both):
     assert most <= 2 * t.wait + 500
 
 
+def test_words_together(both):
+    """Words merged in flat arrays, among them such with overlapping places of a pair, are as each alone."""
+    m, rng = both[0], random.Random(9)
+    words = [bytes(rng.choice(b"aeinot =-" if k % 2 else b"ab") for _ in range(rng.randint(1, 60))) for k in range(500)] + [b"=" * 37, b" " * 64, b"x"]
+    ids, counts = m.merge_all(words)
+    assert ids.tolist() == [i for w in words for i in m.merge(w)] and counts.tolist() == [len(m.merge(w)) for w in words]
+    assert [len(x) for x in m.merge_all([])] == [0, 0]
+
+
+def test_memory_is_bounded(both, monkeypatch):
+    from remitspark.llm import byte_bpe as B
+
+    monkeypatch.setattr(B, "MEMORY", 50)
+    monkeypatch.setattr(B, "BLOCK", 200)
+    rng = random.Random(8)
+    same(both, [" ".join("".join(rng.choice("abcdef") for _ in range(rng.choice([1, 5, 90]))) for _ in range(600)) for _ in range(3)])
+    assert len(both[0].seen) < 300
+
+
 def test_documents(spark, both):
     rows = [(1, "Hello  world\n", 5), (1, "Hello  world\n", 5), (2, None, 6), (None, "é" * 40000, 7), (3, "", 8), (4, "x" * 200_000, 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
