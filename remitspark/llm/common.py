@@ -24,15 +24,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Rows of an Arrow batch for operators that read whole texts: bounds what a Python worker holds at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch for operators that read whole texts: bounds what a Python worker holds at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS, if it is larger."""
+    """Lower the session's Arrow batch size to BATCH_ROWS and BATCH_BYTES, where it is larger."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 class Scratch:

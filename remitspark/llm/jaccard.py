@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,6 +150,13 @@ def forest(sd: np.ndarray, sets: list, least: float) -> pd.DataFrame:
     return pd.DataFrame({"sd": sd, "component": pd.Series(sd).groupby(c).transform("min").to_numpy()})
 
 
+def held_sets(rows: pa.StructArray) -> list[tuple[int, np.ndarray]]:
+    """(sd, s) of Arrow structs; the sets stay views of the batch, no Python number is made of a hash."""
+    sd, s = rows.flatten()
+    ends = np.cumsum(s.value_lengths().to_numpy())
+    return list(zip(sd.to_pylist(), np.split(s.flatten().to_numpy(), ends[:-1])))
+
+
 def confirmed(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """(sd, component) of sets(g, sd, s) under links of similarity ``least`` or more inside groups."""
     size = sets.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx(F.size("s"), 0.5).alias("mid"))
@@ -168,13 +176,13 @@ def confirmed(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     chunks = rest.join(count, "g").groupBy("g", F.pmod(F.xxhash64("sd"), F.ceil(F.col("k") / BLOCK)).alias("chunk")).agg(pack.alias("a"))
     blocks = t.join(count.select("g"), "g", "left_semi").groupBy("g", F.pmod(F.xxhash64("sd", F.lit(1)), F.ceil(F.col("n") / BLOCK)).alias("block")).agg(pack.alias("b"))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for a, b in zip(x["a"], x["b"]):
-                held = {r["sd"]: r["s"] for r in [*a, *b]}
-                yield forest(np.array(list(held), np.int64), list(held.values()), least)
+            for k in range(x.num_rows):
+                held = dict(held_sets(x.column("a")[k].values) + held_sets(x.column("b")[k].values))
+                yield pa.RecordBatch.from_pandas(forest(np.array(list(held), np.int64), list(held.values()), least), preserve_index=False)
 
-    met = scratch.save(chunks).join(scratch.save(blocks), "g").select("a", "b").mapInPandas(compare, "sd long, component long")
+    met = scratch.save(chunks).join(scratch.save(blocks), "g").select("a", "b").mapInArrow(compare, "sd long, component long")
     edges = t.where("near").select(F.col("sd").alias("u"), F.col("pivot").alias("v")).unionByName(met.where("sd <> component").select(F.col("sd").alias("u"), F.col("component").alias("v")))
     found = components(scratch.save(edges), scratch).select(F.col("node").alias("sd"), F.col("root").alias("component"))
     return out.unionByName(found)
