@@ -10,6 +10,8 @@ from remitspark.operators import cases as C
 from remitspark.operators.joins import cycle_join
 from remitspark.operators.search import top_k
 from remitspark.registry import query
+from remitspark.sources.scratch import shared_folder
+from remitspark.streaming.tables import SnapshotTable, update_latest
 from remitspark.views import AS_OF_EVENTS, AS_OF_ORDERS, clock, seconds, stamp
 
 
@@ -155,22 +157,57 @@ def cas_15(v):
     return g.select("case_id", "n", "tp", "fp", *C.vote(F.col("tp"), F.col("fp"), F.col("n"), 0.6))
 
 
-@query("cas_16_trace_summary", "WITH f AS (SELECT conv_id, role, min(turn) AS t, count(*) AS n FROM conversations GROUP BY 1, 2) SELECT conv_id, list_aggregate(list(role ORDER BY t, role), 'string_agg', '>') AS path, count(*) AS nodes, CAST(sum(n) AS BIGINT) AS steps FROM f GROUP BY 1")
+@query("cas_16_trace_summary", """WITH e AS (SELECT conv_id, turn, role AS node, text IS NULL OR text ILIKE '%error%' OR turn % 7 = 6 AS failed, CASE WHEN conv_id % 4 <> 0 AND turn % 5 <> 4 THEN length(text) END AS ms FROM conversations), f AS (SELECT conv_id, node, min(turn) AS t FROM e WHERE node <> '' GROUP BY 1, 2),
+  p AS (SELECT conv_id, list_aggregate(list(node ORDER BY t, node), 'string_agg', '>') AS path, count(*) AS nodes FROM f GROUP BY 1) SELECT conv_id, path, coalesce(nodes, 0) AS nodes, count(*) AS steps, count(*) FILTER (WHERE failed) AS errors, CAST(sum(ms) AS BIGINT) AS total_ms FROM e LEFT JOIN p USING (conv_id) GROUP BY 1, 2, 3""")
 def cas_16(v):
-    f = v.table("conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("t"), F.count("*").alias("n"))
-    g = f.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("t", "role"))).alias("x"), F.count("*").alias("nodes"), F.sum("n").alias("steps"))
-    return g.select("conv_id", F.array_join(F.transform("x", lambda e: e["role"]), ">").alias("path"), "nodes", "steps")
+    """Of each trace the nodes in the order of their first step, the steps that failed, and the time of those that tell one; null
+    where none does. Steps are turns, their time the length of what was said."""
+    failed = F.col("text").isNull() | F.col("text").ilike("%error%") | (F.col("turn") % 7 == 6)
+    ms = F.when((F.col("conv_id") % 4 != 0) & (F.col("turn") % 5 != 4), F.char_length("text"))
+    e = v.table("conversations").select("conv_id", "turn", F.col("role").alias("node"), failed.alias("failed"), ms.alias("ms"))
+    by_node = e.groupBy("conv_id", "node").agg(F.min("turn").alias("t"), F.count("*").alias("n"), F.count_if("failed").alias("errors"), F.sum("ms").alias("ms"))
+    named = F.filter(F.array_sort(F.collect_list(F.struct("t", "node"))), lambda x: x["node"] != "")  # the different nodes of a trace
+    g = by_node.groupBy("conv_id").agg(named.alias("x"), F.sum("n").alias("steps"), F.sum("errors").alias("errors"), F.sum("ms").alias("total_ms"))
+    path = F.when(F.size("x") > 0, F.array_join(F.transform("x", lambda n: n["node"]), ">"))
+    return g.select("conv_id", path.alias("path"), F.size("x").cast("long").alias("nodes"), "steps", "errors", "total_ms")
 
 
-@query("cas_17_before_after", "SELECT customer_id, count(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-20') AS stale_n, count(*) AS live_n, count(*) FILTER (WHERE amount > 150) > 0 AS would_quarantine FROM ev GROUP BY 1")
+CUTOFF = "1998-01-01 00:00:00"
+
+
+@query("cas_17_before_after", f"""WITH b AS (SELECT customer_id, count(*) FILTER (WHERE ts < TIMESTAMP '{CUTOFF}') AS stale_n, count(*) AS live_n, arg_max(transaction_id, (ts, transaction_id)) FILTER (WHERE ts < TIMESTAMP '{CUTOFF}') AS stale_latest, arg_max(transaction_id, (ts, transaction_id)) AS live_latest FROM txn GROUP BY 1),
+  c AS (SELECT customer_id, count(*) FILTER (WHERE created_at >= TIMESTAMP '{CUTOFF}' AND len(rules) > 0) AS would_quarantine, avg((floor(epoch(resolved_at)) - floor(epoch(created_at))) / 60.0::DOUBLE) FILTER (WHERE created_at < TIMESTAMP '{CUTOFF}') AS before, avg((floor(epoch(resolved_at)) - floor(epoch(created_at))) / 60.0::DOUBLE) FILTER (WHERE created_at >= TIMESTAMP '{CUTOFF}') AS after FROM cases GROUP BY 1)
+  SELECT customer_id, stale_n, live_n, stale_latest, live_latest, coalesce(would_quarantine, 0) AS would_quarantine, round(before, 4) AS minutes_before, round(after, 4) AS minutes_after FROM b LEFT JOIN c USING (customer_id)""")
 def cas_17(v):
-    return v.event.groupBy("customer_id").agg(F.count_if(F.col("ts") <= clock("2024-01-20 00:00:00")).alias("stale_n"), F.count("*").alias("live_n"), (F.count_if(F.col("amount") > 150) > 0).alias("would_quarantine"))
+    """What a nightly copy would show of a customer against what is there now: bills, the latest of them, what would be
+    quarantined since, and minutes to resolve cases of before and since."""
+    old, at = (lambda c: F.col(c) < clock(CUTOFF)), F.struct("ts", "transaction_id")
+    b = v.bill.groupBy("customer_id").agg(
+        F.count_if(old("ts")).alias("stale_n"), F.count("*").alias("live_n"), F.max(F.when(old("ts"), at))["transaction_id"].alias("stale_latest"), F.max(at)["transaction_id"].alias("live_latest"),
+    )
+    minutes, before = seconds(F.col("resolved_at"), F.col("created_at")) / 60.0, old("created_at")
+    c = v.case.groupBy("customer_id").agg(F.count_if(~before & (F.size("rules") > 0)).alias("would_quarantine"), F.avg(F.when(before, minutes)).alias("a"), F.avg(F.when(~before, minutes)).alias("z"))
+    t = b.join(c, "customer_id", "left")
+    return t.select("customer_id", "stale_n", "live_n", "stale_latest", "live_latest", F.coalesce("would_quarantine", F.lit(0)).alias("would_quarantine"), F.round("a", 4).alias("minutes_before"), F.round("z", 4).alias("minutes_after"))
 
 
-@query("cas_18_analyst_override", "WITH o AS (SELECT *, CASE WHEN amount > 200000 THEN 'true_positive' ELSE 'false_positive' END AS assist FROM cases WHERE disposition IS NOT NULL) SELECT severity, count(*) AS n, count(*) FILTER (WHERE assist <> disposition) / count(*)::DOUBLE AS disagreement FROM o GROUP BY 1")
+@query("cas_18_analyst_override", f"""WITH o AS (SELECT *, CASE WHEN amount > 200000 THEN 'true_positive' ELSE 'false_positive' END AS assist FROM cases WHERE disposition IS NOT NULL) SELECT severity, count(*) AS n, count(*) FILTER (WHERE assist <> disposition) AS overridden, count(*) FILTER (WHERE assist <> disposition) / count(*)::DOUBLE AS disagreement, {T('max(resolved_at) FILTER (WHERE assist <> disposition)')} AS last_at,
+  arg_max('analyst_' || customer_id % 7, (resolved_at, case_id)) FILTER (WHERE assist <> disposition AND resolved_at IS NOT NULL) AS last_by FROM o GROUP BY 1""")
 def cas_18(v):
-    o = v.case.where("disposition is not null").withColumn("assist", F.when(F.col("amount") > 200000, "true_positive").otherwise("false_positive"))
-    return o.groupBy("severity").agg(F.count("*").alias("n"), (F.count_if(F.col("assist") != F.col("disposition")) / F.count("*").cast("double")).alias("disagreement"))
+    """What analysts decided against the assistant is recorded on the case, beside what the assistant said, which stays: a
+    keyed update of the table of closed cases. From it, how often they disagree."""
+    record = "struct<analyst:string,disposition:string,reason:string,at:timestamp_ntz>"
+    assist = F.when(F.col("amount") > 200000, "true_positive").otherwise("false_positive")
+    closed = v.case.where("disposition is not null")
+    table = SnapshotTable(v.spark, shared_folder(v.spark, "overrides"), f"case_id long, severity string, assist string, override {record}", ["case_id"])
+    table.apply(lambda old: closed.select("case_id", "severity", assist.alias("assist"), F.lit(None).cast(record).alias("override")), 0)
+    note = F.struct(F.concat(F.lit("analyst_"), F.col("customer_id") % 7).alias("analyst"), "disposition", F.array_join("rules", ",").alias("reason"), F.col("resolved_at").alias("at"))
+    against = closed.where(assist != F.col("disposition")).select("case_id", note.alias("override"), F.col("resolved_at").alias("at"))
+    table.apply(update_latest(against, ["case_id"], "at"), 1)
+    has = F.col("override").isNotNull()
+    last = F.max(F.when(F.col("override.at").isNotNull(), F.struct("override.at", "case_id", "override.analyst")))
+    t = table.read().groupBy("severity").agg(F.count("*").alias("n"), F.count_if(has).alias("overridden"), last.alias("x"))
+    return t.select("severity", "n", "overridden", (F.col("overridden") / F.col("n").cast("double")).alias("disagreement"), stamp("x.at", "last_at"), F.col("x.analyst").alias("last_by"))
 
 
 @query("ops_01_minute_rate", f"SELECT {T("date_trunc('minute', ts)")} AS minute, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS value, count(*) FILTER (WHERE merchant_id = 'error') AS quarantined FROM ev GROUP BY 1")

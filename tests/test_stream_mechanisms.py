@@ -124,7 +124,7 @@ def test_counts_survive_a_replay(spark):
 
 def test_small_batches_rewrite_few_parts(spark):
     """A batch of 100 keys on a table of a million rows rewrites under a tenth of them."""
-    table = S.SnapshotTable(spark, shared_folder(spark, "large"), "k long, v long", ["k"], part_rows=400)
+    table = S.SnapshotTable(spark, shared_folder(spark, "large"), "k long, v long", ["k"], part_rows=900)
     table.apply(lambda old: spark.range(1_000_000).select(F.col("id").alias("k"), F.lit(0).alias("v")), 0)
     few = spark.range(100).select((F.col("id") * 7919).alias("k"), F.lit(1).alias("v"))
     table.apply(S.upsert(few, ["k"]), 1)  # cuts the table anew
