@@ -38,6 +38,20 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Hand memory that this Python worker has freed back to the system: workers are used again by later tasks, and what one
+    stage has needed at its peak would stay with them beside what the next one needs."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it decides by itself
+        pass
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: what is written survives lost executors.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remitspark.llm.common import Scratch, components, text_key
+from remitspark.llm.common import Scratch, components, give_back, text_key
 from remitspark.llm.simhash import fingerprint_links, fingerprint_of, shingle_hashes
 
 BANDS, ROWS, BITS = 40, 6, 4
@@ -119,6 +119,7 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
             fp = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
             digest = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "tk": b["tk"], "tn": b["tn"], "sd": digest, "fp": fp, "bands": [bands(s) for s in sets]})
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", *text_key(), "text")
@@ -138,6 +139,7 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"g": b["g"], "sd": b["sd"], "s": [shingle_set(t, shingle).view(np.int64) for t in b["text"]]})
+        give_back()
 
     sets = scratch.save(texts.select("g", "sd", "text").mapInPandas(shingles, "g long, sd long, s array<long>"))
     groups = scratch.save(confirmed(sets, least, scratch))
@@ -181,6 +183,7 @@ def confirmed(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
             for k in range(x.num_rows):
                 held = dict(held_sets(x.column("a")[k].values) + held_sets(x.column("b")[k].values))
                 yield pa.RecordBatch.from_pandas(forest(np.array(list(held), np.int64), list(held.values()), least), preserve_index=False)
+        give_back()
 
     met = scratch.save(chunks).join(scratch.save(blocks), "g").select("a", "b").mapInArrow(compare, "sd long, component long")
     edges = t.where("near").select(F.col("sd").alias("u"), F.col("pivot").alias("v")).unionByName(met.where("sd <> component").select(F.col("sd").alias("u"), F.col("component").alias("v")))
