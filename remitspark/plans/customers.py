@@ -24,14 +24,6 @@ def T(c):
 NOW = f"TIMESTAMP '{AS_OF_EVENTS}'"
 
 
-@query("cus_01_monthly_trends", "WITH spine AS (SELECT customer_id, TIMESTAMP '2001-07-01' - to_months(CAST(k AS INTEGER)) AS m FROM cust, range(12) r(k)), g AS (SELECT customer_id, date_trunc('month', ts) AS m, sum(total) AS s, count(*) FILTER (WHERE txn_type = 'ppv_charge') AS ppv FROM txn WHERE status = 'settled' GROUP BY 1, 2) SELECT s.customer_id, strftime(s.m, '%Y-%m') AS month, CAST(coalesce(g.s, 0) AS DOUBLE) AS spend, coalesce(ppv, 0) AS ppv FROM spine s LEFT JOIN g ON g.customer_id = s.customer_id AND g.m = s.m")
-def cus_01(v):
-    month = F.date_format(F.add_months(F.lit("2001-07-01").cast("date"), -F.col("k")), "yyyy-MM")
-    spine = v.customer.select("customer_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")).select("customer_id", month.alias("month"))
-    g = v.bill.where("status = 'settled'").groupBy("customer_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum("total").alias("s"), F.count_if(F.col("txn_type") == "ppv_charge").alias("ppv"))
-    return spine.join(g, ["customer_id", "month"], "left").select("customer_id", "month", F.coalesce("s", F.lit(0)).cast("double").alias("spend"), F.coalesce("ppv", F.lit(0)).alias("ppv"))
-
-
 @query("cus_02_transaction_pattern", f"WITH b AS (SELECT * FROM txn WHERE ts >= TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL 365 DAY), c AS (SELECT customer_id, charge_code, count(*) AS n, row_number() OVER (PARTITION BY customer_id ORDER BY count(*) DESC, charge_code) AS rn FROM b JOIN items USING (transaction_id) GROUP BY 1, 2), k AS (SELECT customer_id, list_aggregate(list(charge_code ORDER BY rn), 'string_agg', ',') AS top_codes FROM c WHERE rn <= 3 GROUP BY 1) SELECT b.customer_id, count(*) AS n, CAST(sum(total) AS DOUBLE) / count(*) AS mean, round(stddev_pop(CAST(total AS DOUBLE)), 4) AS std, {T('min(ts)')} AS first_at, {T('max(ts)')} AS last_at, max(top_codes) AS top_codes FROM b LEFT JOIN k ON k.customer_id = b.customer_id GROUP BY 1")
 def cus_02(v):
     b = v.bill.where(F.col("ts") >= clock(AS_OF_ORDERS) - F.expr("INTERVAL 365 DAYS"))
@@ -139,38 +131,12 @@ def cus_04(v):
     return people.with_offers(churn(v)).select("customer_id", F.array_join(shown, ",").alias("offers"))
 
 
-@query("cus_05_engagement", "SELECT customer_id, count(*) FILTER (WHERE merchant_id = 'click') / nullif(count(*) FILTER (WHERE merchant_id IN ('click','view')), 0)::DOUBLE AS click_rate, count(*) FILTER (WHERE merchant_id = 'view') / count(*)::DOUBLE AS open_rate FROM ev GROUP BY 1")
-def cus_05(v):
-    is_ = lambda *k: F.count_if(F.col("merchant_id").isin(*k)).cast("double")
-    return v.event.groupBy("customer_id").agg(F.try_divide(is_("click"), is_("click", "view")).alias("click_rate"), (is_("view") / F.count("*").cast("double")).alias("open_rate"))
-
-
-@query("cus_06_channel_rates", f"SELECT customer_id, CASE WHEN event_id % 2 = 0 THEN 'email' ELSE 'sms' END AS channel, count(*) AS sent, count(*) FILTER (WHERE merchant_id = 'purchase') / count(*)::DOUBLE AS conversion, {T('max(ts)')} AS last_engaged FROM ev GROUP BY 1, 2")
-def cus_06(v):
-    channel = F.when(F.col("event_id") % 2 == 0, "email").otherwise("sms")
-    return v.event.groupBy("customer_id", channel.alias("channel")).agg(F.count("*").alias("sent"), (F.count_if(F.col("merchant_id") == "purchase") / F.count("*").cast("double")).alias("conversion"), stamp(F.max("ts"), "last_engaged"))
-
-
 @query("cus_07_marketing_funnel", "SELECT event_id % 6 AS campaign, count(*) FILTER (WHERE merchant_id = 'view') AS views, count(*) FILTER (WHERE merchant_id = 'click') AS clicks, count(*) FILTER (WHERE merchant_id = 'purchase') AS purchases, CAST(sum(CASE WHEN merchant_id = 'purchase' THEN amount ELSE 0 END) AS DOUBLE) AS revenue FROM ev GROUP BY 1")
 def cus_07(v):
     is_ = lambda k: F.count_if(F.col("merchant_id") == k)
     return v.event.groupBy((F.col("event_id") % 6).alias("campaign")).agg(is_("view").alias("views"), is_("click").alias("clicks"), is_("purchase").alias("purchases"), F.sum(F.when(F.col("merchant_id") == "purchase", F.col("amount")).otherwise(0)).cast("double").alias("revenue"))
 
 
-@query("cus_08_cooldown_gate", f"WITH l AS (SELECT c_custkey AS customer_id, max(ts) AS at_ FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1) SELECT CASE WHEN at_ IS NULL THEN 'missing' WHEN at_ >= {NOW} - INTERVAL 6 HOUR THEN 'skipped' ELSE 'computed' END AS outcome, count(*) AS n FROM l GROUP BY 1")
-def cus_08(v):
-    last = v.event.groupBy("customer_id").agg(F.max("ts").alias("at"))
-    t = v.customer.join(last, "customer_id", "left")
-    outcome = F.when(F.col("at").isNull(), "missing").when(F.col("at") >= clock(AS_OF_EVENTS) - F.expr("INTERVAL 6 HOURS"), "skipped").otherwise("computed")
-    return t.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
-
-
-@query("cus_09_nightly_360", "SELECT customer_type, count(DISTINCT customer_id) AS customers, count(transaction_id) AS txns, CAST(coalesce(sum(total), 0) AS DOUBLE) AS ltv FROM cust LEFT JOIN txn USING (customer_id) GROUP BY 1")
-def cus_09(v):
-    s = v.bill.groupBy("customer_id").agg(F.count("*").alias("k"), F.sum("total").alias("s"))
-    return v.customer.join(s, "customer_id", "left").groupBy("customer_type").agg(F.count("customer_id").alias("customers"), F.coalesce(F.sum("k"), F.lit(0)).alias("txns"), F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias("ltv"))
-
-
 @query("cus_10_revenue_by_entity", "WITH m AS (SELECT entity, strftime(ts, '%Y') AS y, sum(total) AS s FROM txn JOIN cust USING (customer_id) GROUP BY 1, 2) SELECT entity, CAST(sum(s) AS DOUBLE) AS revenue, list_aggregate(list(CAST(s AS VARCHAR) ORDER BY y), 'string_agg', '|') AS trend FROM m GROUP BY 1")
 def cus_10(v):
     m = v.bill.join(v.customer.select("customer_id", "entity"), "customer_id").groupBy("entity", F.date_format("ts", "yyyy").alias("y")).agg(F.sum("total").alias("s"))
@@ -217,13 +183,6 @@ def cus_14(v):
     return v.customer.select("customer_id", F.when(empty, "PROMO_DEFAULT").otherwise(F.get("promotions", 0)).alias("promotion"), empty.alias("filled"))
 
 
-@query("cus_15_crm_diff", "WITH s AS (SELECT customer_id, list(DISTINCT merchant_id) FILTER (WHERE ts <= TIMESTAMP '2024-01-10') AS old, list(DISTINCT merchant_id) FILTER (WHERE ts > TIMESTAMP '2024-01-25') AS new FROM ev GROUP BY 1) SELECT customer_id, len(list_filter(coalesce(new, []), lambda x: NOT list_contains(coalesce(old, []), x))) AS added, len(list_filter(coalesce(old, []), lambda x: NOT list_contains(coalesce(new, []), x))) AS removed FROM s")
-def cus_15(v):
-    old, new = F.col("ts") <= clock("2024-01-10 00:00:00"), F.col("ts") > clock("2024-01-25 00:00:00")
-    s = v.event.groupBy("customer_id").agg(F.collect_set(F.when(old, F.col("merchant_id"))).alias("old"), F.collect_set(F.when(new, F.col("merchant_id"))).alias("new"))
-    return s.select("customer_id", F.size(F.array_except("new", "old")).cast("long").alias("added"), F.size(F.array_except("old", "new")).cast("long").alias("removed"))
-
-
 @query("cus_16_embedding_freshness", f"WITH m AS (SELECT customer_id, min(ts) AS made_at FROM ev GROUP BY 1) SELECT vec_id, len(embedding) AS dim, {T('made_at')} AS made_at, CAST(floor((floor(epoch({NOW})) - floor(epoch(made_at))) / 86400) AS BIGINT) AS age_days, embedding IS NULL OR made_at IS NULL OR floor(epoch({NOW})) - floor(epoch(made_at)) > 29 * 86400 AS is_stale FROM embeddings LEFT JOIN m ON m.customer_id = vec_id")
 def cus_16(v):
     """Vectors made when their customer was first seen; stale without a vector, without that time, or over 29 days old."""
@@ -241,12 +200,6 @@ def cus_17(v):
     return v.case.select("case_id", F.array_join(F.transform(edited, lambda x: F.concat(x["id"], F.lit(":"), x["status"])), ",").alias("edited"))
 
 
-@query("cus_18_monthly_value", "SELECT transaction_id, CAST(sum(line_total) FILTER (WHERE charge_code = 'CC_SUBSCRIPTION_BASE') AS DOUBLE) AS monthly FROM items GROUP BY 1 HAVING count(*) FILTER (WHERE charge_code = 'CC_SUBSCRIPTION_BASE') > 0")
-def cus_18(v):
-    t = v.items.where("charge_code = 'CC_SUBSCRIPTION_BASE'").groupBy("transaction_id").agg(F.sum("line_total").cast("double").alias("monthly"))
-    return t
-
-
 # drift
 DRIFT = f"""smp AS (SELECT merchant_id AS feature, CAST(amount AS DOUBLE) AS value, ts >= {NOW} - INTERVAL 7 DAY AS cur FROM ev), tie AS (SELECT feature, value, count(*) FILTER (WHERE cur) AS a, count(*) FILTER (WHERE NOT cur) AS b FROM smp GROUP BY 1, 2),
   cdf AS (SELECT feature, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY feature) AS na, sum(b) OVER (PARTITION BY feature) AS nb FROM tie WINDOW w AS (PARTITION BY feature ORDER BY value)),
