@@ -90,6 +90,10 @@ def churn_band(x: Column) -> Column:
     return band(x, [(0.80, "critical"), (0.55, "high"), (0.25, "medium")], "low")
 
 
+def cross_sell_band(x: Column) -> Column:
+    return band(x, [(0.67, "high"), (0.34, "medium")], "low")
+
+
 def hopping(ts: Column, length: int, hop: int) -> Column:
     """Start seconds of every window of ``length`` seconds, each ``hop`` seconds, that holds the time."""
     t = F.unix_timestamp(ts)

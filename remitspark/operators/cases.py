@@ -24,6 +24,12 @@ def priority_score(severity: str, amount: Column, prior: Column, commercial: Col
     return F.bround(0.55 * lookup(severity, SEVERITY, 0.25) + 0.30 * part(amount, 5000.0) + 0.10 * part(prior, 5.0) + 0.05 * commercial.cast("int"), 4)
 
 
+def priority_drivers(severity: str, amount: Column, prior: Column, commercial: Column) -> Column:
+    """What a score came from, in this order: severity, an amount of 1000 or more, two earlier cases or more, a commercial account."""
+    told = [F.concat(F.lit("severity:"), F.col(severity)), F.when(amount >= 1000, F.concat(F.lit("amount_at_risk:"), amount.cast("decimal(18,2)"))), F.when(prior >= 2, F.concat(F.lit("repeat_offender:"), prior)), F.when(commercial, F.lit("commercial_account"))]
+    return F.array_compact(F.array(*told))
+
+
 def priority_band(score: Column) -> Column:
     from remitspark.functions.stats import band
 
@@ -105,3 +111,27 @@ def upgrade_step(table, customers: DataFrame, batch: int, writer: str = "upgrade
     if done:
         table.apply(replace_by_key(new, ["case_id"]), batch, writer)
     return spark.createDataFrame([("scanned", scanned), ("upgraded", done), ("skipped_unknown_customer", scanned - done)], "outcome string, n long")
+
+
+#: A case as decided on, and as it is kept for retrieval.
+DECIDED = "case_id long, status string, disposition string, analyst string, notes string, resolved_at timestamp_ntz"
+ARCHIVE_VERSION = 4
+ARCHIVED = f"{DECIDED}, schema_version int, text string"
+
+
+def dispose(cases, history, decisions: DataFrame, texts: DataFrame, batch: int, writer: str = "disposition") -> None:
+    """Put analysts' decisions on the stored cases, and the cases that this resolves into the archive with their text.
+
+    Both are snapshot tables by case_id, of ``DECIDED`` and ``ARCHIVED`` rows. decisions(case_id, disposition, analyst, notes, at),
+    texts(case_id, text). True and false positives resolve a case, anything else (null too) puts it under review and leaves the
+    archive as it is. Of several decisions on a case the latest counts (ties: the largest by all columns); decisions on unknown cases
+    change nothing. The archive is written first, so a batch that fails between the two is completed by running it again."""
+    from remitspark.streaming.tables import replace_by_key
+
+    latest = decisions.groupBy("case_id").agg(F.max(F.struct("at", "disposition", "analyst", "notes")).alias("d"))
+    ends = F.coalesce(F.col("d.disposition").isin("true_positive", "false_positive"), F.lit(False))
+    status = F.when(ends, "resolved").otherwise("under_review").alias("status")
+    rows = latest.join(cases.read().select("case_id"), "case_id").select("case_id", status, "d.disposition", "d.analyst", "d.notes", F.when(ends, F.col("d.at")).alias("resolved_at"))
+    kept = rows.where(F.col("status") == "resolved").join(texts.select("case_id", "text"), "case_id", "left").withColumn("schema_version", F.lit(ARCHIVE_VERSION))
+    history.apply(replace_by_key(kept, ["case_id"]), batch, writer)
+    cases.apply(replace_by_key(rows, ["case_id"]), batch, writer)

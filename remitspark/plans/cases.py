@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from remitspark.functions.stats import interpolated, nearest_ranks
 from remitspark.operators import cases as C
+from remitspark.operators import signals as G
 from remitspark.operators.joins import cycle_join
 from remitspark.operators.search import top_k
+from remitspark.plans.customers import HISTORY_TEXT, TOLD, txt_02
 from remitspark.registry import query
 from remitspark.sources.scratch import shared_folder
 from remitspark.streaming.tables import SnapshotTable, update_latest
@@ -31,9 +33,15 @@ def scored(v):
     return t.withColumn("score", score).withColumn("target", C.sla_target(F.col("created_at"), "severity"))
 
 
-@query("cas_01_priority", f"WITH {SCORE} SELECT case_id, score, CASE WHEN score >= 0.85 THEN 'P0' WHEN score >= 0.65 THEN 'P1' WHEN score >= 0.40 THEN 'P2' ELSE 'P3' END AS band, prior >= 3 AS repeat_offender FROM scored")
+AT_RISK = "CAST(amount * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2))"
+
+
+@query("cas_01_priority", f"""WITH {SCORE}, d AS (SELECT *, {AT_RISK} AS at_risk FROM scored) SELECT case_id, score, CASE WHEN score >= 0.85 THEN 'P0' WHEN score >= 0.65 THEN 'P1' WHEN score >= 0.40 THEN 'P2' ELSE 'P3' END AS band,
+  concat_ws(',', 'severity:' || severity, CASE WHEN at_risk >= 1000 THEN 'amount_at_risk:' || at_risk END, CASE WHEN prior >= 2 THEN 'repeat_offender:' || prior END, CASE WHEN customer_type = 'commercial' THEN 'commercial_account' END) AS drivers FROM d""")
 def cas_01(v):
-    return scored(v).select("case_id", "score", C.priority_band(F.col("score")).alias("band"), (F.col("prior") >= 3).alias("repeat_offender"))
+    """At risk is a hundredth of a case's amount."""
+    drivers = C.priority_drivers("severity", (F.col("amount") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(18,2)"), F.col("prior"), F.col("customer_type") == "commercial")
+    return scored(v).select("case_id", "score", C.priority_band(F.col("score")).alias("band"), F.array_join(drivers, ",").alias("drivers"))
 
 
 @query("cas_02_sla_target", f"WITH {SCORE} SELECT case_id, {T('target')} AS target FROM scored")
@@ -81,10 +89,18 @@ def cas_07(v):
     return t.select(F.concat(F.lit("case_"), "case_id").alias("id"), "customer_type", "severity", stamp("target", "target"), F.size("rules").cast("long").alias("n_rules"), F.lit("open").alias("status"))
 
 
-@query("cas_08_disposition", "SELECT case_id, CASE WHEN disposition IN ('true_positive','false_positive') THEN 'resolved' ELSE 'under_review' END AS next_status, coalesce(disposition, 'none') || ': ' || array_to_string(rules, ', ') AS archive_text FROM cases")
+@query("cas_08_disposition", f"""WITH {TOLD}, x AS ({HISTORY_TEXT}) SELECT c.case_id, CASE WHEN disposition IN ('true_positive', 'false_positive') THEN 'resolved' WHEN status = 'open' THEN 'open' ELSE 'under_review' END AS next_status, CASE WHEN c.disposition IS NOT NULL THEN 'analyst_' || customer_id % 7 END AS archived_by, text AS archive_text FROM cases c LEFT JOIN x USING (case_id)""")
 def cas_08(v):
-    nxt = F.when(F.col("disposition").isin("true_positive", "false_positive"), "resolved").otherwise("under_review")
-    return v.case.select("case_id", nxt.alias("next_status"), F.concat(F.coalesce("disposition", F.lit("none")), F.lit(": "), F.array_join("rules", ", ")).alias("archive_text"))
+    """Stored open cases, decided on: those judged are resolved and archived with their history text, those someone looks at
+    go under review, the rest stay open."""
+    cases = SnapshotTable(v.spark, shared_folder(v.spark, "decided"), C.DECIDED, ["case_id"])
+    archive = SnapshotTable(v.spark, shared_folder(v.spark, "archive"), C.ARCHIVED, ["case_id"])
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in cases.types}
+    cases.apply(lambda old: v.case.select("case_id").withColumns({k: x for k, x in nothing.items() if k != "case_id"}).withColumn("status", F.lit("open")).select(*old.columns), 0)
+    decided = v.case.where("status <> 'open'").select("case_id", F.coalesce("disposition", F.lit("needs_more_info")).alias("disposition"), F.concat(F.lit("analyst_"), F.col("customer_id") % 7).alias("analyst"), F.array_join("rules", ",").alias("notes"), F.coalesce("resolved_at", "created_at").alias("at"))
+    C.dispose(cases, archive, decided, txt_02(v), 1)
+    kept = archive.read().select("case_id", F.col("analyst").alias("archived_by"), F.col("text").alias("archive_text"))
+    return cases.read().select("case_id", F.col("status").alias("next_status")).join(kept, "case_id", "left")
 
 
 @query("cas_09_counts_by_severity", f"SELECT severity, count(*) AS n, count(*) / 90.0::DOUBLE AS per_day FROM cases WHERE created_at >= {NOW} - INTERVAL 90 DAY GROUP BY 1")
@@ -272,11 +288,17 @@ def enr_01(v):
     return v.items.groupBy("transaction_id").agg(F.sum("line_total").cast("double").alias("subtotal"), F.sum("discount").cast("double").alias("discount"), (net * F.lit("0.06").cast("decimal(3,2)")).cast("double").alias("tax"))
 
 
-@query("enr_02_stateless_signals", "SELECT transaction_id, len(promotions) > 0 AS promo_active, transaction_id % 4 = 0 AS lock_in, CASE WHEN txn_state IS NOT NULL AND txn_state IS DISTINCT FROM home_state THEN 1500 ELSE 0 END AS distance_km, txn_type = 'ppv_charge' AS ppv FROM txn JOIN cust USING (customer_id)")
+@query("enr_02_stateless_signals", """WITH l AS (SELECT transaction_id, CAST(sum(line_total) AS DOUBLE) AS subtotal, CAST(sum(discount) AS DOUBLE) AS discount FROM items GROUP BY 1)
+  SELECT transaction_id, CASE WHEN subtotal > 0 THEN round(discount / subtotal, 4) ELSE 0 END AS discount_pct, len(promotions) > 0 AS promo_active, customer_id % 3 <> 0 AND TIMESTAMP '1996-01-01' + to_months(CAST(customer_id % 60 AS INTEGER)) > ts AS lock_in, txn_type = 'ppv_charge' AND customer_id % 4 = 0 AS first_ppv,
+  CASE WHEN txn_state IS NOT NULL AND txn_state IS DISTINCT FROM home_state THEN 1500 ELSE 0 END AS distance_km, CASE WHEN txn_type = 'termination_fee' AND package_value > 0 THEN round(CAST(total AS DOUBLE) / CAST(package_value AS DOUBLE), 4) END AS fee_pct FROM txn LEFT JOIN l USING (transaction_id) JOIN cust USING (customer_id)""")
 def enr_02(v):
-    t = v.txn.join(v.customer, "customer_id")
-    away = F.col("txn_state").isNotNull() & ~F.col("txn_state").eqNullSafe(F.col("home_state"))
-    return t.select("transaction_id", (F.size("promotions") > 0).alias("promo_active"), (F.col("transaction_id") % 4 == 0).alias("lock_in"), F.when(away, 1500).otherwise(0).alias("distance_km"), (F.col("txn_type") == "ppv_charge").alias("ppv"))
+    """Two customers of three have an active subscription, locked in for up to five years from 1996; three of four are entitled
+    to something; leaving costs what the package is worth."""
+    key = F.col("customer_id")
+    until = F.add_months(F.lit("1996-01-01").cast("date"), (key % 60).cast("int")).cast("timestamp_ntz")
+    who = v.customer.select("customer_id", "home_state", "promotions", F.array(F.struct(F.when(key % 3 != 0, "active").otherwise("ended").alias("status"), until.alias("lock_in_end"))).alias("subscriptions"), F.when(key % 4 != 0, F.array(F.lit("base"))).alias("entitlements"), F.col("package_value").alias("termination_fee"))
+    t = v.txn_with(F.sum("line_total").alias("subtotal"), F.sum("discount").alias("discount")).join(who, "customer_id")
+    return G.stateless(t).select("transaction_id", "discount_pct", "promo_active", "lock_in", "first_ppv", "distance_km", "fee_pct")
 
 
 @query("enr_03_batch_totals", "SELECT t.transaction_id, CAST(coalesce(s.net, t.total) AS DOUBLE) AS total, s.net IS NULL AS fallback FROM txn t LEFT JOIN (SELECT transaction_id, sum(line_total - discount + line_total * tax_rate) AS net FROM items GROUP BY 1) s USING (transaction_id)")
@@ -351,12 +373,18 @@ def enr_08(v):
     return buckets(bills).select("bucket_id", "customer_id", "cycle", "n", "near_cap", "ppv", F.col("total").cast("double").alias("total"))
 
 
-@query("enr_09_rolling_signals", "SELECT event_id, n AS velocity_5m, CASE WHEN m >= 3 THEN CAST(amount AS DOUBLE) / (CAST(s AS DOUBLE) / m) END AS ratio_30d FROM (SELECT *, count(*) OVER (PARTITION BY customer_id ORDER BY s_ RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) AS n, count(*) OVER w AS m, sum(amount) OVER w AS s FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s_ FROM ev) WINDOW w AS (PARTITION BY customer_id ORDER BY s_ RANGE BETWEEN 2592000 PRECEDING AND 1 PRECEDING))")
+@query("enr_09_rolling_signals", f"""WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 5 AS BIGINT) END AS v0, CASE WHEN event_id % 4 = 0 THEN (event_id % 100) / 100.0::DOUBLE END AS r0 FROM ev), f AS (SELECT customer_id, s // 300 * 300 + 300 AS e, count(*) AS n FROM e GROUP BY 1, 2),
+  h AS (SELECT *, count(*) OVER w AS m, CAST(sum(amount) OVER w AS DOUBLE) / count(*) OVER w AS mean FROM e WINDOW w AS (PARTITION BY customer_id ORDER BY s RANGE BETWEEN 2592000 PRECEDING AND 1 PRECEDING)),
+  j AS (SELECT h.*, f.n AS vel FROM h ASOF LEFT JOIN f ON f.customer_id = h.customer_id AND f.e <= h.s), k AS (SELECT *, coalesce(v0, vel) AS v1, coalesce(r0, CASE WHEN m >= 3 AND mean > 0 THEN round((CAST(amount AS DOUBLE) - mean) / mean, 4) END) AS r1 FROM j)
+  SELECT event_id, v1 AS velocity_5m, r1 AS vs_mean_30d, (v0 IS NULL AND v1 IS NOT NULL) OR (r0 IS NULL AND r1 IS NOT NULL) AS stamped FROM k""")
 def enr_09(v):
-    by = W.partitionBy("customer_id").orderBy(F.unix_timestamp("ts"))
-    w5, w30 = by.rangeBetween(-300, 0), by.rangeBetween(-2592000, -1)
-    t = v.event.select("event_id", "amount", F.count("*").over(w5).alias("velocity_5m"), F.count("*").over(w30).alias("m"), F.sum("amount").over(w30).alias("s"))
-    return t.select("event_id", "velocity_5m", F.when(F.col("m") >= 3, F.col("amount").cast("double") / (F.col("s").cast("double") / F.col("m"))).alias("ratio_30d"))
+    """Events of which some came with one signal or both; the rest are stamped."""
+    e, key = v.event, F.col("event_id")
+    rows = e.select(key.alias("row_id"), "customer_id", "ts", "amount", F.when(key % 3 == 0, key % 5).alias("velocity_5m"), F.when(key % 4 == 0, key % 100 / 100.0).alias("vs_mean_30d"), F.lit(None).cast("timestamp_ntz").alias("computed_at"))
+    window_end = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 300) * 300 + 300).cast("timestamp_ntz")
+    features = e.groupBy("customer_id", window_end.alias("window_end")).agg(F.count("*").alias("n"))
+    t = G.stamped(rows, features, e.select("customer_id", "ts", "amount"), clock(AS_OF_EVENTS))
+    return t.select(F.col("row_id").alias("event_id"), "velocity_5m", "vs_mean_30d", F.col("computed_at").isNotNull().alias("stamped"))
 
 
 @query("enr_10_mark_quarantined", "SELECT t.transaction_id, c.case_id IS NOT NULL AS quarantined FROM txn t LEFT JOIN (SELECT case_id FROM cases WHERE len(rules) >= 2) c ON c.case_id = t.transaction_id")
@@ -421,8 +449,17 @@ def lookup_category(kind):
     return out
 
 
-@query("cyc_05_charge_code_rollup", "SELECT charge_code, CASE charge_code WHEN 'CC_SUBSCRIPTION_BASE' THEN 'recurring' ELSE 'one_off' END AS category, count(*) AS usage_n, count(DISTINCT transaction_id) AS txns, CAST(sum(line_total) AS DOUBLE) AS revenue FROM items GROUP BY 1, 2")
+#: Charge code, revenue category, general-ledger account.
+CATALOG = [("CC_SUBSCRIPTION_BASE", "subscription", "4000-SUB"), ("CC_PPV_DIRECT", "ppv", "4100-PPV-DIRECT"), ("CC_BUNDLE_PPV", "ppv", "4110-PPV-BUNDLE")]
+
+
+@query("cyc_05_charge_code_rollup", f"""WITH g AS (SELECT charge_code, category, gl_account, count(*) FILTER (WHERE shipped_at >= {NOW} - INTERVAL 30 DAY) AS usage_30d, count(*) AS usage_total, count(DISTINCT transaction_id) AS txns, sum(line_total) AS revenue FROM items JOIN (VALUES {', '.join(map(str, CATALOG))}) c(charge_code, category, gl_account) USING (charge_code) GROUP BY 1, 2, 3)
+  SELECT charge_code, category, gl_account, usage_30d, usage_total, txns, CAST(revenue AS DOUBLE) AS revenue, CAST(revenue AS DOUBLE) / nullif(CAST(sum(revenue) OVER (PARTITION BY category) AS DOUBLE), 0) AS category_share FROM g""")
 def cyc_05(v):
-    catalog = v.spark.createDataFrame([("CC_PPV_DIRECT", "one_off"), ("CC_BUNDLE_PPV", "one_off"), ("CC_SUBSCRIPTION_BASE", "recurring")], "charge_code string, category string")
-    t = v.items.join(F.broadcast(catalog), "charge_code")  # three rows
-    return t.groupBy("charge_code", "category").agg(F.count("*").alias("usage_n"), F.count_distinct("transaction_id").alias("txns"), F.sum("line_total").cast("double").alias("revenue"))
+    """Use and revenue of each charge code, with its category and account, and its share of the category."""
+    catalog = v.spark.createDataFrame(CATALOG, "charge_code string, category string, gl_account string")
+    recent = F.col("shipped_at") >= clock(AS_OF_ORDERS) - F.expr("INTERVAL 30 DAYS")
+    g = v.items.groupBy("charge_code").agg(F.count_if(recent).alias("usage_30d"), F.count("*").alias("usage_total"), F.count_distinct("transaction_id").alias("txns"), F.sum("line_total").alias("revenue"))
+    all_ = F.sum("revenue").over(W.partitionBy("category")).cast("double")  # a row a code
+    t = g.join(F.broadcast(catalog), "charge_code")  # three rows
+    return t.withColumn("category_share", F.try_divide(F.col("revenue").cast("double"), all_)).withColumn("revenue", F.col("revenue").cast("double"))

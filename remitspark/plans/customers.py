@@ -77,10 +77,37 @@ def fea_06(v):
     return v.customer.join(features(v), "customer_id", "left").select("customer_id", "name", F.coalesce("n", F.lit(0)).alias("txn_count"), F.coalesce("spend_7d", F.lit(0.0)).alias("spend_7d"))
 
 
-@query("fea_11_latest_per_feature", f"WITH {FEAT}, u AS (SELECT customer_id, n, 'n_24h' AS name, CAST(n_24h AS DOUBLE) AS value FROM feat UNION ALL SELECT customer_id, n, 'spend_7d', spend_7d FROM feat UNION ALL SELECT customer_id, n, 'discount_rate', discount_rate FROM feat) SELECT name, arg_max(value, (n, customer_id)) AS latest FROM u GROUP BY 1")
+#: Features that are shown, with their unit.
+UNITS = {
+    "txn_count_5m": "count", "txn_count_1h": "count", "txn_count_24h": "count", "txn_count_7d": "count", "txn_count_total": "count", "quarantine_count_30d": "count",
+    "amount_sum_5m": "myr", "spend_24h_myr": "myr", "spend_7d_myr": "myr", "package_value_myr": "myr", "discount_rate_7d": "ratio", "spend_to_package_ratio": "ratio",
+}
+SPANS = {"5m": "5 MINUTE", "1h": "1 HOUR", "24h": "1 DAY", "7d": "7 DAY", "30d": "30 DAY"}
+
+
+def sql_latest():
+    n = lambda k, more="": f"CAST(count(*) FILTER (WHERE ts >= {NOW} - INTERVAL {SPANS[k]} {more}) AS DOUBLE)"
+    s = lambda k, c="amount": f"CAST(coalesce(sum({c}) FILTER (WHERE ts >= {NOW} - INTERVAL {SPANS[k]}), 0) AS DOUBLE)"
+    made = {f"txn_count_{k}": n(k) for k in ("5m", "1h", "24h", "7d")} | {"txn_count_total": "CAST(count(*) AS DOUBLE)", "quarantine_count_30d": n("30d", "AND merchant_id = 'error'"), "amount_sum_5m": s("5m"), "spend_24h_myr": s("24h"), "spend_7d_myr": s("7d"), "package_value_myr": "CAST(any_value(package_value) AS DOUBLE)", "discount_rate_7d": f"{s('7d', 'discount')} / nullif({s('7d')}, 0)", "spend_to_package_ratio": f"{s('7d')} / nullif(CAST(any_value(package_value) AS DOUBLE), 0)"}
+    each = " UNION ALL ".join(f"SELECT '{k}' AS name, '{u}' AS unit, {k} AS value, updated_at, customer_id FROM g" for k, u in UNITS.items())
+    return f"WITH g AS (SELECT customer_id, max(ts) AS updated_at, {', '.join(f'{x} AS {k}' for k, x in made.items())} FROM ev LEFT JOIN cust USING (customer_id) GROUP BY 1), u AS ({each}) SELECT name, unit, arg_max(value, (updated_at, customer_id)) AS latest, {T('max(updated_at)')} AS updated_at FROM u WHERE value IS NOT NULL GROUP BY 1, 2"
+
+
+@query("fea_11_latest_per_feature", sql_latest())
 def fea_11(v):
-    t = features(v).select("customer_id", "n", F.col("n_24h").cast("double").alias("n_24h"), "spend_7d", "discount_rate")
-    return t.unpivot(["customer_id", "n"], ["n_24h", "spend_7d", "discount_rate"], "name", "value").where("value is not null").groupBy("name").agg(F.max_by("value", F.struct("n", "customer_id")).alias("latest"))
+    """Of each feature the value of the customer that was updated last (ties: the largest id), nulls passed over."""
+    since = lambda k: F.col("ts") >= clock(AS_OF_EVENTS) - F.expr(f"INTERVAL {SPANS[k]}")
+    n = lambda k: F.count_if(since(k)).cast("double")
+    s = lambda k, c="amount": F.coalesce(F.sum(F.when(since(k), F.col(c))), F.lit(0)).cast("double")
+    g = v.event.groupBy("customer_id").agg(
+        F.max("ts").alias("updated_at"), *[n(k).alias(f"txn_count_{k}") for k in ("5m", "1h", "24h", "7d")], F.count("*").cast("double").alias("txn_count_total"), F.count_if(since("30d") & (F.col("merchant_id") == "error")).cast("double").alias("quarantine_count_30d"),
+        s("5m").alias("amount_sum_5m"), s("24h").alias("spend_24h_myr"), s("7d").alias("spend_7d_myr"), F.try_divide(s("7d", "discount"), s("7d")).alias("discount_rate_7d"),
+    ).join(v.customer.select("customer_id", F.col("package_value").cast("double").alias("package_value_myr")), "customer_id", "left")
+    g = g.withColumn("spend_to_package_ratio", F.try_divide("spend_7d_myr", "package_value_myr"))
+    order = F.struct("updated_at", "customer_id")
+    latest = g.agg(*[F.max(F.when(F.col(k).isNotNull(), F.struct(order.alias("at"), F.col(k).alias("value")))).alias(k) for k in UNITS])  # one row
+    rows = latest.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(u).alias("unit"), F.col(k).alias("x")) for k, u in UNITS.items()])).alias("r")).where("r.x is not null")
+    return rows.select("r.name", "r.unit", F.col("r.x.value").alias("latest"), stamp("r.x.at.updated_at", "updated_at"))
 
 
 @query("fea_04_pull_through", "WITH o AS (SELECT customer_id, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE amount END AS a, ts FROM ev) SELECT customer_id, CAST(arg_max(a, (ts, event_id)) FILTER (WHERE a IS NOT NULL) AS DOUBLE) AS last_amount FROM o GROUP BY 1")
@@ -418,7 +445,10 @@ def txt_01(v):
     return told(v).select("case_id", text.alias("text"))
 
 
-@query("txt_02_history_text", f"WITH {TOLD} SELECT case_id, concat_ws(' | ', 'resolved case of a ' || coalesce(customer_type, 'unknown') || ' customer', 'severity ' || severity, 'final disposition ' || disposition, {sql_part('rules ', 'told_rules')}, {sql_part('codes ', 'codes')}, {sql_part('lines ', 'lines')}, {sql_part('discounts ', 'discounts')}, 'resolution: closed ' || CASE WHEN resolved_at IS NULL THEN 'at once' ELSE 'after ' || CAST(floor((floor(epoch(resolved_at)) - floor(epoch(created_at))) / 86400) AS BIGINT) || ' days' END) AS text FROM told WHERE disposition IS NOT NULL")
+HISTORY_TEXT = f"SELECT case_id, concat_ws(' | ', 'resolved case of a ' || coalesce(customer_type, 'unknown') || ' customer', 'severity ' || severity, 'final disposition ' || disposition, {sql_part('rules ', 'told_rules')}, {sql_part('codes ', 'codes')}, {sql_part('lines ', 'lines')}, {sql_part('discounts ', 'discounts')}, 'resolution: closed ' || CASE WHEN resolved_at IS NULL THEN 'at once' ELSE 'after ' || CAST(floor((floor(epoch(resolved_at)) - floor(epoch(created_at))) / 86400) AS BIGINT) || ' days' END) AS text FROM told WHERE disposition IS NOT NULL"
+
+
+@query("txt_02_history_text", f"WITH {TOLD} {HISTORY_TEXT}")
 def txt_02(v):
     days = F.floor(seconds(F.col("resolved_at"), F.col("created_at")) / 86400)
     closed = F.concat(F.lit("resolution: closed "), F.when(F.col("resolved_at").isNull(), "at once").otherwise(F.concat(F.lit("after "), days, F.lit(" days"))))

@@ -520,6 +520,6 @@ def fn_07(v):
     return v.event.select("event_id", (F.abs(F.hash("customer_id")) % 32).alias("customer_bucket"))
 
 
-@query("fn_08_bands", "SELECT customer_id, CASE WHEN package_value >= 20000 THEN 'platinum' WHEN package_value >= 8000 THEN 'gold' WHEN package_value >= 2000 THEN 'silver' ELSE 'bronze' END AS ltv, CASE WHEN (customer_id % 100) / 100.0 >= 0.80 THEN 'critical' WHEN (customer_id % 100) / 100.0 >= 0.55 THEN 'high' WHEN (customer_id % 100) / 100.0 >= 0.25 THEN 'medium' ELSE 'low' END AS churn FROM cust")
+@query("fn_08_bands", "SELECT customer_id, CASE WHEN package_value >= 20000 THEN 'platinum' WHEN package_value >= 8000 THEN 'gold' WHEN package_value >= 2000 THEN 'silver' ELSE 'bronze' END AS ltv, CASE WHEN (customer_id % 100) / 100.0 >= 0.80 THEN 'critical' WHEN (customer_id % 100) / 100.0 >= 0.55 THEN 'high' WHEN (customer_id % 100) / 100.0 >= 0.25 THEN 'medium' ELSE 'low' END AS churn, CASE WHEN (customer_id % 50) / 50.0 >= 0.67 THEN 'high' WHEN (customer_id % 50) / 50.0 >= 0.34 THEN 'medium' ELSE 'low' END AS cross_sell FROM cust")
 def fn_08(v):
-    return v.customer.select("customer_id", S.ltv_band(F.col("package_value")).alias("ltv"), S.churn_band((F.col("customer_id") % 100) / 100.0).alias("churn"))
+    return v.customer.select("customer_id", S.ltv_band(F.col("package_value")).alias("ltv"), S.churn_band((F.col("customer_id") % 100) / 100.0).alias("churn"), S.cross_sell_band((F.col("customer_id") % 50) / 50.0).alias("cross_sell"))
