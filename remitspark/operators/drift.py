@@ -73,3 +73,31 @@ def severity(d: Column) -> Column:
 def recommended_action(level: Column, consumers: Column) -> Column:
     """An alert that somebody reads is for whoever is on call; an alert nobody reads and a warning are to be investigated."""
     return F.when((level == "alert") & (consumers > 0), "alert_oncall").when(level.isin("alert", "warn"), "investigate").otherwise("monitor")
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """The row of each feature's last tick."""
+    rest = [c for c in rows.columns if c not in ("feature", "tick")]
+    return rows.groupBy("feature").agg(F.max(F.struct("tick", *rest)).alias("x")).select("feature", "x.*")
+
+
+def top_drifting(rows: DataFrame, consumers: DataFrame, writers: DataFrame, top: int) -> DataFrame:
+    """The features whose last tick of rows(feature, tick, d, severity) has the largest gaps (ties by name), each with how many it
+    concerns: its consumers, or where none are registered, those that have written values of it.
+
+    consumers(feature, consumers array<struct<name, type>>), writers(feature, n)."""
+    first = latest(rows.select("feature", "tick", "d", "severity")).orderBy(F.desc_nulls_last("d"), "feature").limit(top)
+    t = first.join(consumers, "feature", "left").join(writers, "feature", "left")
+    named = F.when(F.size("consumers") > 0, F.size("consumers").cast("long"))
+    return t.select("feature", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("severity", F.lit("none")).alias("severity"), F.coalesce(named, "n", F.lit(0)).alias("concerned"))
+
+
+def impact(rows: DataFrame, consumers: DataFrame) -> DataFrame:
+    """Each drifting feature's consumers by kind (one without a type is a model), their names, and what to do about its last tick."""
+    none = F.array().cast("array<struct<name:string,type:string>>")
+    t = latest(rows.select("feature", "tick", "severity")).join(consumers, "feature", "left").withColumn("who", F.coalesce("consumers", none))
+    is_rule = lambda c: F.coalesce(c["type"] == "rule", F.lit(False))
+    return t.select(
+        "feature", F.size(F.filter("who", lambda c: ~is_rule(c))).cast("long").alias("models"), F.size(F.filter("who", is_rule)).cast("long").alias("rules"),
+        F.array_sort(F.transform("who", lambda c: c["name"])).alias("names"), recommended_action(F.col("severity"), F.size("who")).alias("action"),
+    )

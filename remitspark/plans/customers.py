@@ -343,16 +343,28 @@ def drf_07(v):
     return t.crossJoin(t.agg(F.bool_or("drifting").alias("any_drift")))  # one row
 
 
-@query("drf_08_top_drifting", f"WITH {DRIFT} SELECT feature, d FROM ks ORDER BY d DESC, feature LIMIT 3")
+NAMED = """named AS (SELECT DISTINCT merchant_id AS feature, customer_id % 6 AS k FROM ev WHERE merchant_id <> 'view'), last AS (SELECT feature, max(tick) AS tick, arg_max(d, tick) AS d, arg_max(severity, tick) AS severity FROM tick GROUP BY 1),
+  who AS (SELECT l.feature, l.d, l.severity, count(k) AS n, count(k) FILTER (WHERE k % 3 = 0) AS rules, coalesce(string_agg('reader_' || k, ',' ORDER BY k), '') AS names FROM last l LEFT JOIN named USING (feature) GROUP BY 1, 2, 3)"""
+
+
+def named(v):
+    """Who reads a feature, by remainders of its customers: rules, models and some whose kind is not noted; views are read by nobody."""
+    k = F.col("customer_id") % 6
+    kind = F.when(k % 3 == 0, "rule").when(k % 3 == 1, "model")
+    reader = F.struct(F.concat(F.lit("reader_"), k).alias("name"), kind.alias("type"))
+    return v.event.where("merchant_id <> 'view'").groupBy(F.col("merchant_id").alias("feature")).agg(F.collect_set(reader).alias("consumers"))  # six at most
+
+
+@query("drf_08_top_drifting", f"WITH {TICKS}, {NAMED}, wrote AS (SELECT merchant_id AS feature, count(DISTINCT customer_id) AS users FROM ev GROUP BY 1) SELECT feature, round(d, 9) AS d, severity, CASE WHEN n > 0 THEN n ELSE coalesce(users, 0) END AS concerned FROM who LEFT JOIN wrote USING (feature) ORDER BY who.d DESC, feature LIMIT 4")
 def drf_08(v):
-    return K.ks_statistic(samples(v)).orderBy(F.desc("d"), "feature").limit(3).select("feature", "d")
+    """By the last tick; a feature without readers concerns the customers that have values of it."""
+    wrote = v.event.groupBy(F.col("merchant_id").alias("feature")).agg(F.count_distinct("customer_id").alias("n"))
+    return K.top_drifting(severities(v), named(v), wrote, 4).withColumn("d", F.round("d", 9))
 
 
-@query("drf_09_impact", f"WITH {CONS} SELECT feature, consumers AS models, 2 - consumers AS rules FROM cons")
+@query("drf_09_impact", f"WITH {TICKS}, {NAMED} SELECT feature, n - rules AS models, rules, names, CASE WHEN severity = 'alert' AND n > 0 THEN 'alert_oncall' WHEN severity IN ('alert', 'warn') THEN 'investigate' ELSE 'monitor' END AS action FROM who")
 def drf_09(v):
-    kinds = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: F.when(i <= F.col("consumers"), "model").otherwise("rule"))
-    t = consumers(v).withColumn("who", kinds)
-    return t.select("feature", F.size(F.filter("who", lambda x: x == "model")).cast("long").alias("models"), F.size(F.filter("who", lambda x: x == "rule")).cast("long").alias("rules"))
+    return K.impact(severities(v), named(v)).withColumn("names", F.array_join("names", ","))
 
 
 @query("drf_10_history", f"WITH {TICKS} SELECT feature, strftime(tick, '%Y-%m-%d') AS day, round(d, 9) AS d, severity FROM tick WHERE tick >= {NOW} - INTERVAL 7 DAY")
