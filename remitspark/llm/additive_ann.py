@@ -2,13 +2,16 @@
 
 A vector's direction is approximated by a sum of ``BOOKS`` full-dimensional codewords, one of each codebook. Codebooks
 start as residual k-means and are refitted by least squares against beam-search codes, on a bounded sample
-(``SAMPLE`` vectors, the first by a hash of vec_id). Every vector is then encoded by beam search and stored as
-codes and the norm of its approximation, in shards. A block of queries meets each shard's codes: lookup tables of
-query times codeword give approximate cosines (sum of entries over the stored norm), the best ``RERANK`` of each
-shard go on, and of those of all shards the best ``POOL`` are joined with their original vectors and scored exactly;
-the best k remain. Original vectors travel for candidates only.
+(``SAMPLE`` vectors, the first by a hash of vec_id). Every vector is then encoded by beam search and stored in shards as
+codes, the norm of its approximation and the cosine of both, with the vector as given behind them. A block of queries
+meets each shard's codes: lookup tables of query times codeword give the cosine to each approximation (sum of entries
+over the stored norm). The best ``RERANK`` of a shard by it are scored exactly, and the k-th of them is the bar. The angle
+of query and vector is at least the difference of the query's and the vector's angle to the approximation, so the codes
+bound each cosine from above, and vectors whose bound is below the bar are passed over. What the codes leave is scored
+exactly, and the best k of each shard are merged.
 
-The index covers every row, there is no cap on queries, and ties go to the smaller vec_id at each step.
+The neighbours are therefore the true ones on any rows: codes that fit the rows badly cost time, not neighbours. The index
+covers every row, there is no cap on queries or on what the codes leave, and ties go to the smaller vec_id at each step.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, as queries or candidates;
 nor do vectors whose width is not the table's most common one; rows with the query's vec_id are its own; other
@@ -31,8 +34,13 @@ from remitspark.llm.common import Scratch
 from remitspark.llm.vectors import main_width, unit, usable
 
 BOOKS, WORDS, BEAM, SAMPLE = 8, 256, 8, 8192
-#: Vectors of a shard and queries of a block, about; candidates of a shard, and of all, that are scored exactly.
-SHARD, QUERIES, RERANK, POOL = 8192, 512, 64, 512
+#: Vectors of a shard (fewer, if they have more bytes than SHARD_BYTES) and queries of a block, about; candidates of a shard
+#: that are scored first; how many that the codes leave to a query are scored pair by pair, more by one matrix product.
+SHARD, SHARD_BYTES, QUERIES, RERANK, POOL = 8192, 8 << 20, 512, 64, 512
+#: Queries held against a shard at once, and bytes of the pairs that are scored at once.
+AT_ONCE, PAIR_BYTES = 128, 16 << 20
+#: What rounding may take from a bound, and what the matrix product may differ by from the exact score.
+SLACK, ROUND = 1e-5, 1e-9
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -102,61 +110,96 @@ def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (v * q).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum(1)))
 
 
-def coded(vectors: DataFrame, books: np.ndarray) -> DataFrame:
-    """vectors(rid, vec_id, embedding) as (rid, vec_id, codes, norm)."""
+def packing(books: int, width: int, element: str) -> np.dtype:
+    """A vector of a shard as bytes."""
+    return np.dtype([("known", "i1"), ("vec_id", "<i8"), ("codes", "u1", (books,)), ("norm", "<f8"), ("near", "<f8"), ("vector", element, (width,))])
+
+
+def coded(vectors: DataFrame, books: np.ndarray, kind: np.dtype) -> DataFrame:
+    """vectors(rid, vec_id, embedding) as (rid, packed): id, codes, norm of the approximation, its cosine to the vector, vector."""
     held = vectors.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b = held.value
         for t in batches:
             if len(t):
-                codes = encode(unit(np.array(t["embedding"].tolist(), np.float64)), b)
+                v = np.array(t["embedding"].tolist(), np.float64)
+                u = unit(v)
+                codes = encode(u, b)
                 approx = sum(b[j][codes[:, j]] for j in range(len(b)))
-                yield pd.DataFrame({"rid": t["rid"], "vec_id": t["vec_id"], "codes": [c.tobytes() for c in codes], "norm": np.sqrt((approx * approx).sum(1))})
-
-    return vectors.mapInPandas(run, "rid long, vec_id long, codes binary, norm double")
-
-
-def candidates(asked: DataFrame, codes: DataFrame, n: int, shards: int, books: np.ndarray, rerank: int) -> DataFrame:
-    """(qid, vec_id, rid, approx): of each query asked(qid, vec_id, embedding), the best ``rerank`` of every shard."""
+                norm = np.sqrt((approx * approx).sum(1))
+                norm[norm < 1e-3] = np.inf  # says nothing of its vector, whose bound is 1
+                out = np.zeros(len(t), kind)
+                out["known"], out["vec_id"], out["codes"], out["vector"] = t["known"], t["id"], codes, v
+                out["norm"], out["near"] = norm, np.clip((u * approx).sum(1) / norm, -1, 1)
+                yield pd.DataFrame({"rid": t["rid"], "packed": [x.tobytes() for x in out]})
+
+    rows = vectors.select("rid", F.col("vec_id").isNotNull().cast("int").alias("known"), F.coalesce("vec_id", F.lit(0)).cast("long").alias("id"), "embedding")
+    return rows.mapInPandas(run, "rid long, packed binary")
+
+
+def best_of(rows: np.ndarray, own: np.ndarray, q: np.ndarray, books: np.ndarray, k: int, rerank: int, pool: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k nearest rows of a shard to each of the queries q, nearest first, ties to the earlier row;
+    ``own`` marks rows that are the query's."""
+    v, qu = rows["vector"].astype(np.float64), unit(q)
+
+    def scores(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        step = max(1, PAIR_BYTES // (8 * v.shape[1]))
+        return np.concatenate([np.zeros(0)] + [exact_scores(q[i[a : a + step]], v[j[a : a + step]]) for a in range(0, len(i), step)])
+
+    table = np.einsum("qd,mkd->mqk", qu, books)
+    c = np.zeros((len(q), len(rows)))
+    for j in range(len(books)):
+        c += np.take(table[j], rows["codes"][:, j], axis=1)
+    c = np.clip(c / rows["norm"], -1, 1)
+    bar = np.full(len(q), -np.inf)
+    first = min(max(rerank, k), len(rows))
+    pick = np.argpartition(np.where(own, -2, c), len(rows) - first, axis=1)[:, len(rows) - first :]
+    if first >= k:
+        s = scores(np.repeat(np.arange(len(q)), first), pick.ravel()).reshape(pick.shape)
+        s[np.take_along_axis(own, pick, 1)] = -np.inf
+        bar = np.partition(s, first - k, axis=1)[:, first - k]
+    near = rows["near"]
+    left = (c * near + np.sqrt((1 - c * c) * (1 - near * near)) + SLACK >= bar[:, None]) & ~own
+    many = np.flatnonzero(left.sum(1) > max(pool, k))
+    if len(many):
+        s = np.where(left[many], qu[many] @ unit(v).T, -np.inf)
+        left[many] &= s >= np.partition(s, len(rows) - k, axis=1)[:, len(rows) - k][:, None] - ROUND
+    i, j = np.nonzero(left)
+    s = scores(i, j)
+    order = np.lexsort((j, -s, i))
+    i, j, s = i[order], j[order], s[order]
+    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[top], j[top], s[top]
+
+
+def candidates(asked: DataFrame, codes: DataFrame, n: int, shards: int, books: np.ndarray, kind: np.dtype, k: int, rerank: int, pool: int) -> DataFrame:
+    """(qid, vec_id, score): of each query asked(qid, vec_id, embedding), the k nearest of every shard."""
     spark = asked.sparkSession
     held = spark.sparkContext.broadcast(books)
     shard = F.pmod(F.xxhash64("rid"), F.lit(shards)).alias("shard")
-    rows = codes.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct("vec_id", "rid", "codes", "norm"))).alias("rows"))
+    rows = codes.groupBy(shard).agg(F.collect_list("packed").alias("rows"))
     blocks = max(1, round(n / QUERIES))
     packed = asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("qid", "vec_id", "embedding")).alias("queries"))
     # the stated queries meet every shard, block by block
     met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(rows, "shard").select("queries", "rows")
 
-    def one(asked: list, rows: list, b: np.ndarray) -> pd.DataFrame:
-        ids = np.array([r["vec_id"] if r["vec_id"] is not None else -(1 << 63) for r in rows], np.int64)
-        rid = np.array([r["rid"] for r in rows], np.int64)
-        codes = np.frombuffer(b"".join(r["codes"] for r in rows), np.uint8).reshape(len(rows), -1)
-        norm = np.array([r["norm"] for r in rows])
-        table = np.einsum("qd,mkd->mqk", unit(np.array([x["embedding"] for x in asked], np.float64)), b).astype(np.float32)
-        approx = np.zeros((len(asked), len(rows)), np.float32)
-        for j in range(len(b)):
-            approx += table[j][:, codes[:, j]]
-        approx /= np.maximum(norm, 1e-9).astype(np.float32)[None, :]
-        out = []
-        for i, x in enumerate(asked):
-            s = np.where(ids == x["vec_id"], -np.inf, approx[i])
-            if len(s) > rerank:
-                kth = np.partition(s, len(s) - rerank)[len(s) - rerank]
-                above = np.flatnonzero(s > kth)
-                pick = np.concatenate([above, np.flatnonzero(s == kth)[: rerank - len(above)]])
-            else:
-                pick = np.arange(len(s))
-            pick = pick[s[pick] > -np.inf]
-            out.append(pd.DataFrame({"qid": x["qid"], "vec_id": ids[pick], "rid": rid[pick], "approx": s[pick].astype(np.float64)}))
-        return pd.concat(out, ignore_index=True)
+    def one(asked: list, rows: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        known = rows["known"] == 1
+        own = np.stack([known & (rows["vec_id"] == x["vec_id"]) if x["vec_id"] is not None else np.zeros(len(rows), bool) for x in asked])
+        i, j, s = best_of(rows, own, np.array([x["embedding"] for x in asked], np.float64), b, k, rerank, pool)
+        ids = pd.Series(pd.array(rows["vec_id"][j], "Int64")).mask(~known[j])
+        return pd.DataFrame({"qid": np.array([x["qid"] for x in asked], np.int64)[i], "vec_id": ids, "score": s})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            for queries, rows in zip(t["queries"], t["rows"]):
-                yield one(queries, rows, held.value)
+            for queries, found in zip(t["queries"], t["rows"]):
+                rows = np.frombuffer(b"".join(found), kind)
+                rows = rows[np.lexsort((rows["vec_id"], rows["known"]))]  # null first, as Spark orders it
+                for a in range(0, len(queries), AT_ONCE):
+                    yield one(queries[a : a + AT_ONCE], rows, held.value)
 
-    return met.mapInPandas(search, "qid long, vec_id long, rid long, approx double")
+    return met.mapInPandas(search, "qid long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RERANK, pool: int = POOL) -> DataFrame:
@@ -170,21 +213,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RE
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     books = fit(unit(np.array(sample, np.float64)))
-    shards = max(1, round(good.count() / SHARD))
+    element = "<f4" if dict(good.dtypes)["embedding"] == "array<float>" else "<f8"
+    kind = packing(len(books), width, element)
+    size = good.count()
+    shards = max(1, round(size / SHARD), -(-size * kind.itemsize // SHARD_BYTES))
     asked = queries.where(usable()).where(F.size("embedding") == width).select("vec_id", "embedding").distinct()
     asked = scratch.save(asked.withColumn("qid", F.monotonically_increasing_id()))
-    found = candidates(asked, coded(good.select("rid", "vec_id", "embedding"), books), asked.count(), shards, books, rerank)
-    best = W.partitionBy("qid").orderBy(F.desc("approx"), "vec_id", "rid")  # as at every step, ties to the smaller vec_id
-    found = scratch.save(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= pool).select("qid", "rid"))
-    pairs = found.join(good, "rid").join(asked.select("qid", F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "qid")
-
-    @F.pandas_udf("double")
-    def cosine(q: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series(exact_scores(np.array(q.tolist(), np.float64), np.array(v.tolist(), np.float64)) if len(q) else [], dtype=float)
-
-    scored = pairs.select("qid", "query_id", "vec_id", cosine("query", "embedding").alias("score"))
+    found = candidates(asked, coded(good, books, kind), asked.count(), shards, books, kind, k, rerank, pool)
     order = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    out = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = best.join(asked.select("qid", F.col("vec_id").alias("query_id")), "qid")
     return scratch.save(out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 

@@ -147,3 +147,39 @@ def test_more_copies_than_the_pool(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     got = [(r.rank, r.vec_id) for r in nearest(df, df.where("vec_id = 100"), 5, rerank=10, pool=10).orderBy("rank").collect()]
     assert got == list(enumerate(range(101, 106), 1))
+
+
+def all_nearest(x, k=5):
+    """(query, rank, row) by brute force, ties to the smaller row."""
+    u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1))[:, None]
+    out = []
+    for q in range(0, len(x), 50):
+        s = u @ u[q]
+        s[q] = -9
+        out += [(q, r, int(j)) for r, j in enumerate(np.lexsort((np.arange(len(x)), -s))[:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize("rows", ["no structure", "tight clusters", "one direction"])
+def test_nearest_where_codes_tell_little(spark, rows, monkeypatch):
+    """The true neighbours are found on rows that the codes approximate badly or cannot tell apart, over several shards."""
+    import remitspark.llm.additive_ann as a
+
+    monkeypatch.setattr(a, "SHARD", 700)
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(2000, 48))
+    if rows == "tight clusters":
+        x = rng.normal(size=(4, 48))[rng.integers(4, size=2000)] + 1e-3 * x
+    elif rows == "one direction":
+        x = 10 + 0.1 * x
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for pool in (a.POOL, 10_000):  # what the codes leave, by a matrix product or pair by pair
+        got = [(r.query_id, r.rank, r.vec_id) for r in nearest(df, df.where("vec_id % 50 = 0"), 5, rerank=10, pool=pool).orderBy("query_id", "rank").collect()]
+        assert got == all_nearest(x)
+
+
+def test_nearest_vectors_without_an_id(spark):
+    """A vector without vec_id takes nothing from the precision of other ids."""
+    big = (1 << 53) + 1
+    df = spark.createDataFrame([(50, [1.0, 0.0]), (None, [1.0, 0.1]), (big, [1.0, 0.2]), (big + 2, [1.0, 0.3])], "vec_id long, embedding array<double>").coalesce(1)
+    assert [r.vec_id for r in nearest(df, df.where("vec_id = 50"), 5).orderBy("rank").collect()] == [None, big, big + 2]
