@@ -4,7 +4,8 @@ A key's state is a ring of slots, one for each step of the windows that holds an
 many windows cover it. Windows end at multiples of the step and hold the events of ``length`` seconds before their end. A
 timer of event time closes them: as the watermark passes their end, windows that hold events are put out once, final, and
 slots that no open window covers go; a key without slots loses its state. Each batch that changes a key also puts out its
-latest window, the one that ends with the slot of its newest event.
+latest window, the one that ends with the slot of its newest event. ``still_open`` reads the windows that the watermark has
+not closed out of the state of a stream's checkpoint, so that closed and open ones together are all windows.
 
 A row counts in the windows that the watermark has not closed when it arrives: one behind the watermark still counts in
 windows that are open, and is ignored once all its windows are closed. Sums are of whole numbers (scaled amounts), so that
@@ -24,6 +25,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Cents of an amount, and the scale of a discount.
 CENTS, FINE = 100, 100_000
+ROWS = "customer_id long, kind string, ends long, n long, amount long, discount long"
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -120,5 +122,24 @@ def trailing(events: DataFrame, length: int, step: int, delay: str) -> DataFrame
     scaled = lambda c, by: F.coalesce((F.col(c) * by).cast("long"), F.lit(0))
     slot = F.floor(F.unix_timestamp("ts") / step).cast("long")
     t = events.where("ts is not null and customer_id is not null").withWatermark("ts", delay).select("customer_id", slot.alias("slot"), F.lit(1).cast("long").alias("one"), scaled("amount", CENTS).alias("amount"), scaled("discount", FINE).alias("discount"))
-    out = t.groupBy("customer_id").transformWithStateInPandas(Trailing(length, step), "customer_id long, kind string, ends long, n long, amount long, discount long", "append", "eventTime")
+    return scaled_back(t.groupBy("customer_id").transformWithStateInPandas(Trailing(length, step), ROWS, "append", "eventTime"))
+
+
+def scaled_back(out: DataFrame) -> DataFrame:
+    """Times and decimals from the whole numbers of ROWS."""
     return out.select("customer_id", "kind", F.timestamp_seconds("ends").alias("window_end"), "n", *[(F.col(c) / F.lit(s).cast("decimal(6,0)")).cast(f"decimal(24,{d})").alias(c) for c, s, d in (("amount", CENTS, 2), ("discount", FINE, 5))])
+
+
+def still_open(spark: SparkSession, checkpoint: str, length: int, step: int) -> DataFrame:
+    """The windows that hold events and were not closed when the stream of ``trailing`` over that checkpoint stopped, with its
+    columns (kind: open). To be read inside ``rocks``."""
+    of = Trailing(length, step)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            for r in t.itertuples():
+                slot, sums = np.array(r.slot, np.int64), np.array([r.n, r.amount, r.discount], np.int64).T
+                yield of.windows((r.customer_id,), slot, sums, of.closing(slot, r.closed, slot[-1] + of.slots), "open")
+
+    ring = spark.read.format("statestore").option("stateVarName", "ring").load(checkpoint)
+    return scaled_back(ring.select("key.customer_id", "value.*").mapInPandas(run, ROWS))

@@ -73,3 +73,38 @@ def test_setting_comes_back(spark):
     assert spark.conf.get(R.STORE, None) == before
     with pytest.raises(ValueError):
         R.Trailing(100, 30)
+
+
+@pytest.mark.parametrize("name, windows", [("str_04_sliding_24h", 288)])
+def test_windows_still_open_at_the_end_count(spark, name, windows):
+    """An event lies in every window over it, also where the input ends before the watermark closes them."""
+    from remitspark import registry
+
+    folder = tempfile.mkdtemp()
+    at = lambda hours: (BEGAN + dt.timedelta(hours=hours)).replace(tzinfo=None)
+    rows = [(1, at(0), 1, "click", 10.0, '{"k": 5}'), (2, at(700), 2, "click", 20.0, '{"k": 5}'), (3, at(719.9), 3, "click", 30.0, '{"k": 5}')]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    got = registry.queries()[name](spark, folder).groupBy("customer_id").agg(F.sum("windows"), F.sum("covered"), F.max("peak_n")).collect()
+    assert sorted(map(tuple, got)) == [(c, windows, windows, 1) for c in (1, 2, 3)]
+
+
+def test_closed_and_open_are_all_windows(spark):
+    rng = random.Random(3)
+    length, step, base = 3600, 300, int(BEGAN.timestamp())
+    rows = [(rng.randint(1, 4), base + rng.randint(0, 20_000), rng.randint(1, 900)) for _ in range(80)]
+    folder, at = tempfile.mkdtemp(), shared_folder(spark, "check")
+    df = spark.createDataFrame([(c, dt.datetime.fromtimestamp(t, dt.timezone.utc), a) for c, t, a in rows], "customer_id long, ts timestamp, cents long")
+    df.select("customer_id", "ts", (F.col("cents") / 100).cast("decimal(18,2)").alias("amount"), F.lit(0).cast("decimal(18,5)").alias("discount")).coalesce(1).write.mode("append").parquet(folder)
+    found = []
+    with R.rocks(spark):
+        q = R.trailing(spark.readStream.schema(SCHEMA).parquet(folder), length, step, "600 seconds").writeStream.option("checkpointLocation", at).trigger(availableNow=True)
+        q.foreachBatch(lambda d, b: found.extend(d.where("kind = 'closed'").collect())).start().awaitTermination()
+        rest = R.still_open(spark, at, length, step).collect()
+    assert found and rest and {r.kind for r in rest} == {"open"}
+    got = [(r.customer_id, int(r.window_end.timestamp()), r.n, int(r.amount * 100)) for r in found + rest]
+    want = []
+    for c in range(1, 5):
+        for e in range(base + step, base + 20_000 + length + step, step):
+            hit = [x for x in rows if x[0] == c and e - length <= x[1] < e]
+            want += [(c, e, len(hit), sum(x[2] for x in hit))] if hit else []
+    assert sorted(got) == sorted(want)
