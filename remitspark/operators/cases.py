@@ -125,13 +125,19 @@ def dispose(cases, history, decisions: DataFrame, texts: DataFrame, batch: int,
     Both are snapshot tables by case_id, of ``DECIDED`` and ``ARCHIVED`` rows. decisions(case_id, disposition, analyst, notes, at),
     texts(case_id, text). True and false positives resolve a case, anything else (null too) puts it under review and leaves the
     archive as it is. Of several decisions on a case the latest counts (ties: the largest by all columns); decisions on unknown cases
-    change nothing. The archive is written first, so a batch that fails between the two is completed by running it again."""
-    from remitspark.streaming.tables import replace_by_key
+    change nothing. The archive is written first, so a batch that fails between the two is completed by running it again.
+    What both tables get is worked out once and saved, as a table goes through its new rows several times."""
+    from remitspark.sources.scratch import shared_folder
+    from remitspark.streaming.tables import merged, replace_by_key
+
+    def saved(df: DataFrame) -> DataFrame:
+        df.write.parquet(folder := shared_folder(df.sparkSession, "batch"))
+        return df.sparkSession.read.schema(df.schema).parquet(folder)
 
     latest = decisions.groupBy("case_id").agg(F.max(F.struct("at", "disposition", "analyst", "notes")).alias("d"))
     ends = F.coalesce(F.col("d.disposition").isin("true_positive", "false_positive"), F.lit(False))
     status = F.when(ends, "resolved").otherwise("under_review").alias("status")
-    rows = latest.join(cases.read().select("case_id"), "case_id").select("case_id", status, "d.disposition", "d.analyst", "d.notes", F.when(ends, F.col("d.at")).alias("resolved_at"))
-    kept = rows.where(F.col("status") == "resolved").join(texts.select("case_id", "text"), "case_id", "left").withColumn("schema_version", F.lit(ARCHIVE_VERSION))
+    rows = saved(latest.join(merged(cases.read().select("case_id")), "case_id").select("case_id", status, "d.disposition", "d.analyst", "d.notes", F.when(ends, F.col("d.at")).alias("resolved_at")))
+    kept = saved(rows.where(F.col("status") == "resolved").join(merged(texts.select("case_id", "text")), "case_id", "left").withColumn("schema_version", F.lit(ARCHIVE_VERSION)))
     history.apply(replace_by_key(kept, ["case_id"]), batch, writer)
     cases.apply(replace_by_key(rows, ["case_id"]), batch, writer)

@@ -13,7 +13,7 @@ from remitspark.operators.search import top_k
 from remitspark.plans.customers import HISTORY_TEXT, TOLD, txt_02
 from remitspark.registry import query
 from remitspark.sources.scratch import shared_folder
-from remitspark.streaming.tables import SnapshotTable, update_latest
+from remitspark.streaming.tables import SnapshotTable, merged, update_latest
 from remitspark.views import AS_OF_EVENTS, AS_OF_ORDERS, clock, seconds, stamp
 
 
@@ -96,11 +96,11 @@ def cas_08(v):
     cases = SnapshotTable(v.spark, shared_folder(v.spark, "decided"), C.DECIDED, ["case_id"])
     archive = SnapshotTable(v.spark, shared_folder(v.spark, "archive"), C.ARCHIVED, ["case_id"])
     nothing = {f.name: F.lit(None).cast(f.dataType) for f in cases.types}
-    cases.apply(lambda old: v.case.select("case_id").withColumns({k: x for k, x in nothing.items() if k != "case_id"}).withColumn("status", F.lit("open")).select(*old.columns), 0)
+    cases.apply(lambda old: v.bill.select(F.col("transaction_id").alias("case_id")).withColumns({k: x for k, x in nothing.items() if k != "case_id"}).withColumn("status", F.lit("open")).select(*old.columns), 0)
     decided = v.case.where("status <> 'open'").select("case_id", F.coalesce("disposition", F.lit("needs_more_info")).alias("disposition"), F.concat(F.lit("analyst_"), F.col("customer_id") % 7).alias("analyst"), F.array_join("rules", ",").alias("notes"), F.coalesce("resolved_at", "created_at").alias("at"))
     C.dispose(cases, archive, decided, txt_02(v), 1)
     kept = archive.read().select("case_id", F.col("analyst").alias("archived_by"), F.col("text").alias("archive_text"))
-    return cases.read().select("case_id", F.col("status").alias("next_status")).join(kept, "case_id", "left")
+    return cases.read().select("case_id", F.col("status").alias("next_status")).join(merged(kept), "case_id", "left")
 
 
 @query("cas_09_counts_by_severity", f"SELECT severity, count(*) AS n, count(*) / 90.0::DOUBLE AS per_day FROM cases WHERE created_at >= {NOW} - INTERVAL 90 DAY GROUP BY 1")

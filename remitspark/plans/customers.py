@@ -13,7 +13,7 @@ from remitspark.plans.relational import LAB, PUR, error_labels, purchases
 from remitspark.registry import query
 from remitspark.sources.scratch import shared_folder
 from remitspark.streaming.split import split_by
-from remitspark.streaming.tables import SnapshotTable
+from remitspark.streaming.tables import SnapshotTable, merged
 from remitspark.views import AS_OF_EVENTS, AS_OF_ORDERS, clock, seconds, stamp
 
 
@@ -433,8 +433,8 @@ TOLD = f"""{LINES}, told AS (SELECT c.*, tl.n, codes, tl.lines, coalesce(discoun
 
 def told(v):
     """Cases with all that their texts say; evidence is at most four pairs a rule."""
-    t = v.case.join(told_lines(v).withColumnRenamed("transaction_id", "case_id"), "case_id", "left").join(v.customer.select("customer_id", "customer_type", F.col("lifetime_quarantine_count").alias("prior")), "customer_id", "left")
-    t = t.join(v.bill.select(F.col("transaction_id").alias("case_id"), "txn_type"), "case_id")
+    t = v.case.join(told_lines(v).withColumnRenamed("transaction_id", "case_id"), "case_id", "left").join(merged(v.customer.select("customer_id", "customer_type", F.col("lifetime_quarantine_count").alias("prior"))), "customer_id", "left")
+    t = t.join(merged(v.bill.select(F.col("transaction_id").alias("case_id"), "txn_type")), "case_id")
     pairs = F.array(F.concat(F.lit("amount="), in_cents(whole_cents(F.col("amount")))), F.concat(F.lit("lines="), F.coalesce("n", F.lit(0))), F.concat(F.lit("severity="), "severity"), F.concat(F.lit("type="), "txn_type"), F.concat(F.lit("status="), "status"))
     rules = F.array_join(F.transform("rules", lambda r: F.concat(r, F.lit(" ("), joined(pairs, 4, ", "), F.lit(")"))), "; ")
     return t.withColumns({"told_rules": rules, "anomaly": F.coalesce(F.col("dc") * 2 > F.col("lc"), F.lit(False)), "discounts": F.coalesce("discounts", F.lit(""))})

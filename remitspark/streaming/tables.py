@@ -122,6 +122,12 @@ class SnapshotTable:
         return True
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the tables: joined by sort and merge. Rows of few columns, nulls or one value take few bytes
+    in files and shuffles, and a broadcast chosen by these would be built up on the driver however many rows they are."""
+    return side.hint("merge")
+
+
 def on(new: DataFrame, change: Change) -> Change:
     """A change that concerns the parts of ``new`` only."""
     change.new = new
@@ -173,7 +179,7 @@ def update_latest(new: DataFrame, keys: list[str], order: str) -> Change:
 
 def replace_by_key(new: DataFrame, keys: list[str]) -> Change:
     """Rows of the batch take the place of rows with their keys."""
-    return on(new, lambda old: old.join(new, keys, "left_anti").select(*old.columns).unionByName(new.select(*old.columns)))
+    return on(new, lambda old: old.join(merged(new), keys, "left_anti").select(*old.columns).unionByName(new.select(*old.columns)))
 
 
 def upsert_stamped(new: DataFrame, keys: list[str], at: Column, created: str = "created_at", updated: str = "updated_at") -> Change:

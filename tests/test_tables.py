@@ -53,3 +53,22 @@ def test_split(spark):
     assert told(out)["b"] == (3, 1)
     with pytest.raises(FileNotFoundError):
         Split(stray, ["b"], shared_folder(spark, "none")).table("b")
+
+
+def test_dispositions_broadcast_no_table(spark):
+    """Cases, decisions and texts take few bytes of disk for their rows and were built up on the driver: more than 2 MB of any
+    of them as a broadcast is an error here."""
+    n = 100_000
+    cases, archive = (SnapshotTable(spark, shared_folder(spark, name), schema, ["case_id"]) for name, schema in (("cases", C.DECIDED), ("archive", C.ARCHIVED)))
+    ids = spark.range(n).withColumnRenamed("id", "case_id")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in cases.types.fields[1:]]
+    cases.apply(lambda old: ids.select("case_id", *none), 0)
+    decided = ids.select("case_id", F.lit("true_positive").alias("disposition"), F.lit("a").alias("analyst"), F.lit(None).cast("string").alias("notes"), F.lit(T0).cast("timestamp_ntz").alias("at"))
+    folder = shared_folder(spark, "decided")
+    decided.write.parquet(folder)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")
+    try:
+        C.dispose(cases, archive, spark.read.parquet(folder), ids.withColumn("text", F.lit("t")), 1)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert archive.read().where("text = 't'").count() == cases.read().where("status = 'resolved'").count() == n
