@@ -11,7 +11,7 @@ from remitspark.registry import query
 from remitspark.sources.scratch import shared_folder
 from remitspark.sources.streams import event_stream
 from remitspark.streaming import tables as S
-from remitspark.streaming import trailing as R
+from remitspark.streaming import sliding as D
 from remitspark.streaming import windows as N
 
 FEATURES = ["n", "minutes_silent", "discount_rate", "quarantines", "spend_7d"]
@@ -115,31 +115,33 @@ def _windows(length, hop, delay):
   FROM k LEFT JOIN a USING (customer_id) LEFT JOIN b USING (customer_id) LEFT JOIN h USING (customer_id) LEFT JOIN i USING (customer_id)""")
 def fea_02(v):
     """24-hour windows each five minutes and 7-day windows each half hour, from state kept by customer. Windows go to the
-    history, by customer bucket, once they are closed; the window that ends with a customer's newest event updates the
+    history, by customer bucket and as runs of windows alike (``Sliding.each_window`` lays them out), once they are closed; the window that ends with a customer's newest event updates the
     online table with every micro-batch, which never gains rows."""
     online = S.SnapshotTable(v.spark, shared_folder(v.spark, "online"), "customer_id long, txn_count_24h long, spend_24h double, txn_count_7d long, discount_rate_7d double, quality struct<computed_via:string,confidence:double>, latest timestamp", ["customer_id"])
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in online.types.fields[1:]]
     online.apply(lambda old: v.customer.select("customer_id", *none), 0)
     quality = F.struct(F.lit("spark_batch").alias("computed_via"), F.lit(0.95).alias("confidence"))
-    history = {}
-    for length, step, delay, names in ((86400, 300, "30 minutes", ("txn_count_24h", "spend_24h")), (604800, 1800, "1 hour", ("txn_count_7d", "discount_rate_7d"))):
-        folder = history[names[0]] = shared_folder(v.spark, f"history_{step}")
-
-        def each(df, batch, folder=folder, names=names):
-            kept = shared_folder(v.spark, "batch")  # so that the state is gone through once
-            df.write.parquet(kept)
-            df = v.spark.read.schema(df.schema).parquet(kept)
-            bucket = F.abs(F.hash("customer_id")) % 32
-            df.where("kind = 'closed'").drop("kind").withColumn("customer_bucket", bucket).write.mode("overwrite").partitionBy("customer_bucket").parquet(f"{folder}/batch_={batch}")
-            w = N.with_rate(df.where("kind = 'latest'"))
+    t = None
+    for length, step, delay, names, name in ((86400, 300, 1800, ("txn_count_24h", "spend_24h"), "history_24h"), (604800, 1800, 3600, ("txn_count_7d", "discount_rate_7d"), "history_7d")):
+        folder = shared_folder(v.spark, f"history_{step}")
+        w = D.Sliding(v.spark, shared_folder(v.spark, "sliding"), length, step, delay)
+
+        def closed(batch, w=w, folder=folder):
+            rows = w.closed(batch).withColumn("customer_bucket", F.abs(F.hash("customer_id")) % 32)
+            rows.repartition("customer_bucket").write.mode("overwrite").partitionBy("customer_bucket").parquet(f"{folder}/batch_={batch}")
+
+        def each(df, batch, w=w, names=names, closed=closed):
+            w.apply(df, batch)
+            closed(batch)
             value = F.col("amount") if names[1] == "spend_24h" else F.col("discount_rate")
-            new = w.select("customer_id", F.col("n").alias(names[0]), value.cast("double").alias(names[1]), quality.alias("quality"), F.col("window_end").alias("latest"))
+            new = N.with_rate(w.latest()).select("customer_id", F.col("n").alias(names[0]), value.cast("double").alias(names[1]), quality.alias("quality"), F.col("last_end").alias("latest"))
             online.apply(S.update_latest(new, ["customer_id"], "latest"), batch, names[0])
 
-        with R.rocks(v.spark):
-            drain(v, R.trailing(event_stream(v.spark, v.dir, None), length, step, delay), each)
-    t = online.read()
-    for n, name in (("txn_count_24h", "history_24h"), ("txn_count_7d", "history_7d")):
-        windows = v.spark.read.schema("customer_id long, window_end timestamp").parquet(history[n]).groupBy("customer_id").agg(F.count("*").alias(name))
-        t = t.join(windows, "customer_id", "left")
+        drain(v, event_stream(v.spark, v.dir, None), each)
+        w.close()
+        closed(w.last)
+        runs = v.spark.read.schema("customer_id long, first_end timestamp, last_end timestamp").parquet(folder)
+        windows = runs.groupBy("customer_id").agg(F.sum(D.number(step)).alias(name))
+        t = windows if t is None else t.join(windows, "customer_id", "full")
+    t = online.read().join(S.merged(t), "customer_id", "left")
     return t.select("customer_id", "txn_count_24h", "spend_24h", "txn_count_7d", "discount_rate_7d", "quality.computed_via", F.coalesce("history_24h", F.lit(0)).alias("history_24h"), F.coalesce("history_7d", F.lit(0)).alias("history_7d"))

@@ -171,7 +171,7 @@ def update_latest(new: DataFrame, keys: list[str], order: str) -> Change:
 
     def change(old: DataFrame) -> DataFrame:
         n = latest.select(*keys, *[F.col(f"x.{c}").alias(f"{c}__new") for c in rest])
-        j = old.join(n, keys, "left")
+        j = old.join(merged(n), keys, "left")
         return j.select(*[F.coalesce(f"{c}__new", c).alias(c) if f"{c}__new" in j.columns else F.col(c) for c in old.columns])
 
     return on(new, change)

@@ -83,3 +83,19 @@ def test_queries_keep_runs(spark, tmp_path, monkeypatch):
     assert len(made) == 2
     for w in made:
         assert w.closed().count() + w.open().count() <= 6
+
+
+def test_history_keeps_runs(spark, tmp_path, monkeypatch):
+    """The history holds a closed window's run, its windows are counted whole."""
+    from remitspark import registry
+
+    at = lambda hours: (BEGAN + dt.timedelta(hours=hours)).replace(tzinfo=None)
+    rows = [(k, at(h), k, "click", 10.0, '{"k": 5}') for k, h in ((1, 0), (2, 700))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    for t in ("customer", "nation", "region"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    made, whole = [], Sliding.__init__
+    monkeypatch.setattr(Sliding, "__init__", lambda self, *a: made.append(self) or whole(self, *a))
+    got = {r.customer_id: (r.history_24h, r.history_7d, r.txn_count_24h, r.txn_count_7d) for r in registry.queries()["fea_02_window_history"](spark, str(tmp_path)).where("customer_id in (1, 2, 3)").collect()}
+    assert got == {1: (288, 336, 1, 1), 2: (0, 0, 1, 1), 3: (0, 0, None, None)}
+    assert len(made) == 2 and all(w.closed().count() == 1 for w in made)
