@@ -173,7 +173,19 @@ def best_of(rows: np.ndarray, own: np.ndarray, q: np.ndarray, books: np.ndarray,
     return i[top], j[top], s[top]
 
 
-def candidates(asked: DataFrame, codes: DataFrame, n: int, shards: int, books: np.ndarray, kind: np.dtype, k: int, rerank: int, pool: int) -> DataFrame:
+def sampled(vectors: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """The first ``SAMPLE`` of n vectors by a hash of vec_id. Those with the smallest hashes are picked before they are ordered, so
+    that no partition hands on its own first ``SAMPLE``, and what the driver reads does not grow with the partitions."""
+    h, share = F.xxhash64("vec_id"), 1.25 * SAMPLE / max(1, n)
+    while True:
+        few = scratch.save(vectors.where(h <= -(1 << 63) + int(share * (1 << 64))) if share < 1 else vectors)
+        if share >= 1 or few.count() >= SAMPLE:
+            return scratch.save(few.orderBy(h, "vec_id", "embedding").limit(SAMPLE).select("embedding"))
+        scratch.drop(few)
+        share *= 2
+
+
+def candidates(asked: DataFrame, codes: DataFrame, n: int, shards: int, books: np.ndarray, kind: np.dtype, k: int, rerank: int, pool: int, scratch: Scratch) -> DataFrame:
     """(qid, vec_id, score): of each query asked(qid, vec_id, embedding), the k nearest of every shard."""
     spark = asked.sparkSession
     held = spark.sparkContext.broadcast(books)
@@ -181,8 +193,8 @@ def candidates(asked: DataFrame, codes: DataFrame, n: int, shards: int, books: n
     rows = codes.groupBy(shard).agg(F.collect_list("packed").alias("rows"))
     blocks = max(1, round(n / QUERIES))
     packed = asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("qid", "vec_id", "embedding")).alias("queries"))
-    # the stated queries meet every shard, block by block
-    met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(rows, "shard").select("queries", "rows")
+    # the stated queries meet every shard, block by block; both are read from their tables, and no block is shuffled once a shard
+    met = scratch.save(packed.select("queries")).hint("shuffle_replicate_nl").crossJoin(scratch.save(rows.select("rows")))
 
     def one(asked: list, rows: np.ndarray, b: np.ndarray) -> pd.DataFrame:
         known = rows["known"] == 1
@@ -209,20 +221,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RE
     good = vectors.where(usable()).select("vec_id", "embedding")
     width = main_width(good)
     good = scratch.save(good.where(F.size("embedding") == width).withColumn("rid", F.monotonically_increasing_id()))
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).toPandas()["embedding"].tolist()  # bounded
+    size = good.count()
+    sample = sampled(good, size, scratch).toPandas()["embedding"].tolist()  # bounded
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     books = fit(unit(np.array(sample, np.float64)))
     element = "<f4" if dict(good.dtypes)["embedding"] == "array<float>" else "<f8"
     kind = packing(len(books), width, element)
-    size = good.count()
     shards = max(1, round(size / SHARD), -(-size * kind.itemsize // SHARD_BYTES))
     asked = queries.where(usable()).where(F.size("embedding") == width).select("vec_id", "embedding").distinct()
     asked = scratch.save(asked.withColumn("qid", F.monotonically_increasing_id()))
-    found = candidates(asked, coded(good, books, kind), asked.count(), shards, books, kind, k, rerank, pool)
+    found = candidates(asked, coded(good, books, kind), asked.count(), shards, books, kind, k, rerank, pool, scratch)
     order = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    out = best.join(asked.select("qid", F.col("vec_id").alias("query_id")), "qid")
+    out = best.join(asked.select("qid", F.col("vec_id").alias("query_id")).hint("merge"), "qid")
     return scratch.save(out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 

@@ -183,3 +183,37 @@ def test_nearest_vectors_without_an_id(spark):
     big = (1 << 53) + 1
     df = spark.createDataFrame([(50, [1.0, 0.0]), (None, [1.0, 0.1]), (big, [1.0, 0.2]), (big + 2, [1.0, 0.3])], "vec_id long, embedding array<double>").coalesce(1)
     assert [r.vec_id for r in nearest(df, df.where("vec_id = 50"), 5).orderBy("rank").collect()] == [None, big, big + 2]
+
+
+def test_sample_is_picked_before_it_is_ordered(spark, monkeypatch, tmp_path):
+    """The sample is the first by hash, and partitions hand on hardly more than it, however many there are."""
+    from pyspark.sql import functions as F
+
+    import remitspark.llm.additive_ann as a
+    from remitspark.llm.common import Scratch
+
+    monkeypatch.setattr(a, "SAMPLE", 50)
+    t = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding")).repartition(16)
+    want = sorted(r.vec_id for r in t.orderBy(F.xxhash64("vec_id")).limit(50).collect())
+    scratch, kept = Scratch(spark, "ann"), []
+    save = scratch.save
+    monkeypatch.setattr(scratch, "save", lambda df: kept.append(save(df)) or kept[-1])
+    got = a.sampled(t, 3000, scratch)
+    assert sorted(int(r.embedding[0]) for r in got.collect()) == want
+    assert kept[-2].count() <= 150  # 16 partitions' own first 50 would be 800
+    same = t.select(F.lit(7).cast("long").alias("vec_id"), "embedding")  # one hash for all
+    assert a.sampled(same, 3000, scratch).count() == 50 and a.sampled(t.limit(9), 9, scratch).count() == 9 and a.sampled(t.where("false"), 0, scratch).count() == 0
+
+
+def test_queries_are_not_shuffled_once_a_shard(spark, monkeypatch):
+    import remitspark.llm.additive_ann as a
+
+    plans, whole = [], a.candidates
+    monkeypatch.setattr(a, "SHARD", 100)
+    monkeypatch.setattr(a, "candidates", lambda *x: plans.append(whole(*x)) or plans[-1])
+    x = np.random.default_rng(5).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id) for r in nearest(df, df.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect()]
+    assert got == all_nearest(x)
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
